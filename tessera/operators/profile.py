@@ -130,3 +130,18 @@ def column_summary(df: DataFrame, cols: Sequence[str], exact: bool = True,
                 .select("column_name", "min", F.col("__q")[0].alias("q1"),
                         F.col("__q")[1].alias("median"), "mean",
                         F.col("__q")[2].alias("q3"), "max"))
+
+
+def null_share(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Share of NULL cells per column, one pass -> (column_name, null_share)."""
+    cols = _cols(df, cols)
+    wide = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in cols])
+    return _long(wide, cols, "null_share")
+
+
+def drop_mostly_null(df: DataFrame, threshold: float = 0.9, cols: Sequence[str] | None = None) -> DataFrame:
+    """Drop the columns whose NULL share exceeds ``threshold`` (a postal code
+    that is almost always missing); the one-row-per-column profile is read first."""
+    drop = [r["column_name"] for r in null_share(df, cols).collect()
+            if r["null_share"] is not None and r["null_share"] > threshold]
+    return df.drop(*drop)

@@ -16,6 +16,8 @@ from tessera.sources.files import read_table
 
 # Fixed values of the driver schema: the five region names.
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+# Money amounts are exact decimals: sums do not depend on summation order.
+MONEY = "decimal(18,4)"
 # Dimension tables are tiny in TPC-H style data; their broadcast is size-checked.
 DIM_ROWS = 100_000
 
@@ -135,10 +137,10 @@ def loans_view(spark, sf_dir) -> DataFrame:
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
         F.col("l_extendedprice").alias("loan_amnt"),
         F.col("l_extendedprice").alias("funded_amnt"),
-        F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).alias("funded_amnt_inv"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast(MONEY).cast("double").alias("funded_amnt_inv"),
         F.when(F.col("l_linestatus") == "F", " 36 months").otherwise(" 60 months").alias("term"),
         F.concat(F.format_number(F.col("l_discount") * 100 + 5, 2), F.lit("%")).alias("int_rate"),
-        F.round(F.col("l_extendedprice") / 36, 2).alias("installment"),
+        (F.col("l_extendedprice") / 36).cast(MONEY).cast("double").alias("installment"),
         F.substring("o_orderpriority", 1, 1).alias("grade"),
         F.when(F.col("l_linenumber") == 1, F.lit("")).otherwise(F.col("p_name")).alias("emp_title"),
         F.when(q < 5, F.lit("< 1 year")).when(q >= 45, F.lit("10+ years"))
@@ -171,10 +173,10 @@ def loans_view(spark, sf_dir) -> DataFrame:
 
 LOANS_SQL = f"""SELECT l_orderkey * 10 + l_linenumber AS id,
   l_extendedprice AS loan_amnt, l_extendedprice AS funded_amnt,
-  round(l_extendedprice * (1 - l_discount), 2) AS funded_amnt_inv,
+  CAST(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)) AS DOUBLE) AS funded_amnt_inv,
   CASE WHEN l_linestatus = 'F' THEN ' 36 months' ELSE ' 60 months' END AS term,
   printf('%.2f', l_discount * 100 + 5) || '%' AS int_rate,
-  round(l_extendedprice / 36, 2) AS installment,
+  CAST(CAST(l_extendedprice / 36 AS DECIMAL(18,4)) AS DOUBLE) AS installment,
   substr(o_orderpriority, 1, 1) AS grade,
   CASE WHEN l_linenumber = 1 THEN '' ELSE p_name END AS emp_title,
   CASE WHEN l_quantity < 5 THEN '< 1 year' WHEN l_quantity >= 45 THEN '10+ years'
@@ -266,9 +268,9 @@ def store_view(spark, sf_dir) -> DataFrame:
         F.when(F.col("c_nationkey") == 0, F.col("c_custkey")).alias("Postal_Code"),
         F.col("r_name").alias("Market"),
         F.col("c_mktsegment").alias("Segment"),
-        sales.alias("Sales"),
+        sales.cast(MONEY).alias("Sales"),
         F.col("l_quantity").cast("int").alias("Quantity"),
-        (sales - F.col("l_quantity") * F.col("p_retailprice")).alias("Profit"),
+        (sales - F.col("l_quantity") * F.col("p_retailprice")).cast(MONEY).alias("Profit"),
     )
 
 
@@ -279,9 +281,9 @@ STORE_SQL = f"""SELECT l_orderkey * 10 + l_linenumber AS Row_ID,
        ELSE strftime(l_shipdate, '%d-%m-%Y') END AS Ship_Date,
   CASE WHEN c_nationkey = 0 THEN c_custkey END AS Postal_Code,
   r_name AS Market, c_mktsegment AS Segment,
-  l_extendedprice * (1 - l_discount) AS Sales,
+  CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)) AS Sales,
   CAST(l_quantity AS INTEGER) AS Quantity,
-  l_extendedprice * (1 - l_discount) - l_quantity * p_retailprice AS Profit
+  CAST(l_extendedprice * (1 - l_discount) - l_quantity * p_retailprice AS DECIMAL(18,4)) AS Profit
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN {CUSTOMER_GEO_SQL} ON o_custkey = c_custkey
   JOIN part ON l_partkey = p_partkey"""

@@ -18,6 +18,7 @@ from tessera.operators.profile import distinct_count
 from tessera.operators.rank import rank_within, top_n, top_row_per_group
 from tessera.operators.relate import maybe_broadcast, null_safe_join
 from tessera.operators.reshape import wide_to_long
+from tessera.functions.numeric import rnd
 from tessera.plans import bind
 
 # Parameters of the workload (the reference's four named round types, its
@@ -102,7 +103,7 @@ def _deals(spark, sf_dir):
 def q_rounds_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = master_frame(*_inputs(spark, sf_dir))
     return m.select("round_id", "company_permalink", "funding_round_type",
-                    F.round("raised_amount_usd", 2).alias("raised_amount_usd"),
+                    rnd("raised_amount_usd", 2).alias("raised_amount_usd"),
                     "country_code", "category_list")
 
 
@@ -117,23 +118,23 @@ def q_distinct_keys(spark, sf_dir):
 
 def q_fill_missing(spark, sf_dir):
     f = _filled(spark, sf_dir)
-    return f.select("round_id", F.round("raised_amount_usd", 2).alias("raised_amount_usd"), "was_missing")
+    return f.select("round_id", rnd("raised_amount_usd", 2).alias("raised_amount_usd"), "was_missing")
 
 
 def q_funding_type_mean(spark, sf_dir):
     g = group_means(_filled(spark, sf_dir), "funding_round_type", "raised_amount_usd", ROUND_TYPES)
-    return g.select("funding_round_type", F.round("mean_amount", 2).alias("mean_amount"), "n")
+    return g.select("funding_round_type", rnd("mean_amount", 2).alias("mean_amount"), "n")
 
 
 def q_funding_type_fit(spark, sf_dir):
     g = group_means(_filled(spark, sf_dir), "funding_round_type", "raised_amount_usd", ROUND_TYPES)
-    return g.select("funding_round_type", F.round("mean_amount", 2).alias("mean_amount"),
+    return g.select("funding_round_type", rnd("mean_amount", 2).alias("mean_amount"),
                     in_open_range("mean_amount", *BAND).alias("in_band"))
 
 
 def q_top_countries(spark, sf_dir):
     top = _top_countries(_filled(spark, sf_dir))
-    return top.select("country_code", F.round("total_invest", 2).alias("total_invest"))
+    return top.select("country_code", rnd("total_invest", 2).alias("total_invest"))
 
 
 def q_wide_to_long(spark, sf_dir):
@@ -151,14 +152,14 @@ def q_sector_merge(spark, sf_dir):
     filled = _filled(spark, sf_dir)
     merged = sector_merge(filled, sector_long(bind.mapping_wide_view(spark, sf_dir)))
     return merged.select("round_id", "primary_sector", "main_sector", "country_code",
-                         F.round("raised_amount_usd", 2).alias("raised_amount_usd"))
+                         rnd("raised_amount_usd", 2).alias("raised_amount_usd"))
 
 
 def q_country_sector_deals(spark, sf_dir):
     d = _deals(spark, sf_dir)
     return d.select("round_id", "country_code", "main_sector", "company_permalink",
-                    F.round("raised_amount_usd", 2).alias("raised_amount_usd"),
-                    F.round("total_invest", 2).alias("total_invest"), "number_of_investments")
+                    rnd("raised_amount_usd", 2).alias("raised_amount_usd"),
+                    rnd("total_invest", 2).alias("total_invest"), "number_of_investments")
 
 
 def q_sector_counts(spark, sf_dir):
@@ -171,7 +172,7 @@ def q_country_totals(spark, sf_dir):
     return d.groupBy("country_code").agg(
         F.count(F.lit(1)).alias("total_investments"),
         F.sum("number_of_investments").alias("sum_repeated_count"),
-        F.round(F.sum("raised_amount_usd"), 2).alias("total_amount"))
+        rnd(F.sum("raised_amount_usd"), 2).alias("total_amount"))
 
 
 def _sector_rank(d):
@@ -192,7 +193,7 @@ def q_top_company(spark, sf_dir):
         ["country_code", "main_sector"],
         [F.col("raised_amount_usd").desc(), "company_permalink", "round_id"])
     return best.select("country_code", "sector_rank", "main_sector", "company_permalink",
-                       F.round("raised_amount_usd", 2).alias("raised_amount_usd"))
+                       rnd("raised_amount_usd", 2).alias("raised_amount_usd"))
 
 
 QUERIES = {
