@@ -83,7 +83,7 @@ def constant_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     for i, c in enumerate(cols):
         s = F.col(c).cast("string")
         exprs += [
-            F.min(s).alias(f"mn{i}"), F.max(s).alias(f"mx{i}"),
+            F.min(c).cast("string").alias(f"mn{i}"), F.max(c).cast("string").alias(f"mx{i}"),
             F.sum(F.col(c).isNull().cast("long")).alias(f"nl{i}"),
             F.sum((F.trim(s) == "").cast("long") if types[c] == "string" else F.lit(0)).alias(f"bl{i}"),
         ]
@@ -145,3 +145,13 @@ def drop_mostly_null(df: DataFrame, threshold: float = 0.9, cols: Sequence[str]
     drop = [r["column_name"] for r in null_share(df, cols).collect()
             if r["null_share"] is not None and r["null_share"] > threshold]
     return df.drop(*drop)
+
+
+def drop_uninformative(df: DataFrame, blank_threshold: float = 0.4,
+                       cols: Sequence[str] | None = None) -> DataFrame:
+    """A16 projection: drop constant columns and columns whose blank share
+    exceeds ``blank_threshold`` (decided from the one-pass profile)."""
+    prof = constant_columns(df, cols).collect()
+    drop = [r["column_name"] for r in prof
+            if r["constant"] or (r["blank_share"] is not None and r["blank_share"] > blank_threshold)]
+    return df.drop(*drop)
