@@ -17,3 +17,17 @@ def rnd(x, digits: int) -> Column:
     c = F.col(x) if isinstance(x, str) else x
     p = float(10 ** digits)
     return F.round(c * F.lit(p), 0) / F.lit(p)
+
+
+def rnd_sig(x, digits: int) -> Column:
+    """Round to ``digits`` significant digits (0 stays 0)."""
+    c = F.col(x) if isinstance(x, str) else x
+    e = F.floor(F.log10(F.abs(c)))
+    scale = F.pow(F.lit(10.0), e)
+    return F.when(c == 0, F.lit(0.0)).otherwise(rnd(c / scale, digits - 1) * scale)
+
+
+def rnd_sig_sql(x: str, digits: int) -> str:
+    """The same as SQL text."""
+    e = f"floor(log10(abs({x})))"
+    return f"(CASE WHEN {x} = 0 THEN 0.0 ELSE round({x} / pow(10.0, {e}), {digits - 1}) * pow(10.0, {e}) END)"
