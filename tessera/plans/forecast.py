@@ -12,7 +12,11 @@ from tessera.functions.text import paste
 from tessera.operators.aggregate import group_aggregate, segment_scores, stability
 from tessera.operators.profile import drop_mostly_null
 from tessera.operators.reshape import add_index, holdout_split, measures_to_series
-from tessera.operators.series import accuracy, acf, kpss, lags, ljung_box, ses_fitted, ses_grid, ses_levels
+from tessera.operators.series import accuracy, acf, adf, best_model, kpss, lags, ljung_box, pacf
+from tessera.operators.series import ses_fitted, ses_grid, ses_levels
+from tessera.operators.series.arima import arima
+from tessera.operators.series.trend import TERMS, choose, evaluate, fit_grid
+from tessera.operators.reshape import append_kind
 from tessera.functions.numeric import rnd
 from tessera.plans import bind
 
@@ -191,6 +195,126 @@ QUERIES = {
     "forecast_accuracy": q_forecast_accuracy,
 }
 
+# ------------------------------------------------------------------ models (rows-only checks)
+def _smoothed(spark, sf_dir):
+    """T4: smoothed training series (level after each value; last one repeated)."""
+    return ses_fitted(_levels(spark, sf_dir)).select("series", "idx", F.col("smoothed").alias("value"))
+
+
+def _trend(spark, sf_dir):
+    fits = fit_grid(_smoothed(spark, sf_dir))
+    return fits, choose(fits)
+
+
+def _trend_path(spark, sf_dir):
+    """Trend + season values on every period (fitted on train, forecast on test)."""
+    _, chosen = _trend(spark, sf_dir)
+    return evaluate(_series(spark, sf_dir), chosen)
+
+
+def _local(spark, sf_dir):
+    """Raw training value minus the trend + season fit (the locally predictable part)."""
+    tp = _trend_path(spark, sf_dir).where(~F.col("is_test"))
+    return tp.select("series", "idx", (F.col("value") - F.col("trend_fit")).alias("value"))
+
+
+def q_trend_season_grid(spark, sf_dir):
+    fits, chosen = _trend(spark, sf_dir)
+    pick = chosen.select("series", F.col("fa").alias("__fa"), F.col("fb").alias("__fb"))
+    return (fits.join(pick, "series")
+                .select("series", "fa", "fb", "rss", "rank", "n",
+                        ((F.col("fa") == F.col("__fa")) & (F.col("fb") == F.col("__fb"))).alias("chosen")))
+
+
+def q_trend_season_fit(spark, sf_dir):
+    _, chosen = _trend(spark, sf_dir)
+    z = F.arrays_zip(F.array(*[F.lit(t) for t in TERMS]).alias("term"), F.col("coef").alias("coef"))
+    return chosen.select("series", "fa", "fb", "rss", F.explode(z).alias("z")).select(
+        "series", "fa", "fb", F.col("z.term").alias("term"), F.col("z.coef").alias("coef"), "rss")
+
+
+def q_trend_season_forecast(spark, sf_dir):
+    return _trend_path(spark, sf_dir).select("series", "idx", "is_test", "value", "trend_fit")
+
+
+def q_pacf(spark, sf_dir):
+    return pacf(_train(spark, sf_dir))
+
+
+def q_adf_test(spark, sf_dir):
+    return adf(_train(spark, sf_dir))
+
+
+def q_arima_select(spark, sf_dir):
+    m_raw, _ = arima(_train(spark, sf_dir), h=HORIZON)
+    m_loc, _ = arima(_local(spark, sf_dir), h=HORIZON)
+    return (m_raw.withColumn("target", F.lit("raw"))
+                 .unionByName(m_loc.withColumn("target", F.lit("trend_residual"))))
+
+
+def _arima_path(spark, sf_dir):
+    _, path = arima(_train(spark, sf_dir), h=HORIZON)
+    return path
+
+
+def q_arima_forecast(spark, sf_dir):
+    fc = _arima_path(spark, sf_dir).where(F.col("kind") == "forecast")
+    act = _series(spark, sf_dir).where(F.col("is_test")).select("series", "idx", F.col("value").alias("actual"))
+    return fc.join(act, ["series", "idx"], "left").select("series", "idx", F.col("value").alias("forecast"), "actual")
+
+
+def q_residual_tests(spark, sf_dir):
+    """T13 + T14 + T18 on the residual of trend + ARMA: white-noise checks."""
+    _, path = arima(_local(spark, sf_dir), h=HORIZON)
+    loc = _local(spark, sf_dir)
+    res = (loc.join(path.where(F.col("kind") == "fitted").select("series", "idx", F.col("value").alias("__f")),
+                    ["series", "idx"])
+              .select("series", "idx", (F.col("value") - F.col("__f")).alias("value")))
+    a = adf(res).select("series", "adf_stat", F.col("p_value").alias("adf_p"), "lag_order")
+    k = kpss(res).select("series", "kpss_stat", F.col("p_value").alias("kpss_p"), F.col("lag").alias("kpss_lag"))
+    lb = ljung_box(acf(res), h=LB_LAGS)
+    return a.join(k, "series").join(lb, "series")
+
+
+def _test_accuracy(spark, sf_dir):
+    test = _series(spark, sf_dir).where(F.col("is_test")).select("series", "idx", F.col("value").alias("actual"))
+    tr = _trend_path(spark, sf_dir).where(F.col("is_test")).select("series", "idx", F.col("trend_fit").alias("forecast"))
+    ar = (_arima_path(spark, sf_dir).where(F.col("kind") == "forecast")
+          .select("series", "idx", F.col("value").alias("forecast")))
+    both = (test.join(tr, ["series", "idx"]).withColumn("model", F.lit("trend_season"))
+                .unionByName(test.join(ar, ["series", "idx"]).withColumn("model", F.lit("arima"))))
+    return accuracy(both, ["series", "model"])
+
+
+def q_best_model(spark, sf_dir):
+    return best_model(_test_accuracy(spark, sf_dir))
+
+
+def q_fit_and_forecast(spark, sf_dir):
+    """Actual, trend + season and ARIMA values on one time axis."""
+    s = _series(spark, sf_dir)
+    tp = _trend_path(spark, sf_dir)
+    return append_kind({
+        "actual": s.select("series", "idx", "value"),
+        "trend_season": tp.select("series", "idx", F.col("trend_fit").alias("value")),
+        "arima": _arima_path(spark, sf_dir).select("series", "idx", "value"),
+    })
+
+
+QUERIES.update({
+    "trend_season_grid": q_trend_season_grid,
+    "trend_season_fit": q_trend_season_fit,
+    "trend_season_forecast": q_trend_season_forecast,
+    "pacf": q_pacf,
+    "adf_test": q_adf_test,
+    "arima_select": q_arima_select,
+    "arima_forecast": q_arima_forecast,
+    "residual_tests": q_residual_tests,
+    "best_model": q_best_model,
+    "fit_and_forecast": q_fit_and_forecast,
+})
+
+
 # ------------------------------------------------------------------ oracles
 _CTE = f"""WITH RECURSIVE store_v AS ({bind.STORE_SQL}),
 s AS (
