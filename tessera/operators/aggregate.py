@@ -52,10 +52,26 @@ def group_aggregate(df: DataFrame, keys: Sequence[str], measures: dict[str, str]
 
 
 def totals_on_rows(df: DataFrame, keys: Sequence[str], value: str,
-                   total: str = "total_invest", count: str = "number_of_investments") -> DataFrame:
-    """Group sum and count attached to every detail row (window, no self-join)."""
-    w = Window.partitionBy(*keys)
-    return df.withColumns({total: F.sum(value).over(w), count: F.count(F.lit(1)).over(w)})
+                   total: str = "total_invest", count: str = "number_of_investments",
+                   max_groups: int = 1_000_000) -> DataFrame:
+    """Group sum and count attached to every detail row.
+
+    Not a window: a window would shuffle every detail row to its group's task,
+    so one hot group would land in one task. Instead the totals are a partial
+    (map-side combined) aggregate, kept once, and joined back; the join is a
+    broadcast when the number of groups is under a checked bound (no shuffle of
+    the detail rows), else a null-safe hash join left to AQE's skew handling.
+    """
+    from tessera.operators.relate import maybe_broadcast
+
+    tot = (df.groupBy(*keys).agg(F.sum(value).alias(total), F.count(F.lit(1)).alias(count))
+             .select(*[F.col(k).alias(f"__k_{k}") for k in keys], total, count).persist())
+    t = maybe_broadcast(tot, max_groups)
+    cond = None
+    for k in keys:
+        c = df[k].eqNullSafe(t[f"__k_{k}"])
+        cond = c if cond is None else cond & c
+    return df.join(t, cond, "inner").drop(*[f"__k_{k}" for k in keys])
 
 
 def stability(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -103,18 +119,20 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 def box_stats(df: DataFrame, groups: Sequence[str], col: str) -> DataFrame:
     """Quartiles (type 7), whiskers at 1.5 IQR, outlier count per group.
 
-    Two aggregates: the quartiles per group, then a conditional aggregate over the
-    rows joined with their group's fences (hash join on the group key).
+    Exact quartiles with bounded memory (quantile.py), then a conditional
+    aggregate over the rows joined with their group's fences (one row per group,
+    broadcast under a checked bound).
     """
+    from tessera.operators.quantile import exact_quantiles
+    from tessera.operators.relate import maybe_broadcast
+
     src = df.where(F.col(col).isNotNull())
-    q = (src.groupBy(*groups)
-            .agg(F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))
-            .select(*groups, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-                    F.col("__q")[2].alias("q3")))
+    q = (exact_quantiles(src, groups, col, [0.25, 0.5, 0.75])
+         .select(*groups, F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3")))
     iqr = F.col("q3") - F.col("q1")
     fences = q.withColumns({"__flo": F.col("q1") - 1.5 * iqr, "__fhi": F.col("q3") + 1.5 * iqr})
     inside = (F.col(col) >= F.col("__flo")) & (F.col(col) <= F.col("__fhi"))
-    return (src.join(fences, on=list(groups), how="inner")
+    return (src.join(maybe_broadcast(fences), on=list(groups), how="inner")
                .groupBy(*groups, "q1", "median", "q3")
                .agg(F.min(F.when(inside, F.col(col))).alias("whisker_lo"),
                     F.max(F.when(inside, F.col(col))).alias("whisker_hi"),

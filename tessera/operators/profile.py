@@ -113,23 +113,24 @@ def column_summary(df: DataFrame, cols: Sequence[str], exact: bool = True,
     """Min, quartiles (R type 7 = linear interpolation), mean, max per column.
 
     Columns are stacked (Expand) and grouped by name, so the work is spread over
-    rows and combined map-side. ``exact`` uses the exact ``percentile`` whose
-    buffer is a value->count map: right for low-cardinality (integer pixel)
-    columns; ``exact=False`` switches to ``percentile_approx`` for continuous ones.
+    rows and combined map-side. ``exact`` uses the bounded-memory exact
+    quantiles of quantile.py; ``exact=False`` a single ``percentile_approx``.
     """
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols
     ])).alias("s")).select("s.*")
+    basic = long.groupBy("column_name").agg(F.min("v").alias("min"), F.avg("v").alias("mean"),
+                                            F.max("v").alias("max"))
     if exact:
-        q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        from tessera.operators.quantile import exact_quantiles
+
+        q = exact_quantiles(long, ["column_name"], "v", [0.25, 0.5, 0.75]).select(
+            "column_name", F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3"))
     else:
-        q = F.percentile_approx("v", [0.25, 0.5, 0.75], accuracy)
-    return (long.groupBy("column_name")
-                .agg(F.min("v").alias("min"), q.alias("__q"), F.avg("v").alias("mean"),
-                     F.max("v").alias("max"))
-                .select("column_name", "min", F.col("__q")[0].alias("q1"),
-                        F.col("__q")[1].alias("median"), "mean",
-                        F.col("__q")[2].alias("q3"), "max"))
+        q = (long.groupBy("column_name").agg(F.percentile_approx("v", [0.25, 0.5, 0.75], accuracy).alias("__q"))
+                 .select("column_name", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
+                         F.col("__q")[2].alias("q3")))
+    return basic.join(q, "column_name").select("column_name", "min", "q1", "median", "mean", "q3", "max")
 
 
 def null_share(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -29,6 +29,19 @@ def rank_within(df: DataFrame, partition: Sequence[str], order: Sequence[str | C
     return out.where(F.col(name) <= n) if n is not None else out
 
 
-def top_row_per_group(df: DataFrame, partition: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """The best row of each group (``head(arrange(filter(..), desc(x)), 1)``)."""
-    return rank_within(df, partition, order, 1, "__r").drop("__r")
+def top_row_per_group(df: DataFrame, partition: Sequence[str], order: Sequence[tuple[str, bool]]) -> DataFrame:
+    """The best row of each group (``head(arrange(filter(..), desc(x)), 1)``).
+
+    ``order`` is a list of (column, ascending); descending keys must be numeric.
+    A ``min_by`` aggregate keeps one candidate row per group in each task and
+    merges them: no group is ever gathered in one place, so a hot group costs
+    no more than any other. NULLs sort last, as in the reference's arrange.
+    """
+    key = []
+    for c, asc in order:
+        v = F.col(c) if asc else -F.col(c)
+        key += [F.col(c).isNull(), v]
+    others = [c for c in df.columns if c not in partition]
+    row = F.struct(*[F.col(c) for c in others])
+    return (df.groupBy(*partition).agg(F.min_by(row, F.struct(*key)).alias("__best"))
+              .select(*partition, *[F.col(f"__best.{c}").alias(c) for c in others]))

@@ -191,7 +191,7 @@ def q_top_company(spark, sf_dir):
     best = top_row_per_group(
         d.join(F.broadcast(ranks), ["country_code", "main_sector"]),   # <= 2 rows per chosen country
         ["country_code", "main_sector"],
-        [F.col("raised_amount_usd").desc(), "company_permalink", "round_id"])
+        [("raised_amount_usd", False), ("company_permalink", True), ("round_id", True)])
     return best.select("country_code", "sector_rank", "main_sector", "company_permalink",
                        rnd("raised_amount_usd", 2).alias("raised_amount_usd"))
 
