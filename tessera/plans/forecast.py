@@ -19,6 +19,7 @@ from tessera.operators.series.trend import TERMS, choose, evaluate, fit_grid
 from tessera.operators.reshape import append_kind
 from tessera.functions.numeric import rnd
 from tessera.plans import bind
+from tessera.session import materialize
 
 MEASURES = ["sales", "quantity"]
 HORIZON = 6
@@ -196,30 +197,54 @@ QUERIES = {
 }
 
 # ------------------------------------------------------------------ models (rows-only checks)
-def _smoothed(spark, sf_dir):
-    """T4: smoothed training series (level after each value; last one repeated)."""
-    return ses_fitted(_levels(spark, sf_dir)).select("series", "idx", F.col("smoothed").alias("value"))
+class _Ctx:
+    """One query's shared intermediates: the series table is built once and
+    checkpointed (it is read by several model branches), the rest derives from it."""
 
+    def __init__(self, spark, sf_dir):
+        self.spark, self.sf_dir = spark, sf_dir
+        self._memo: dict = {}
 
-def _trend(spark, sf_dir):
-    fits = fit_grid(_smoothed(spark, sf_dir))
-    return fits, choose(fits)
+    def _get(self, key, build):
+        if key not in self._memo:
+            self._memo[key] = build()
+        return self._memo[key]
 
+    def series(self):
+        return self._get("series", lambda: materialize(_series(self.spark, self.sf_dir)))
 
-def _trend_path(spark, sf_dir):
-    """Trend + season values on every period (fitted on train, forecast on test)."""
-    _, chosen = _trend(spark, sf_dir)
-    return evaluate(_series(spark, sf_dir), chosen)
+    def train(self):
+        return self._get("train", lambda: self.series().where(~F.col("is_test")))
 
+    def smoothed(self):
+        """T4: smoothed training series (level after each value; last one repeated)."""
+        return self._get("smoothed", lambda: ses_fitted(ses_levels(self.train(), alpha=ALPHA))
+                         .select("series", "idx", F.col("smoothed").alias("value")))
 
-def _local(spark, sf_dir):
-    """Raw training value minus the trend + season fit (the locally predictable part)."""
-    tp = _trend_path(spark, sf_dir).where(~F.col("is_test"))
-    return tp.select("series", "idx", (F.col("value") - F.col("trend_fit")).alias("value"))
+    def trend(self):
+        def build():
+            fits = fit_grid(self.smoothed()).persist()
+            return fits, choose(fits)
+        return self._get("trend", build)
+
+    def trend_path(self):
+        """Trend + season values on every period (fitted on train, forecast on test)."""
+        return self._get("trend_path", lambda: evaluate(self.series(), self.trend()[1]))
+
+    def local(self):
+        """Raw training value minus the trend + season fit."""
+        return self._get("local", lambda: self.trend_path().where(~F.col("is_test"))
+                         .select("series", "idx", (F.col("value") - F.col("trend_fit")).alias("value")))
+
+    def arima_raw(self):
+        return self._get("arima_raw", lambda: arima(self.train(), h=HORIZON))
+
+    def arima_local(self):
+        return self._get("arima_local", lambda: arima(self.local(), h=HORIZON))
 
 
 def q_trend_season_grid(spark, sf_dir):
-    fits, chosen = _trend(spark, sf_dir)
+    fits, chosen = _Ctx(spark, sf_dir).trend()
     pick = chosen.select("series", F.col("fa").alias("__fa"), F.col("fb").alias("__fb"))
     return (fits.join(pick, "series")
                 .select("series", "fa", "fb", "rss", "rank", "n",
@@ -227,14 +252,14 @@ def q_trend_season_grid(spark, sf_dir):
 
 
 def q_trend_season_fit(spark, sf_dir):
-    _, chosen = _trend(spark, sf_dir)
+    _, chosen = _Ctx(spark, sf_dir).trend()
     z = F.arrays_zip(F.array(*[F.lit(t) for t in TERMS]).alias("term"), F.col("coef").alias("coef"))
     return chosen.select("series", "fa", "fb", "rss", F.explode(z).alias("z")).select(
         "series", "fa", "fb", F.col("z.term").alias("term"), F.col("z.coef").alias("coef"), "rss")
 
 
 def q_trend_season_forecast(spark, sf_dir):
-    return _trend_path(spark, sf_dir).select("series", "idx", "is_test", "value", "trend_fit")
+    return _Ctx(spark, sf_dir).trend_path().select("series", "idx", "is_test", "value", "trend_fit")
 
 
 def q_pacf(spark, sf_dir):
@@ -246,40 +271,38 @@ def q_adf_test(spark, sf_dir):
 
 
 def q_arima_select(spark, sf_dir):
-    m_raw, _ = arima(_train(spark, sf_dir), h=HORIZON)
-    m_loc, _ = arima(_local(spark, sf_dir), h=HORIZON)
+    c = _Ctx(spark, sf_dir)
+    m_raw, _ = c.arima_raw()
+    m_loc, _ = c.arima_local()
     return (m_raw.withColumn("target", F.lit("raw"))
                  .unionByName(m_loc.withColumn("target", F.lit("trend_residual"))))
 
 
-def _arima_path(spark, sf_dir):
-    _, path = arima(_train(spark, sf_dir), h=HORIZON)
-    return path
-
-
 def q_arima_forecast(spark, sf_dir):
-    fc = _arima_path(spark, sf_dir).where(F.col("kind") == "forecast")
-    act = _series(spark, sf_dir).where(F.col("is_test")).select("series", "idx", F.col("value").alias("actual"))
+    c = _Ctx(spark, sf_dir)
+    fc = c.arima_raw()[1].where(F.col("kind") == "forecast")
+    act = c.series().where(F.col("is_test")).select("series", "idx", F.col("value").alias("actual"))
     return fc.join(act, ["series", "idx"], "left").select("series", "idx", F.col("value").alias("forecast"), "actual")
 
 
 def q_residual_tests(spark, sf_dir):
     """T13 + T14 + T18 on the residual of trend + ARMA: white-noise checks."""
-    _, path = arima(_local(spark, sf_dir), h=HORIZON)
-    loc = _local(spark, sf_dir)
-    res = (loc.join(path.where(F.col("kind") == "fitted").select("series", "idx", F.col("value").alias("__f")),
-                    ["series", "idx"])
-              .select("series", "idx", (F.col("value") - F.col("__f")).alias("value")))
+    c = _Ctx(spark, sf_dir)
+    _, path = c.arima_local()
+    res = (c.local().join(path.where(F.col("kind") == "fitted").select("series", "idx", F.col("value").alias("__f")),
+                          ["series", "idx"])
+                    .select("series", "idx", (F.col("value") - F.col("__f")).alias("value")))
+    res = materialize(res)
     a = adf(res).select("series", "adf_stat", F.col("p_value").alias("adf_p"), "lag_order")
     k = kpss(res).select("series", "kpss_stat", F.col("p_value").alias("kpss_p"), F.col("lag").alias("kpss_lag"))
     lb = ljung_box(acf(res), h=LB_LAGS)
     return a.join(k, "series").join(lb, "series")
 
 
-def _test_accuracy(spark, sf_dir):
-    test = _series(spark, sf_dir).where(F.col("is_test")).select("series", "idx", F.col("value").alias("actual"))
-    tr = _trend_path(spark, sf_dir).where(F.col("is_test")).select("series", "idx", F.col("trend_fit").alias("forecast"))
-    ar = (_arima_path(spark, sf_dir).where(F.col("kind") == "forecast")
+def _test_accuracy(c: _Ctx):
+    test = c.series().where(F.col("is_test")).select("series", "idx", F.col("value").alias("actual"))
+    tr = c.trend_path().where(F.col("is_test")).select("series", "idx", F.col("trend_fit").alias("forecast"))
+    ar = (c.arima_raw()[1].where(F.col("kind") == "forecast")
           .select("series", "idx", F.col("value").alias("forecast")))
     both = (test.join(tr, ["series", "idx"]).withColumn("model", F.lit("trend_season"))
                 .unionByName(test.join(ar, ["series", "idx"]).withColumn("model", F.lit("arima"))))
@@ -287,17 +310,16 @@ def _test_accuracy(spark, sf_dir):
 
 
 def q_best_model(spark, sf_dir):
-    return best_model(_test_accuracy(spark, sf_dir))
+    return best_model(_test_accuracy(_Ctx(spark, sf_dir)))
 
 
 def q_fit_and_forecast(spark, sf_dir):
     """Actual, trend + season and ARIMA values on one time axis."""
-    s = _series(spark, sf_dir)
-    tp = _trend_path(spark, sf_dir)
+    c = _Ctx(spark, sf_dir)
     return append_kind({
-        "actual": s.select("series", "idx", "value"),
-        "trend_season": tp.select("series", "idx", F.col("trend_fit").alias("value")),
-        "arima": _arima_path(spark, sf_dir).select("series", "idx", "value"),
+        "actual": c.series().select("series", "idx", "value"),
+        "trend_season": c.trend_path().select("series", "idx", F.col("trend_fit").alias("value")),
+        "arima": c.arima_raw()[1].select("series", "idx", "value"),
     })
 
 

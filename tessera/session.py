@@ -49,3 +49,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Cut the lineage of a small, reused intermediate: an eager reliable
+    checkpoint into the shared checkpoint folder (survives executor loss,
+    unlike a local checkpoint), read back as a fresh scan."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
