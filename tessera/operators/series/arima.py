@@ -55,6 +55,14 @@ def _lagmat(v: np.ndarray, lags: int, rows: np.ndarray) -> np.ndarray:
     return np.column_stack([v[rows - i] for i in range(1, lags + 1)]) if lags else np.zeros((len(rows), 0))
 
 
+def information_criteria(loglik: float, k: int, n: int) -> tuple[float, float, float]:
+    """AIC, AICc and BIC for k estimated parameters (sigma^2 included) and n values."""
+    aic = -2.0 * loglik + 2.0 * k
+    aicc = aic + 2.0 * k * (k + 1.0) / (n - k - 1.0) if n - k - 1 > 0 else float("inf")
+    bic = -2.0 * loglik + k * math.log(n)
+    return aic, aicc, bic
+
+
 def _fit_candidate(w, ehat, p, q, rows, const):
     cols = [np.ones(len(rows))] if const else []
     X = np.column_stack(cols + [_lagmat(w, p, rows), _lagmat(ehat, q, rows)]) if (const or p or q) \
@@ -69,9 +77,7 @@ def _fit_candidate(w, ehat, p, q, rows, const):
     sigma2 = float(resid @ resid) / n
     k = X.shape[1] + 1
     loglik = -0.5 * n * (math.log(2.0 * math.pi * sigma2) + 1.0) if sigma2 > 0 else float("inf")
-    aic = -2.0 * loglik + 2.0 * k
-    aicc = aic + 2.0 * k * (k + 1.0) / (n - k - 1.0) if n - k - 1 > 0 else float("inf")
-    bic = -2.0 * loglik + k * math.log(n)
+    aic, aicc, bic = information_criteria(loglik, k, n)
     return beta, sigma2, loglik, aic, aicc, bic, n
 
 
