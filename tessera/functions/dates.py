@@ -9,6 +9,8 @@ from tessera.functions.text import replace_chars
 
 # Fixed value: two-digit years below this pivot are 20xx, the rest 19xx (POSIX %y rule).
 TWO_DIGIT_YEAR_PIVOT = 69
+# English month abbreviations, in calendar order.
+MONTH_ABBREVIATIONS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
 def _c(x) -> Column:
@@ -24,15 +26,16 @@ def parse_dmy(x, separators: str = "/") -> Column:
 def parse_month_year(x, pivot: int = TWO_DIGIT_YEAR_PIVOT) -> Column:
     """``"Dec-11"`` -> first day of that month (2011-12-01).
 
-    The year is read with the POSIX pivot (``00-68`` -> 20xx, ``69-99`` -> 19xx),
-    which Spark's ``yy`` pattern (base 2000) does not do.
+    The month name is a literal-map lookup (case-insensitive) and the year is
+    read with the POSIX pivot (``00-68`` -> 20xx, ``69-99`` -> 19xx), which
+    Spark's ``yy`` pattern (base 2000) does not do. No per-row date parsing.
     """
     parts = F.split(F.trim(_c(x)), "-", 2)
-    mon = F.trim(F.get(parts, 0))
-    yy = F.trim(F.get(parts, 1)).try_cast("int")
-    year = (F.when(F.length(F.trim(F.get(parts, 1))) > 2, yy)
-            .when(yy < pivot, yy + 2000).otherwise(yy + 1900))
-    month = F.month(F.try_to_timestamp(F.concat(F.lit("2000-"), mon, F.lit("-01")), F.lit("yyyy-MMM-dd")))
+    months = F.create_map(*[v for i, m in enumerate(MONTH_ABBREVIATIONS) for v in (F.lit(m), F.lit(i + 1))])
+    month = F.try_element_at(months, F.lower(F.trim(F.get(parts, 0))))
+    ys = F.trim(F.get(parts, 1))
+    yy = ys.try_cast("int")
+    year = F.when(F.length(ys) > 2, yy).otherwise(yy + F.when(yy < pivot, 2000).otherwise(1900))
     return F.when(month.isNotNull() & year.isNotNull(), F.make_date(year, month, F.lit(1)))
 
 

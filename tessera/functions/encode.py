@@ -26,6 +26,38 @@ def levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
     return sorted(r[0] for r in rows)
 
 
+def levels_many(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list]:
+    """Sorted level sets of several columns from ONE pass: (column, value) pairs
+    are stacked and de-duplicated in a distributed aggregate; at most
+    ``len(cols) * max_levels + 1`` pairs are brought back (checked bound)."""
+    cols = list(cols)
+    pairs = (df.select(F.explode(F.array(*[
+                F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("p"))
+               .select("p.c", "p.v").where(F.col("v").isNotNull()).distinct())
+    rows = pairs.limit(len(cols) * max_levels + 1).collect()
+    out: dict[str, list] = {c: [] for c in cols}
+    for r in rows:
+        out[r["c"]].append(r["v"])
+    for c, v in out.items():
+        if len(v) > max_levels:
+            raise ValueError(f"column {c!r} has more than {max_levels} levels")
+        v.sort()
+    return out
+
+
+def encode_categoricals(df: DataFrame, binary: Sequence[str], multi: Sequence[str],
+                        max_levels: int = MAX_LEVELS) -> DataFrame:
+    """X13 + R2 with every level set found in one pass, then one projection:
+    two-level columns -> 1 for the first sorted level; multi-level columns ->
+    treatment dummies (first level dropped)."""
+    lv = levels_many(df, list(binary) + list(multi), max_levels)
+    out = df.withColumns({c: binary_level(F.col(c).cast("string"), lv[c][0] if lv[c] else None) for c in binary})
+    dummy_cols = {}
+    for c in multi:
+        dummy_cols.update(dummy_columns(c, lv[c], True))
+    return out.withColumns(dummy_cols).drop(*multi)
+
+
 def binary_level(x, first_level) -> Column:
     """Alphabetically first level -> 1, the other -> 0 (NULL stays NULL)."""
     c = F.col(x) if isinstance(x, str) else x

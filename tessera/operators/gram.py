@@ -44,23 +44,29 @@ def _pairs(k: int):
 
 
 def gram(df: DataFrame, cols: Sequence[str]) -> Gram:
-    """L1: two aggregates -> k x k centred statistics on the driver.
+    """L1: k x k centred statistics from ONE aggregate pass.
 
-    Pass 1 brings k means to the driver (one row); pass 2 centres with them as
-    literals, which keeps the plan flat (no join, no alias chain) however wide
-    the design is; its one result row holds k(k+1)/2 sums.
+    Shifted-data sums: with a shift K taken from one data row (a cheap
+    ``limit(1)``), the pass returns n, sum(x - K) and sum((x_i - K_i)(x_j - K_j));
+    means and centred cross products follow exactly, and since K sits inside
+    the data the subtraction does not cancel catastrophically as raw sums of
+    squares would. Shifts are literals, so the plan stays one flat aggregate.
     """
     cols = list(cols)
     k = len(cols)
     src = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    m = src.agg(F.count(F.lit(1)).alias("__n"), *[F.avg(c).alias(f"__m{i}") for i, c in enumerate(cols)]).first()
-    n = int(m["__n"])
-    mean = np.array([m[f"__m{i}"] if m[f"__m{i}"] is not None else 0.0 for i in range(k)], dtype=float)
-    dev = [F.col(c) - F.lit(float(mean[i])) for i, c in enumerate(cols)]
-    row = src.agg(*[F.sum(dev[i] * dev[j]).alias(f"__s{i}_{j}") for i, j in _pairs(k)]).first()
+    first = src.limit(1).collect()
+    shift = np.array([float(first[0][c]) for c in cols]) if first else np.zeros(k)
+    dev = [F.col(c) - F.lit(float(shift[i])) for i, c in enumerate(cols)]
+    row = src.agg(F.count(F.lit(1)).alias("__n"), *[F.sum(dev[i]).alias(f"__t{i}") for i in range(k)],
+                  *[F.sum(dev[i] * dev[j]).alias(f"__s{i}_{j}") for i, j in _pairs(k)]).first()
+    n = int(row["__n"] or 0)
+    t = np.array([row[f"__t{i}"] or 0.0 for i in range(k)])
+    mean = shift + (t / n if n else 0.0)
     cross = np.zeros((k, k))
     for i, j in _pairs(k):
-        cross[i, j] = cross[j, i] = row[f"__s{i}_{j}"] or 0.0
+        v = (row[f"__s{i}_{j}"] or 0.0) - (t[i] * t[j] / n if n else 0.0)
+        cross[i, j] = cross[j, i] = v
     return Gram(cols, mean, cross, n)
 
 

@@ -13,11 +13,11 @@ from tessera.functions.numeric import rnd
 from tessera.functions.text import blank_to_null, first_token, gsub, percent_to_double
 from tessera.operators.aggregate import binned_trend, box_stats, corr_matrix, histogram
 from tessera.operators.profile import (
-    constant_columns, drop_sparse, drop_uninformative, duplicate_count, null_profile,
-    sparse_columns,
+    constant_columns, drop_profiled, duplicate_count, null_profile, sparse_columns,
 )
 from tessera.operators.relate import lookup
 from tessera.plans import bind
+from tessera.session import materialize
 
 SPARSE_SHARE = 0.4
 BLANK_SHARE = 0.4
@@ -35,7 +35,7 @@ def clean_loans(raw: DataFrame, states: DataFrame) -> DataFrame:
     blank -> NULL (F6), NULL title -> "0" (F5), ``< 1`` -> ``0`` (X4),
     month-year text -> date (X8), percent text -> number (X10), state code ->
     name with unknown codes NULL (J4)."""
-    x = drop_uninformative(drop_sparse(raw, SPARSE_SHARE), BLANK_SHARE)
+    x = drop_profiled(raw, SPARSE_SHARE, BLANK_SHARE)
     cols = set(x.columns)
     fix = {}
     if "emp_title" in cols:
@@ -131,7 +131,8 @@ def q_amount_histogram(spark, sf_dir):
 
 
 def q_box_stats(spark, sf_dir):
-    d = defaulters(_clean(spark, sf_dir))
+    # the narrow defaulter rows are read by several passes: materialise them once
+    d = materialize(defaulters(_clean(spark, sf_dir)).select("term", "grade", "int_rate", "funded_amnt_inv"))
     a = box_stats(d.withColumn("grp", F.col("term")), ["grp"], "int_rate").withColumn("panel", F.lit("int_rate_by_term"))
     b = (box_stats(d.withColumn("grp", F.col("grade")), ["grp"], "funded_amnt_inv")
          .withColumn("panel", F.lit("funded_inv_by_grade")))
