@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+None of the five reference workloads reads a stream: every input is a file
+read once, and no watermark, window, state or late-data handling occurs. So
+no Structured Streaming operator is built here. The mergeable aggregates of
+this library (grouped sums, counts, means, cross-product sums) would run
+unchanged over ``readStream`` sources if a workload ever needed it.
+"""
