@@ -69,7 +69,10 @@ def _rollup(spark, sf_dir):
 
 
 def _series(spark, sf_dir):
-    return series_table(_rollup(spark, sf_dir))
+    """The long series table, materialised once: it is small (series x periods)
+    and every statistic below reads it several times (self-joins, per-series
+    aggregates), which would otherwise re-run the whole rollup each time."""
+    return materialize(series_table(_rollup(spark, sf_dir)))
 
 
 def _train(spark, sf_dir):
@@ -211,7 +214,7 @@ class _Ctx:
         return self._memo[key]
 
     def series(self):
-        return self._get("series", lambda: materialize(_series(self.spark, self.sf_dir)))
+        return self._get("series", lambda: _series(self.spark, self.sf_dir))
 
     def train(self):
         return self._get("train", lambda: self.series().where(~F.col("is_test")))

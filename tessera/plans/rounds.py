@@ -20,6 +20,7 @@ from tessera.operators.relate import maybe_broadcast, null_safe_join
 from tessera.operators.reshape import wide_to_long
 from tessera.functions.numeric import rnd
 from tessera.plans import bind
+from tessera.session import materialize
 
 # Parameters of the workload (the reference's four named round types, its
 # 9 / 3 country counts; amounts are scaled to the driver tables).
@@ -78,7 +79,8 @@ def deals(merged: DataFrame, countries: DataFrame, round_type: str = ROUND_TYPE,
     chosen = merged.join(F.broadcast(countries.select("country_code")), "country_code", "left_semi")
     d = chosen.where((F.col("funding_round_type") == round_type)
                      & in_open_range("raised_amount_usd", *band))
-    return totals_on_rows(d, ["country_code", "main_sector"], "raised_amount_usd")
+    # the filtered deals are read twice (totals + join back): materialise them once
+    return totals_on_rows(materialize(d), ["country_code", "main_sector"], "raised_amount_usd")
 
 
 # ------------------------------------------------------------------ bindings
