@@ -75,10 +75,15 @@ def _fit_candidate(w, ehat, p, q, rows, const):
         beta, resid = np.zeros(0), y
     n = len(y)
     sigma2 = float(resid @ resid) / n
+    if X.shape[1] and n > X.shape[1]:
+        cov = (float(resid @ resid) / (n - X.shape[1])) * np.linalg.pinv(X.T @ X)
+        se = np.sqrt(np.clip(np.diag(cov), 0.0, None))
+    else:
+        se = np.zeros(X.shape[1])
     k = X.shape[1] + 1
     loglik = -0.5 * n * (math.log(2.0 * math.pi * sigma2) + 1.0) if sigma2 > 0 else float("inf")
     aic, aicc, bic = information_criteria(loglik, k, n)
-    return beta, sigma2, loglik, aic, aicc, bic, n
+    return beta, sigma2, loglik, aic, aicc, bic, n, se
 
 
 def _residuals(w, c, phi, theta):
@@ -117,13 +122,18 @@ def fit_one(x: np.ndarray, h: int = 6, max_p: int = MAX_P, max_q: int = MAX_Q) -
     if len(rows) > max_p + max_q + 3:
         for p in range(max_p + 1):
             for q in range(max_q + 1):
-                beta, s2, ll, aic, aicc, bic, neff = _fit_candidate(w, ehat, p, q, rows, const)
+                beta, s2, ll, aic, aicc, bic, neff, se = _fit_candidate(w, ehat, p, q, rows, const)
                 if best is None or aicc < best["aicc"] - 1e-12:
-                    best = dict(p=p, q=q, beta=beta, sigma2=s2, loglik=ll, aic=aic, aicc=aicc, bic=bic, n_used=neff)
+                    best = dict(p=p, q=q, beta=beta, sigma2=s2, loglik=ll, aic=aic, aicc=aicc, bic=bic,
+                                n_used=neff, se=se)
     if best is None:
         best = dict(p=0, q=0, beta=np.array([w.mean()]) if const else np.zeros(0), sigma2=float(np.var(w)),
-                    loglik=float("nan"), aic=float("nan"), aicc=float("nan"), bic=float("nan"), n_used=n)
+                    loglik=float("nan"), aic=float("nan"), aicc=float("nan"), bic=float("nan"), n_used=n,
+                    se=np.zeros(1 if const else 0))
     beta = list(best["beta"])
+    ses = [float(v) for v in best["se"]]
+    if const and ses:
+        ses = ses[1:]
     c = beta.pop(0) if const and beta else 0.0
     phi = np.array(beta[:best["p"]])
     theta = np.array(beta[best["p"]:best["p"] + best["q"]])
@@ -160,6 +170,7 @@ def fit_one(x: np.ndarray, h: int = 6, max_p: int = MAX_P, max_q: int = MAX_Q) -
             base = levels[k - 1][-1]
             fc = base + np.cumsum(fc)
     return dict(p=best["p"], d=d, q=best["q"], const=c, ar=[float(v) for v in phi], ma=[float(v) for v in theta],
+                ar_se=ses[:best["p"]], ma_se=ses[best["p"]:best["p"] + best["q"]],
                 sigma2=best["sigma2"], loglik=best["loglik"], aic=best["aic"], aicc=best["aicc"], bic=best["bic"],
                 n_used=best["n_used"], fitted=fitted, forecast=fc)
 
@@ -196,8 +207,10 @@ def arima(df: DataFrame, series: str = "series", idx: str = "idx", value: str =
     return models.withColumnRenamed("series", series), path
 
 
-_META_NAMES = ["p", "d", "q", "const", "ar", "ma", "sigma2", "loglik", "aic", "aicc", "bic", "n_used"]
+_META_NAMES = ["p", "d", "q", "const", "ar", "ma", "ar_se", "ma_se", "sigma2", "loglik", "aic", "aicc", "bic",
+               "n_used"]
 _META_COLS = (" m_p int, m_d int, m_q int, m_const double, m_ar array<double>, m_ma array<double>, "
+              "m_ar_se array<double>, m_ma_se array<double>, "
               "m_sigma2 double, m_loglik double, m_aic double, m_aicc double, m_bic double, m_n_used long")
 
 

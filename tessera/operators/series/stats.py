@@ -160,6 +160,19 @@ def ljung_box(acf_df: DataFrame, series: str = "series", h: int = 10) -> DataFra
          * F.sum(F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag")))).alias("q_stat"))
 
 
+def ljung_box_p(q_col, h_col, fitdf: int = 0):
+    """Upper chi-square tail of Q with h - fitdf degrees of freedom (pandas UDF
+    on one value per series)."""
+    from pyspark.sql.types import DoubleType
+
+    @F.pandas_udf(DoubleType())
+    def _p(q: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([chi2_sf(float(a), int(b) - fitdf) if pd.notna(a) and pd.notna(b) else float("nan")
+                          for a, b in zip(q, h)])
+
+    return _p(q_col, h_col)
+
+
 # ----------------------------------------------------------------- p-values
 def chi2_sf(q: float, df: int) -> float:
     """Upper tail of the chi-square distribution (regularised gamma Q(df/2, q/2))."""

@@ -15,6 +15,7 @@ from tessera.operators.reshape import add_index, holdout_split, measures_to_seri
 from tessera.operators.series import accuracy, acf, adf, best_model, kpss, lags, ljung_box, pacf
 from tessera.operators.series import ses_fitted, ses_grid, ses_levels
 from tessera.operators.series.arima import arima
+from tessera.operators.series.stats import ljung_box_p
 from tessera.operators.series.trend import TERMS, choose, evaluate, fit_grid
 from tessera.operators.reshape import append_kind
 from tessera.functions.numeric import rnd
@@ -299,7 +300,11 @@ def q_residual_tests(spark, sf_dir):
     a = adf(res).select("series", "adf_stat", F.col("p_value").alias("adf_p"), "lag_order")
     k = kpss(res).select("series", "kpss_stat", F.col("p_value").alias("kpss_p"), F.col("lag").alias("kpss_lag"))
     lb = ljung_box(acf(res), h=LB_LAGS)
-    return a.join(k, "series").join(lb, "series")
+    lb = lb.withColumn("lb_p", ljung_box_p(F.col("q_stat"), F.col("h")))
+    sd = res.groupBy("series").agg(F.stddev_samp("value").alias("resid_sd"),
+                                   F.max(F.abs("value")).alias("max_abs_resid"))
+    return (a.join(k, "series").join(lb, "series").join(sd, "series")
+             .withColumn("max_std_resid", F.col("max_abs_resid") / F.col("resid_sd")))
 
 
 def _test_accuracy(c: _Ctx):
