@@ -85,15 +85,24 @@ def dummies(df: DataFrame, cols: Sequence[str], drop_first: bool = True,
     return out if keep_source else out.drop(*cols)
 
 
-def factor_codes(df: DataFrame, col: str, code_col: str | None = None) -> DataFrame:
+def factor_codes(df: DataFrame, col: str, code_col: str | None = None,
+                 small_levels: int = MAX_LEVELS * 100) -> DataFrame:
     """1-based code of each value in sorted level order (R's factor codes).
 
-    The distinct values are ranked (one small sorted stage over the level set
-    only), and joined back; the level table is broadcast only under a checked bound.
+    The distinct values are ranked and joined back. A level set under a checked
+    bound is ranked in one small sorted stage and broadcast; a larger one is
+    range-sorted across tasks and numbered with ``zipWithIndex`` (one counting
+    job, no single-task sort), then joined back with a shuffle.
     """
-    from tessera.operators.relate import maybe_broadcast
+    from tessera.operators.relate import row_bound
 
     code_col = code_col or f"{col}_code"
-    lv = (df.select(col).where(F.col(col).isNotNull()).distinct()
-            .withColumn(code_col, F.row_number().over(Window.orderBy(col))))
-    return df.join(maybe_broadcast(lv, MAX_LEVELS * 100), on=col, how="left")
+    distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
+    if row_bound(distinct, small_levels):
+        lv = distinct.withColumn(code_col, F.row_number().over(Window.orderBy(col)))
+        return df.join(F.broadcast(lv), on=col, how="left")
+    ordered = distinct.orderBy(col)
+    spark = df.sparkSession
+    numbered = ordered.rdd.zipWithIndex().map(lambda t: (t[0][0], t[1] + 1))
+    lv = spark.createDataFrame(numbered, f"{col} {dict(df.dtypes)[col]}, {code_col} long")
+    return df.join(lv, on=col, how="left")

@@ -15,7 +15,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Model, Pipeline, Transformer
+from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -101,7 +101,7 @@ class RandomFourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWri
 
 
 def linear_svm(features: str = "vec", label: str = "label", max_iter: int = 50, reg: float = 0.0,
-               parallelism: int = 4) -> OneVsRest:
+               parallelism: int = 10) -> OneVsRest:
     """One binary hinge-loss model per class, no standardisation (scale=FALSE)."""
     svc = LinearSVC(featuresCol=features, labelCol=label, maxIter=max_iter, regParam=reg,
                     standardization=False)

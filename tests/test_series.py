@@ -104,6 +104,7 @@ def test_arima_orders(sim):
     assert r["d"] == 1
     r = fit_one(sim["ar2"])
     assert r["d"] == 0 and r["p"] >= 2
+    assert len(r["ar_se"]) == r["p"] and all(0.01 < v < 0.1 for v in r["ar_se"][:2])
     assert abs(r["ar"][0] - 0.5) < 0.15 and abs(r["ar"][1] + 0.3) < 0.15
     r = fit_one(sim["ma1"])
     assert r["d"] == 0 and (r["q"] >= 1 or r["p"] >= 2)
