@@ -172,5 +172,5 @@ per AS (SELECT cls.c, coalesce(n_actual, 0) AS n_actual, coalesce(n_pred, 0) AS
 g AS (SELECT sum(n_actual * n_pred) / (any_value(N) * any_value(N)) AS pe, max(n_actual) / any_value(N) AS nir FROM per)
 SELECT c AS class, round(tp / n_actual, 6) AS sensitivity, round((N - n_actual - n_pred + tp) / (N - n_actual), 6) AS specificity,
   round(n_actual / N, 6) AS prevalence, round(correct / N, 6) AS accuracy, round(nir, 6) AS nir,
-  round((correct / N - pe) / (1.0 - pe), 6) AS kappa, N AS n FROM per, g""",
+  round((correct / N - pe) / (1.0 - pe), 6) AS kappa, CAST(N AS BIGINT) AS n FROM per, g""",
 }

@@ -209,7 +209,7 @@ def _box_sql(panel: str, grp: str, col: str) -> str:
     return f"""SELECT '{panel}' AS panel, q.grp, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
   round(min(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END), 6) AS whisker_lo,
   round(max(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END), 6) AS whisker_hi,
-  sum(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN 0 ELSE 1 END) AS n_outliers,
+  CAST(sum(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers,
   count(*) AS n
 FROM (SELECT {grp} AS grp, {col} AS v FROM dflt WHERE {col} IS NOT NULL) d
 JOIN (SELECT {grp} AS grp, quantile_cont({col}, 0.25) AS q1, quantile_cont({col}, 0.5) AS median,
