@@ -106,7 +106,7 @@ def q_class_metrics(spark, sf_dir):
 
 def q_svm_linear(spark, sf_dir):
     d = _prepared(spark, sf_dir)
-    pred = fit_predict(d.where("is_train").coalesce(4), d.where("not is_train"),
+    pred = fit_predict(d.where("is_train"), d.where("not is_train"),
                        linear_svm("vec", "label"), ["image_id", "digit"])
     return _metrics_frame(spark, pred, "linear")
 
@@ -116,14 +116,14 @@ def q_svm_rbf(spark, sf_dir):
     gamma = median_gamma(d.where("is_train"), "features", "image_id")
     rff = RandomFourierFeatures(inputCol="features", outputCol="rff", gamma=gamma, numFeatures=RFF_FEATURES, dim=DIM)
     m = rff.transform(d)
-    pred = fit_predict(m.where("is_train").coalesce(4), m.where("not is_train"),
+    pred = fit_predict(m.where("is_train"), m.where("not is_train"),
                        linear_svm("rff", "label"), ["image_id", "digit"])
     return _metrics_frame(spark, pred, "rbf_rff")
 
 
 def q_svm_grid(spark, sf_dir):
     d = _prepared(spark, sf_dir)
-    tr = d.where("is_train").withColumn("fold", fold_of("image_id", GRID_FOLDS)).coalesce(4).cache()
+    tr = d.where("is_train").withColumn("fold", fold_of("image_id", GRID_FOLDS)).cache()
     gamma = median_gamma(tr, "features", "image_id")
     return grid_search(tr, [gamma * f for f in GRID_SIGMA_FACTORS], GRID_C, GRID_FOLDS, DIM, RFF_FEATURES)
 
