@@ -1,8 +1,8 @@
 """Grouped aggregates, scores and chart tables.
 
-Global statistics (min/max, mean/sd of a score) are one-row aggregates joined
-back with a broadcast of that single row, never an unpartitioned window over
-the data.
+Global statistics (min/max, mean/sd of a score) are one-row aggregates whose
+values come back to the driver and enter the next step as literals: never an
+unpartitioned window over the data, never a join.
 """
 
 from __future__ import annotations
@@ -84,11 +84,13 @@ def stability(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def standard_scores(df: DataFrame, cols: dict[str, str]) -> DataFrame:
     """``(x - mean) / sd_samp`` over all rows for each column (``out: in``)."""
-    stats = df.agg(*[e for c in cols.values()
-                     for e in (F.avg(c).alias(f"__m_{c}"), F.stddev_samp(c).alias(f"__s_{c}"))])
-    out = df.crossJoin(F.broadcast(stats))   # one row: size is fixed
-    out = out.withColumns({o: (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}") for o, c in cols.items()})
-    return out.drop(*[x for c in cols.values() for x in (f"__m_{c}", f"__s_{c}")])
+    st = df.agg(*[e for c in cols.values()
+                  for e in (F.avg(c).alias(f"__m_{c}"), F.stddev_samp(c).alias(f"__s_{c}"))]).first()
+
+    def lit(v):
+        return F.lit(None).cast("double") if v is None else F.lit(float(v))
+
+    return df.withColumns({o: (F.col(c) - lit(st[f"__m_{c}"])) / lit(st[f"__s_{c}"]) for o, c in cols.items()})
 
 
 def segment_scores(stab: DataFrame, cv: str = "cv_abs", profit: str = "total",
@@ -104,16 +106,18 @@ def segment_scores(stab: DataFrame, cv: str = "cv_abs", profit: str = "total",
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """``bins`` equal bins centred on min and max (width = range/(bins-1)),
     right-closed, as a chart library draws them -> (bin, lo, hi, n)."""
-    rng = df.agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"))
-    w = (F.col("__hi") - F.col("__lo")) / F.lit(bins - 1)
-    b = F.ceil((F.col(col) - F.col("__lo")) / w - F.lit(0.5))
+    r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+    if r["lo"] is None:
+        return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, n long")
+    lo, hi = F.lit(float(r["lo"])), F.lit(float(r["hi"]))
+    w = (hi - lo) / F.lit(bins - 1)
+    b = F.ceil((F.col(col) - lo) / w - F.lit(0.5))
     b = F.when(w == 0, F.lit(0)).otherwise(F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1)))
-    return (df.where(F.col(col).isNotNull()).crossJoin(F.broadcast(rng))
+    return (df.where(F.col(col).isNotNull())
               .withColumn("bin", b.cast("int"))
-              .groupBy("bin", "__lo", "__hi").agg(F.count(F.lit(1)).alias("n"))
-              .select("bin",
-                      (F.col("__lo") + (F.col("bin") - F.lit(0.5)) * w).alias("lo"),
-                      (F.col("__lo") + (F.col("bin") + F.lit(0.5)) * w).alias("hi"), "n"))
+              .groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+              .select("bin", (lo + (F.col("bin") - F.lit(0.5)) * w).alias("lo"),
+                      (lo + (F.col("bin") + F.lit(0.5)) * w).alias("hi"), "n"))
 
 
 def box_stats(df: DataFrame, groups: Sequence[str], col: str) -> DataFrame:

@@ -26,21 +26,24 @@ def class_metrics(conf: DataFrame) -> DataFrame:
 
     The per-class totals are small aggregates of the confusion table (k^2 rows).
     """
+    conf = conf.persist()                                             # k x k counts, read four times
     classes = (conf.select(F.col("actual").alias("cls")).union(conf.select(F.col("predicted").alias("cls")))
                    .distinct())
-    tot = conf.agg(F.sum("n").alias("N"),
-                   F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("correct"))
     act = conf.groupBy(F.col("actual").alias("cls")).agg(F.sum("n").alias("n_actual"))
     prd = conf.groupBy(F.col("predicted").alias("cls")).agg(F.sum("n").alias("n_pred"))
     tp = conf.where(F.col("actual") == F.col("predicted")).select(F.col("actual").alias("cls"), F.col("n").alias("tp"))
     per = (classes.join(act, "cls", "left").join(prd, "cls", "left").join(tp, "cls", "left")
-                  .fillna(0, ["n_actual", "n_pred", "tp"])
-                  .crossJoin(F.broadcast(tot)))                       # one row
-    w = Window.partitionBy()                                          # k rows only
-    per = per.withColumns({
-        "pe": F.sum(F.col("n_actual") * F.col("n_pred")).over(w) / (F.col("N") * F.col("N")),
-        "nir": F.max("n_actual").over(w) / F.col("N"),
-    })
+                  .fillna(0, ["n_actual", "n_pred", "tp"]))
+    g = per.agg(F.sum("n_actual").alias("N"), F.sum("tp").alias("correct"),
+                F.sum(F.col("n_actual") * F.col("n_pred")).alias("pp"), F.max("n_actual").alias("mx")).first()
+    N = int(g["N"] or 0)
+    if N == 0:
+        return per.select("cls", *[F.lit(None).cast("double").alias(c) for c in
+                                   ["sensitivity", "specificity", "prevalence", "accuracy", "nir", "kappa"]],
+                          F.lit(0).cast("long").alias("n"))
+    pe, nir = float(g["pp"]) / (N * N), float(g["mx"]) / N
+    per = per.withColumns({"N": F.lit(N).cast("long"), "correct": F.lit(int(g["correct"])).cast("long"),
+                           "pe": F.lit(pe), "nir": F.lit(nir)})
     acc = F.col("correct") / F.col("N")
     return per.select(
         "cls",

@@ -52,14 +52,11 @@ def lookup(df: DataFrame, table: DataFrame, key: str, table_key: str, value: str
     return res.drop("__lk_key")
 
 
-def param_grid(**params: Sequence) -> DataFrame:
-    """Cartesian product of parameter value lists, as a small DataFrame."""
-    from pyspark.sql import SparkSession
+def param_grid(spark, **params: Sequence) -> DataFrame:
+    """Cartesian product of parameter value lists as a small DataFrame
+    (built from the lists, no join)."""
+    import itertools
 
-    spark = SparkSession.getActiveSession()
     names = list(params)
-    grid: DataFrame | None = None
-    for n in names:
-        one = spark.createDataFrame([(v,) for v in params[n]], [n])
-        grid = one if grid is None else grid.crossJoin(one)
-    return grid
+    rows = list(itertools.product(*[list(params[n]) for n in names]))
+    return spark.createDataFrame(rows, names)

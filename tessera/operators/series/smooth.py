@@ -29,33 +29,33 @@ def _levels(alpha_col, values):
 
 
 def ses_levels(df: DataFrame, series: str = "series", idx: str = "idx", value: str = "value",
-               alpha: float | str = 0.5) -> DataFrame:
-    """Level after each observation -> (series[, alpha], idx, value, level).
+               alpha: float | list[float] = 0.5) -> DataFrame:
+    """Level after each observation -> (series, idx, value, level).
 
-    ``alpha`` is a number, or the name of a column holding one alpha per group
-    (T3: the data cross-joined with an alpha grid).
+    With a list of alphas (T3) every alpha runs on the same gathered array and
+    an ``alpha`` column is added: the input rows are not replicated per alpha.
     """
-    keys = [series] + ([alpha] if isinstance(alpha, str) else [])
-    a = F.col(alpha) if isinstance(alpha, str) else F.lit(float(alpha))
-    g = (df.groupBy(*keys)
+    alphas = [float(a) for a in alpha] if isinstance(alpha, (list, tuple)) else [float(alpha)]
+    g = (df.groupBy(series)
            .agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"),
                                                     F.col(value).cast("double").alias("v")))).alias("__s")))
     g = g.withColumn("__v", F.transform("__s", lambda s: s["v"]))
-    g = g.withColumn("__l", _levels(a, F.col("__v")))
-    z = F.arrays_zip(F.col("__s").alias("s"), F.col("__l").alias("l"))
-    return (g.select(*keys, F.explode(z).alias("__z"))
-             .select(*keys, F.col("__z.s.i").alias(idx), F.col("__z.s.v").alias(value),
-                     F.col("__z.l").alias("level")))
+    per_alpha = F.array(*[F.struct(F.lit(a).alias("alpha"), _levels(F.lit(a), F.col("__v")).alias("l"))
+                          for a in alphas])
+    g = g.select(series, "__s", F.explode(per_alpha).alias("__a"))
+    z = F.arrays_zip(F.col("__s").alias("s"), F.col("__a.l").alias("l"))
+    out = (g.select(series, F.col("__a.alpha").alias("alpha"), F.explode(z).alias("__z"))
+            .select(series, "alpha", F.col("__z.s.i").alias(idx), F.col("__z.s.v").alias(value),
+                    F.col("__z.l").alias("level")))
+    return out if isinstance(alpha, (list, tuple)) else out.drop("alpha")
 
 
 def ses_grid(df: DataFrame, alphas, series: str = "series", idx: str = "idx",
              value: str = "value") -> DataFrame:
     """Every series x every alpha; one-step-ahead MSE of the fitted level."""
-    from pyspark.sql import SparkSession, Window
+    from pyspark.sql import Window
 
-    spark = SparkSession.getActiveSession()
-    grid = spark.createDataFrame([(float(a),) for a in alphas], ["alpha"])
-    lv = ses_levels(df.crossJoin(F.broadcast(grid)), series, idx, value, "alpha")
+    lv = ses_levels(df, series, idx, value, list(alphas))
     w = Window.partitionBy(series, "alpha").orderBy(idx)
     err = F.col(value) - F.lag("level", 1).over(w)
     return (lv.withColumn("__e", err)

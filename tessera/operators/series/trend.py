@@ -67,13 +67,13 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
 def fit_grid(train: DataFrame, series: str = "series", idx: str = "idx", value: str = "value",
              pairs=FREQ_PAIRS) -> DataFrame:
     """T5 + T5b: one fit per (series, a, b) -> (series, fa, fb, coef[13], rss, n, rank)."""
-    spark = SparkSession.getActiveSession()
-    grid = spark.createDataFrame([(float(a), float(b)) for a, b in pairs], "fa double, fb double")
+    grid = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("fa"), F.lit(float(b)).alias("fb"))
+                               for a, b in pairs]))
     n = F.count(F.lit(1)).over(Window.partitionBy(series))
     x = (train.select(F.col(series).alias("series"), F.col(idx).alias("idx"),
                       F.col(value).cast("double").alias("y"))
               .withColumn("n_train", n.cast("double"))
-              .crossJoin(F.broadcast(grid)))
+              .select("*", grid.alias("__g")).select("series", "idx", "y", "n_train", "__g.fa", "__g.fb"))
     cols = term_columns(F.col("idx"), F.col("n_train"), F.col("fa"), F.col("fb")) + [F.col("y")]
     x = x.select("series", "fa", "fb", *[c.alias(f"t{i}") for i, c in enumerate(cols)])
     sums = [F.sum(F.col(f"t{i}") * F.col(f"t{j}")) for i, j in _pairs(len(cols))]

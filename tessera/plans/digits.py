@@ -4,7 +4,7 @@ matrix and its statistics."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import rnd
@@ -85,11 +85,12 @@ def q_param_grid(spark, sf_dir):
     the training / validation row counts each grid point would use."""
     d = bind.digits_view(spark, sf_dir).withColumn("fold", fold_of("image_id", FOLDS))
     per = d.groupBy("fold").agg(F.count(F.lit(1)).alias("n_valid"))
-    tot = d.agg(F.count(F.lit(1)).alias("__n"))
-    grid = (spark.createDataFrame([(s,) for s in GRID_SIGMA_FACTORS], "sigma_factor double")
-                 .crossJoin(spark.createDataFrame([(c,) for c in GRID_C], "c double")))
-    return (grid.crossJoin(per).crossJoin(F.broadcast(tot))
-                .select("sigma_factor", "c", "fold", (F.col("__n") - F.col("n_valid")).alias("n_train"), "n_valid"))
+    n = F.sum("n_valid").over(Window.partitionBy())                  # one row per fold
+    grid = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("sigma_factor"), F.lit(float(c)).alias("c"))
+                               for s in GRID_SIGMA_FACTORS for c in GRID_C]))
+    return (per.withColumn("n_train", n - F.col("n_valid"))
+               .select(grid.alias("g"), "fold", "n_train", "n_valid")
+               .select("g.sigma_factor", "g.c", "fold", "n_train", "n_valid"))
 
 
 def q_confusion_matrix(spark, sf_dir):

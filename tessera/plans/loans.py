@@ -93,10 +93,10 @@ def q_null_profile(spark, sf_dir):
 
 
 def q_duplicate_count(spark, sf_dir):
-    a = duplicate_count(_raw(spark, sf_dir), ["id"]).withColumnRenamed("n_duplicates", "dup_loan_ids")
-    b = duplicate_count(bind.price_view(spark, sf_dir).drop("obs_id")).withColumnRenamed("n_duplicates", "dup_price_rows")
-    c = duplicate_count(bind.store_view(spark, sf_dir), ["Row_ID"]).withColumnRenamed("n_duplicates", "dup_store_ids")
-    return a.crossJoin(b).crossJoin(c)
+    a = duplicate_count(_raw(spark, sf_dir), ["id"]).first()[0]
+    b = duplicate_count(bind.price_view(spark, sf_dir).drop("obs_id")).first()[0]
+    c = duplicate_count(bind.store_view(spark, sf_dir), ["Row_ID"]).first()[0]
+    return spark.createDataFrame([(a, b, c)], "dup_loan_ids long, dup_price_rows long, dup_store_ids long")
 
 
 def q_factor_codes(spark, sf_dir):

@@ -112,10 +112,11 @@ def q_rounds_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_distinct_keys(spark, sf_dir):
     r, c = _inputs(spark, sf_dir)
     m = master_frame(r, c)
-    a = distinct_count(r.select(lower_key("company_permalink").alias("k")), "k").withColumnRenamed("n_distinct", "n_round_companies")
-    b = distinct_count(c.select(lower_key("permalink").alias("k")), "k").withColumnRenamed("n_distinct", "n_companies")
-    n = m.agg(F.count(F.lit(1)).alias("n_master_rows"))
-    return a.crossJoin(b).crossJoin(n).withColumn("n_master_cols", F.lit(len(m.columns)))
+    a = distinct_count(r.select(lower_key("company_permalink").alias("k")), "k").first()[0]
+    b = distinct_count(c.select(lower_key("permalink").alias("k")), "k").first()[0]
+    n = m.count()
+    return spark.createDataFrame([(a, b, n, len(m.columns))],
+                                 "n_round_companies long, n_companies long, n_master_rows long, n_master_cols int")
 
 
 def q_fill_missing(spark, sf_dir):
