@@ -151,6 +151,8 @@ def q_ses_fitted(spark, sf_dir):
 
 
 def q_residuals(spark, sf_dir):
+    """T7 with the smoother as the fitted series: raw training value minus the
+    smoothed value (the trend + season residual is ``_Ctx.local``)."""
     f = ses_fitted(_levels(spark, sf_dir))
     return f.select("series", "idx", rnd(F.col("value") - F.col("smoothed"), 4).alias("residual"))
 

@@ -97,3 +97,18 @@ def test_factor_codes_both_paths(spark):
     levels = sorted({f"{(i * 7) % 13}%" for i in range(40)})
     assert small == big and small[99] is None
     assert all(small[i] == levels.index(f"{(i * 7) % 13}%") + 1 for i in range(40))
+
+
+def test_fallback_paths_without_broadcast(spark):
+    """Above the checked bound the join is left to the planner (no hint): same result."""
+    from tessera.operators.relate import lookup, maybe_broadcast
+
+    df = spark.createDataFrame([(f"c{i % 7}", f"s{i % 3}", float(i)) for i in range(60)], "c string, s string, v double")
+    a = sorted(map(tuple, totals_on_rows(df, ["c", "s"], "v", "t", "n").collect()))
+    b = sorted(map(tuple, totals_on_rows(df, ["c", "s"], "v", "t", "n", max_groups=2).collect()))
+    assert a == b
+    small = spark.createDataFrame([("c1", "one"), ("c2", "two")], "k string, name string")
+    plan = maybe_broadcast(small, 1)._jdf.queryExecution().logical().toString()
+    assert "ResolvedHint" not in plan and "broadcast" not in plan.lower()
+    got = {r["c"]: r["name"] for r in lookup(df, small, "c", "k", "name", max_rows=1).collect()}
+    assert got["c1"] == "one" and got["c0"] is None
