@@ -58,5 +58,8 @@ def materialize(df):
     """Cut the lineage of a small, reused intermediate: an eager reliable
     checkpoint into the shared checkpoint folder (survives executor loss,
     unlike a local checkpoint), read back as a fresh scan."""
-    checkpoint_dir(df.sparkSession)
+    try:
+        checkpoint_dir(df.sparkSession)
+    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): the server's folder applies
+        pass
     return df.checkpoint(eager=True)
