@@ -26,6 +26,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
+        .config("spark.sql.files.maxPartitionBytes", "128m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -39,6 +41,27 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def scale_settings(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """SQL settings sized for an input of ``input_bytes`` on ``total_cores`` cores.
+
+    Shuffle partitions: enough for about ``partition_bytes`` per partition when
+    the whole input is shuffled once, at least 3 waves of tasks, at most 100k
+    (AQE coalesces small ones at run time and splits skewed ones). File splits
+    stay at 128 MB so a scan task fits comfortably in executor memory.
+    Example: 100 TB on 8000 cores -> 409600 -> capped at 100000 partitions.
+    """
+    parts = max(3 * total_cores, -(-input_bytes // partition_bytes))
+    parts = min(parts, 100_000)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
+        "spark.sql.files.maxPartitionBytes": str(128 << 20),
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the context's, else the cluster's
     ``spark.checkpoint.dir``; only when neither is set (local tests) is a

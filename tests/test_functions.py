@@ -60,3 +60,11 @@ def test_rnd_matches_binary_rounding(spark):
     con = duckdb.connect()
     want = [con.execute("SELECT round(CAST(? AS DOUBLE), 2)", [v]).fetchone()[0] for v in vals]
     assert got == want
+
+
+def test_scale_settings():
+    from tessera.session import scale_settings
+
+    s = scale_settings(100 * 10**12, 8000)
+    assert s["spark.sql.shuffle.partitions"] == "100000"
+    assert scale_settings(10**9, 8)["spark.sql.shuffle.partitions"] == "24"
