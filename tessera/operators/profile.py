@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
 
 
 def _cols(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
