@@ -112,3 +112,27 @@ def test_fallback_paths_without_broadcast(spark):
     assert "ResolvedHint" not in plan and "broadcast" not in plan.lower()
     got = {r["c"]: r["name"] for r in lookup(df, small, "c", "k", "name", max_rows=1).collect()}
     assert got["c1"] == "one" and got["c0"] is None
+
+
+def test_clean_loans_tiny(spark):
+    import datetime as dt
+
+    from tessera.functions.lookups import states_frame
+    from tessera.plans.loans import clean_loans
+
+    rows = [
+        (1, "10.65%", "83.7%", "", "< 1 year", None, "Dec-11", "CA", 1, 0.0, "Charged Off"),
+        (2, " 7%", "", "nurse", "10+ years", "car", "Jan-70", "PR", 1, 0.0, "Fully Paid"),
+        (3, "junk", "5%", "clerk", "2 years", "home", "bad", "NY", 1, 5.0, "Current"),
+    ]
+    raw = spark.createDataFrame(rows, "id long, int_rate string, revol_util string, emp_title string, "
+                                      "emp_length string, title string, issue_d string, addr_state string, "
+                                      "policy_code int, delinq_amnt double, loan_status string")
+    out = clean_loans(raw, states_frame(spark))
+    assert "policy_code" not in out.columns and "delinq_amnt" not in out.columns   # constant, 2/3 zero
+    r = {x["id"]: x for x in out.collect()}
+    assert r[1]["int_rate"] == 10.65 and r[2]["int_rate"] == 7.0 and r[3]["int_rate"] is None
+    assert r[1]["revol_util"] == 83.7 and r[2]["revol_util"] is None
+    assert r[1]["emp_title"] is None and r[1]["emp_length"] == "0 year" and r[1]["title"] == "0"
+    assert r[1]["issue_d"] == dt.date(2011, 12, 1) and r[2]["issue_d"] == dt.date(1970, 1, 1) and r[3]["issue_d"] is None
+    assert r[1]["addr_state"] == "California" and r[2]["addr_state"] is None
