@@ -9,9 +9,15 @@ volume: more data means more series, not longer ones).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Longest series (in periods) smoothed by the JVM-side array recursion; longer
+# series go through a linear-time pandas loop (the array form copies per step).
+LONG_SERIES = 2000
+
 
 def _levels(alpha_col, values):
     """Column: array of levels after each value, from the sorted value array."""
@@ -28,14 +34,43 @@ def _levels(alpha_col, values):
     return F.concat(first, rest)
 
 
+def _levels_pandas(df: DataFrame, series: str, idx: str, value: str, alphas: list[float]) -> DataFrame:
+    """Same recursion, same floating-point operations, one linear loop per series."""
+    schema = f"{series} string, alpha double, {idx} int, {value} double, level double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(idx)
+        x = pdf[value].to_numpy(dtype=float)
+        ids = pdf[idx].to_numpy()
+        parts = []
+        for a in alphas:
+            lv = np.empty(len(x))
+            cur = x[0]
+            lv[0] = cur
+            for t in range(1, len(x)):
+                cur = a * x[t] + (1.0 - a) * cur
+                lv[t] = cur
+            parts.append(pd.DataFrame({series: pdf[series].to_numpy(), "alpha": a, idx: ids, value: x, "level": lv}))
+        return pd.concat(parts, ignore_index=True)
+
+    src = df.select(F.col(series).cast("string").alias(series), F.col(idx).cast("int").alias(idx),
+                    F.col(value).cast("double").alias(value))
+    return src.groupBy(series).applyInPandas(run, schema)
+
+
 def ses_levels(df: DataFrame, series: str = "series", idx: str = "idx", value: str = "value",
-               alpha: float | list[float] = 0.5) -> DataFrame:
+               alpha: float | list[float] = 0.5, long_series: int = LONG_SERIES) -> DataFrame:
     """Level after each observation -> (series, idx, value, level).
 
     With a list of alphas (T3) every alpha runs on the same gathered array and
     an ``alpha`` column is added: the input rows are not replicated per alpha.
+    Series longer than ``long_series`` periods use the linear-time pandas path.
     """
     alphas = [float(a) for a in alpha] if isinstance(alpha, (list, tuple)) else [float(alpha)]
+    longest = df.groupBy(series).count().agg(F.max("count")).first()[0] or 0
+    if longest > long_series:
+        out = _levels_pandas(df, series, idx, value, alphas)
+        return out if isinstance(alpha, (list, tuple)) else out.drop("alpha")
     g = (df.groupBy(series)
            .agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"),
                                                     F.col(value).cast("double").alias("v")))).alias("__s")))

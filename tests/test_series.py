@@ -137,3 +137,12 @@ def test_gap_and_short_series(spark):
     lv = {(r["series"], r["idx"]): r["level"] for r in ses_levels(df, alpha=0.5).collect()}
     assert lv[("b", 1)] == 3.0 and lv[("a", 4)] == 0.5 * 8 + 0.5 * (0.5 * 6 + 0.5 * 5)
     assert acf(df.where("series = 'b'")).count() == 0
+
+
+def test_ses_long_series_path_is_identical(spark, sim):
+    df = _frame(spark, {"a": sim["ar2"][:300], "b": sim["trend"]})
+    for alpha in (0.3, [0.2, 0.5, 0.7]):
+        cols = ["series", "idx", "level"] + (["alpha"] if isinstance(alpha, list) else [])
+        short = sorted(map(tuple, ses_levels(df, alpha=alpha).select(*cols).collect()))
+        long = sorted(map(tuple, ses_levels(df, alpha=alpha, long_series=10).select(*cols).collect()))
+        assert short == long            # bit-identical levels
