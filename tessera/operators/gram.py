@@ -43,7 +43,34 @@ def _pairs(k: int):
     return [(i, j) for i in range(k) for j in range(i, k)]
 
 
-def gram(df: DataFrame, cols: Sequence[str]) -> Gram:
+WIDE = 64
+
+
+def _gram_wide(src: DataFrame, cols: list[str], shift: np.ndarray) -> Gram:
+    """Wide designs: shifted rows become one vector column; Spark ML's
+    ``Summarizer`` (means, variances, n) and ``Correlation`` (a distributed
+    Gramian, k x k per task) run JVM-side, and the centred cross products are
+    rebuilt as corr_ij sd_i sd_j (n - 1). Two passes, no k^2 expression list."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Correlation, Summarizer
+
+    k = len(cols)
+    vec = array_to_vector(F.array(*[F.col(c) - F.lit(float(shift[i])) for i, c in enumerate(cols)])).alias("v")
+    vdf = src.select(vec)
+    s = vdf.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).first()["s"]
+    n = int(s["count"])
+    mean = shift + np.asarray(s["mean"].toArray(), dtype=float)
+    var = np.asarray(s["variance"].toArray(), dtype=float)
+    cross = np.zeros((k, k))
+    if n > 1:
+        corr = np.nan_to_num(np.asarray(Correlation.corr(vdf, "v").first()[0].toArray(), dtype=float))
+        sd = np.sqrt(np.clip(var, 0.0, None))
+        cross = corr * np.outer(sd, sd) * (n - 1)
+        np.fill_diagonal(cross, var * (n - 1))
+    return Gram(cols, mean, cross, n)
+
+
+def gram(df: DataFrame, cols: Sequence[str], wide: int = WIDE) -> Gram:
     """L1: k x k centred statistics from ONE aggregate pass.
 
     Shifted-data sums: with a shift K taken from one data row (a cheap
@@ -51,12 +78,15 @@ def gram(df: DataFrame, cols: Sequence[str]) -> Gram:
     means and centred cross products follow exactly, and since K sits inside
     the data the subtraction does not cancel catastrophically as raw sums of
     squares would. Shifts are literals, so the plan stays one flat aggregate.
+    More than ``wide`` columns switch to the vector path (``_gram_wide``).
     """
     cols = list(cols)
     k = len(cols)
     src = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
     first = src.limit(1).collect()
     shift = np.array([float(first[0][c]) for c in cols]) if first else np.zeros(k)
+    if k > wide:
+        return _gram_wide(src, cols, shift)
     dev = [F.col(c) - F.lit(float(shift[i])) for i, c in enumerate(cols)]
     row = src.agg(F.count(F.lit(1)).alias("__n"), *[F.sum(dev[i]).alias(f"__t{i}") for i in range(k)],
                   *[F.sum(dev[i] * dev[j]).alias(f"__s{i}_{j}") for i, j in _pairs(k)]).first()

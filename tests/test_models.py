@@ -117,3 +117,15 @@ def test_classifiers_on_blobs_and_rings(spark):
     a_lin = lin.where("digit = prediction").count() / 300
     a_rbf = rbf.where("digit = prediction").count() / 300
     assert a_rbf > 0.9 and a_rbf > a_lin + 0.2
+
+
+def test_wide_gram_path_matches_flat(spark, ols_known):
+    df, _, _ = ols_known
+    cols = ["x1", "x2", "x3", "x4", "y"]
+    a = gram(df, cols)
+    b = gram(df, cols, wide=2)
+    assert a.n == b.n
+    assert np.allclose(a.mean, b.mean, rtol=1e-12, atol=1e-12)
+    assert np.allclose(a.cross, b.cross, rtol=1e-9, atol=1e-8)
+    fa, fb = ols(a, "y", cols[:-1]), ols(b, "y", cols[:-1])
+    assert np.allclose(fa.coef, fb.coef, rtol=1e-9)
