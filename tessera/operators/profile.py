@@ -17,9 +17,13 @@ def _long(wide: DataFrame, cols: Sequence[str], value: str, name: str = "column_
     return wide.unpivot([], list(cols), name, value)
 
 
-def distinct_count(df: DataFrame, col: str, count_null: bool = True) -> DataFrame:
-    """A1: number of distinct values; a NULL counts as one more value (R ``unique``)."""
-    n = F.count_distinct(col)
+def distinct_count(df: DataFrame, col: str, count_null: bool = True, approx: float | None = None) -> DataFrame:
+    """A1: number of distinct values; a NULL counts as one more value (R ``unique``).
+
+    ``approx`` (a relative standard deviation, e.g. 0.01) switches to the
+    HyperLogLog++ sketch: fixed memory per task instead of a distinct shuffle.
+    """
+    n = F.approx_count_distinct(col, approx) if approx else F.count_distinct(col)
     if count_null:
         n = n + F.max(F.col(col).isNull().cast("int"))
     return df.agg(n.cast("long").alias("n_distinct"))

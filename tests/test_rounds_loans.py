@@ -136,3 +136,11 @@ def test_clean_loans_tiny(spark):
     assert r[1]["emp_title"] is None and r[1]["emp_length"] == "0 year" and r[1]["title"] == "0"
     assert r[1]["issue_d"] == dt.date(2011, 12, 1) and r[2]["issue_d"] == dt.date(1970, 1, 1) and r[3]["issue_d"] is None
     assert r[1]["addr_state"] == "California" and r[2]["addr_state"] is None
+
+
+def test_distinct_count_exact_and_sketch(spark):
+    from tessera.operators.profile import distinct_count
+
+    df = spark.createDataFrame([(f"k{i % 500}",) for i in range(5000)] + [(None,)], "k string")
+    assert distinct_count(df, "k").first()[0] == 501                 # NULL counts once
+    assert abs(distinct_count(df, "k", approx=0.02).first()[0] - 501) < 30
