@@ -5,7 +5,8 @@ Per series (one ``applyInPandas`` group = one series' periods):
   2. Hannan-Rissanen: a long autoregression gives innovation estimates, then
      every candidate (p, q) is an ordinary regression of w_t on its own lags and
      lagged innovations, all candidates on the SAME sample so their AICc compare;
-  3. the lowest AICc wins; conditional-sum-of-squares likelihood (not exact ML);
+  3. the lowest AICc wins (a drift term is a candidate when d = 1);
+     conditional-sum-of-squares likelihood (not exact ML);
   4. one-step fitted values and an h-step forecast, undifferenced.
 """
 
@@ -119,17 +120,21 @@ def fit_one(x: np.ndarray, h: int = 6, max_p: int = MAX_P, max_q: int = MAX_Q) -
     t0 = m + max_q
     rows = np.arange(t0, n)
     best = None
-    if len(rows) > max_p + max_q + 3:
-        for p in range(max_p + 1):
-            for q in range(max_q + 1):
-                beta, s2, ll, aic, aicc, bic, neff, se = _fit_candidate(w, ehat, p, q, rows, const)
-                if best is None or aicc < best["aicc"] - 1e-12:
-                    best = dict(p=p, q=q, beta=beta, sigma2=s2, loglik=ll, aic=aic, aicc=aicc, bic=bic,
-                                n_used=neff, se=se)
+    # a mean when d = 0; with or without drift when d = 1; none when d = 2
+    const_options = [True] if d == 0 else ([False, True] if d == 1 else [False])
+    if len(rows) > max_p + max_q + 4:
+        for has_c in const_options:
+            for p in range(max_p + 1):
+                for q in range(max_q + 1):
+                    beta, s2, ll, aic, aicc, bic, neff, se = _fit_candidate(w, ehat, p, q, rows, has_c)
+                    if best is None or aicc < best["aicc"] - 1e-12:
+                        best = dict(p=p, q=q, beta=beta, sigma2=s2, loglik=ll, aic=aic, aicc=aicc, bic=bic,
+                                    n_used=neff, se=se, const=has_c)
     if best is None:
         best = dict(p=0, q=0, beta=np.array([w.mean()]) if const else np.zeros(0), sigma2=float(np.var(w)),
                     loglik=float("nan"), aic=float("nan"), aicc=float("nan"), bic=float("nan"), n_used=n,
-                    se=np.zeros(1 if const else 0))
+                    se=np.zeros(1 if const else 0), const=const)
+    const = best["const"]
     beta = list(best["beta"])
     ses = [float(v) for v in best["se"]]
     if const and ses:

@@ -102,6 +102,10 @@ def test_kpss_and_adf_decide(spark, sim):
 def test_arima_orders(sim):
     r = fit_one(sim["rw"])
     assert r["d"] == 1
+    drift = np.cumsum(np.random.default_rng(9).normal(loc=0.8, size=400))
+    r = fit_one(drift)
+    assert r["d"] == 1 and abs(r["const"] - 0.8) < 0.2
+    assert r["forecast"][-1] > drift[-1] + 6 * 0.5        # the forecast keeps drifting
     r = fit_one(sim["ar2"])
     assert r["d"] == 0 and r["p"] >= 2
     assert len(r["ar_se"]) == r["p"] and all(0.01 < v < 0.1 for v in r["ar_se"][:2])
