@@ -34,6 +34,22 @@ def add_index(df: DataFrame, partition: Sequence[str], order: Sequence[str], nam
     return df.withColumn(name, F.row_number().over(w))
 
 
+def fill_month_gaps(df: DataFrame, series: str, month: str, values: Sequence[str],
+                    fill: float = 0.0) -> DataFrame:
+    """N15 option: every month between a series' first and last month, missing
+    ones filled with ``fill`` (``month`` is ``YYYY-MM`` text). The calendar is
+    generated per series from its own bounds (one small aggregate, then a
+    ``sequence`` explode), and the data joins onto it on (series, month)."""
+    bounds = (df.groupBy(series)
+                .agg(F.min(month).alias("__lo"), F.max(month).alias("__hi"))
+                .select(series, F.explode(F.sequence(F.to_date(F.concat("__lo", F.lit("-01"))),
+                                                     F.to_date(F.concat("__hi", F.lit("-01"))),
+                                                     F.expr("interval 1 month"))).alias("__d"))
+                .select(series, F.date_format("__d", "yyyy-MM").alias(month)))
+    out = bounds.join(df, [series, month], "left")
+    return out.fillna({v: fill for v in values})
+
+
 def holdout_split(df: DataFrame, series: str = "series", idx: str = "idx", horizon: int = 6,
                   name: str = "is_test") -> DataFrame:
     """The last ``horizon`` positions of each series are the test part."""

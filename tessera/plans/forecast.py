@@ -11,7 +11,7 @@ from tessera.functions.dates import parse_dmy, year_month
 from tessera.functions.text import paste
 from tessera.operators.aggregate import group_aggregate, segment_scores, stability
 from tessera.operators.profile import drop_mostly_null
-from tessera.operators.reshape import add_index, holdout_split, measures_to_series
+from tessera.operators.reshape import add_index, fill_month_gaps, holdout_split, measures_to_series
 from tessera.operators.series import accuracy, acf, adf, best_model, kpss, lags, ljung_box, pacf
 from tessera.operators.series import ses_fitted, ses_grid, ses_levels
 from tessera.operators.series.arima import arima
@@ -51,10 +51,13 @@ def monthly_rollup(clean: DataFrame) -> DataFrame:
                            "sum", drop_null_keys=True)
 
 
-def series_table(rollup: DataFrame, measures=MEASURES) -> DataFrame:
+def series_table(rollup: DataFrame, measures=MEASURES, fill_gaps: bool = False) -> DataFrame:
     """R3 + T1 + F4: long (series, idx, value) for every segment and measure,
-    indexed by month, with the holdout flag."""
+    indexed by month, with the holdout flag. By default missing months close up
+    (the index counts present months, N15); ``fill_gaps`` inserts them as 0."""
     num = rollup.withColumns({m: F.col(m).cast("double") for m in measures})
+    if fill_gaps:
+        num = fill_month_gaps(num, "market_segment", "month", list(measures), 0.0)
     long = measures_to_series(num, "market_segment", "month", measures)
     idx = add_index(long, ["series"], ["month"])
     return holdout_split(idx, "series", "idx", HORIZON)

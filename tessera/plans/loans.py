@@ -43,7 +43,8 @@ def clean_loans(raw: DataFrame, states: DataFrame) -> DataFrame:
     if "title" in cols:
         fix["title"] = F.coalesce(F.col("title"), F.lit("0"))
     if "emp_length" in cols:
-        fix["emp_length"] = gsub("emp_length", "< 1", "0")
+        fix["emp_length"] = gsub("emp_length", "< 1", "0")          # faithful text: "0 year" (N10)
+        fix["emp_years"] = F.regexp_extract(gsub("emp_length", "< 1", "0"), r"^(\d+)", 1).try_cast("int")
     fix.update({c: parse_month_year(c) for c in MONTH_YEAR_COLS if c in cols})
     fix.update({c: percent_to_double(c) for c in PERCENT_COLS if c in cols})
     x = x.withColumns(fix)
@@ -196,7 +197,9 @@ st AS {states_sql()},
 clean AS (
   SELECT id, loan_amnt, funded_amnt, funded_amnt_inv, term, {_pct_sql('int_rate')} AS int_rate, installment, grade,
     CASE WHEN emp_title = '' THEN NULL ELSE emp_title END AS emp_title,
-    replace(emp_length, '< 1', '0') AS emp_length, home_ownership, annual_inc, verification_status,
+    replace(emp_length, '< 1', '0') AS emp_length,
+    TRY_CAST(regexp_extract(replace(emp_length, '< 1', '0'), '^([0-9]+)', 1) AS INTEGER) AS emp_years,
+    home_ownership, annual_inc, verification_status,
     {_my_sql('issue_d')} AS issue_d, loan_status, purpose, coalesce(title, '0') AS title,
     st.state_name AS addr_state, dti, pub_rec, {_my_sql('earliest_cr_line')} AS earliest_cr_line,
     {_pct_sql('revol_util')} AS revol_util, {_my_sql('last_credit_pull_d')} AS last_credit_pull_d

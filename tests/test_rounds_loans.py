@@ -134,6 +134,7 @@ def test_clean_loans_tiny(spark):
     assert r[1]["int_rate"] == 10.65 and r[2]["int_rate"] == 7.0 and r[3]["int_rate"] is None
     assert r[1]["revol_util"] == 83.7 and r[2]["revol_util"] is None
     assert r[1]["emp_title"] is None and r[1]["emp_length"] == "0 year" and r[1]["title"] == "0"
+    assert (r[1]["emp_years"], r[2]["emp_years"], r[3]["emp_years"]) == (0, 10, 2)
     assert r[1]["issue_d"] == dt.date(2011, 12, 1) and r[2]["issue_d"] == dt.date(1970, 1, 1) and r[3]["issue_d"] is None
     assert r[1]["addr_state"] == "California" and r[2]["addr_state"] is None
 

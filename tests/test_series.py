@@ -150,3 +150,16 @@ def test_ses_long_series_path_is_identical(spark, sim):
         short = sorted(map(tuple, ses_levels(df, alpha=alpha).select(*cols).collect()))
         long = sorted(map(tuple, ses_levels(df, alpha=alpha, long_series=10).select(*cols).collect()))
         assert short == long            # bit-identical levels
+
+
+def test_series_gaps_close_up_or_fill(spark):
+    from tessera.plans.forecast import series_table
+
+    roll = spark.createDataFrame([("EU-Consumer", "2014-01", 1.0, 2), ("EU-Consumer", "2014-03", 3.0, 4),
+                                  ("APAC-Consumer", "2014-02", 5.0, 6)],
+                                 "market_segment string, month string, sales double, quantity long")
+    closed = {(r["series"], r["month"]): r["idx"] for r in series_table(roll).collect()}
+    assert closed[("EU-Consumer:sales", "2014-03")] == 2                      # gap closes up (N15)
+    filled = {(r["series"], r["month"]): (r["idx"], r["value"]) for r in series_table(roll, fill_gaps=True).collect()}
+    assert filled[("EU-Consumer:sales", "2014-02")] == (2, 0.0) and filled[("EU-Consumer:sales", "2014-03")][0] == 3
+    assert filled[("APAC-Consumer:quantity", "2014-02")] == (1, 6.0)          # one-period series
