@@ -97,9 +97,16 @@ def segment_scores(stab: DataFrame, cv: str = "cv_abs", profit: str = "total",
                    w_cv: float = 0.5, w_profit: float = 0.5) -> DataFrame:
     """W1 + W2: standardised CV and profit, then ``weighted`` and ``weighted_v1``."""
     z = standard_scores(stab, {"cv_norm": cv, "profit_norm": profit})
+    return weighted_scores(z, w_cv=w_cv, w_profit=w_profit)
+
+
+def weighted_scores(z: DataFrame, cv: str = "cv_norm", profit: str = "profit_norm",
+                    w_cv: float = 0.5, w_profit: float = 0.5) -> DataFrame:
+    """``weighted = w z_cv + w z_profit`` and ``weighted_v1 = w (1 - z_cv) + w z_profit``
+    (a low CV is better, so the second form rewards it)."""
     return z.withColumns({
-        "weighted": F.col("cv_norm") * w_cv + F.col("profit_norm") * w_profit,
-        "weighted_v1": (F.lit(1) - F.col("cv_norm")) * w_cv + F.col("profit_norm") * w_profit,
+        "weighted": F.col(cv) * w_cv + F.col(profit) * w_profit,
+        "weighted_v1": (F.lit(1) - F.col(cv)) * w_cv + F.col(profit) * w_profit,
     })
 
 

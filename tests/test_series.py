@@ -163,3 +163,42 @@ def test_series_gaps_close_up_or_fill(spark):
     filled = {(r["series"], r["month"]): (r["idx"], r["value"]) for r in series_table(roll, fill_gaps=True).collect()}
     assert filled[("EU-Consumer:sales", "2014-02")] == (2, 0.0) and filled[("EU-Consumer:sales", "2014-03")][0] == 3
     assert filled[("APAC-Consumer:quantity", "2014-02")] == (1, 6.0)          # one-period series
+
+
+# The eight printed model summaries (log-likelihood; AIC, AICc, BIC),
+# with k = estimated parameters incl. sigma^2 and n = values after differencing.
+PRINTED_MODELS = [
+    (-449.04, 1, 42, 900.08, 900.18, 901.82),   # (0,0,0) zero mean on the trend residual
+    (-445.84, 3, 41, 897.67, 898.32, 902.81),   # (2,1,0)
+    (-264.39, 1, 42, 530.79, 530.89, 532.53),   # (0,0,0) zero mean
+    (-261.9, 3, 41, 529.8, 530.44, 534.94),     # (2,1,0)
+    (-446.23, 1, 42, 894.45, 894.55, 896.19),   # (0,0,0) zero mean
+    (-447.11, 2, 41, 898.23, 898.55, 901.66),   # (0,1,1)
+    (-257.87, 1, 42, 517.74, 517.84, 519.48),   # (0,0,0) zero mean
+    (-266.07, 1, 41, 534.14, 534.24, 535.85),   # (0,1,0)
+]
+
+
+@pytest.mark.parametrize("ll,k,n,aic,aicc,bic", PRINTED_MODELS)
+def test_printed_information_criteria(ll, k, n, aic, aicc, bic):
+    a, ac, b = information_criteria(ll, k, n)
+    assert abs(a - aic) <= 0.02 and abs(ac - aicc) <= 0.02 and abs(b - bic) <= 0.02
+
+
+# The five printed segment rows (standardised CV, standardised profit,
+# weighted, weighted_v1).
+PRINTED_SCORES = [
+    (-0.589725879, 2.427869482, 0.919071801, 2.00879768),
+    (-0.496955338, 1.886065087, 0.694554874, 1.691510212),
+    (-0.585263338, 0.950238458, 0.18248756, 1.267750898),
+    (-0.486361213, 0.849540584, 0.181589686, 1.167950899),
+    (-0.36620092, 0.805709523, 0.219754302, 1.085955221),
+]
+
+
+@pytest.mark.parametrize("cv,pr,w,w1", PRINTED_SCORES)
+def test_printed_segment_scores(spark, cv, pr, w, w1):
+    from tessera.operators.aggregate import weighted_scores
+
+    r = weighted_scores(spark.createDataFrame([(cv, pr)], "cv_norm double, profit_norm double")).first()
+    assert abs(r["weighted"] - w) < 1e-8 and abs(r["weighted_v1"] - w1) < 1e-8
