@@ -13,7 +13,7 @@ from tessera.operators.classify import (
 )
 from tessera.operators.metrics import class_metrics, confusion, summary_row
 from tessera.operators.profile import column_summary
-from tessera.operators.sample import fold_of, hash_unit_sql, key_sample, split_flag
+from tessera.operators.sample import fold_of, hash_unit_sql, split_flag, stratified_sample
 from tessera.plans import bind
 
 DIM = 64
@@ -73,7 +73,14 @@ def q_column_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stratified_sample(spark, sf_dir):
-    return key_sample(bind.digits_view(spark, sf_dir), "image_id", SAMPLE_FRACTION).select("image_id", "digit")
+    """M2: a 1/30 sample taken within every digit class (the class set is read
+    from the data under a checked bound); membership is decided by the key hash."""
+    from tessera.functions.encode import levels_many
+
+    v = bind.digits_view(spark, sf_dir)
+    classes = levels_many(v.select(F.col("digit").cast("string").alias("digit")), ["digit"])["digit"]
+    frac = {int(c): SAMPLE_FRACTION for c in classes}
+    return stratified_sample(v, "image_id", "digit", frac).select("image_id", "digit")
 
 
 def q_cv_folds(spark, sf_dir):
@@ -94,11 +101,15 @@ def q_param_grid(spark, sf_dir):
 
 
 def q_confusion_matrix(spark, sf_dir):
+    """C4: confusion counts of the deterministic rule classifier (largest of the
+    first ten features) against the labels; the SVM queries report theirs as metrics."""
     v = bind.digits_view(spark, sf_dir).withColumn("prediction", rule_prediction())
     return confusion(v, "digit", "prediction")
 
 
 def q_class_metrics(spark, sf_dir):
+    """Per-class sensitivity, specificity, prevalence and overall accuracy,
+    no-information rate and kappa of the rule classifier's confusion counts."""
     v = bind.digits_view(spark, sf_dir).withColumn("prediction", rule_prediction())
     m = class_metrics(confusion(v, "digit", "prediction"))
     return m.select(F.col("cls").alias("class"), *[rnd(c, 6).alias(c) for c in
