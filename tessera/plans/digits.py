@@ -117,6 +117,8 @@ def q_class_metrics(spark, sf_dir):
 
 
 def q_svm_linear(spark, sf_dir):
+    """C1 + C3 + C5: one-vs-rest linear SVM on the unscaled features, scored on the
+    holdout: accuracy, exact 95% interval, no-information rate and test, kappa."""
     d = _prepared(spark, sf_dir)
     pred = fit_predict(d.where("is_train"), d.where("not is_train"),
                        linear_svm("vec", "label"), ["image_id", "digit"])
@@ -124,6 +126,8 @@ def q_svm_linear(spark, sf_dir):
 
 
 def q_svm_rbf(spark, sf_dir):
+    """C2 + C3 + C5: the same, on random Fourier features approximating an RBF
+    kernel whose width comes from the median distance of a bounded sample."""
     d = _prepared(spark, sf_dir)
     gamma = median_gamma(d.where("is_train"), "features", "image_id")
     rff = RandomFourierFeatures(inputCol="features", outputCol="rff", gamma=gamma, numFeatures=RFF_FEATURES, dim=DIM)
@@ -134,6 +138,8 @@ def q_svm_rbf(spark, sf_dir):
 
 
 def q_svm_grid(spark, sf_dir):
+    """C6 + C7: cross-validated accuracy of the RBF-approximating SVM over a
+    (width x C) grid, with the best point flagged."""
     d = _prepared(spark, sf_dir)
     tr = d.where("is_train").withColumn("fold", fold_of("image_id", GRID_FOLDS)).cache()
     gamma = median_gamma(tr, "features", "image_id")
