@@ -145,3 +145,11 @@ def test_distinct_count_exact_and_sketch(spark):
     df = spark.createDataFrame([(f"k{i % 500}",) for i in range(5000)] + [(None,)], "k string")
     assert distinct_count(df, "k").first()[0] == 501                 # NULL counts once
     assert abs(distinct_count(df, "k", approx=0.02).first()[0] - 501) < 30
+
+
+def test_param_grid_is_the_full_product(spark):
+    from tessera.operators.relate import param_grid
+
+    g = param_grid(spark, sigma=[0.01, 0.02, 0.03], C=[1, 2])
+    rows = sorted((r["sigma"], r["C"]) for r in g.collect())
+    assert rows == sorted((s, c) for s in [0.01, 0.02, 0.03] for c in [1, 2])
