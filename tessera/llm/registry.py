@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import packing
+from tessera.llm import packing, quality, simhash
 
-MODULES = [packing]
+MODULES = [packing, quality, simhash]
 
 
 def all_queries() -> dict:
