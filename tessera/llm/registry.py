@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import packing, quality, simhash
+from tessera.llm import decontam, packing, pii, quality, simhash
 
-MODULES = [packing, quality, simhash]
+MODULES = [packing, pii, quality, decontam, simhash]
 
 
 def all_queries() -> dict:

@@ -1,0 +1,120 @@
+"""Patterns against the plain regular expressions, and the random field's programs against all segmentations."""
+
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from fixtures_llm import SF_SMALL, docs_of  # noqa: F401
+from tessera.llm import pii
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+         "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+         "card": r"[0-9]([\x20-]?[0-9])+",
+         "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def plain(text):
+    out = []
+    for order, (kind, p) in enumerate(PLAIN.items()):
+        for m in re.finditer(p, text or ""):
+            d = re.sub(r"[^0-9]", "", m[0])
+            if (kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split("."))
+                    or kind == "card" and 12 <= len(d) <= 19 and luhn(d) or kind == "phone" and 9 <= len(d) <= 15):
+                out.append((m.start(), order, kind, m.end()))
+    return [(k, a, b) for a, _, k, b in sorted(out)]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b.c", "@", ".", "1", "255", "256", "1.2.3.4", "+", "-", " ", "(", ")", "4111 1111 1111 1111",
+                                 "4111-1111-1111-1112", "+1 (555) 555-0100", "x@y.z", "é", "\n", "%", "00", "4 2"]), max_size=14))
+def test_patterns_match_plain(parts):
+    text = "".join(parts)
+    assert pii.base_spans(text) == plain(text)
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "+1" + " " * 300_000, "a@" * 150_000, "1 " * 150_000):
+        pii.base_spans(text)
+
+
+def test_decode_and_expected_match_all_segmentations():
+    rng = np.random.default_rng(3)
+    kinds = 2
+    for n in (1, 2, 4):
+        scores = rng.normal(size=(n, pii.MAX_TOKENS, kinds))
+        for j in range(n):
+            scores[j, j + 1:] = -np.inf
+
+        def every(i):
+            if i == n:
+                yield 0.0, []
+                return
+            for s, rest in every(i + 1):
+                yield s, rest
+            for m in range(1, n - i + 1):
+                for k in range(kinds):
+                    for s, rest in every(i + m):
+                        yield s + scores[i + m - 1, m - 1, k], [(i, i + m, k), *rest]
+        found = list(every(0))
+        best = max(found, key=lambda x: x[0])
+        assert pii.decode(scores) == best[1]
+        total = np.log(sum(np.exp(s) for s, _ in found))
+        z, p = pii.expected(scores)
+        assert z == pytest.approx(total)
+        for j in range(n):
+            for m in range(j + 1):
+                for k in range(kinds):
+                    want = sum(np.exp(s - total) for s, seg in found if (j - m, j + 1, k) in seg)
+                    assert p[j, m, k] == pytest.approx(want)
+
+
+@pytest.fixture(scope="module")
+def weights(spark):
+    return pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+
+
+def test_field_finds_what_patterns_miss(weights):
+    text = 'and the key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" from the'
+    assert pii.find(text, weights) == ([], [("secret", 15, 55)])
+    joined = "er +1 (826) 555-4081 4111111111111111 on"       # both patterns run on and fail
+    base, added = pii.find(joined, weights)
+    assert base == [] and ("card", 21, 37) in added
+    for text in ("in 1999 there were 12 of them, and 300 more.", "number 4465758382889437 in", "plain words only", "a 5 b 6 c 7", "at 12:30 on 24.12.2020"):
+        assert pii.find(text, weights) == ([], [])
+
+
+def test_table(spark, weights):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    want = {r.doc_id: plain(r.text) for r in docs.collect()}
+    rows = pii.op4_pii(spark, SF_SMALL).collect()
+    assert len(rows) == len(want) and sum(map(len, want.values())) > 0
+    for r in rows:
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in want[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in want[r.doc_id]) for k in pii.KINDS[:4]]
+        assert set(filter(None, listed.split(","))) <= set(r.spans.split(","))
+
+
+def test_edges_of_the_input(spark, docs_of, weights):
+    docs = docs_of([(1, None), (2, ""), (None, "mail a@b.cd"), (3, "mail a@b.cd"), (3, "mail a@b.cd")])
+    rows = pii.spans(docs.withColumnRenamed("lang", "base"), weights).collect()
+    assert sorted(len(r.base) for r in rows) == [0, 0, 1, 1, 1]
+    texts = [r.text for r in pii.redact(docs, weights).collect()]
+    assert sorted(texts, key=str) == sorted([None, "", *["mail [EMAIL]"] * 3], key=str)
+    assert {r.n_chars for r in pii.redact(docs, weights).collect()} == {None, 0, 12}
+    empty = docs_of([])
+    assert pii.train(empty).shape == (len(pii.KINDS), pii.N_FEATURES)
+    assert pii.find("mail a@b.cd key 12345678901234567890ab", pii.train(empty))[0] == [("email", 5, 11)]
+    assert pii.spans(empty, weights).count() == 0
+
+
+def test_overlapping_spans_are_hidden_once(weights):
+    assert pii.hidden("call +1 (555) 555-0100 now", weights) == "call [PHONE] now"
