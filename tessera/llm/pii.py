@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 KINDS = ["email", "ip", "card", "phone", "secret"]
 MAX_TOKENS = 8
 TRAIN_WINDOWS = 1200      # windows the weights are fitted on, at most
-TRAIN_DOCS = 4000         # documents they are taken from, at most
+TRAIN_DOCS = 4000         # documents they are taken from, at most,
+TRAIN_CHARS = 20_000      # none longer than this
 EPOCHS, RATE, DECAY = 8, 0.3, 1e-4
 
 # Fixed patterns. Possessive digits and the look-behind change no match, only the time taken.
@@ -279,10 +280,10 @@ def _listed(spans: list[tuple[str, int, int]]) -> str:
 
 
 def train(docs: DataFrame, text_col: str = "text", max_docs: int = TRAIN_DOCS) -> np.ndarray:
-    """Weights fitted on at most ``max_docs`` texts with a digit or @ (lowest text hash first)."""
-    h = F.xxhash64(docs[text_col])
-    rows = docs.where(docs[text_col].rlike("[0-9@]")).select(h.alias("h"), F.substring(docs[text_col], 1, 20_000).alias("t")) \
-        .orderBy("h", "t").limit(max_docs).collect()
+    """Weights fitted on at most ``max_docs`` texts with a digit or @ and at most
+    TRAIN_CHARS characters, lowest text hash first."""
+    rows = docs.select(docs[text_col].cast("string").alias("t")).where(F.col("t").rlike("[0-9@]") & (F.length("t") <= TRAIN_CHARS)) \
+        .select(F.xxhash64("t").alias("h"), "t").dropDuplicates(["h"]).orderBy("h").limit(max_docs).collect()
     return fit([r["t"] for r in rows])
 
 
