@@ -99,7 +99,7 @@ def judge(docs: DataFrame, ratio: list[int], text_col: str = "text", threshold:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.aggregate("_grams", F.lit(0).cast("long"), lambda a, b: a + F.get(table, b)).alias("_sum"),
-        F.size("_grams").alias("_n"))
+        F.size("_grams").cast("long").alias("_n"))
     fails = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     good = F.col("_sum") >= F.lit(round(threshold * 1e6)) * F.col("_n")
     return d.select(*keep, *own[:5], F.coalesce(F.try_divide(F.col("_sum") / 1e6, F.col("_n")), F.lit(0.0)).alias("score"),
