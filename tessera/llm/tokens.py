@@ -14,13 +14,16 @@ import numpy as np
 
 # Non-space as the tokenizers see it: Python's \s also takes the four separators 1C-1F.
 _NS = r"[\S\x1c-\x1f]"
+# Letters that end before full stops, commas or exclamation marks which end the word:
+# both vocabularies keep letters and these marks apart, so more cuts are equal.
+_CUT = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]++(?=[.,!]+(?:[ \n]|\Z))"
 # A word that drops its white space (word vocabulary).
-WORDS = re.compile(_NS + "+")
+WORDS = re.compile(rf"{_CUT}|{_NS}+")
 # A word with the blanks and newlines before it; white space at the end; or, from
 # the first other white space on, the rest of the text in one piece (byte vocabulary).
-PIECES = re.compile(rf"[ \n]*{_NS}+|\s+\Z|\s(?s:.*)")
+PIECES = re.compile(rf"[ \n]*(?:{_CUT}|{_NS}+)|\s+\Z|\s(?s:.*)")
 LONG = 48          # longer pieces are encoded but not kept
-MEMO = 1_000_000   # pieces kept by one worker
+MEMO = 1_500_000   # pieces kept by one worker
 _SPACE = set(" \n\t\r\x0b\x0c\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(x) for x in range(0x2000, 0x200B)}
 
 
@@ -85,15 +88,27 @@ class Encoder:
         self.memo.update(zip(pieces, range(n, n + len(pieces))))
         self.n += len(pieces)
 
+    def _folded(self, text: str) -> str:
+        """Lower case where the vocabulary lowers anyway and the rule is the same (Latin-1 texts)."""
+        if self.sep:
+            try:
+                text.encode("latin-1")
+                return text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text
+
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if self.n > MEMO:
             self._reset()
-        per_text = [self.find(t) if t else [] for t in texts]
+        per_text = [self.find(self._folded(t)) if t else [] for t in texts]
         pieces = [p for ps in per_text for p in ps]
-        new = set(pieces) - self.memo.keys()
+        found = list(map(self.memo.get, pieces))
+        new = {p for p, i in zip(pieces, found) if i is None} if None in found else ()
         if new:
             self._learn(list(new))
-        which = np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
+            found = [self.memo[p] if i is None else i for p, i in zip(pieces, found)]
+        which = np.array(found, np.int64)
         begin, lens = self.first[which], self.first[which + 1] - self.first[which]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
