@@ -3,7 +3,8 @@
 DataFrame and SQL functions only. A text's features are its words and word
 pairs, hashed into ``buckets`` buckets (CRC-32 of each word; a pair mixes its
 two). Two multinomials over the buckets are counted: one over all documents,
-one over trusted documents. A document's score is the sum over its features of
+one over trusted documents. Both are shrunk towards no difference, so that a
+rare bucket says little in a small corpus. A document's score is the sum over its features of
 the log ratio of the two, in whole millionths so that it is the same whatever
 the order of summation, divided by their number; it is kept from a fixed
 threshold on. Simple rules (too few words, too much repetition) go first.
@@ -17,8 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
-SMOOTHING = 8.0
-THRESHOLD = -0.1            # mean log ratio per feature
+SHRINK = 30.0               # corpus features added to each bucket at the corpus' own share of trusted ones
+THRESHOLD = -0.12           # mean log ratio per feature
 TRUSTED = 20_000            # trusted documents, at most; those of lowest CRC-32 of their id
 PAIR = 65_599               # fixed multiplier of the word-pair hash
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -46,11 +47,11 @@ def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
 
 
 def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[int]:
+            buckets: int = BUCKETS, shrink: float = SHRINK) -> list[int]:
     """Log ratio of each bucket in millionths. ``trusted``: few doc_ids (bounded by the caller).
 
     The counts cover every document; they are combined before the shuffle and at
-    most ``buckets`` rows reach the driver.
+    most ``buckets`` rows reach the driver. Without trusted documents all are 0.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")) \
         .join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("_good"))), "doc_id", "left")
@@ -59,8 +60,10 @@ def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     raw, good = [0] * buckets, [0] * buckets
     for r in counts:
         raw[r["b"]], good[r["b"]] = r["raw"], r["good"]
-    t, n = sum(good) + smoothing * buckets, sum(raw) + smoothing * buckets
-    return [round(1e6 * (math.log((g + smoothing) / t) - math.log((r + smoothing) / n))) for g, r in zip(good, raw)]
+    if not any(good):
+        return [0] * buckets
+    share = sum(good) / sum(raw)
+    return [round(1e6 * math.log((g + shrink * share) / ((r + shrink) * share))) for g, r in zip(good, raw)]
 
 
 def judge(docs: DataFrame, ratio: list[int], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -92,14 +95,16 @@ def judge(docs: DataFrame, ratio: list[int], text_col: str = "text", threshold:
     covered = F.aggregate(F.transform("_again", lambda p, i: F.least(
         F.lit(5), F.coalesce(F.get(F.col("_again"), i + 1) - p, F.lit(5)))), F.lit(0), lambda a, x: a + x)
     d = d.withColumn("_grams", _features(F.col("_crc"), len(ratio)))
-    d = d.select(
-        *keep, n.cast("long").alias("n_words"),
+    # One generated row each: no later filter is copied below the projections above, whose
+    # expressions use one another several times over.
+    d = d.select(*keep, F.inline(F.array(F.struct(
+        n.cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.regexp_replace("_text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.aggregate("_grams", F.lit(0).cast("long"), lambda a, b: a + F.get(table, b)).alias("_sum"),
-        F.size("_grams").cast("long").alias("_n"))
+        F.size("_grams").cast("long").alias("_n")))))
     fails = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     good = F.col("_sum") >= F.lit(round(threshold * 1e6)) * F.col("_n")
     return d.select(*keep, *own[:5], F.coalesce(F.try_divide(F.col("_sum") / 1e6, F.col("_n")), F.lit(0.0)).alias("score"),
@@ -111,6 +116,12 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     return judge(docs, weights(docs, trusted_ids(labels)), threshold=threshold)
 
 
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents (all their columns) that ``quality`` keeps."""
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_whole"))
+    return quality(whole, labels, threshold).where("kept").select("_whole.*")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdict of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -141,9 +152,9 @@ wh AS MATERIALIZED (SELECT rid, p, h, lead(h) OVER (PARTITION BY rid ORDER BY p)
 grams AS MATERIALIZED (SELECT rid, h % {BUCKETS} AS b FROM wh
   UNION ALL SELECT rid, (h * {PAIR} + h2 + 1) % {BUCKETS} FROM wh WHERE h2 IS NOT NULL),
 counts AS (SELECT b, count(*) AS r, count(good) AS g FROM grams JOIN d USING (rid) LEFT JOIN trusted USING (doc_id) GROUP BY b),
-sums AS (SELECT coalesce(sum(r), 0) AS n, coalesce(sum(g), 0) AS t FROM counts),
-ratio AS (SELECT b, CAST(round_even(1e6 * (ln((g + {SMOOTHING}) / (t + {SMOOTHING * BUCKETS}))
-  - ln((r + {SMOOTHING}) / (n + {SMOOTHING * BUCKETS}))), 0) AS BIGINT) AS v FROM counts, sums),
+sums AS (SELECT CAST(sum(g) AS DOUBLE) / CAST(sum(r) AS DOUBLE) AS share FROM counts),
+ratio AS (SELECT b, CASE WHEN share > 0 THEN
+  CAST(round_even(1e6 * ln((g + {SHRINK} * share) / ((r + {SHRINK}) * share)), 0) AS BIGINT) ELSE 0 END AS v FROM counts, sums),
 scored AS (SELECT rid, sum(v) AS s, count(*) AS k FROM grams JOIN ratio USING (b) GROUP BY rid),
 runs AS (SELECT d.rid, p, array_to_string(ws[p:p + 4], ' ') AS run FROM d JOIN w USING (rid) WHERE p <= len(ws) - 4),
 again AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, run) AS c FROM runs) WHERE c > 1),

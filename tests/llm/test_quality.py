@@ -50,14 +50,14 @@ def test_rules_match_plain(judged):
 
 def test_ratio_matches_plain(judged):
     docs, ratio, rows = judged
-    m, a = 512, quality.SMOOTHING
+    m, k = 512, quality.SHRINK
     raw, good = [0] * m, [0] * m
     for r in rows:
         for b in grams(r.text, m):
             raw[b] += 1
             good[b] += r.doc_id in (6, 18)
-    want = [round(1e6 * (math.log((g + a) / (sum(good) + a * m)) - math.log((r + a) / (sum(raw) + a * m))))
-            for g, r in zip(good, raw)]
+    share = sum(good) / sum(raw)
+    want = [round(1e6 * math.log((g + k * share) / ((r + k) * share))) for g, r in zip(good, raw)]
     assert ratio == want
     for r in rows:
         g = grams(r.text, m)
@@ -76,3 +76,16 @@ def test_empty_tables(spark, docs_of):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.quality(docs_of([]), labels).count() == 0
     assert quality.quality(docs_of([(1, "only one here")]), labels).first().kept is False
+
+
+def test_clean_documents_stay_and_junk_goes(spark):
+    """At every size: nearly all quality-1 documents that pass the simple rules, and few quality-0 ones."""
+    for sf, most in (("sf0.01", 0.5), ("sf0.1", 0.2)):
+        d = f"/root/testdata/{sf}"
+        labels = spark.read.parquet(f"{d}/labels.parquet")
+        rows = quality.quality(spark.read.parquet(f"{d}/documents.parquet"), labels).join(labels, "doc_id") \
+            .where("NOT base_failed").groupBy("quality").agg({"kept": "count", "doc_id": "count", "score": "avg"}).collect()
+        kept = quality.kept(spark.read.parquet(f"{d}/documents.parquet"), labels).join(labels, "doc_id") \
+            .groupBy("quality").count().collect()
+        all_of, kept_of = {r.quality: r["count(kept)"] for r in rows}, {r["quality"]: r["count"] for r in kept}
+        assert kept_of[1] >= 0.99 * all_of[1] and kept_of.get(0, 0) <= most * all_of[0]
