@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
@@ -176,6 +176,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
+    """The documents (all their columns) without near-duplicates: of each component
+    the row of smallest doc_id, nulls last, then of smallest text hash.
+
+    Rows with the same doc_id and text are one document; the first by lang, source
+    and the other columns stays. Texts are shuffled once, by that key.
+    """
+    key, text_hash, rank = (next(f"_{n}{k}" for k in range(99) if f"_{n}{k}" not in docs.columns) for n in ("key", "hash", "rank"))
+    # One long that sorts like doc_id with nulls last, so that a plain equality joins it.
+    keyed = docs.withColumn(key, F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1))) \
+        .withColumn(text_hash, F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = pa.array(fingerprints(b.column(2), shingle, seed).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp], names=["k", "h", "fp"])
+
+    fps = materialize(keyed.select(F.col(key), F.col(text_hash), docs["text"].cast("string"))
+                      .mapInArrow(run, "k long, h long, fp long"))
+    first = fps.groupBy("fp").agg(F.min(F.struct("k", "h")).alias("least"))
+    roots = components(fingerprint_links(first, distance)).withColumnRenamed("node", "fp")
+    kept = (first.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+            .select(F.col("least.k").alias(key), F.col("least.h").alias(text_hash)).dropDuplicates())
+    order = Window.partitionBy(key, text_hash).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], "text")
+    return keyed.join(kept, [key, text_hash]).withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1) \
+        .select(*docs.columns)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents (4-word shingles, at most 4 bits)."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
