@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import pipeline
 
-STAGES = pipeline.STAGES
-# Near-duplicate groups, trained models and tokenizers have no SQL form; tests/llm holds the brute-force version.
+STAGES = [
+    ("quality rules", pipeline.keep_good),
+    ("simhash near-dedup", pipeline.keep_one_of_each),
+    ("benchmark decontamination", pipeline.keep_unseen),
+    ("pii", pipeline.hide_personal),
+    ("packing", pipeline.pack),
+]
+# Fingerprint components, fitted weights and tokenizers have no SQL form; tests/llm holds the brute-force version.
 ORACLE_SQL: str | None = None
 
 
