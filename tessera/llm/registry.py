@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontam, langid, packing, pii, quality, simhash
+from tessera.llm import decontam, langid, packing, pii, quality, simhash, toxicity
 
-MODULES = [langid, packing, pii, quality, decontam, simhash]
+MODULES = [langid, packing, pii, quality, decontam, simhash, toxicity]
 
 
 def all_queries() -> dict:
