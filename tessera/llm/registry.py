@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontam, langid, packing, pii, quality, simhash, toxicity
+from tessera.llm import decontam, langid, packing, pii, quality, sentences, simhash, toxicity
 
-MODULES = [langid, packing, pii, quality, decontam, simhash, toxicity]
+MODULES = [langid, packing, pii, quality, decontam, sentences, simhash, toxicity]
 
 
 def all_queries() -> dict:
