@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontam, idfiles, langid, packing, pii, quality, sentences, simhash, toxicity
+from tessera.llm import decontam, idfiles, langid, packing, pii, quality, sentences, simhash, suffixtree, toxicity
 
-MODULES = [langid, packing, pii, quality, decontam, sentences, idfiles, simhash, toxicity]
+MODULES = [langid, packing, pii, quality, decontam, sentences, idfiles, simhash, toxicity, suffixtree]
 
 
 def all_queries() -> dict:
