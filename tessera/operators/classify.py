@@ -15,7 +15,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, Transformer
+from pyspark.ml import Transformer
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-SAMPLE_ROWS = 500
+from tessera.session import materialize
 
 
 def with_vector(df: DataFrame, col: str = "features", out: str = "vec") -> DataFrame:
@@ -56,26 +56,40 @@ def rff_column(col, w: np.ndarray, b: np.ndarray):
     return _map(F.col(col) if isinstance(col, str) else col)
 
 
-def median_gamma(df: DataFrame, col: str = "features", key: str | None = None,
-                 sample_rows: int = SAMPLE_ROWS) -> float:
-    """Kernel width from the median squared distance of a bounded key-hash
-    sample (gamma = 1 / median), as automatic width estimators do."""
-    from tessera.operators.sample import hash_unit
-
-    src = df.select(col, *( [key] if key else []))
-    if key:
-        n = src.count()
-        frac = min(1.0, 2.0 * sample_rows / max(n, 1))
-        src = src.where(hash_unit(key) < F.lit(frac))
-    rows = src.select(col).limit(sample_rows).collect()
-    x = np.array([r[0] for r in rows], dtype=float)
-    if len(x) < 2:
-        return 1.0
-    sq = (x * x).sum(1)
-    d2 = sq[:, None] + sq[None, :] - 2.0 * x @ x.T
-    iu = np.triu_indices(len(x), 1)
-    med = float(np.median(d2[iu]))
-    return 1.0 / med if med > 0 else 1.0
+def vector_length(df: DataFrame, col: str = "features") -> int:
+    """Length of the (equally long) feature arrays; 0 for an empty table."""
+    return df.agg(F.max(F.size(col))).first()[0] or 0
+
+
+def width_gamma(df: DataFrame, col: str = "features") -> float:
+    """Kernel width 1 / (mean squared distance) over all pairs of rows.
+
+    The mean squared distance is twice the sum of the features' population
+    variances, so one aggregate over all rows gives it.
+    """
+    from pyspark.ml.stat import Summarizer
+
+    s = df.select(Summarizer.metrics("variance", "count").summary(
+        array_to_vector(F.col(col).cast("array<double>"))).alias("s")).first()["s"]
+    n = int(s["count"])
+    mean = 2.0 * float(np.sum(s["variance"].toArray())) * (n - 1) / n if n > 1 else 0.0
+    return 1.0 / mean if mean > 0 else 1.0
+
+
+def centroids(df: DataFrame, features: str = "features", label: str = "digit") -> dict[int, list[float]]:
+    """Mean feature vector of each class: classes x length numbers, summed on the cluster."""
+    at = df.where(F.col(label).isNotNull()).select(F.col(label).alias("c"), F.posexplode(features).alias("i", "x"))
+    out: dict[int, list[float]] = {}
+    for r in at.groupBy("c", "i").agg(F.avg("x").alias("m")).orderBy("c", "i").collect():
+        out.setdefault(r["c"], []).append(r["m"])
+    return out
+
+
+def nearest_centroid(means: dict[int, list[float]], features: str = "features"):
+    """Column: the class whose mean vector is nearest (ties: the lowest class)."""
+    apart = [F.struct(F.aggregate(F.zip_with(F.col(features), F.array(*[F.lit(float(x)) for x in m]), lambda a, b: (a - b) * (a - b)),
+                                  F.lit(0.0), lambda s, x: s + x).alias("d"), F.lit(c).alias("c")) for c, m in sorted(means.items())]
+    return F.array_min(F.array(*apart))["c"].cast("int") if apart else F.lit(None).cast("int")
 
 
 class RandomFourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -102,38 +116,47 @@ class RandomFourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWri
 
 def linear_svm(features: str = "vec", label: str = "label", max_iter: int = 50, reg: float = 0.0,
                parallelism: int = 10) -> OneVsRest:
-    """One binary hinge-loss model per class, no standardisation (scale=FALSE)."""
+    """One binary hinge-loss model per class, no standardisation (scale=FALSE).
+
+    ``reg`` is 1 / (C n) for a cost C on n training rows (``svm_reg``).
+    """
     svc = LinearSVC(featuresCol=features, labelCol=label, maxIter=max_iter, regParam=reg,
                     standardization=False)
     return OneVsRest(classifier=svc, featuresCol=features, labelCol=label, parallelism=parallelism)
 
 
+def svm_reg(train: DataFrame, c: float = 1.0) -> float:
+    """The regularisation of cost C = ``c`` on these rows (the reference library's default cost is 1)."""
+    return 1.0 / (c * max(1, train.count()))
+
+
 def fit_predict(train: DataFrame, test: DataFrame, estimator, keep: list[str]) -> DataFrame:
     """Fit on the training part, label the test part."""
     model = estimator.fit(train)
     return model.transform(test).select(*keep, F.col("prediction").cast("int").alias("prediction"))
 
 
-def grid_search(train: DataFrame, sigmas, cs, folds: int = 3, dim: int = 64, n_features: int = 256,
+def grid_search(train: DataFrame, sigmas, cs, folds: int = 5, dim: int = 64, n_features: int = 256,
                 label: str = "label", fold_col: str = "fold", max_iter: int = 20, seed: int = 7,
-                parallelism: int = 4) -> DataFrame:
+                parallelism: int = 8) -> DataFrame:
     """C6 + C7: cross-validated accuracy over (sigma, C); C maps to
-    regParam = 1 / (C n). Returns one row per grid point with the mean metric."""
+    regParam = 1 / (C n). Returns one row per grid point with the mean metric.
+
+    The features are mapped once per width and kept in the checkpoint folder; all
+    costs and folds are fitted on them.
+    """
     n = train.count()
-    rff = RandomFourierFeatures(inputCol="features", outputCol="rff", numFeatures=n_features, seed=seed, dim=dim)
-    svc = LinearSVC(featuresCol="rff", labelCol=label, maxIter=max_iter, standardization=False)
-    ovr = OneVsRest(classifier=svc, featuresCol="rff", labelCol=label, parallelism=parallelism)
-    pipe = Pipeline(stages=[rff, ovr])
-    grid = (ParamGridBuilder().addGrid(rff.gamma, [float(s) for s in sigmas])
-            .addGrid(svc.regParam, [1.0 / (float(c) * n) for c in cs]).build())
     ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="accuracy")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
-                        numFolds=folds, parallelism=parallelism, seed=seed)
-    model = cv.fit(train)
     rows = []
-    best = int(np.argmax(model.avgMetrics))
-    for i, pm in enumerate(grid):
-        g = [v for p, v in pm.items() if p.name == "gamma"][0]
-        r = [v for p, v in pm.items() if p.name == "regParam"][0]
-        rows.append((float(g), float(1.0 / (r * n)), float(model.avgMetrics[i]), i == best))
-    return train.sparkSession.createDataFrame(rows, "sigma double, c double, mean_accuracy double, is_best boolean")
+    for sigma in sigmas:
+        rff = RandomFourierFeatures(inputCol="features", outputCol="rff", gamma=float(sigma), numFeatures=n_features, seed=seed, dim=dim)
+        mapped = materialize(rff.transform(train).select(label, fold_col, "rff"))
+        svc = LinearSVC(featuresCol="rff", labelCol=label, maxIter=max_iter, standardization=False)
+        ovr = OneVsRest(classifier=svc, featuresCol="rff", labelCol=label, parallelism=2)
+        grid = ParamGridBuilder().addGrid(svc.regParam, [1.0 / (float(c) * n) for c in cs]).build()
+        cv = CrossValidator(estimator=ovr, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
+                            numFolds=folds, parallelism=parallelism, seed=seed)
+        rows += [(float(sigma), float(c), float(m)) for c, m in zip(cs, cv.fit(mapped).avgMetrics)]
+    best = int(np.argmax([r[2] for r in rows]))
+    return train.sparkSession.createDataFrame([(*r, i == best) for i, r in enumerate(rows)],
+                                              "sigma double, c double, mean_accuracy double, is_best boolean")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.regress import betainc
+from tessera.session import materialize
 
 
 def confusion(pred: DataFrame, actual: str = "label", predicted: str = "prediction") -> DataFrame:
@@ -26,7 +27,7 @@ def class_metrics(conf: DataFrame) -> DataFrame:
 
     The per-class totals are small aggregates of the confusion table (k^2 rows).
     """
-    conf = conf.persist()                                             # k x k counts, read four times
+    conf = materialize(conf)                                          # k x k counts, read four times
     classes = (conf.select(F.col("actual").alias("cls")).union(conf.select(F.col("predicted").alias("cls")))
                    .distinct())
     act = conf.groupBy(F.col("actual").alias("cls")).agg(F.sum("n").alias("n_actual"))
@@ -47,12 +48,12 @@ def class_metrics(conf: DataFrame) -> DataFrame:
     acc = F.col("correct") / F.col("N")
     return per.select(
         "cls",
-        (F.col("tp") / F.col("n_actual")).alias("sensitivity"),
-        ((F.col("N") - F.col("n_actual") - F.col("n_pred") + F.col("tp")) / (F.col("N") - F.col("n_actual")))
+        F.try_divide(F.col("tp"), F.col("n_actual")).alias("sensitivity"),
+        F.try_divide(F.col("N") - F.col("n_actual") - F.col("n_pred") + F.col("tp"), F.col("N") - F.col("n_actual"))
         .alias("specificity"),
         (F.col("n_actual") / F.col("N")).alias("prevalence"),
         acc.alias("accuracy"), F.col("nir"),
-        ((acc - F.col("pe")) / (F.lit(1.0) - F.col("pe"))).alias("kappa"),
+        F.try_divide(acc - F.col("pe"), F.lit(1.0) - F.col("pe")).alias("kappa"),
         F.col("N").alias("n"))
 
 

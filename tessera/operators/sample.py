@@ -10,24 +10,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values of the key mix: MINSTD multiplier and modulus.
+# Fixed values of the key mix: MINSTD multipliers and modulus.
 MIX_MULT = 48271
+SALT_MULT = 69621
 MIX_MOD = 2147483647
 
 
-def hash_unit(key: str | Column) -> Column:
-    """Key -> number in [0, 1) from two multiplicative steps modulo 2^31-1."""
-    k = (F.col(key) if isinstance(key, str) else key).cast("long")
+def hash_unit(key: str | Column, salt: int = 0) -> Column:
+    """Key -> number in [0, 1) from two multiplicative steps modulo 2^31-1.
+
+    A NULL key counts as 0, so every row has a place. Each ``salt`` above 0 adds
+    that many steps with another multiplier: purposes with different salts (a
+    split and the folds inside its parts) are cut independently of one another.
+    """
+    k = F.coalesce((F.col(key) if isinstance(key, str) else key).cast("long"), F.lit(0).cast("long"))
     h = F.pmod(k, F.lit(MIX_MOD))
     h = F.pmod(h * F.lit(MIX_MULT), F.lit(MIX_MOD))
     h = F.pmod(h * F.lit(MIX_MULT), F.lit(MIX_MOD))
+    for _ in range(salt):
+        h = F.pmod(h * F.lit(SALT_MULT) + F.lit(MIX_MULT), F.lit(MIX_MOD))
     return h / F.lit(float(MIX_MOD))
 
 
-def hash_unit_sql(key: str) -> str:
+def hash_unit_sql(key: str, salt: int = 0) -> str:
     """The same mix as SQL text (for oracles)."""
     m, a = MIX_MOD, MIX_MULT
-    return f"((((((({key} % {m}) + {m}) % {m}) * {a}) % {m}) * {a}) % {m}) / {float(m)}"
+    h = f"((((((coalesce({key}, 0) % {m}) + {m}) % {m}) * {a}) % {m}) * {a}) % {m}"
+    for _ in range(salt):
+        h = f"(({h}) * {SALT_MULT} + {a}) % {m}"
+    return f"({h}) / {float(m)}"
 
 
 def split_flag(key: str | Column, fraction: float) -> Column:
@@ -42,14 +53,18 @@ def train_test(df: DataFrame, key: str, fraction: float = 0.7) -> tuple[DataFram
     return df.where(flag), df.where(~flag)
 
 
+# Folds and subsamples don't follow the split: their hashes have salts of their own.
+FOLD_SALT, SAMPLE_SALT = 1, 2
+
+
 def fold_of(key: str | Column, k: int = 5) -> Column:
-    """M3: fold number 0..k-1 from the key hash."""
-    return F.floor(hash_unit(key) * F.lit(k)).cast("int")
+    """M3: fold number 0..k-1 from the key hash, independent of ``split_flag``."""
+    return F.floor(hash_unit(key, FOLD_SALT) * F.lit(k)).cast("int")
 
 
 def key_sample(df: DataFrame, key: str, fraction: float) -> DataFrame:
     """M2: 1/30-style subsample by key hash (same rows on every run)."""
-    return df.where(hash_unit(key) < F.lit(fraction))
+    return df.where(hash_unit(key, SAMPLE_SALT) < F.lit(fraction))
 
 
 def stratified_sample(df: DataFrame, key: str, strata: str, fractions: dict | float) -> DataFrame:
@@ -57,4 +72,4 @@ def stratified_sample(df: DataFrame, key: str, strata: str, fractions: dict | fl
     if isinstance(fractions, (int, float)):
         return key_sample(df, key, float(fractions))
     frac = F.create_map(*[x for k, v in fractions.items() for x in (F.lit(k), F.lit(float(v)))])
-    return df.where(hash_unit(key) < F.coalesce(F.try_element_at(frac, F.col(strata)), F.lit(0.0)))
+    return df.where(hash_unit(key, SAMPLE_SALT) < F.coalesce(F.try_element_at(frac, F.col(strata)), F.lit(0.0)))

@@ -4,27 +4,27 @@ matrix and its statistics."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import rnd
 from tessera.operators.classify import (
-    RandomFourierFeatures, fit_predict, grid_search, linear_svm, median_gamma, with_vector,
+    RandomFourierFeatures, centroids, fit_predict, grid_search, linear_svm, nearest_centroid, svm_reg, vector_length, width_gamma, with_vector,
 )
 from tessera.operators.metrics import class_metrics, confusion, summary_row
 from tessera.operators.profile import column_summary
-from tessera.operators.sample import fold_of, hash_unit_sql, split_flag, stratified_sample
+from tessera.operators.relate import param_grid
+from tessera.operators.sample import FOLD_SALT, SAMPLE_SALT, fold_of, hash_unit_sql, split_flag, stratified_sample
 from tessera.plans import bind
+from tessera.session import materialize
 
-DIM = 64
 TRAIN_FRACTION = 0.7
 SAMPLE_FRACTION = 1.0 / 30.0
 FOLDS = 5
-GRID_FOLDS = 3
-GRID_SIGMA_FACTORS = [0.5, 2.0]
-GRID_C = [1.0, 5.0]
+# Five widths around the one that the data suggest, and the costs of the search.
+GRID_SIGMA_FACTORS = [0.25, 0.5, 1.0, 2.0, 4.0]
+GRID_C = [1.0, 2.0, 3.0, 4.0, 5.0]
 RFF_FEATURES = 256
-RULE_CLASSES = 10
 
 
 # ------------------------------------------------------------------ operators
@@ -34,16 +34,10 @@ def pixels(features: str = "features"):
                                                           F.lit(255)).cast("int"))
 
 
-def pixel_columns(df: DataFrame, dim: int = DIM) -> DataFrame:
+def pixel_columns(df: DataFrame, dim: int) -> DataFrame:
     return df.select("image_id", *[F.get(pixels(), i).alias(f"px{i}") for i in range(dim)])
 
 
-def rule_prediction(features: str = "features", k: int = RULE_CLASSES):
-    """A deterministic reference classifier: index of the largest of the first k features."""
-    head = F.slice(F.col(features), 1, k)
-    return (F.array_position(head, F.array_max(head)) - 1).cast("int")
-
-
 def _prepared(spark, sf_dir):
     v = bind.digits_view(spark, sf_dir)
     return with_vector(v.withColumn("label", F.col("digit").cast("double"))
@@ -66,8 +60,9 @@ def _metrics_frame(spark, pred: DataFrame, model: str) -> DataFrame:
 
 # ------------------------------------------------------------------ bindings
 def q_column_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = pixel_columns(bind.digits_view(spark, sf_dir))
-    s = column_summary(px, [f"px{i}" for i in range(DIM)], exact=True)
+    v = bind.digits_view(spark, sf_dir)
+    dim = vector_length(v)
+    s = column_summary(pixel_columns(v, dim), [f"px{i}" for i in range(dim)], exact=True)
     return s.select("column_name", "min", rnd("q1", 6).alias("q1"), rnd("median", 6).alias("median"),
                     rnd("mean", 6).alias("mean"), rnd("q3", 6).alias("q3"), "max")
 
@@ -84,34 +79,42 @@ def q_stratified_sample(spark, sf_dir):
 
 
 def q_cv_folds(spark, sf_dir):
-    return bind.digits_view(spark, sf_dir).select("image_id", fold_of("image_id", FOLDS).alias("fold"))
+    """M3: the fold of every training row."""
+    return _train(spark, sf_dir).select("image_id", "fold")
+
+
+def _train(spark, sf_dir):
+    return bind.digits_view(spark, sf_dir).where(split_flag("image_id", TRAIN_FRACTION)) \
+        .withColumn("fold", fold_of("image_id", FOLDS))
 
 
 def q_param_grid(spark, sf_dir):
-    """(sigma factor x C) grid crossed with the folds found in the data, with
-    the training / validation row counts each grid point would use."""
-    d = bind.digits_view(spark, sf_dir).withColumn("fold", fold_of("image_id", FOLDS))
-    per = d.groupBy("fold").agg(F.count(F.lit(1)).alias("n_valid"))
-    n = F.sum("n_valid").over(Window.partitionBy())                  # one row per fold
-    grid = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("sigma_factor"), F.lit(float(c)).alias("c"))
-                               for s in GRID_SIGMA_FACTORS for c in GRID_C]))
-    return (per.withColumn("n_train", n - F.col("n_valid"))
-               .select(grid.alias("g"), "fold", "n_train", "n_valid")
-               .select("g.sigma_factor", "g.c", "fold", "n_train", "n_valid"))
+    """(sigma factor x C x fold) grid with the training and validation row
+    counts each point uses."""
+    d = _train(spark, sf_dir)
+    n = d.count()
+    per = d.groupBy("fold").agg(F.count(F.lit(1)).alias("n_valid")) \
+        .select("fold", (F.lit(n) - F.col("n_valid")).alias("n_train"), "n_valid")
+    grid = param_grid(spark, sigma_factor=GRID_SIGMA_FACTORS, c=GRID_C, fold=list(range(FOLDS))) \
+        .withColumn("fold", F.col("fold").cast("int"))
+    return grid.join(F.broadcast(per), "fold").select("sigma_factor", "c", "fold", "n_train", "n_valid")
 
 
 def q_confusion_matrix(spark, sf_dir):
-    """C4: confusion counts of the deterministic rule classifier (largest of the
-    first ten features) against the labels; the SVM queries report theirs as metrics."""
-    v = bind.digits_view(spark, sf_dir).withColumn("prediction", rule_prediction())
-    return confusion(v, "digit", "prediction")
+    """C4: confusion counts of a nearest-centroid classifier over all features, learned
+    from the training rows and applied to all."""
+    return confusion(_by_centroid(spark, sf_dir), "digit", "prediction")
+
+
+def _by_centroid(spark, sf_dir):
+    v = bind.digits_view(spark, sf_dir)
+    return v.withColumn("prediction", nearest_centroid(centroids(v.where(split_flag("image_id", TRAIN_FRACTION)))))
 
 
 def q_class_metrics(spark, sf_dir):
     """Per-class sensitivity, specificity, prevalence and overall accuracy,
-    no-information rate and kappa of the rule classifier's confusion counts."""
-    v = bind.digits_view(spark, sf_dir).withColumn("prediction", rule_prediction())
-    m = class_metrics(confusion(v, "digit", "prediction"))
+    no-information rate and kappa of the nearest-centroid classifier's confusion counts."""
+    m = class_metrics(confusion(_by_centroid(spark, sf_dir), "digit", "prediction"))
     return m.select(F.col("cls").alias("class"), *[rnd(c, 6).alias(c) for c in
                     ["sensitivity", "specificity", "prevalence", "accuracy", "nir", "kappa"]], "n")
 
@@ -121,19 +124,20 @@ def q_svm_linear(spark, sf_dir):
     holdout: accuracy, exact 95% interval, no-information rate and test, kappa."""
     d = _prepared(spark, sf_dir)
     pred = fit_predict(d.where("is_train"), d.where("not is_train"),
-                       linear_svm("vec", "label"), ["image_id", "digit"])
+                       linear_svm("vec", "label", reg=svm_reg(d.where("is_train"))), ["image_id", "digit"])
     return _metrics_frame(spark, pred, "linear")
 
 
 def q_svm_rbf(spark, sf_dir):
     """C2 + C3 + C5: the same, on random Fourier features approximating an RBF
-    kernel whose width comes from the median distance of a bounded sample."""
+    kernel whose width comes from the mean squared distance of all training rows."""
     d = _prepared(spark, sf_dir)
-    gamma = median_gamma(d.where("is_train"), "features", "image_id")
-    rff = RandomFourierFeatures(inputCol="features", outputCol="rff", gamma=gamma, numFeatures=RFF_FEATURES, dim=DIM)
+    tr = d.where("is_train")
+    rff = RandomFourierFeatures(inputCol="features", outputCol="rff", gamma=width_gamma(tr), numFeatures=RFF_FEATURES,
+                                dim=vector_length(tr))
     m = rff.transform(d)
     pred = fit_predict(m.where("is_train"), m.where("not is_train"),
-                       linear_svm("rff", "label"), ["image_id", "digit"])
+                       linear_svm("rff", "label", reg=svm_reg(tr)), ["image_id", "digit"])
     return _metrics_frame(spark, pred, "rbf_rff")
 
 
@@ -141,9 +145,9 @@ def q_svm_grid(spark, sf_dir):
     """C6 + C7: cross-validated accuracy of the RBF-approximating SVM over a
     (width x C) grid, with the best point flagged."""
     d = _prepared(spark, sf_dir)
-    tr = d.where("is_train").withColumn("fold", fold_of("image_id", GRID_FOLDS)).cache()
-    gamma = median_gamma(tr, "features", "image_id")
-    return grid_search(tr, [gamma * f for f in GRID_SIGMA_FACTORS], GRID_C, GRID_FOLDS, DIM, RFF_FEATURES)
+    tr = materialize(d.where("is_train").withColumn("fold", fold_of("image_id", FOLDS)).select("label", "fold", "features"))
+    gamma = width_gamma(tr)
+    return grid_search(tr, [gamma * f for f in GRID_SIGMA_FACTORS], GRID_C, FOLDS, vector_length(tr), RFF_FEATURES)
 
 
 QUERIES = {
@@ -160,10 +164,17 @@ QUERIES = {
 
 # ------------------------------------------------------------------ oracles
 _PX = "CAST(least(greatest(floor((CAST(x AS DOUBLE) + 0.5) * 256), 0), 255) AS INTEGER)"
-_RULE = ("CAST(list_position(list_slice(CAST(embedding AS DOUBLE[]), 1, 10), "
-         "list_max(list_slice(CAST(embedding AS DOUBLE[]), 1, 10))) - 1 AS INTEGER)")
-_FOLD = f"CAST(floor({hash_unit_sql('vec_id')} * {FOLDS}) AS INTEGER)"
-_CONF = f"SELECT label AS actual, {_RULE} AS predicted, count(*) AS n FROM embeddings GROUP BY ALL"
+_FOLD = f"CAST(floor({hash_unit_sql('vec_id', FOLD_SALT)} * {FOLDS}) AS INTEGER)"
+_TRAIN = f"{hash_unit_sql('vec_id')} < {TRAIN_FRACTION}"
+_CONF = f"""SELECT actual, predicted, count(*) AS n FROM (
+  SELECT label AS actual, arg_min(c, struct_pack(d := d, c := c)) AS predicted FROM (
+    SELECT vec_id, label, c, list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM
+      (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+      (SELECT c, list(m ORDER BY i) AS m FROM (
+        SELECT label AS c, i, avg(v) AS m FROM (
+          SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS v, unnest(range(len(embedding))) AS i
+          FROM embeddings WHERE label IS NOT NULL AND {_TRAIN}) GROUP BY ALL) GROUP BY c))
+  GROUP BY vec_id, label) GROUP BY ALL"""
 
 ORACLES = {
     "column_summary": f"""WITH px AS (
@@ -172,9 +183,11 @@ ORACLES = {
     FROM embeddings))
 SELECT column_name, min(v) AS min, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS median,
   round(avg(v), 6) AS mean, round(quantile_cont(v, 0.75), 6) AS q3, max(v) AS max FROM px GROUP BY column_name""",
-    "cv_folds": f"SELECT vec_id AS image_id, {_FOLD} AS fold FROM embeddings",
-    "param_grid": f"""WITH f AS (SELECT {_FOLD} AS fold, count(*) AS n_valid FROM embeddings GROUP BY 1),
-t AS (SELECT count(*) AS n FROM embeddings)
+    "stratified_sample": f"""SELECT vec_id AS image_id, label AS digit FROM embeddings
+WHERE {hash_unit_sql('vec_id', SAMPLE_SALT)} < {SAMPLE_FRACTION} AND label IS NOT NULL""",
+    "cv_folds": f"SELECT vec_id AS image_id, {_FOLD} AS fold FROM embeddings WHERE {_TRAIN}",
+    "param_grid": f"""WITH f AS (SELECT {_FOLD} AS fold, count(*) AS n_valid FROM embeddings WHERE {_TRAIN} GROUP BY 1),
+t AS (SELECT count(*) AS n FROM embeddings WHERE {_TRAIN})
 SELECT s.sigma_factor, c.c, f.fold, t.n - f.n_valid AS n_train, f.n_valid
 FROM (SELECT unnest([{', '.join(str(x) for x in GRID_SIGMA_FACTORS)}])::DOUBLE AS sigma_factor) s,
      (SELECT unnest([{', '.join(str(x) for x in GRID_C)}])::DOUBLE AS c) c, f, t""",

@@ -119,13 +119,36 @@ def test_classifiers_on_blobs_and_rings(spark):
     assert a_rbf > 0.9 and a_rbf > a_lin + 0.2
 
 
-def test_wide_gram_path_matches_flat(spark, ols_known):
+def test_gram_matches_numpy(spark, ols_known):
     df, _, _ = ols_known
     cols = ["x1", "x2", "x3", "x4", "y"]
-    a = gram(df, cols)
-    b = gram(df, cols, wide=2)
-    assert a.n == b.n
-    assert np.allclose(a.mean, b.mean, rtol=1e-12, atol=1e-12)
-    assert np.allclose(a.cross, b.cross, rtol=1e-9, atol=1e-8)
-    fa, fb = ols(a, "y", cols[:-1]), ols(b, "y", cols[:-1])
-    assert np.allclose(fa.coef, fb.coef, rtol=1e-9)
+    x = df.select(*cols).toPandas().to_numpy(dtype=float)
+    g = gram(df.repartition(5), cols)
+    d = x - x.mean(0)
+    assert g.n == len(x) and np.allclose(g.mean, x.mean(0), rtol=1e-12, atol=1e-12)
+    assert np.allclose(g.cross, d.T @ d, rtol=1e-9, atol=1e-8)
+    assert gram(df.limit(0), cols).n == 0
+
+
+def test_folds_are_even_inside_the_training_rows(spark):
+    from tessera.operators.sample import fold_of, split_flag, train_test
+
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    for folds in (3, 5):
+        sizes = [r["count"] for r in df.where(split_flag("k", 0.7)).groupBy(fold_of("k", folds).alias("f")).count().collect()]
+        assert len(sizes) == folds and max(sizes) <= 1.2 * min(sizes)
+    null = spark.createDataFrame([(None,), (1,), (None,)], "k long")
+    a, b = train_test(null, "k")
+    assert a.count() + b.count() == 3
+
+
+def test_metrics_of_odd_confusions(spark):
+    from tessera.operators.aggregate import standard_scores
+    from tessera.operators.metrics import class_metrics, confusion
+
+    p = spark.createDataFrame([(1, 1), (1, 2)], "label int, prediction int")       # class 2 never occurs
+    rows = {r["cls"]: r for r in class_metrics(confusion(p)).collect()}
+    assert rows[2]["sensitivity"] is None and rows[1]["sensitivity"] == 0.5
+    one = spark.createDataFrame([(1, 1), (1, 1)], "label int, prediction int")
+    assert class_metrics(confusion(one)).first()["kappa"] is None
+    assert standard_scores(one, {"z": "label"}).first()["z"] is None
