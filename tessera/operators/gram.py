@@ -1,18 +1,17 @@
 """Sufficient statistics for linear models (L1).
 
-Two passes over the data whatever the number of models fitted later: a
-one-row mean aggregate, then one aggregate of all centred cross products.
-Both are map-side combined, so a task ships k(k+1)/2 numbers, never rows.
-Every later model (subsets, stepwise moves, VIFs) is small-matrix algebra on
+One pass over the data whatever the number of models fitted later: a task
+ships its (k + 1)(k + 2)/2 sums of shifted products, never rows. Every later model (subsets, stepwise moves, VIFs) is small-matrix algebra on
 the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,61 +42,38 @@ def _pairs(k: int):
     return [(i, j) for i in range(k) for j in range(i, k)]
 
 
-WIDE = 64
-
-
-def _gram_wide(src: DataFrame, cols: list[str], shift: np.ndarray) -> Gram:
-    """Wide designs: shifted rows become one vector column; Spark ML's
-    ``Summarizer`` (means, variances, n) and ``Correlation`` (a distributed
-    Gramian, k x k per task) run JVM-side, and the centred cross products are
-    rebuilt as corr_ij sd_i sd_j (n - 1). Two passes, no k^2 expression list."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Correlation, Summarizer
-
-    k = len(cols)
-    vec = array_to_vector(F.array(*[F.col(c) - F.lit(float(shift[i])) for i, c in enumerate(cols)])).alias("v")
-    vdf = src.select(vec)
-    s = vdf.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).first()["s"]
-    n = int(s["count"])
-    mean = shift + np.asarray(s["mean"].toArray(), dtype=float)
-    var = np.asarray(s["variance"].toArray(), dtype=float)
-    cross = np.zeros((k, k))
-    if n > 1:
-        corr = np.nan_to_num(np.asarray(Correlation.corr(vdf, "v").first()[0].toArray(), dtype=float))
-        sd = np.sqrt(np.clip(var, 0.0, None))
-        cross = corr * np.outer(sd, sd) * (n - 1)
-        np.fill_diagonal(cross, var * (n - 1))
-    return Gram(cols, mean, cross, n)
-
-
-def gram(df: DataFrame, cols: Sequence[str], wide: int = WIDE) -> Gram:
-    """L1: k x k centred statistics from ONE aggregate pass.
+def gram(df: DataFrame, cols: Sequence[str]) -> Gram:
+    """L1: k x k centred statistics from one pass, for any number of columns.
 
     Shifted-data sums: with a shift K taken from one data row (a cheap
-    ``limit(1)``), the pass returns n, sum(x - K) and sum((x_i - K_i)(x_j - K_j));
-    means and centred cross products follow exactly, and since K sits inside
-    the data the subtraction does not cancel catastrophically as raw sums of
-    squares would. Shifts are literals, so the plan stays one flat aggregate.
-    More than ``wide`` columns switch to the vector path (``_gram_wide``).
+    ``limit(1)``), each task multiplies its batches' matrices and ships
+    (k + 1)(k + 1) sums, never rows; those of all tasks are added up on the
+    cluster. Since K sits inside the data the centring does not cancel
+    catastrophically as raw sums of squares would.
     """
     cols = list(cols)
     k = len(cols)
-    src = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    src = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).dropna()
     first = src.limit(1).collect()
-    shift = np.array([float(first[0][c]) for c in cols]) if first else np.zeros(k)
-    if k > wide:
-        return _gram_wide(src, cols, shift)
-    dev = [F.col(c) - F.lit(float(shift[i])) for i, c in enumerate(cols)]
-    row = src.agg(F.count(F.lit(1)).alias("__n"), *[F.sum(dev[i]).alias(f"__t{i}") for i in range(k)],
-                  *[F.sum(dev[i] * dev[j]).alias(f"__s{i}_{j}") for i, j in _pairs(k)]).first()
-    n = int(row["__n"] or 0)
-    t = np.array([row[f"__t{i}"] or 0.0 for i in range(k)])
-    mean = shift + (t / n if n else 0.0)
-    cross = np.zeros((k, k))
-    for i, j in _pairs(k):
-        v = (row[f"__s{i}_{j}"] or 0.0) - (t[i] * t[j] / n if n else 0.0)
-        cross[i, j] = cross[j, i] = v
-    return Gram(cols, mean, cross, n)
+    if not first:
+        return Gram(cols, np.zeros(k), np.zeros((k, k)), 0)
+    shift = np.array(list(first[0]), dtype=float)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k + 1, k + 1))
+        for b in batches:
+            x = np.column_stack([np.ones(b.num_rows), *[np.asarray(c) for c in b.columns]])
+            x[:, 1:] -= shift
+            total += x.T @ x
+        i, j = np.triu_indices(k + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], names=["i", "j", "v"])
+
+    s = np.zeros((k + 1, k + 1))
+    for r in src.mapInArrow(partial, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        s[r["i"], r["j"]] = s[r["j"], r["i"]] = r["v"]
+    n = int(round(s[0, 0]))
+    t = s[0, 1:]
+    return Gram(cols, shift + t / n, s[1:, 1:] - np.outer(t, t) / n, n)
 
 
 def gram_frame(df: DataFrame, cols: Sequence[str]) -> DataFrame:

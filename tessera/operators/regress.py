@@ -19,46 +19,33 @@ from tessera.operators.gram import Gram
 
 
 # ------------------------------------------------------------ distributions
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta (modified Lentz)."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = tiny if abs(d) < tiny else d
-    d = 1.0 / d
-    h = d
-    for m in range(1, 1000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < 1e-15:
-            break
-    return h
+def betainc(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta I_x(a, b) by its hypergeometric series
 
+    I_x(a, b) = x^a (1 - x)^b / (a B(a, b)) * sum over n of
+    (a + b)(a + b + 1)...(a + b + n - 1) / ((a + 1)...(a + n)) x^n,
 
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
+    whose terms are positive and fall off fastest below the mean a / (a + b);
+    above it I_x(a, b) = 1 - I_(1-x)(b, a) is used.
+    """
     if x <= 0.0:
         return 0.0
     if x >= 1.0:
         return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
+    if x > a / (a + b):
+        return 1.0 - _beta_series(b, a, 1.0 - x)
+    return _beta_series(a, b, x)
+
+
+def _beta_series(a: float, b: float, x: float) -> float:
+    front = (math.lgamma(a + b) - math.lgamma(a + 1.0) - math.lgamma(b)
+             + a * math.log(x) + b * math.log1p(-x))
+    total, term, n = 0.0, 1.0, 0
+    while term > total * 1e-17:
+        total += term
+        term *= x * (a + b + n) / (a + 1.0 + n)
+        n += 1
+    return math.exp(front + math.log(total))
 
 
 def t_two_sided_p(t: float, df: float) -> float:
@@ -110,8 +97,7 @@ class Fit:
 
     @property
     def aic(self) -> float:
-        """extractAIC form: n log(RSS/n) + 2k (k coefficients incl. intercept)."""
-        return self.n * math.log(self.rss / self.n) + 2 * self.k
+        return aic_of(self.rss, self.k - 1, self.n)
 
     @property
     def f_stat(self) -> float:
@@ -125,22 +111,35 @@ class Fit:
                          for b, s in zip(self.coef, self.se)])
 
 
+def aic_of(rss: float, n_terms: int, n: int) -> float:
+    """extractAIC form: n log(RSS/n) + 2k (k coefficients incl. intercept)."""
+    return n * math.log(max(rss, 1e-300) / n) + 2 * (n_terms + 1)
+
+
+def _independent(g: Gram, terms: Sequence[str], tol: float) -> tuple[list[int], list[str]]:
+    """Indices of the terms that aren't, to ``tol`` of their variance, combinations of
+    those kept before, and the names of the others: a Cholesky factor grown by a row a term."""
+    keep, dropped = [], []
+    lower = np.zeros((len(terms), len(terms)))
+    for t in terms:
+        i, k = g.index(t), len(keep)
+        row = np.zeros(k)
+        for j in range(k):
+            row[j] = (g.cross[keep[j], i] - lower[j, :j] @ row[:j]) / lower[j, j]
+        rest = g.cross[i, i] - row @ row
+        if g.cross[i, i] <= 0 or rest < tol * g.cross[i, i]:
+            dropped.append(t)
+            continue
+        lower[k, :k], lower[k, k] = row, math.sqrt(rest)
+        keep.append(i)
+    return keep, dropped
+
+
 def ols(g: Gram, response: str, terms: Sequence[str], tol: float = 1e-9) -> Fit:
     """L2 + L3 from centred statistics; collinear terms are dropped in order
     (a pivot on the scaled diagonal), as a rank-deficient ``lm`` reports NA."""
     yi = g.index(response)
-    keep: list[int] = []
-    dropped: list[str] = []
-    for t in terms:
-        ti = g.index(t)
-        cand = keep + [ti]
-        sub = g.cross[np.ix_(cand, cand)]
-        d = np.sqrt(np.clip(np.diag(sub), 1e-300, None))
-        corr = sub / np.outer(d, d)
-        if np.diag(sub)[-1] <= 0 or np.linalg.eigvalsh(corr).min() < tol:
-            dropped.append(t)
-        else:
-            keep.append(ti)
+    keep, dropped = _independent(g, terms, tol)
     syy = g.cross[yi, yi]
     if keep:
         sxx = g.cross[np.ix_(keep, keep)]
@@ -173,32 +172,44 @@ def vif(g: Gram, terms: Sequence[str]) -> dict[str, float]:
     return {t: float(inv[i, i]) for i, t in enumerate(terms)}
 
 
+def _move_rss(g: Gram, fit: Fit, scope: Sequence[str], tol: float = 1e-9) -> list[tuple[str, str, float]]:
+    """(move, term, residual sum of squares) of every drop and add, from one inverse:
+    a drop adds b_j^2 / (inverse)_jj, an add takes off the squared partial product
+    with the response over the term's partial variance."""
+    keep, yi = [g.index(t) for t in fit.terms], g.index(fit.response)
+    inv = np.linalg.inv(g.cross[np.ix_(keep, keep)]) if keep else np.zeros((0, 0))
+    out = [("drop", t, fit.rss + fit.coef[j] ** 2 / inv[j, j]) for j, t in enumerate(fit.terms)]
+    for t in scope:
+        if t in fit.terms:
+            continue
+        i = g.index(t)
+        x = g.cross[keep, i]
+        own = g.cross[i, i] - x @ inv @ x
+        if g.cross[i, i] > 0 and own >= tol * g.cross[i, i]:
+            out.append(("add", t, max(fit.rss - (g.cross[i, yi] - x @ fit.coef) ** 2 / own, 0.0)))
+    return out
+
+
 def stepwise(g: Gram, response: str, terms: Sequence[str], direction: str = "both",
              max_steps: int = 1000) -> tuple[Fit, list[dict]]:
-    """L4: stepwise search on AIC from the full model; each step tries every
+    """L4: stepwise search on AIC from the full model; each step weighs every
     drop (and every add when ``both``) and moves to the lowest AIC."""
     scope = list(terms)
     current = ols(g, response, scope)
-    current_terms = list(current.terms)
-    path = [{"step": 0, "move": "start", "term": None, "aic": current.aic, "n_terms": len(current_terms)}]
+    path = [{"step": 0, "move": "start", "term": None, "aic": current.aic, "n_terms": len(current.terms)}]
     for step in range(1, max_steps + 1):
-        best, best_move, best_term = current, None, None
-        for t in list(current_terms):
-            f = ols(g, response, [x for x in current_terms if x != t])
-            if f.aic < best.aic - 1e-10:
-                best, best_move, best_term = f, "drop", t
-        if direction == "both":
-            for t in scope:
-                if t in current_terms:
-                    continue
-                f = ols(g, response, current_terms + [t])
-                if t in f.terms and f.aic < best.aic - 1e-10:
-                    best, best_move, best_term = f, "add", t
-        if best_move is None:
+        best, chosen = current.aic, None
+        for move, t, rss in _move_rss(g, current, scope):
+            if move == "add" and direction != "both":
+                continue
+            aic = aic_of(rss, len(current.terms) + (1 if move == "add" else -1), g.n)
+            if aic < best - 1e-10:
+                best, chosen = aic, (move, t)
+        if chosen is None:
             break
-        current, current_terms = best, list(best.terms)
-        path.append({"step": step, "move": best_move, "term": best_term, "aic": best.aic,
-                     "n_terms": len(current_terms)})
+        move, t = chosen
+        current = ols(g, response, [x for x in current.terms if x != t] + ([t] if move == "add" else []))
+        path.append({"step": step, "move": move, "term": t, "aic": current.aic, "n_terms": len(current.terms)})
     return current, path
 
 

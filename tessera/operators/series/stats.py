@@ -75,7 +75,7 @@ def acf(df: DataFrame, series: str = "series", idx: str = "idx", value: str = "v
     prods = lag_products(dev, series, idx, "d", F.col("__k"))
     c0 = dev.groupBy(series).agg(F.sum(F.col("d") * F.col("d")).alias("c0"), F.first("n").alias("n"))
     return (prods.join(c0, series)
-                 .select(series, "lag", (F.col("s") / F.col("c0")).alias("acf"), "n"))
+                 .select(series, "lag", F.try_divide(F.col("s"), F.col("c0")).alias("acf"), "n"))
 
 
 def pacf_from_acf(r: np.ndarray) -> np.ndarray:
@@ -145,7 +145,7 @@ def kpss(df: DataFrame, series: str = "series", idx: str = "idx", value: str = "
                  .agg(F.sum((F.lit(1.0) - F.col("lag") / (F.col("__L") + 1)) * F.col("s")).alias("bw")))
     out = base.join(bart, series, "left").withColumn("bw", F.coalesce("bw", F.lit(0.0)))
     s2 = F.col("ss") / F.col("n") + F.lit(2.0) * F.col("bw") / F.col("n")
-    stat = (F.col("ss_cs") / (F.col("n") * F.col("n"))) / s2
+    stat = F.try_divide(F.col("ss_cs") / (F.col("n") * F.col("n")), s2)    # NULL for a constant series
     out = out.select(series, "n", "lag", stat.alias("kpss_stat"))
     # p falls as the statistic rises: interpolate on the increasing critical values
     return out.withColumn("p_value", _interp(F.col("kpss_stat"), KPSS_CRIT, KPSS_P))
@@ -175,38 +175,19 @@ def ljung_box_p(q_col, h_col, fitdf: int = 0):
 
 # ----------------------------------------------------------------- p-values
 def chi2_sf(q: float, df: int) -> float:
-    """Upper tail of the chi-square distribution (regularised gamma Q(df/2, q/2))."""
+    """Upper tail of the chi-square distribution, by its finite sums: Q_1 is
+    erfc(sqrt(q / 2)), Q_2 is exp(-q / 2), and two more degrees of freedom add
+    exp(-q / 2) (q / 2)^(df / 2) / Gamma(df / 2 + 1)."""
     if df <= 0 or q is None or math.isnan(q):
         return float("nan")
-    a, x = df / 2.0, q / 2.0
-    if x <= 0:
+    if q <= 0:
         return 1.0
-    gln = math.lgamma(a)
-    if x < a + 1.0:  # series for P
-        ap, s, d = a, 1.0 / a, 1.0 / a
-        for _ in range(1000):
-            ap += 1.0
-            d *= x / ap
-            s += d
-            if abs(d) < abs(s) * 1e-15:
-                break
-        return max(0.0, 1.0 - s * math.exp(-x + a * math.log(x) - gln))
-    b = x + 1.0 - a  # continued fraction for Q
-    c, d = 1.0 / 1e-300, 1.0 / b
-    h = d
-    for i in range(1, 1000):
-        an = -i * (i - a)
-        b += 2.0
-        d = an * d + b
-        d = 1e-300 if abs(d) < 1e-300 else d
-        c = b + an / c
-        c = 1e-300 if abs(c) < 1e-300 else c
-        d = 1.0 / d
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < 1e-15:
-            break
-    return h * math.exp(-x + a * math.log(x) - gln)
+    x = q / 2.0
+    tail, have = (math.exp(-x), 2) if df % 2 == 0 else (math.erfc(math.sqrt(x)), 1)
+    while have < df:
+        tail += math.exp(-x + have / 2.0 * math.log(x) - math.lgamma(have / 2.0 + 1.0))
+        have += 2
+    return min(tail, 1.0)
 
 
 def adf_p_value(stat: float, n: int) -> float:
