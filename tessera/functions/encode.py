@@ -85,24 +85,23 @@ def dummies(df: DataFrame, cols: Sequence[str], drop_first: bool = True,
     return out if keep_source else out.drop(*cols)
 
 
-def factor_codes(df: DataFrame, col: str, code_col: str | None = None,
-                 small_levels: int = MAX_LEVELS * 100) -> DataFrame:
-    """1-based code of each value in sorted level order (R's factor codes).
-
-    The distinct values are ranked and joined back. A level set under a checked
-    bound is ranked in one small sorted stage and broadcast; a larger one is
-    range-sorted across tasks and numbered with ``zipWithIndex`` (one counting
-    job, no single-task sort), then joined back with a shuffle.
+def factor_codes(df: DataFrame, col: str, code_col: str | None = None) -> DataFrame:
+    """1-based code (long) of each value in sorted level order (R's factor codes).
+
+    The distinct values are range-partitioned and sorted, numbered inside each
+    partition, and shifted by the sizes of the partitions before (one number per
+    partition reaches the driver): no task sees all levels, whatever their number.
     """
-    from tessera.operators.relate import row_bound
+    from tessera.session import materialize
 
     code_col = code_col or f"{col}_code"
     distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
-    if row_bound(distinct, small_levels):
-        lv = distinct.withColumn(code_col, F.row_number().over(Window.orderBy(col)))
-        return df.join(F.broadcast(lv), on=col, how="left")
-    ordered = distinct.orderBy(col)
-    spark = df.sparkSession
-    numbered = ordered.rdd.zipWithIndex().map(lambda t: (t[0][0], t[1] + 1))
-    lv = spark.createDataFrame(numbered, f"{col} {dict(df.dtypes)[col]}, {code_col} long")
+    parts = materialize(distinct.repartitionByRange(col).withColumn("__p", F.spark_partition_id()))
+    before, offsets = 0, []
+    for r in sorted(parts.groupBy("__p").count().collect(), key=lambda r: r["__p"]):
+        offsets.append((r["__p"], before))
+        before += r["count"]
+    at = parts.sparkSession.createDataFrame(offsets, "__p int, __before long")      # one row per partition
+    w = Window.partitionBy("__p").orderBy(col)
+    lv = parts.join(F.broadcast(at), "__p").select(col, (F.col("__before") + F.row_number().over(w)).alias(code_col))
     return df.join(lv, on=col, how="left")

@@ -63,10 +63,11 @@ def totals_on_rows(df: DataFrame, keys: Sequence[str], value: str,
     the detail rows), else a null-safe hash join left to AQE's skew handling.
     """
     from tessera.operators.relate import maybe_broadcast
+    from tessera.session import materialize
 
     tot = (df.groupBy(*keys).agg(F.sum(value).alias(total), F.count(F.lit(1)).alias(count))
-             .select(*[F.col(k).alias(f"__k_{k}") for k in keys], total, count).persist())
-    t = maybe_broadcast(tot, max_groups)
+             .select(*[F.col(k).alias(f"__k_{k}") for k in keys], total, count))
+    t = maybe_broadcast(materialize(tot), max_groups)
     cond = None
     for k in keys:
         c = df[k].eqNullSafe(t[f"__k_{k}"])
@@ -90,7 +91,7 @@ def standard_scores(df: DataFrame, cols: dict[str, str]) -> DataFrame:
     def lit(v):
         return F.lit(None).cast("double") if v is None else F.lit(float(v))
 
-    return df.withColumns({o: (F.col(c) - lit(st[f"__m_{c}"])) / lit(st[f"__s_{c}"]) for o, c in cols.items()})
+    return df.withColumns({o: F.try_divide(F.col(c) - lit(st[f"__m_{c}"]), lit(st[f"__s_{c}"])) for o, c in cols.items()})
 
 
 def segment_scores(stab: DataFrame, cv: str = "cv_abs", profit: str = "total",
@@ -136,12 +137,13 @@ def box_stats(df: DataFrame, groups: Sequence[str], col: str) -> DataFrame:
     """
     from tessera.operators.quantile import exact_quantiles
     from tessera.operators.relate import maybe_broadcast
+    from tessera.session import materialize
 
     src = df.where(F.col(col).isNotNull())
     q = (exact_quantiles(src, groups, col, [0.25, 0.5, 0.75])
          .select(*groups, F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3")))
     iqr = F.col("q3") - F.col("q1")
-    fences = q.withColumns({"__flo": F.col("q1") - 1.5 * iqr, "__fhi": F.col("q3") + 1.5 * iqr})
+    fences = materialize(q.withColumns({"__flo": F.col("q1") - 1.5 * iqr, "__fhi": F.col("q3") + 1.5 * iqr}))
     inside = (F.col(col) >= F.col("__flo")) & (F.col(col) <= F.col("__fhi"))
     return (src.join(maybe_broadcast(fences), on=list(groups), how="inner")
                .groupBy(*groups, "q1", "median", "q3")
@@ -167,6 +169,23 @@ def binned_trend(df: DataFrame, bin_col: str | Column, y: str, span: int = 1) ->
                           F.avg("mean").over(w).alias("moving_mean"))
 
 
+def quantile_bins(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
+    """``y`` over bins cut at the exact quantiles of ``x``: bin, n, lo and hi of
+    x, mean of y and its standard error. Values equal to a cut go to the bin below.
+
+    The cuts are ``bins - 1`` numbers, brought back and put in as literals.
+    """
+    from tessera.operators.quantile import exact_quantiles
+
+    src = df.where(F.col(x).isNotNull())
+    row = exact_quantiles(src, [], x, [k / bins for k in range(1, bins)]).first()
+    cuts = [row[f"q_{k}"] for k in range(bins - 1)] if row else []
+    b = sum((F.when(F.col(x) > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    return (src.groupBy(b.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(y).alias("mean"),
+        F.try_divide(F.stddev_samp(y), F.sqrt(F.count(y))).alias("se")))
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlations of every pair from one aggregate over the
     complete rows -> (row_var, col_var, corr, n_complete)."""

@@ -31,6 +31,7 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], col: str, probs: Seque
                     accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """-> one row per group: groups..., n, q_0 .. q_{k-1} (doubles)."""
     from tessera.operators.relate import maybe_broadcast
+    from tessera.session import materialize
 
     groups = list(groups)
     probs = [float(p) for p in probs]
@@ -50,12 +51,13 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], col: str, probs: Seque
         *[F.when(big & (F.lit(ps[i]) > 0), F.col("__b")[i]).otherwise(F.col("__min")).alias(f"__lo{i}")
           for i in range(k)],
         *[F.when(big & (F.lit(ps[k + i]) < 1), F.col("__b")[k + i]).otherwise(F.col("__max")).alias(f"__hi{i}")
-          for i in range(k)]).persist()
+          for i in range(k)])
+    stats = materialize(stats)                                        # one row per group, read twice
     j = src.join(maybe_broadcast(stats), groups)
     inside = F.lit(False)
     for i in range(k):
         inside = inside | ((F.col("__v") >= F.col(f"__lo{i}")) & (F.col("__v") <= F.col(f"__hi{i}")))
-    counted = (j.withColumn("__key", F.when(inside, F.col("__v")))
+    counted = materialize(j.withColumn("__key", F.when(inside, F.col("__v")))
                 .groupBy(*groups, "__key")
                 .agg(F.count(F.lit(1)).alias("__c"),
                      *[F.sum((F.col("__v") < F.col(f"__lo{i}")).cast("long")).alias(f"__b{i}") for i in range(k)]))

@@ -3,6 +3,8 @@ tables behind the default analysis (counts, histogram, box, trend, correlation).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +13,14 @@ from tessera.functions.encode import factor_codes
 from tessera.functions.lookups import states_frame, states_sql
 from tessera.functions.numeric import rnd
 from tessera.functions.text import blank_to_null, first_token, gsub, percent_to_double
-from tessera.operators.aggregate import binned_trend, box_stats, corr_matrix, histogram
+from tessera.operators.aggregate import binned_trend, box_stats, corr_matrix, histogram, quantile_bins
 from tessera.operators.profile import (
     constant_columns, drop_profiled, duplicate_count, null_profile, sparse_columns,
 )
 from tessera.operators.relate import lookup
 from tessera.plans import bind
-from tessera.session import materialize
+from tessera.session import checkpoint_dir, materialize
+from tessera.sources.files import read_csv, write_csv
 
 SPARSE_SHARE = 0.4
 BLANK_SHARE = 0.4
@@ -27,6 +30,7 @@ PERCENT_COLS = ["int_rate", "revol_util"]
 CORR_COLS = ["funded_amnt_inv", "int_rate", "annual_inc", "dti"]
 CROSSTAB_DIMS = ["verification_status", "term", "home_ownership", "emp_length"]
 HIST_BINS = 30
+INCOME_BINS = 10
 
 
 # ------------------------------------------------------------------ operators
@@ -35,7 +39,11 @@ def clean_loans(raw: DataFrame, states: DataFrame) -> DataFrame:
     blank -> NULL (F6), NULL title -> "0" (F5), ``< 1`` -> ``0`` (X4),
     month-year text -> date (X8), percent text -> number (X10), state code ->
     name with unknown codes NULL (J4)."""
-    x = drop_profiled(raw, SPARSE_SHARE, BLANK_SHARE)
+    return clean_columns(drop_profiled(raw, SPARSE_SHARE, BLANK_SHARE), states)
+
+
+def clean_columns(x: DataFrame, states: DataFrame) -> DataFrame:
+    """The cleaning projection of ``clean_loans`` on the columns that are there."""
     cols = set(x.columns)
     fix = {}
     if "emp_title" in cols:
@@ -76,6 +84,11 @@ def _clean(spark, sf_dir):
     return clean_loans(_raw(spark, sf_dir), states_frame(spark))
 
 
+def _chart(spark, sf_dir, *cols):
+    """The cleaned columns that a chart needs: no profile of the others, one scan."""
+    return clean_columns(_raw(spark, sf_dir).select(*cols), states_frame(spark))
+
+
 def q_loans_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clean(spark, sf_dir)
 
@@ -118,22 +131,22 @@ def q_code_lookup(spark, sf_dir):
 
 
 def q_default_by_purpose(spark, sf_dir):
-    d = defaulters(_clean(spark, sf_dir))
+    d = defaulters(_chart(spark, sf_dir, "purpose", "loan_status"))
     return d.groupBy("purpose").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_status_crosstab(spark, sf_dir):
-    return stacked_counts(_clean(spark, sf_dir), CROSSTAB_DIMS, "loan_status")
+    return stacked_counts(_chart(spark, sf_dir, "loan_status", *CROSSTAB_DIMS), CROSSTAB_DIMS, "loan_status")
 
 
 def q_amount_histogram(spark, sf_dir):
-    h = histogram(defaulters(_clean(spark, sf_dir)), "loan_amnt", HIST_BINS)
+    h = histogram(defaulters(_chart(spark, sf_dir, "loan_amnt", "loan_status")), "loan_amnt", HIST_BINS)
     return h.select("bin", rnd("lo", 4).alias("lo"), rnd("hi", 4).alias("hi"), "n")
 
 
 def q_box_stats(spark, sf_dir):
     # the narrow defaulter rows are read by several passes: materialise them once
-    d = materialize(defaulters(_clean(spark, sf_dir)).select("term", "grade", "int_rate", "funded_amnt_inv"))
+    d = materialize(defaulters(_chart(spark, sf_dir, "term", "grade", "int_rate", "funded_amnt_inv", "loan_status")))
     a = box_stats(d.withColumn("grp", F.col("term")), ["grp"], "int_rate").withColumn("panel", F.lit("int_rate_by_term"))
     b = (box_stats(d.withColumn("grp", F.col("grade")), ["grp"], "funded_amnt_inv")
          .withColumn("panel", F.lit("funded_inv_by_grade")))
@@ -143,23 +156,52 @@ def q_box_stats(spark, sf_dir):
 
 
 def q_binned_trend(spark, sf_dir):
-    t = binned_trend(_clean(spark, sf_dir), F.col("issue_d"), "funded_amnt")
+    t = binned_trend(_chart(spark, sf_dir, "issue_d", "funded_amnt"), F.col("issue_d"), "funded_amnt")
     return t.select(F.col("bin").alias("issue_month"), "n", rnd("mean", 4).alias("mean"),
                     rnd("se", 4).alias("se"), rnd("moving_mean", 4).alias("moving_mean"))
 
 
 def q_loans_corr_matrix(spark, sf_dir):
-    c = corr_matrix(defaulters(_clean(spark, sf_dir)), CORR_COLS)
+    c = corr_matrix(defaulters(_chart(spark, sf_dir, "loan_status", *CORR_COLS)), CORR_COLS)
     return c.select("row_var", "col_var", rnd("corr", 6).alias("corr"), "n_complete")
 
 
+def q_income_trend(spark, sf_dir):
+    """Installment of defaulters over ten quantile bins of annual income."""
+    d = materialize(defaulters(_chart(spark, sf_dir, "installment", "annual_inc", "loan_status"))
+                    .where("annual_inc IS NOT NULL"))
+    return quantile_bins(d, "annual_inc", "installment", INCOME_BINS).select(
+        "bin", "n", rnd("lo", 4).alias("lo"), rnd("hi", 4).alias("hi"), rnd("mean", 4).alias("mean"), rnd("se", 4).alias("se"))
+
+
+def q_defaulter_ownership(spark, sf_dir):
+    """Defaulters by home ownership."""
+    d = defaulters(_chart(spark, sf_dir, "home_ownership", "loan_status"))
+    return d.groupBy("home_ownership").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_ownership_verification(spark, sf_dir):
+    """Defaulters by home ownership and verification status."""
+    d = defaulters(_chart(spark, sf_dir, "home_ownership", "verification_status", "loan_status"))
+    return d.groupBy("home_ownership", "verification_status").agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_category_frequency(spark, sf_dir):
     p = bind.price_view(spark, sf_dir).withColumn("brand", first_token("car_name"))
     return stacked_counts(p.withColumn("__all", F.lit("all")), ["status", "ptype", "cylinders", "brand"], "__all") \
         .select("dimension", "level", "n")
 
 
+def q_csv_round_trip(spark, sf_dir):
+    """The raw loan columns written as CSV to the shared folder and read back by name."""
+    raw = _raw(spark, sf_dir).select("id", "emp_title", "title", "int_rate", "revol_util", "loan_amnt")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    write_csv(raw, folder)
+    return read_csv(spark, folder, "loan_amnt double, revol_util string, id long, title string, emp_title string, int_rate string")
+
+
 QUERIES = {
+    "csv_round_trip": q_csv_round_trip,
     "loans_clean": q_loans_clean,
     "sparse_columns": q_sparse_columns,
     "constant_columns": q_constant_columns,
@@ -174,6 +216,9 @@ QUERIES = {
     "box_stats": q_box_stats,
     "binned_trend": q_binned_trend,
     "loans_corr_matrix": q_loans_corr_matrix,
+    "income_trend": q_income_trend,
+    "defaulter_ownership": q_defaulter_ownership,
+    "ownership_verification": q_ownership_verification,
     "category_frequency": q_category_frequency,
 }
 
@@ -260,6 +305,7 @@ def _constant_sql() -> str:
 
 
 ORACLES = {
+    "csv_round_trip": _CTE + "SELECT id, emp_title, title, int_rate, revol_util, loan_amnt FROM raw",
     "loans_clean": _CTE + "SELECT * FROM clean",
     "sparse_columns": _sparse_sql(),
     "constant_columns": _constant_sql(),
@@ -273,12 +319,19 @@ SELECT (SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (SELECT count(*) AS
   (SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM pr
      GROUP BY car_name, status, flag, ptype, cylinders, quantity, discount, tax, size, retail, price)) AS dup_price_rows,
   (SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM so GROUP BY Row_ID)) AS dup_store_ids""",
-    "factor_codes": _CTE + """SELECT id, raw.int_rate, CAST(l.code AS INTEGER) AS int_rate_code FROM raw JOIN
+    "factor_codes": _CTE + """SELECT id, raw.int_rate, l.code AS int_rate_code FROM raw JOIN
   (SELECT int_rate, row_number() OVER (ORDER BY int_rate) AS code FROM (SELECT DISTINCT int_rate FROM raw WHERE int_rate IS NOT NULL)) l
   ON raw.int_rate = l.int_rate""",
     "parse_month_year": _CTE + f"""SELECT id, issue_d, {_my_sql('issue_d')} AS issue_date,
   {_my_sql('earliest_cr_line')} AS earliest_cr_date FROM raw""",
     "code_lookup": _CTE + "SELECT id, raw.addr_state, st.state_name FROM raw LEFT JOIN st ON raw.addr_state = st.state_code",
+    "income_trend": _CTE + f""", cuts AS (SELECT quantile_cont(annual_inc, [{", ".join(str(k / 10) for k in range(1, 10))}]) AS q
+  FROM dflt WHERE annual_inc IS NOT NULL),
+b AS (SELECT len(list_filter(q, lambda x: x < annual_inc)) AS bin, annual_inc, installment FROM dflt, cuts WHERE annual_inc IS NOT NULL)
+SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, round(min(annual_inc), 4) AS lo, round(max(annual_inc), 4) AS hi,
+  round(avg(installment), 4) AS mean, round(stddev_samp(installment) / sqrt(count(installment)), 4) AS se FROM b GROUP BY bin""",
+    "defaulter_ownership": _CTE + "SELECT home_ownership, count(*) AS n FROM dflt GROUP BY home_ownership",
+    "ownership_verification": _CTE + "SELECT home_ownership, verification_status, count(*) AS n FROM dflt GROUP BY ALL",
     "default_by_purpose": _CTE + "SELECT purpose, count(*) AS n FROM dflt GROUP BY purpose",
     "status_crosstab": _CTE + f"""SELECT dimension, level, loan_status, count(*) AS n
   FROM {_stack_sql('clean', CROSSTAB_DIMS, 'loan_status')} GROUP BY ALL""",

@@ -24,7 +24,7 @@ def test_delimited_headerless_and_slices(spark):
         f.write("permalink\tcountry_code\tcategory_list\n/Org/A\tUSA\tTech|Media\n/org/b\t\t\n")
     df = read_delimited(spark, tsv, "permalink string, country_code string, category_list string")
     rows = df.orderBy("permalink").collect()
-    assert rows[0]["permalink"] == "/Org/A" and rows[1]["country_code"] is None
+    assert rows[0]["permalink"] == "/Org/A" and rows[1]["country_code"] == ""
     csv = os.path.join(d, "digits.csv")
     with open(csv, "w") as f:
         f.write("7,0,255\n2,10,0\n")
@@ -43,3 +43,21 @@ def test_delimited_headerless_and_slices(spark):
     assert sorted(r["x"] for r in back.collect()) == [1.0, 3.0]
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(series" in plan
+
+
+def test_csv_as_the_scripts_read_it(spark, tmp_path):
+    from tessera.sources.files import write_csv
+
+    p = tmp_path / "a.csv"
+    p.write_text('b,a,n\n"say ""hi"", ok",x,1\nNA,,NA\n"","two\nlines",zz\n')
+    rows = read_csv(spark, str(p), "a string, b string, n int", multi_line=True).collect()
+    assert [tuple(r) for r in rows] == [("x", 'say "hi", ok', 1), ("", None, None), ("two\nlines", "", None)]
+    try:
+        read_csv(spark, str(p), "c string")
+        raise AssertionError("a column that isn't there was read")
+    except ValueError:
+        pass
+    df = spark.createDataFrame([(1, ' q"1, ', 2.5), (2, None, None), (3, "", 0.0)], "id int, s string, x double")
+    write_csv(df, str(tmp_path / "b"))
+    back = read_csv(spark, str(tmp_path / "b"), "x double, s string, id int")
+    assert sorted(map(tuple, back.select("id", "s", "x").collect())) == [(1, ' q"1, ', 2.5), (2, None, None), (3, "", 0.0)]
