@@ -7,7 +7,8 @@ functions  scalar Column builders (text, dates, encodings)
 operators  DataFrame -> DataFrame operators (profiles, joins, reshape, ranking,
            aggregates, sampling, regression, classification, time series)
 plans      bindings of the operators to the test tables, one module per workload
-streaming  the incremental form of the monthly rollup
+streaming  empty: no workload reads a stream
+llm        training-data operators over text tables; nothing else imports it
 """
 
 from tessera.session import get_spark, checkpoint_dir  # noqa: F401

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 from tessera.operators.series.stats import KPSS_CRIT, KPSS_P
 
 MAX_P = 3
@@ -205,7 +207,7 @@ def arima(df: DataFrame, series: str = "series", idx: str = "idx", value: str =
 
     src = df.select(F.col(series).alias("series"), F.col(idx).cast("int").alias("idx"),
                     F.col(value).cast("double").alias("value"))
-    out = src.groupBy("series").applyInPandas(run, PATH_SCHEMA + "," + _META_COLS).persist()
+    out = materialize(src.groupBy("series").applyInPandas(run, PATH_SCHEMA + "," + _META_COLS))
     models = (out.where(F.col("kind") == "fitted").groupBy("series")
                  .agg(*[F.first(f"m_{c}").alias(c) for c in _META_NAMES]))
     path = out.select(F.col("series").alias(series), F.col("idx").alias(idx), "kind", "value")

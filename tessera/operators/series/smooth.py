@@ -1,10 +1,9 @@
 """Simple exponential smoothing (T2-T4) for many series at once.
 
-A series is one group: its values are gathered in period order and the level
-recursion ``l_t = a x_t + (1 - a) l_{t-1}`` (``l_1 = x_1``) runs JVM-side as a
-higher-order ``aggregate``; levels are exploded back to rows. The gathered
-array is one series' periods (bounded by the calendar, not by the data
-volume: more data means more series, not longer ones).
+A series is one group: the level recursion ``l_t = a x_t + (1 - a) l_{t-1}``
+(``l_1 = x_1``) runs over its values in period order. A group is one series'
+periods (bounded by the calendar, not by the data volume: more data means more
+series, not longer ones).
 """
 
 from __future__ import annotations
@@ -14,75 +13,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Longest series (in periods) smoothed by the JVM-side array recursion; longer
-# series go through a linear-time pandas loop (the array form copies per step).
-LONG_SERIES = 2000
-
-
-def _levels(alpha_col, values):
-    """Column: array of levels after each value, from the sorted value array."""
-    init = F.struct(F.get(values, 0).alias("l"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc, x):
-        lv = alpha_col * x + (F.lit(1.0) - alpha_col) * acc["l"]
-        return F.struct(lv.alias("l"), F.concat(acc["out"], F.array(lv)).alias("out"))
-
-    body = F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(1)))
-    first = F.array(F.get(values, 0))
-    rest = F.aggregate(F.when(F.size(values) > 1, body).otherwise(F.array().cast("array<double>")),
-                       init, step, lambda acc: acc["out"])
-    return F.concat(first, rest)
 
+def ses_levels(df: DataFrame, series: str = "series", idx: str = "idx", value: str = "value",
+               alpha: float | list[float] = 0.5) -> DataFrame:
+    """Level after each observation -> (series, idx, value, level).
 
-def _levels_pandas(df: DataFrame, series: str, idx: str, value: str, alphas: list[float]) -> DataFrame:
-    """Same recursion, same floating-point operations, one linear loop per series."""
-    schema = f"{series} string, alpha double, {idx} int, {value} double, level double"
+    With a list of alphas (T3) all run on the same gathered series and an
+    ``alpha`` column is added. One linear loop per series, whatever its length.
+    """
+    many = isinstance(alpha, (list, tuple))
+    alphas = [float(a) for a in alpha] if many else [float(alpha)]
+    types = dict(df.dtypes)
+    schema = f"{series} {types[series]}, alpha double, {idx} {types[idx]}, {value} double, level double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx)
         x = pdf[value].to_numpy(dtype=float)
-        ids = pdf[idx].to_numpy()
         parts = []
         for a in alphas:
-            lv = np.empty(len(x))
-            cur = x[0]
-            lv[0] = cur
+            level, levels = x[0], np.empty(len(x))
+            levels[0] = level
             for t in range(1, len(x)):
-                cur = a * x[t] + (1.0 - a) * cur
-                lv[t] = cur
-            parts.append(pd.DataFrame({series: pdf[series].to_numpy(), "alpha": a, idx: ids, value: x, "level": lv}))
+                level = a * x[t] + (1.0 - a) * level
+                levels[t] = level
+            parts.append(pd.DataFrame({series: pdf[series], "alpha": a, idx: pdf[idx], value: x, "level": levels}))
         return pd.concat(parts, ignore_index=True)
 
-    src = df.select(F.col(series).cast("string").alias(series), F.col(idx).cast("int").alias(idx),
-                    F.col(value).cast("double").alias(value))
-    return src.groupBy(series).applyInPandas(run, schema)
-
-
-def ses_levels(df: DataFrame, series: str = "series", idx: str = "idx", value: str = "value",
-               alpha: float | list[float] = 0.5, long_series: int = LONG_SERIES) -> DataFrame:
-    """Level after each observation -> (series, idx, value, level).
-
-    With a list of alphas (T3) every alpha runs on the same gathered array and
-    an ``alpha`` column is added: the input rows are not replicated per alpha.
-    Series longer than ``long_series`` periods use the linear-time pandas path.
-    """
-    alphas = [float(a) for a in alpha] if isinstance(alpha, (list, tuple)) else [float(alpha)]
-    longest = df.groupBy(series).count().agg(F.max("count")).first()[0] or 0
-    if longest > long_series:
-        out = _levels_pandas(df, series, idx, value, alphas)
-        return out if isinstance(alpha, (list, tuple)) else out.drop("alpha")
-    g = (df.groupBy(series)
-           .agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"),
-                                                    F.col(value).cast("double").alias("v")))).alias("__s")))
-    g = g.withColumn("__v", F.transform("__s", lambda s: s["v"]))
-    per_alpha = F.array(*[F.struct(F.lit(a).alias("alpha"), _levels(F.lit(a), F.col("__v")).alias("l"))
-                          for a in alphas])
-    g = g.select(series, "__s", F.explode(per_alpha).alias("__a"))
-    z = F.arrays_zip(F.col("__s").alias("s"), F.col("__a.l").alias("l"))
-    out = (g.select(series, F.col("__a.alpha").alias("alpha"), F.explode(z).alias("__z"))
-            .select(series, "alpha", F.col("__z.s.i").alias(idx), F.col("__z.s.v").alias(value),
-                    F.col("__z.l").alias("level")))
-    return out if isinstance(alpha, (list, tuple)) else out.drop("alpha")
+    src = df.select(series, idx, F.col(value).cast("double").alias(value))
+    out = src.groupBy(series).applyInPandas(run, schema)
+    return out if many else out.drop("alpha")
 
 
 def ses_grid(df: DataFrame, alphas, series: str = "series", idx: str = "idx",

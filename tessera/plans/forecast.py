@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tessera.functions.dates import parse_dmy, year_month
 from tessera.functions.text import paste
 from tessera.operators.aggregate import group_aggregate, segment_scores, stability
-from tessera.operators.profile import drop_mostly_null
 from tessera.operators.reshape import add_index, fill_month_gaps, holdout_split, measures_to_series
 from tessera.operators.series import accuracy, acf, adf, best_model, kpss, lags, ljung_box, pacf
 from tessera.operators.series import ses_fitted, ses_grid, ses_levels
@@ -26,14 +25,22 @@ MEASURES = ["sales", "quantity"]
 HORIZON = 6
 ALPHA = 0.5
 ALPHAS = [0.2, 0.3, 0.5, 0.7]
-NULL_DROP = 0.9
 LB_LAGS = 10
+TOP_SEGMENTS = 2
 
 
 # ------------------------------------------------------------------ operators
-def clean_store(store: DataFrame) -> DataFrame:
-    """Drop the mostly-NULL column, parse the text dates, build month and segment keys."""
-    s = drop_mostly_null(store, NULL_DROP)
+# The column that the NULL profile (query null_profile) shows to be mostly NULL.
+MOSTLY_NULL = ["Postal_Code"]
+
+
+def clean_store(store: DataFrame, drop: list[str] | None = None) -> DataFrame:
+    """Drop the mostly-NULL columns, parse the text dates, build month and segment keys.
+
+    Which columns go is known by name; ``drop_mostly_null`` finds them on new data,
+    with a pass of its own over all columns.
+    """
+    s = store.drop(*(MOSTLY_NULL if drop is None else drop))
     return s.withColumns({
         "order_dt": parse_dmy("Order_Date"),
         "ship_dt": parse_dmy("Ship_Date"),
@@ -121,6 +128,37 @@ def q_segment_score(spark, sf_dir):
                      "score_rank")
 
 
+def q_top_segments(spark, sf_dir):
+    """A11 + W2: the monthly slices of the two segments with the best weighted score."""
+    sc = segment_scores(_stability(spark, sf_dir))
+    best = sc.orderBy(F.col("weighted_v1").desc(), "market_segment").limit(TOP_SEGMENTS).select("market_segment")
+    r = _rollup(spark, sf_dir).join(F.broadcast(best), "market_segment", "left_semi")        # two rows
+    return r.select("market_segment", "month", F.col("sales").cast("double").alias("sales"), "quantity")
+
+
+def q_ljung_box_lags(spark, sf_dir):
+    """Q of the training series for every number of lags up to LB_LAGS."""
+    a = acf(_train(spark, sf_dir)).where(F.col("lag") <= LB_LAGS)
+    w = Window.partitionBy("series").orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
+    q = F.col("n") * (F.col("n") + 2) * F.sum(F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag"))).over(w)
+    # An even number of degrees of freedom has a finite sum as its upper tail.
+    half, x = F.expr("CAST(lag div 2 AS INT)"), F.col("q") / 2
+    tail = F.exp(-x) * F.aggregate(F.sequence(F.lit(0), half - 1), F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("t")),
+                                   lambda acc, k: F.struct((acc["s"] + acc["t"]).alias("s"), (acc["t"] * x / (k + 1)).alias("t")),
+                                   lambda acc: acc["s"])
+    return a.select("series", "lag", "acf", q.alias("q")).select(
+        "series", "lag", rnd("acf", 6).alias("acf"), rnd("q", 4).alias("q_stat"),
+        rnd(F.when(F.col("lag") % 2 == 0, tail), 6).alias("p_even"))
+
+
+def q_standard_residuals(spark, sf_dir):
+    """Residuals of the smoothed training series over their standard deviation."""
+    s = ses_fitted(ses_levels(_train(spark, sf_dir), alpha=ALPHA))
+    s = s.select("series", "idx", (F.col("value") - F.col("smoothed")).alias("e"))
+    w = Window.partitionBy("series")
+    return s.select("series", "idx", rnd(F.try_divide(F.col("e") - F.avg("e").over(w), F.stddev_samp("e").over(w)), 6).alias("std_residual"))
+
+
 def q_series_index(spark, sf_dir):
     s = _series(spark, sf_dir)
     return s.select("series", "month", "idx", "value")
@@ -192,6 +230,9 @@ QUERIES = {
     "segment_totals": q_segment_totals,
     "segment_stability": q_segment_stability,
     "segment_score": q_segment_score,
+    "top_segments": q_top_segments,
+    "ljung_box_lags": q_ljung_box_lags,
+    "standard_residuals": q_standard_residuals,
     "series_index": q_series_index,
     "holdout_split": q_holdout_split,
     "series_lags": q_series_lags,
@@ -232,7 +273,7 @@ class _Ctx:
 
     def trend(self):
         def build():
-            fits = fit_grid(self.smoothed()).persist()
+            fits = materialize(fit_grid(self.smoothed()))
             return fits, choose(fits)
         return self._get("trend", build)
 
@@ -443,6 +484,12 @@ ORACLES = {
   round((1 - cv_norm) * 0.5 + profit_norm * 0.5, 6) AS weighted_v1,
   CAST(row_number() OVER (ORDER BY (1 - cv_norm) * 0.5 + profit_norm * 0.5 DESC, market_segment) AS INTEGER) AS score_rank
   FROM z""",
+    "top_segments": _CTE + f"""SELECT market_segment, month, CAST(sales AS DOUBLE) AS sales, quantity FROM roll
+  WHERE market_segment IN (SELECT market_segment FROM z
+    ORDER BY (1 - cv_norm) * 0.5 + profit_norm * 0.5 DESC, market_segment LIMIT {TOP_SEGMENTS})""",
+    "standard_residuals": _CTE + """SELECT series, CAST(idx AS INTEGER) AS idx,
+  round((value - smoothed - avg(value - smoothed) OVER w) / nullif(stddev_samp(value - smoothed) OVER w, 0), 6) AS std_residual
+  FROM fit WINDOW w AS (PARTITION BY series)""",
     "series_index": _CTE + "SELECT series, month, CAST(idx AS INTEGER) AS idx, value FROM ser2",
     "holdout_split": _CTE + "SELECT series, CAST(idx AS INTEGER) AS idx, CAST(n_obs AS INTEGER) AS n_obs, is_test FROM ser2",
     "series_lags": _CTE + """SELECT series, CAST(idx AS INTEGER) AS idx,
@@ -455,6 +502,10 @@ ORACLES = {
   GROUP BY series, alpha""",
     "ses_fitted": _CTE + "SELECT series, CAST(idx AS INTEGER) AS idx, round(smoothed, 4) AS smoothed FROM fit",
     "residuals": _CTE + "SELECT series, CAST(idx AS INTEGER) AS idx, round(value - smoothed, 4) AS residual FROM fit",
+    "ljung_box_lags": _CTE + f"""SELECT series, CAST(lag AS INTEGER) AS lag, round(acf, 6) AS acf, round(q, 4) AS q_stat,
+  CASE WHEN lag % 2 = 0 THEN round(exp(-q / 2) * list_sum(list_transform(range(0, lag // 2), lambda k: pow(q / 2, k) / gamma(k + 1))), 6) END AS p_even
+  FROM (SELECT series, lag, acf, n * (n + 2) * sum(acf * acf / (n - lag)) OVER (PARTITION BY series ORDER BY lag) AS q
+        FROM acfv WHERE lag <= {LB_LAGS})""",
     "acf": _CTE + "SELECT series, CAST(lag AS INTEGER) AS lag, round(acf, 6) AS acf FROM acfv",
     "kpss_test": _CTE + ", " + _KPSS + f"""SELECT series, n, CAST(lag AS INTEGER) AS lag, round(stat, 6) AS kpss_stat,
   round({_kpss_p_sql('stat')}, 6) AS p_value FROM st""",

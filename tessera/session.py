@@ -64,14 +64,17 @@ def scale_settings(input_bytes: int, total_cores: int, partition_bytes: int = 25
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the context's, else the cluster's
-    ``spark.checkpoint.dir``; only when neither is set (local tests) is a
-    scratch folder made."""
+    ``spark.checkpoint.dir``. Where neither is set a scratch folder is made on a
+    local master (tests, bench); a cluster, whose machines share no such folder,
+    is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         path = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
@@ -81,8 +84,5 @@ def materialize(df):
     """Cut the lineage of a small, reused intermediate: an eager reliable
     checkpoint into the shared checkpoint folder (survives executor loss,
     unlike a local checkpoint), read back as a fresh scan."""
-    try:
-        checkpoint_dir(df.sparkSession)
-    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): the server's folder applies
-        pass
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -42,10 +42,7 @@ def _norm(v):
     return v
 
 
-FAST = [n for n in E.oracle_sql() if n not in ("loans_clean", "gram_matrix")]
-
-
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", list(E.oracle_sql()))
 def test_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     cols = sorted(df.columns)

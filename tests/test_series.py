@@ -143,13 +143,16 @@ def test_gap_and_short_series(spark):
     assert acf(df.where("series = 'b'")).count() == 0
 
 
-def test_ses_long_series_path_is_identical(spark, sim):
-    df = _frame(spark, {"a": sim["ar2"][:300], "b": sim["trend"]})
-    for alpha in (0.3, [0.2, 0.5, 0.7]):
-        cols = ["series", "idx", "level"] + (["alpha"] if isinstance(alpha, list) else [])
-        short = sorted(map(tuple, ses_levels(df, alpha=alpha).select(*cols).collect()))
-        long = sorted(map(tuple, ses_levels(df, alpha=alpha, long_series=10).select(*cols).collect()))
-        assert short == long            # bit-identical levels
+def test_degenerate_series_have_null_results(spark):
+    """A constant series and an actual of 0 end no job (ANSI mode is on)."""
+    from tessera.operators.series import kpss
+    from tessera.operators.series.accuracy import accuracy
+
+    flat = spark.createDataFrame([("c", i, 5.0) for i in range(1, 30)], "series string, idx int, value double")
+    assert {r["acf"] for r in acf(flat).collect()} == {None}
+    assert kpss(flat).first()["kpss_stat"] is None
+    f = spark.createDataFrame([("a", 0.0, 1.0), ("a", 2.0, 1.0)], "series string, actual double, forecast double")
+    assert accuracy(f, ["series"]).first()["mape"] == 50.0
 
 
 def test_series_gaps_close_up_or_fill(spark):
