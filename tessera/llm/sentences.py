@@ -150,22 +150,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts are shuffled once.
     """
     keep = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    keyed = docs.select(F.struct(*keep).alias("doc"), docs[text_col].cast("string").alias("text"),
-                        F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)).alias("k"),
+    keyed = docs.select(F.struct(*keep).alias("doc"), F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)).alias("k"),
                         F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("h"))
-    spans = keyed.select("k", "h", "text").mapInArrow(_spans, _SPAN)
+    spans = keyed.select("k", "h", F.col("doc").getField(text_col).cast("string").alias("text")).mapInArrow(_spans, _SPAN)
     flagged = (spans.repartition("p").sortWithinPartitions("p", "later", "k", "h", "pos")
                .mapInArrow(_not_first, "k long, h long, pos int, n int")
                .groupBy("k", "h").agg(F.collect_set(F.struct("pos", "n")).alias("flags")))
-    rows = keyed.join(flagged, ["k", "h"], "left").select("doc.*", F.col("flags").alias("_flags"), F.col("text").alias("_text"))
+    rows = keyed.join(flagged, ["k", "h"], "left").select("doc.*", F.col("flags").alias("_flags"))
     schema = StructType([*docs.select(*keep).schema, StructField("n_sentences", IntegerType()), StructField("n_removed", IntegerType())])
     place = keep.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flags, null = b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).is_null().to_pylist()
+            flags, null = b.column(len(keep)).to_pylist(), b.column(place).is_null().to_pylist()
             got = []
-            for at, part in W.slices(b.column(len(keep) + 1)):
+            for at, part in W.slices(b.column(place)):
                 got += cleaned(part, [[(f["pos"], f["n"]) for f in x or ()] for x in flags[at: at + len(part)]])
             cols = list(b.columns[:len(keep)])
             cols[place] = pa.array([None if z else t.decode() for z, (t, _, _) in zip(null, got)], cols[place].type)
