@@ -152,3 +152,23 @@ def test_metrics_of_odd_confusions(spark):
     one = spark.createDataFrame([(1, 1), (1, 1)], "label int, prediction int")
     assert class_metrics(confusion(one)).first()["kappa"] is None
     assert standard_scores(one, {"z": "label"}).first()["z"] is None
+
+
+def test_grid_search_separates_rings(spark):
+    """Classes that only a curved boundary separates: near-perfect at a fitting width, every grid point scored."""
+    from tessera.operators.classify import grid_search, width_gamma
+    from tessera.operators.sample import fold_of
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(240):
+        c, t = i % 3, rng.uniform(0, 2 * math.pi)
+        rows.append((i, float(c), [(1 + 2 * c) * math.cos(t), (1 + 2 * c) * math.sin(t)]))
+    df = spark.createDataFrame(rows, "id long, label double, features array<double>").withColumn("fold", fold_of("id", 3))
+    g = width_gamma(df)
+    out = grid_search(df, [g, 8 * g], [1.0, 10.0], folds=3, dim=2, n_features=100).collect()
+    assert len(out) == 4 and sum(r["is_best"] for r in out) == 1
+    assert max(r["mean_accuracy"] for r in out) > 0.95
+    x = np.array([r[2] for r in rows])
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    assert math.isclose(1 / g, d2.mean(), rel_tol=1e-9)
