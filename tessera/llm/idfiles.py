@@ -134,29 +134,36 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (F.col("before") + F.col("place")).alias("start"), F.flatten(F.col("parts.ids")).alias("ids"))
 
 
-def _shift(crc: int, n: int) -> int:
-    """The CRC-32 register after n zero bytes, by squaring the one-zero-byte map of GF(2)."""
-    matrix = [(0xEDB88320 if k == 0 else 1 << k - 1) for k in range(32)]       # one zero bit
-    def apply(m, v):
-        out = 0
-        for k in range(32):
-            if v >> k & 1:
-                out ^= m[k]
-        return out
-    for _ in range(3):                                                         # one zero byte
-        matrix = [apply(matrix, x) for x in matrix]
-    while n:
-        if n & 1:
-            crc = apply(matrix, crc)
-        matrix, n = [apply(matrix, x) for x in matrix], n >> 1
-    return crc
+def _apply(matrix: list[int], value: int) -> int:
+    out = 0
+    while value:
+        low = value & -value
+        out ^= matrix[low.bit_length() - 1]
+        value ^= low
+    return out
+
+
+def _zero_maps() -> list[list[int]]:
+    """What 2**k zero bytes do to a CRC-32 register, as maps of GF(2), each the square of the one before."""
+    matrix = [0xEDB88320, *[1 << k for k in range(31)]]         # one zero bit
+    out = []
+    for k in range(3 + 40):
+        matrix = [_apply(matrix, x) for x in matrix] if k else matrix
+        out.append(matrix)
+    return out[3:]
+
+
+_ZEROS = _zero_maps()
 
 
 def joined_crc(parts: list[tuple[int, int]]) -> int:
     """CRC-32 of byte strings put together, from their (CRC-32, length in bytes)."""
-    out = 0
-    for k, (crc, n) in enumerate(parts):
-        out = _shift(out, n) ^ crc if k else crc
+    out = parts[0][0]
+    for crc, n in parts[1:]:
+        for k in range(n.bit_length()):
+            if n >> k & 1:
+                out = _apply(_ZEROS[k], out)
+        out ^= crc
     return out
 
 

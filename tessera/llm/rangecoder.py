@@ -36,77 +36,86 @@ class _Model:
 
     def __init__(self, symbols: np.ndarray):
         n, width = len(symbols), int(symbols.max())
-        self.n, self.width = n, width
-        self.count = (np.arange(width)[None, :] < symbols[:, None]).astype(np.int64)
+        lanes = np.arange(n, dtype=np.int32)
+        self.width = width
+        self.count = (np.arange(width)[None, :] < symbols[:, None]).astype(np.int32)
         self.flat_count = self.count.reshape(-1)
-        self.at0 = np.arange(n) * width
-        self.cum = np.zeros((n, width + 1), np.int64)
+        self.at0 = lanes * np.int32(width)
+        # Running totals, padded to a power of two for the search.
+        self.reach = 1 << width.bit_length()
+        self.cum = np.full((n, self.reach), np.iinfo(np.int32).max, np.int32)
+        self.cum[:, 0] = 0
         self.flat_cum = self.cum.reshape(-1)
-        self.at_cum = np.arange(n) * (width + 1)
+        self.at_cum = lanes * np.int32(self.reach)
         # A context's entry is the proposed symbol * 4 + confidence.
-        self.one = np.zeros(n * width, np.int64)
-        self.two = np.zeros(n * _SLOTS, np.int64)
-        self.at2 = np.arange(n) * _SLOTS
-        self.hit1 = np.full(n * 4, 1 << _SHARE - 4, np.int64)
-        self.hit2 = np.full(n * 4, 1 << _SHARE - 4, np.int64)
-        self.at4 = np.arange(n) * 4
-        self.last = np.zeros(n, np.int64)
-        self.before = np.zeros(n, np.int64)
+        self.one = np.zeros(n * width, np.int32)
+        self.two = np.zeros(n * _SLOTS, np.int32)
+        self.at2 = lanes * np.int32(_SLOTS)
+        self.hit1 = np.full(n * 4, 1 << _SHARE - 4, np.int32)
+        self.hit2 = np.full(n * 4, 1 << _SHARE - 4, np.int32)
+        self.at4 = lanes * np.int32(4)
+        self.last = np.zeros(n, np.int32)
+        self.before = np.zeros(n, np.int32)
         self.step = 0
-        self.lines = np.arange(n) << 20
 
     def predict(self) -> None:
         """Sets proposals, weights and the order-0 table for the next symbol."""
         if self.step % _REFRESH == 0:
-            np.cumsum(self.count, axis=1, out=self.cum[:, 1:])
-            self.total = self.cum[:, -1].copy()
-            self.keys = (self.cum + self.lines[:, None]).reshape(-1)
-            self.scale = (self.total << _SHARE).astype(np.uint64)
+            np.cumsum(self.count, axis=1, out=self.cum[:, 1:self.width + 1])
+            self.total = self.cum[:, self.width].copy()
+            self.scale = self.total.astype(np.uint64) << np.uint64(_SHARE)
         self.step += 1
         self.i1 = self.at0 + self.last
-        self.i2 = self.at2 + ((self.before * 40_503 + self.last * 2_654_435) >> 3 & _SLOTS - 1)
-        e1, e2 = self.one[self.i1], self.two[self.i2]
+        self.i2 = self.at2 + ((self.before * np.int32(24_593) + self.last * np.int32(12_289)) >> np.int32(3) & np.int32(_SLOTS - 1))
+        e1, e2 = self.one.take(self.i1), self.two.take(self.i2)
         self.c1, self.c2 = e1 >> 2, e2 >> 2
         self.s1, self.s2 = e1 & 3, e2 & 3
         self.j1, self.j2 = self.at4 + self.s1, self.at4 + self.s2
-        p1, self.w2 = self.hit1[self.j1], self.hit2[self.j2]
-        self.w1 = ((1 << _SHARE) - self.w2) * p1 >> _SHARE
-        self.w0 = (1 << _SHARE) - self.w1 - self.w2
+        self.p1, self.p2 = self.hit1.take(self.j1), self.hit2.take(self.j2)
+        w2 = self.p2
+        w1 = (np.int32(1 << _SHARE) - w2) * self.p1 >> np.int32(_SHARE)
+        self.w0 = np.int32(1 << _SHARE) - w1 - w2
+        self.t1, self.t2 = self.total * w1, self.total * w2
 
     def interval(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(low, size) of a symbol in the mixed distribution."""
         i = self.at_cum + sym
-        low0 = self.flat_cum[i]
-        low = self.w0 * low0 + self.total * (self.w2 * (self.c2 < sym) + self.w1 * (self.c1 < sym))
-        size = self.w0 * (self.flat_cum[i + 1] - low0) + self.total * (self.w2 * (self.c2 == sym) + self.w1 * (self.c1 == sym))
+        low0 = self.flat_cum.take(i)
+        low = self.w0 * low0 + self.t2 * (self.c2 < sym) + self.t1 * (self.c1 < sym)
+        size = self.w0 * (self.flat_cum.take(i + 1) - low0) + self.t2 * (self.c2 == sym) + self.t1 * (self.c1 == sym)
         return low, size
 
-    def symbol(self, t: np.ndarray) -> np.ndarray:
-        """The symbol whose interval holds t."""
+    def symbol(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The symbol whose interval holds t, and that interval."""
         lo2, n2 = self.interval(self.c2)
         lo1, n1 = self.interval(self.c1)
-        rest = t - self.total * (self.w2 * (t >= lo2 + n2) + self.w1 * (t >= lo1 + n1))
-        sym = np.searchsorted(self.keys, rest // self.w0 + self.lines, side="right") - 1 - self.at_cum
-        sym = np.where((t >= lo2) & (t < lo2 + n2), self.c2, sym)
-        return np.where((t >= lo1) & (t < lo1 + n1), self.c1, sym)
+        past2, past1 = t >= lo2 + n2, t >= lo1 + n1
+        rest = (t - self.t2 * past2 - self.t1 * past1) // self.w0
+        at, half = self.at_cum.copy(), self.reach >> 1
+        while half:                                    # the last running total that is at most rest
+            at += (self.flat_cum.take(at + np.int32(half)) <= rest) * np.int32(half)
+            half >>= 1
+        sym = at - self.at_cum
+        sym = np.where((t >= lo2) & ~past2, self.c2, sym)
+        sym = np.where((t >= lo1) & ~past1, self.c1, sym)
+        return sym, *self.interval(sym)
 
     def update(self, sym: np.ndarray) -> None:
         self.flat_count[self.at0 + sym] += 1
-        for hits, j, entries, i, c, s in ((self.hit1, self.j1, self.one, self.i1, self.c1, self.s1),
-                                          (self.hit2, self.j2, self.two, self.i2, self.c2, self.s2)):
+        for hits, j, p, entries, i, c, s in ((self.hit1, self.j1, self.p1, self.one, self.i1, self.c1, self.s1),
+                                             (self.hit2, self.j2, self.p2, self.two, self.i2, self.c2, self.s2)):
             right = c == sym
-            p = hits[j]
-            hits[j] = p + ((right * 3900 - p) >> 4) + (p < 16)
-            entries[i] = np.where(right, (c << 2) + np.minimum(s + 1, 3), np.where(s > 0, (c << 2) + s - 1, sym << 2))
+            hits[j] = p + ((right * np.int32(3900) - p) >> 4) + (p < 16)
+            kept = (c << 2) + np.where(right, np.minimum(s + 1, 3), s - 1)
+            entries[i] = np.where(right | (s > 0), kept, sym << 2)
         self.before, self.last = self.last, sym
 
     def shrink(self, n: int) -> None:
         """Only the first n lanes go on."""
-        for name in ("at0", "at_cum", "at2", "at4", "last", "before", "lines", "total", "scale"):
+        for name in ("at0", "at_cum", "at2", "at4", "last", "before", "total", "scale"):
             if hasattr(self, name):
                 setattr(self, name, getattr(self, name)[:n])
         self.count, self.cum = self.count[:n], self.cum[:n]
-        self.keys = self.keys[:n * (self.width + 1)] if hasattr(self, "keys") else None
 
 
 def _order(lengths: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -126,7 +135,7 @@ def _encode(symbols: np.ndarray, lengths: np.ndarray, matrix: np.ndarray) -> lis
     out = np.zeros(n * cap, np.uint32)
     pos = np.arange(n) * cap
     low, size = np.zeros(n, np.uint64), np.full(n, _TOP)
-    columns = np.ascontiguousarray(matrix.T)
+    columns = np.ascontiguousarray(matrix.T.astype(np.int32))
 
     def carried(lanes: np.ndarray) -> None:
         at = pos[lanes] - 1
@@ -188,9 +197,8 @@ def _decode(symbols: np.ndarray, lengths: np.ndarray, codes: list[np.ndarray]) -
         for t in range(first, end):
             model.predict()
             unit = size[:k] // model.scale
-            point = np.minimum(code[:k] // unit, model.scale - np.uint64(1)).astype(np.int64)
-            sym = model.symbol(point)
-            lo, width = model.interval(sym)
+            point = np.minimum(code[:k] // unit, model.scale - np.uint64(1)).astype(np.int32)
+            sym, lo, width = model.symbol(point)
             code[:k] -= unit * lo.astype(np.uint64)
             size[:k] = unit * width.astype(np.uint64)
             for _ in range(2):
