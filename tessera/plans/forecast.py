@@ -313,7 +313,8 @@ def q_trend_season_forecast(spark, sf_dir):
 
 
 def q_pacf(spark, sf_dir):
-    return pacf(_train(spark, sf_dir))
+    """Partial autocorrelations of every training series."""
+    return pacf(_train(spark, sf_dir)).select("series", "lag", rnd("pacf", 6).alias("pacf"))
 
 
 def q_adf_test(spark, sf_dir):
@@ -506,6 +507,13 @@ ORACLES = {
   CASE WHEN lag % 2 = 0 THEN round(exp(-q / 2) * list_sum(list_transform(range(0, lag // 2), lambda k: pow(q / 2, k) / gamma(k + 1))), 6) END AS p_even
   FROM (SELECT series, lag, acf, n * (n + 2) * sum(acf * acf / (n - lag)) OVER (PARTITION BY series ORDER BY lag) AS q
         FROM acfv WHERE lag <= {LB_LAGS})""",
+    "pacf": _CTE.rstrip() + """, rl AS (SELECT series, list(acf ORDER BY lag) AS r FROM acfv GROUP BY series),
+pl(series, k, phi, v, a) AS (SELECT series, 1, [r[1]], 1 - r[1] * r[1], r[1] FROM rl UNION ALL
+  SELECT series, k + 1, list_append(list_transform(phi, lambda x, j: x - a2 * phi[k + 1 - j]), a2), v * (1 - a2 * a2), a2 FROM (
+    SELECT p.series, p.k, p.phi, p.v,
+      CASE WHEN v > 0 THEN (rl.r[k + 1] - list_sum(list_transform(phi, lambda x, j: x * rl.r[k + 1 - j]))) / v ELSE 0 END AS a2
+    FROM pl p JOIN rl ON p.series = rl.series WHERE p.k < len(rl.r)))
+SELECT series, CAST(k AS INTEGER) AS lag, round(a, 6) AS pacf FROM pl""",
     "acf": _CTE + "SELECT series, CAST(lag AS INTEGER) AS lag, round(acf, 6) AS acf FROM acfv",
     "kpss_test": _CTE + ", " + _KPSS + f"""SELECT series, n, CAST(lag AS INTEGER) AS lag, round(stat, 6) AS kpss_stat,
   round({_kpss_p_sql('stat')}, 6) AS p_value FROM st""",
