@@ -1,11 +1,17 @@
 """Substring dedup by sliding sentence spans.
 
 A sentence is a run of words up to one that ends in . ! or ?, or up to a line's
-end. From every sentence on, the shortest run of at least SENTENCES sentences
-with at least WORDS words is hashed (a sentence of LONE words or more is a run
-of its own). Equal runs are joined over the whole corpus; a run is the first one
-if its document's id, text hash and place are the least. A sentence covered by
-any run that is not the first of its kind is removed.
+end. From every sentence on, and back from every sentence, the shortest run of at
+least SENTENCES sentences with at least WORDS words is hashed (a sentence of LONE
+words or more is a run of its own); once more with line ends left out, since copies may be wrapped anew.
+Passages that hold too few whole sentences are found by spans: a word is a cut if it
+has the least hash of any CUT words in a row, and from every cut on the words up to
+the first cut PASSAGE words or more away are hashed, unless they hold a run of whole
+sentences. Cuts depend on less than CUT words to either side, so any 51 words in a
+row hold the same run or span wherever they occur. Equal runs are joined over the
+whole corpus; a run is the first one if its document's id, text hash and place are
+the least. A word covered by any run that is not the first of its kind is removed; a
+span that overlaps the first of its kind is no repeat.
 """
 
 from __future__ import annotations
@@ -21,54 +27,89 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from tessera.llm import words as W
 
 SENTENCES, WORDS, LONE = 2, 12, 40
+CUT, PASSAGE = 3, 42          # 4 CUT + PASSAGE - 3 <= 51
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord("."), ord("!"), ord("?")]] = True
 
 
-def sentence_bounds(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
+def sentence_bounds(w: W.Words, by_line: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(first word of each sentence and the number of words at the end, row of each sentence)."""
     n = len(w.starts)
     if not n:
         return np.zeros(1, np.int64), np.zeros(0, np.int64)
-    lines = np.cumsum(w.buf == 10)
     last = np.ones(n, bool)
-    last[:-1] = _STOPS[w.buf[w.ends[:-1] - 1]] | (lines[w.starts[1:]] != lines[w.ends[:-1] - 1]) | (w.row[1:] != w.row[:-1])
+    last[:-1] = _STOPS[w.buf[w.ends[:-1] - 1]] | (w.row[1:] != w.row[:-1])
+    if by_line:
+        lines = np.cumsum(w.buf == 10)
+        last[:-1] |= lines[w.starts[1:]] != lines[w.ends[:-1] - 1]
     bounds = np.concatenate([[0], np.flatnonzero(last) + 1])
     return bounds, w.row[bounds[:-1]]
 
 
-def runs(w: W.Words, sentences: int = SENTENCES, words: int = WORDS, lone: int = LONE
+def cuts(h: np.ndarray, row: np.ndarray, size: int = CUT) -> np.ndarray:
+    """Words with the least hash (the last of equals) of any ``size`` words in a row of one text."""
+    n = len(h) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    least, at = h[:n].copy(), np.arange(n)
+    for k in range(1, size):
+        less = h[k: n + k] <= least
+        least[less] = h[k: n + k][less]
+        at[less] = np.flatnonzero(less) + k
+    chosen = np.zeros(len(h), bool)
+    chosen[at[row[:n] == row[size - 1:]]] = True
+    return np.flatnonzero(chosen)
+
+
+def _whole(w: W.Words, by_line: bool, sentences: int, words: int, lone: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end) of the runs of whole sentences; then the bounds and the end of the run on from each sentence."""
+    bounds, row = sentence_bounds(w, by_line)
+    at = np.arange(len(row))
+    of_row = np.searchsorted(row, np.arange(len(w.first)))       # first sentence of each row, and the end
+    alone = np.diff(bounds) >= lone
+    end = np.maximum(at + sentences, np.searchsorted(bounds, bounds[:-1] + words))
+    end = np.where(alone, at + 1, end)
+    begin = np.minimum(at + 1 - sentences, np.searchsorted(bounds, bounds[1:] - words, side="right") - 1)
+    begin = np.where(alone, at, begin)
+    on, back = end <= of_row[1:][row], begin >= of_row[:-1][row]
+    return bounds[np.concatenate([at[on], begin[back]])], bounds[np.concatenate([end[on], at[back] + 1])], bounds, end
+
+
+def runs(w: W.Words, sentences: int = SENTENCES, words: int = WORDS, lone: int = LONE, passage: int = PASSAGE
          ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, first sentence in its row, sentences) of every run that fits its row."""
-    bounds, row = sentence_bounds(w)
-    n = len(row)
+    """(hash, row, first word in its row, words) of every run that fits its row; a span's hash is odd, others' are even."""
+    n = len(w.starts)
     if not n:
-        return np.zeros(0, np.uint64), row, row, row
-    at = np.arange(n)
-    end = np.maximum(at + sentences, np.searchsorted(bounds, bounds[:-1] + words))
-    end = np.where(np.diff(bounds) >= lone, at + 1, end)
-    of_row = np.searchsorted(row, np.arange(len(w.first)))       # first sentence of each row, and the end
-    fits = end <= of_row[1:][row]
-    at, end = at[fits], end[fits]
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
     h = W.hashes(w)
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h), _P)]))
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h), _INVERSE)]))
+    a, b, _, _ = _whole(w, True, sentences, words, lone)
+    a2, b2, bounds, end = _whole(w, False, sentences, words, lone)
+    a, b = np.divmod(np.unique(np.concatenate([a, a2]) * (n + 1) + np.concatenate([b, b2])), n + 1)
+    cut = cuts(h, w.row)
+    to = np.searchsorted(cut, cut + passage)
+    cut, to = cut[to < len(cut)], cut[to[to < len(cut)]]
+    first = np.searchsorted(bounds, cut, side="right")           # sentences that begin and end inside
+    holds = end[np.minimum(first, len(end) - 1)] < np.searchsorted(bounds, to, side="right")
+    spans = (w.row[cut] == w.row[to]) & ~(holds & (first < len(end)))
+    odd = np.repeat([0, 1], [len(a), int(spans.sum())]).astype(np.uint64)
+    a, b = np.concatenate([a, cut[spans]]), np.concatenate([b, to[spans]])
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _P)]))
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]))
     upto = np.concatenate([[np.uint64(0)], np.cumsum(h * power[:-1])])
-    a, b = bounds[at], bounds[end]
     key = W.mix((upto[b] - upto[a]) * back[a] + (b - a).astype(np.uint64))
-    return key, row[at], at - of_row[:-1][row[at]], end - at
+    return key & ~np.uint64(1) | odd, w.row[a], a - w.first[w.row[a]], b - a
 
 
-def _later(key: np.ndarray, *identity: np.ndarray) -> np.ndarray:
-    """For rows sorted by key and identity: whether an equal key with a lesser identity comes before."""
+def _later(key: np.ndarray, k: np.ndarray, h: np.ndarray, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For rows sorted by key and identity: whether an equal key with a lesser identity comes
+    before; not so for a span that overlaps it."""
     new = np.concatenate([[True], key[1:] != key[:-1]])
     first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    out = np.zeros(len(key), bool)
-    for c in identity:
-        out |= c != c[first]
-    return out
+    other = (k != k[first]) | (h != h[first])
+    return other | (pos != pos[first]) & ((key.astype(np.uint64) & np.uint64(1) == 0) | (pos >= pos[first] + n[first]))
 
 
 _SPAN = "p long, later boolean, k long, h long, pos int, n int"
@@ -85,7 +126,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, row, pos, n = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((pos, h[row], k[row], key))
         key, row, pos, n = key[order], row[order], pos[order], n[order]
-        later = _later(key, k[row], h[row], pos) if len(key) else np.zeros(0, bool)
+        later = _later(key, k[row], h[row], pos, n) if len(key) else np.zeros(0, bool)
         again = np.zeros(len(key), bool)                       # the same row twice is the same run
         again[1:] = (key[1:] == key[:-1]) & (k[row][1:] == k[row][:-1]) & (h[row][1:] == h[row][:-1]) & (pos[1:] == pos[:-1])
         key, row, pos, n, later = (x[~again] for x in (key, row, pos, n, later))
@@ -101,24 +142,24 @@ def _not_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        key, later, k, h, pos = (np.asarray(b.column(i)) for i in range(5))
+        key, later, k, h, pos, n = (np.asarray(b.column(i)) for i in range(6))
         if head is not None:
-            key, later, k, h, pos = (np.concatenate([[x], c]) for x, c in zip(head, (key, later, k, h, pos)))
+            key, later, k, h, pos, n = (np.concatenate([[x], c]) for x, c in zip(head, (key, later, k, h, pos, n)))
         known = later.astype(bool)
         out = known.copy()
         own = np.flatnonzero(~known)
         if len(own):
-            out[own] = _later(key[own], k[own], h[own], pos[own])
+            out[own] = _later(key[own], k[own], h[own], pos[own], n[own])
             same = own[key[own] == key[own[-1]]][0]
         if head is not None:
             out = out[1:]
         if len(own):
-            head = (key[same], False, k[same], h[same], pos[same])
+            head = (key[same], False, k[same], h[same], pos[same], n[same])
         yield b.select(["k", "h", "pos", "n"]).filter(pa.array(out))
 
 
 def cleaned(text: pa.LargeStringArray, flags: list[list[tuple[int, int]]]) -> list[tuple[bytes, int, int]]:
-    """(text without the sentences of the flagged runs, sentences, removed) of each row of a slice."""
+    """(text without the words of the flagged runs, sentences, those removed at least in part) of each row of a slice."""
     w = W.words(text)
     bounds, row = sentence_bounds(w)
     of_row = np.searchsorted(row, np.arange(len(text) + 1))
@@ -130,18 +171,22 @@ def cleaned(text: pa.LargeStringArray, flags: list[list[tuple[int, int]]]) -> li
         if not own:
             out.append((whole, hi - lo, 0))
             continue
-        gone = np.zeros(hi - lo, bool)
+        first, last = int(w.first[i]), int(w.first[i + 1])
+        gone = np.zeros(last - first, bool)
         for pos, n in own:
             gone[pos: pos + n] = True
-        begin = w.starts[bounds[lo:hi]] - offsets[i]
+        begin = w.starts[first:last] - offsets[i]
         begin[0] = 0
-        ends = np.append(begin[1:], len(whole))
-        out.append((b"".join(whole[a:b] for a, b, g in zip(begin.tolist(), ends.tolist(), gone.tolist()) if not g), hi - lo, int(gone.sum())))
+        turns = np.flatnonzero(np.diff(gone, prepend=True))       # words kept again, then gone again, and so on
+        edges = np.append(begin[turns], len(whole)).tolist()
+        touched = np.logical_or.reduceat(gone, bounds[lo:hi] - first)
+        out.append((b"".join(whole[a:b] for a, b in zip(edges[::2], edges[1::2])), hi - lo, int(touched.sum())))
     return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, the text without repeated sentences, plus n_sentences and n_removed.
+    """All columns of ``docs``, the text without repeated runs, plus n_sentences and n_removed
+    (sentences removed whole or in part).
 
     Columns of those two names are replaced. A null text stays null and has no
     sentences. Rows with the same id and text are one document and are cleaned
@@ -175,7 +220,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without sentences that repeat an earlier run of sentences."""
+    """All documents without words that repeat an earlier run of sentences or span of words."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 

@@ -1,5 +1,6 @@
 """Sentence spans against a plain implementation on small tables."""
 
+import random
 import re
 
 from fixtures_llm import SF_SMALL, docs_of  # noqa: F401
@@ -86,3 +87,36 @@ def test_partitions_do_not_matter(spark, docs_of):
     rows = [(i, f"{PASSAGE} Own tail {i} here with some more words. And {i} the end of it all.") for i in range(40)]
     a, b = (sorted(map(tuple, S.remove_repeats(docs_of(rows).repartition(n)).select("doc_id", "text").collect())) for n in (1, 7))
     assert a == b and sum("quick" in t for _, t in a) == 1
+
+
+def windows(text, size=51):
+    words = [m[0].translate(LOWER) for m in WORD.finditer(text or "")]
+    return [tuple(words[i:i + size]) for i in range(len(words) - size + 1)]
+
+
+def test_no_long_passage_stays(spark, docs_of):
+    """No 51 words in a row of an earlier document stay, wherever the passage begins and ends in its sentences."""
+    rng = random.Random(5)
+
+    def stretch(n, stop):
+        return " ".join(rng.choice("abcdefghij") + str(rng.randrange(10**6)) + ("." if rng.random() < stop else "") for _ in range(n))
+    rows = []
+    for i, stop in enumerate([0, 0, 0, 0.01, 0.02, 0.05, 0.1, 0.3] * 6):
+        shared = stretch(rng.choice([51, 51, 52, 60, 90, 200]), stop)
+        rows += [(2 * i + k, f"{stretch(rng.randrange(60), stop)} {shared} {stretch(rng.randrange(60), stop)}") for k in (0, 1)]
+    tail = "one " + " ".join(f"w{i}" for i in range(44)) + " end. And a last short sentence."
+    rows += [(1000, "Own a. " + tail + " Own words b."), (1001, "Own c. " + tail + " Own words d.")]
+    few = "Some dozen words or a little more make up this first sentence here. It ended. So it did."
+    rows += [(1002, few + " Own words follow this passage here in e."), (1003, few + " Other words follow that passage there in f.")]
+    lines = stretch(80, 0.1)
+    rows += [(1006, lines.replace(" ", "\n")), (1007, lines)]
+    rows += [(1004, "word " * 51), (1005, " ".join(f"z{i}" for i in range(26)) + " tail")]
+    got = {r.doc_id: r for r in S.remove_repeats(docs_of(rows).repartition(5)).collect()}
+    seen = set()
+    for d, t in sorted(rows):
+        assert not seen & set(windows(got[d].text)), d
+        seen |= set(windows(t))
+        if d % 2 == 0 or d == 1005:
+            assert got[d].text == t and got[d].n_removed == 0
+    assert got[1001].text == "Own c. Own words d." and got[1003].text == "Other words follow that passage there in f."
+    assert sum(got[2 * i + 1].text != rows[2 * i + 1][1] for i in range(48)) == 48
