@@ -1,13 +1,15 @@
 """Personal data: fixed patterns plus a semi-Markov conditional random field.
 
-The patterns (email, ip, card, phone) always hold. Around every digit or @ of a
-text a window is cut into tokens, and the random field labels its segmentation:
+The patterns (email, ip, card, phone) always hold. Around every digit, @, cue word
+and spelt-out address of a text a window of whole tokens is cut, and the random field
+labels its segmentation:
 each segment is one token of nothing or up to MAX_TOKENS tokens of one entity
 type, scored by features of the whole span. Bounded-entity dynamic programming
 finds the best boundaries and types together. Weights are fitted by conditional
 likelihood on a bounded number of windows, whose labels are the pattern matches
-and a few seed patterns for secrets; features don't name the patterns, so spans
-the patterns miss can be found. Spans that overlap a pattern match are not added.
+and a few seed patterns for secrets and spelt-out addresses; features don't name the
+patterns, so spans the patterns miss can be found. A seed's match is added too where
+the field leaves it or a part of it. Spans that overlap a pattern match are not added.
 """
 
 from __future__ import annotations
@@ -33,9 +35,17 @@ EPOCHS, RATE, DECAY = 8, 0.3, 1e-4
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SECRETS = [re.compile(r"\bAKIA[0-9A-Z]{16}\b"),
-            re.compile(r"(?i:token|password|passwd|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_/+-]{8,})")]
-_ANCHOR = re.compile(r"[0-9@]+")
+_SEEDS = [("secret", re.compile(r"\bAKIA[0-9A-Z]{16}\b")),
+          ("secret", re.compile(r"(?i:token|password|passwd|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_/+-]{8,})")),
+          ("email", re.compile(r"(?i)(?<![\w.%+-])[a-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[a-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?[a-z0-9-]{2,63})+")),
+          ("email", re.compile(r"(?i)(?<![\w.%+-])[a-z0-9._%+-]{1,64} at (?:[a-z0-9-]{1,63} dot )+"
+                               r"(?:com|org|net|edu|gov|mil|info|biz|io|dev|co dot uk|uk|de|fr|nl|eu|ca|au|jp|cn|ru|br)\b"))]
+# Where a window is cut: digits, @, and, in texts with one of the words, the words of the cues and seeds. Java reads it alike.
+_WORDS = ("token", "passw", "secret", "key", "pwd", "credential", "akia", "dot")
+_PLAIN = re.compile(r"[0-9@]+")
+_ANCHOR = re.compile(r"[0-9@]+|(?i:token|passw|secret|key|pwd|credential|akia|[\[( ]dot[\]) ])")
+MAX_CHARS = 120           # of a span
+_RUN = re.compile(r"[A-Za-z0-9_%+@.-]*")
 _TOKEN = re.compile(r"[A-Za-z0-9_%+@.-]*[A-Za-z0-9]|\S")
 _CUES = re.compile(r"(?i)token|passw|secret|key|pwd|credential")
 _CALLS = re.compile(r"(?i)phone|tel|call|fax|mobile|mail|contact")
@@ -99,22 +109,35 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _edge(text: str, at: int, step: int) -> int:
+    """``at`` moved to the end of the token it falls in, or so far that what is left of it is too long for a span."""
+    some = text[at: at + MAX_CHARS + 1] if step > 0 else text[max(0, at - MAX_CHARS - 1): at][::-1]
+    return at + step * len(_RUN.match(some)[0])
+
+
+def anchors(text: str) -> re.Pattern:
+    """The pattern of the text's anchors; a plain one where only digits and @ can be any."""
+    low = text.lower()
+    return _ANCHOR if any(x in low for x in _WORDS) else _PLAIN
+
+
 def windows(text: str, before: int = 48, after: int = 24, gap: int = 48) -> Iterator[list[tuple[int, int]]]:
-    """Token spans of each stretch of text around digits and @."""
+    """Token spans of each stretch of text around anchors, tokens at its ends whole."""
     lo = hi = None
-    for m in _ANCHOR.finditer(text):
-        if lo is None or m.start() - hi > before + after + gap:
-            if lo is not None:
-                yield _tokens(text, lo, hi, before, after)
-            lo = m.start()
-        hi = m.end()
+    for m in anchors(text).finditer(text):
+        start, end = max(0, m.start() - before), min(len(text), m.end() + after)
+        if lo is None:
+            lo = start
+        elif start - hi > gap and _edge(text, start, -1) > _edge(text, hi, 1):
+            yield _tokens(text, lo, hi)
+            lo = start
+        hi = end
     if lo is not None:
-        yield _tokens(text, lo, hi, before, after)
+        yield _tokens(text, lo, hi)
 
 
-def _tokens(text, lo, hi, before, after):
-    lo, hi = max(0, lo - before), min(len(text), hi + after)
-    return [m.span() for m in _TOKEN.finditer(text, lo, hi)]
+def _tokens(text, lo, hi):
+    return [m.span() for m in _TOKEN.finditer(text, _edge(text, lo, -1), _edge(text, hi, 1))]
 
 
 N_FEATURES, _LUHN = 27, 10
@@ -155,7 +178,7 @@ def _tensor(text: str, tokens: list[tuple[int, int]]) -> np.ndarray:
     for j in range(1, len(tokens) + 1):
         for n in range(1, min(MAX_TOKENS, j) + 1):
             a, b = tokens[j - n][0], tokens[j - 1][1]
-            if b - a <= 120:
+            if b - a <= MAX_CHARS:
                 out[j - 1, n - 1] = _features(text, tokens, j - n, j)
     return out
 
@@ -213,12 +236,13 @@ def expected(scores: np.ndarray) -> tuple[float, np.ndarray]:
     return float(fore[n]), p
 
 
+def _seeds(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the seed patterns' matches."""
+    return [(kind, *m.span(m.lastindex or 0)) for kind, pattern in _SEEDS for m in pattern.finditer(text)]
+
+
 def _silver(text: str) -> list[tuple[str, int, int]]:
-    out = base_spans(text)
-    for pattern in _SECRETS:
-        for m in pattern.finditer(text):
-            out.append(("secret", *m.span(m.lastindex or 0)))
-    return out
+    return base_spans(text) + _seeds(text)
 
 
 def fit(texts: list[str]) -> np.ndarray:
@@ -256,7 +280,7 @@ def fit(texts: list[str]) -> np.ndarray:
 
 
 def added_spans(text: str, weights: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of the random field that touch no pattern match."""
+    """Spans of the random field that touch no pattern match, and what the seeds match beyond them."""
     out = []
     for tokens in windows(text):
         if tokens:
@@ -265,12 +289,15 @@ def added_spans(text: str, weights: np.ndarray, base: list[tuple[str, int, int]]
                 a, b = tokens[i][0], tokens[j - 1][1]
                 if not any(x < b and a < y for _, x, y in base):
                     out.append((KINDS[k], a, b))
+    for k, a, b in _seeds(text) if anchors(text) is _ANCHOR else []:
+        if not any(x < b and a < y for _, x, y in base) and not any(x <= a and b <= y for _, x, y in out):
+            out = [s for s in out if s[2] <= a or b <= s[1] or s[1] < a or b < s[2]] + [(k, a, b)]
     return out
 
 
 def find(text: str | None, weights: np.ndarray) -> tuple[list, list]:
     """(pattern matches, added spans) of a text; none for null."""
-    if not text or not _ANCHOR.search(text):
+    if not text or not anchors(text).search(text):
         return [], []
     base = base_spans(text)
     return base, added_spans(text, weights, base)
@@ -281,13 +308,13 @@ def _listed(spans: list[tuple[str, int, int]]) -> str:
 
 
 def train(docs: DataFrame, text_col: str = "text", max_docs: int = TRAIN_DOCS) -> np.ndarray:
-    """Weights fitted on at most ``max_docs`` texts with a digit or @ and at most TRAIN_CHARS
+    """Weights fitted on at most ``max_docs`` texts with an anchor and at most TRAIN_CHARS
     characters, taken from SAMPLE_DOCS documents or a few more, lowest text hash first."""
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
     some = docs.select(docs[text_col].cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
     some = some.where((F.col("h") <= F.lit(round(-2**63 + share * (2**64 - 1)))) & (F.length("t") <= TRAIN_CHARS)) if share < 1 \
         else some.where(F.length("t") <= TRAIN_CHARS)
-    rows = some.where(F.col("t").rlike("[0-9@]")).dropDuplicates(["h"]).orderBy("h").limit(max_docs).collect()
+    rows = some.where(F.col("t").rlike(_ANCHOR.pattern)).dropDuplicates(["h"]).orderBy("h").limit(max_docs).collect()
     return fit([r["t"] for r in rows])
 
 
