@@ -336,13 +336,11 @@ def q_arima_forecast(spark, sf_dir):
     return fc.join(act, ["series", "idx"], "left").select("series", "idx", F.col("value").alias("forecast"), "actual")
 
 
-def q_residual_tests(spark, sf_dir):
-    """T13 + T14 + T18 on the residual of trend + ARMA: white-noise checks."""
-    c = _Ctx(spark, sf_dir)
-    _, path = c.arima_local()
-    res = (c.local().join(path.where(F.col("kind") == "fitted").select("series", "idx", F.col("value").alias("__f")),
-                          ["series", "idx"])
-                    .select("series", "idx", (F.col("value") - F.col("__f")).alias("value")))
+def _white_noise(values, path):
+    """ADF, KPSS, Ljung-Box and standardised extremes of the values minus the path's fitted ones."""
+    res = (values.join(path.where(F.col("kind") == "fitted").select("series", "idx", F.col("value").alias("__f")),
+                       ["series", "idx"])
+                 .select("series", "idx", (F.col("value") - F.col("__f")).alias("value")))
     res = materialize(res)
     a = adf(res).select("series", "adf_stat", F.col("p_value").alias("adf_p"), "lag_order")
     k = kpss(res).select("series", "kpss_stat", F.col("p_value").alias("kpss_p"), F.col("lag").alias("kpss_lag"))
@@ -354,6 +352,14 @@ def q_residual_tests(spark, sf_dir):
              .withColumn("max_std_resid", F.col("max_abs_resid") / F.col("resid_sd")))
 
 
+def q_residual_tests(spark, sf_dir):
+    """T13 + T14 + T18 on the residuals of trend + ARMA and of the ARIMA of the raw series: white-noise checks."""
+    c = _Ctx(spark, sf_dir)
+    trend = _white_noise(c.local(), c.arima_local()[1]).withColumn("model", F.lit("trend_arma"))
+    raw = _white_noise(c.train().select("series", "idx", "value"), c.arima_raw()[1]).withColumn("model", F.lit("arima"))
+    return trend.unionByName(raw)
+
+
 def _test_accuracy(c: _Ctx):
     test = c.series().where(F.col("is_test")).select("series", "idx", F.col("value").alias("actual"))
     tr = c.trend_path().where(F.col("is_test")).select("series", "idx", F.col("trend_fit").alias("forecast"))

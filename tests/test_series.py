@@ -205,3 +205,21 @@ def test_printed_segment_scores(spark, cv, pr, w, w1):
 
     r = weighted_scores(spark.createDataFrame([(cv, pr)], "cv_norm double, profit_norm double")).first()
     assert abs(r["weighted"] - w) < 1e-8 and abs(r["weighted_v1"] - w1) < 1e-8
+
+
+def test_residual_tests_cover_both_models(spark):
+    from tessera.plans import forecast
+
+    SF_SMALL = "/root/testdata/sf0.001"
+    rows = forecast.q_residual_tests(spark, SF_SMALL).collect()
+    got = {(r["series"], r["model"]): r for r in rows}
+    c = forecast._Ctx(spark, SF_SMALL)
+    fitted = {(r["series"], r["idx"]): r["value"] for r in c.arima_raw()[1].where("kind = 'fitted'").collect()}
+    res = spark.createDataFrame([(r["series"], r["idx"], r["value"] - fitted[r["series"], r["idx"]]) for r in c.train().collect()],
+                                "series string, idx int, value double")
+    names = {s for s, _ in got}
+    assert len(rows) == len(got) and set(got) == {(s, m) for s in names for m in ("trend_arma", "arima")}
+    for r in adf(res).collect():
+        assert got[r["series"], "arima"]["adf_stat"] == pytest.approx(r["adf_stat"], nan_ok=True)
+    for r in kpss(res).collect():
+        assert got[r["series"], "arima"]["kpss_stat"] == pytest.approx(r["kpss_stat"], nan_ok=True)
