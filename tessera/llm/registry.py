@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import collocations, decontam, idfiles, langid, packing, pii, quality, sentences, simhash, suffixtree, toxicity
+from tessera.llm import collocations, decontam, idfiles, langid, packing, pii, quality, sentences, simhash, suffixtree, toxicity, urlfilter
 
-MODULES = [langid, packing, pii, quality, decontam, sentences, idfiles, simhash, toxicity, suffixtree, collocations]
+MODULES = [langid, packing, pii, quality, decontam, sentences, idfiles, simhash, toxicity, suffixtree, collocations, urlfilter]
 
 
 def all_queries() -> dict:
