@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import collocations, decontam, idfiles, langid, packing, pii, quality, sentences, simhash, suffixtree, toxicity, urlfilter
+from tessera.llm import (collocations, decontam, idfiles, langid, packing, pii, quality, resample, sentences, simhash,
+                         suffixtree, toxicity, urlfilter)
 
-MODULES = [langid, packing, pii, quality, decontam, sentences, idfiles, simhash, toxicity, suffixtree, collocations, urlfilter]
+MODULES = [langid, packing, pii, quality, decontam, sentences, idfiles, simhash, toxicity, suffixtree, collocations, urlfilter, resample]
 
 
 def all_queries() -> dict:
