@@ -3,8 +3,11 @@
 import random
 import re
 
+import pyarrow as pa
+
 from fixtures_llm import SF_SMALL, docs_of  # noqa: F401
 from tessera.llm import sentences as S
+from tessera.llm import words as W
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -22,31 +25,64 @@ def split(text):
     return out
 
 
+def word_hash(word, known={}):
+    if word not in known:
+        known[word] = int(W.hashes(W.words(pa.array([word], pa.large_string())))[0])
+    return known[word]
+
+
+def ranges(text):
+    """{(kind, first word, end)}: runs of whole sentences on from and back from each (kind 0, with and without
+    line ends as bounds), and spans between cuts that hold no such run (kind 1)."""
+    out, ws = set(), [m[0].translate(LOWER) for m in WORD.finditer(text)]
+    for by_line in (True, False):
+        bounds = [0]
+        for s, _ in split(text if by_line else text.replace("\n", " ")):
+            bounds.append(bounds[-1] + len(s))
+        ends = {}
+        for i in range(len(bounds) - 1):
+            alone = bounds[i + 1] - bounds[i] >= S.LONE
+            on = [j for j in range(i + 1, len(bounds)) if alone or j - i >= S.SENTENCES and bounds[j] - bounds[i] >= S.WORDS]
+            back = [j for j in range(i, -1, -1) if alone or i + 1 - j >= S.SENTENCES and bounds[i + 1] - bounds[j] >= S.WORDS]
+            if on:
+                ends[bounds[i]] = bounds[on[0]]
+                out.add((0, bounds[i], bounds[on[0]]))
+            if back:
+                out.add((0, bounds[back[0]], bounds[i + 1]))
+    h = [word_hash(x) for x in ws]
+    cut = sorted({max(range(i, i + S.CUT), key=lambda k: (-h[k], k)) for i in range(len(ws) - S.CUT + 1)})
+    for c in cut:
+        to = next((x for x in cut if x >= c + S.PASSAGE), None)
+        first = next((x for x in bounds[:-1] if x > c), None)          # bounds without line ends
+        if to is not None and not (first in ends and ends[first] <= to):
+            out.add((1, c, to))
+    return ws, out
+
+
 def plain(rows):
     """{(id, text): (cleaned, sentences, removed)} of (id, text) rows."""
-    keyed = sorted({(d is None, d or 0, t or "") for d, t in rows}, key=lambda x: x[:2])
-    firsts, runs = {}, []
+    keyed = sorted({(d is None, d or 0, t or "") for d, t in rows})
+    firsts, own = {}, {}
     for doc in keyed:
-        s = split(doc[2])
-        for i in range(len(s)):
-            j, n = i, 0
-            while j < len(s) and (j - i < S.SENTENCES or n < S.WORDS) and not (j == i + 1 and len(s[i][0]) >= S.LONE):
-                n += len(s[j][0])
-                j += 1
-            if (j - i >= S.SENTENCES and n >= S.WORDS) or (j == i + 1 and n >= S.LONE):
-                key = tuple(w for x in s[i:j] for w in x[0])
-                runs.append((key, doc, i, j))
-                firsts[key] = min(firsts.get(key, (doc[:2], i)), (doc[:2], i))
-    gone = {}
-    for key, doc, i, j in runs:
-        if firsts[key] != (doc[:2], i):
-            gone.setdefault(doc, set()).update(range(i, j))
+        ws, found = ranges(doc[2])
+        own[doc] = [((kind, tuple(ws[a:b])), a, b) for kind, a, b in found]
+        for key, a, _ in own[doc]:
+            firsts[key] = min(firsts.get(key, (doc, a)), (doc, a))
     out = {}
     for doc in keyed:
-        s, g, t = split(doc[2]), gone.get(doc, set()), doc[2]
-        cuts = [0] + [x[1] for x in s[1:]] + [len(t)]
-        out[(None if doc[0] else doc[1], t)] = ("".join(t[a:b] for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if k not in g) if s else t,
-                                                len(s), len(g))
+        gone, t = set(), doc[2]
+        for key, a, b in own[doc]:
+            first, at = firsts[key]
+            if first != doc or a != at and (key[0] == 0 or a >= at + b - a):
+                gone |= set(range(a, b))
+        starts = [m.start() for m in WORD.finditer(t)]
+        cuts = [0, *starts[1:], len(t)]
+        s, k, touched = split(t), 0, 0
+        for words, _ in s:
+            touched += bool(gone & set(range(k, k + len(words))))
+            k += len(words)
+        out[(None if doc[0] else doc[1], t)] = ("".join(t[x:y] for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if i not in gone)
+                                                if starts else t, len(s), touched)
     return out
 
 
