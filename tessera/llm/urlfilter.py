@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -125,8 +126,7 @@ def rarest_tokens(rows: DataFrame, rules: Sequence[Rule]) -> dict[str, list[Rule
     """Rules by the token of theirs that the fewest of all addresses have (ties: first by alphabet);
     those without one under the empty token. One number a token of the rules reaches the driver."""
     wanted = sorted({t for r in rules for t in r.tokens})
-    spark = rows.sparkSession
-    few = spark.createDataFrame([(t,) for t in wanted], "t string")
+    few = rows.sparkSession.range(1).select(F.explode(F.split(F.lit(",".join(wanted)), ",")).alias("t"))
     found = rows.select(F.explode("u.tokens").alias("t")).join(F.broadcast(few) if len(wanted) <= LITERAL_RULES else few, "t") \
         .groupBy("t").count().collect() if wanted else []
     n = {r["t"]: r["count"] for r in found}
@@ -150,13 +150,10 @@ def _fits(c: Column, u: Column) -> Column:
 def _looked_up(rows: DataFrame, index: dict[str, list[Rule]]) -> DataFrame:
     """Adds n_tried and best, with the index as one literal array of buckets by the token's CRC-32."""
     size = 1 << max(4, len(index).bit_length())
-    spark = rows.sparkSession
-    tokens = [t for t in index if t]
-    crc = {r["t"]: r["b"] for r in spark.createDataFrame([(t,) for t in tokens], "t string")
-           .select("t", (F.crc32("t") % size).alias("b")).collect()} if tokens else {}
     buckets: list[list[dict]] = [[] for _ in range(size)]
-    for t in tokens:
-        buckets[crc[t]] += [_entry(t, r) for r in index[t]]
+    for t in index:
+        if t:
+            buckets[zlib.crc32(t.encode()) % size] += [_entry(t, r) for r in index[t]]
     table = F.from_json(F.lit(json.dumps(buckets)), f"array<array<{_RULE}>>")
     always = F.from_json(F.lit(json.dumps([_entry("", r) for r in index.get("", [])])), f"array<{_RULE}>")
     u = F.col("u")
@@ -169,9 +166,8 @@ def _looked_up(rows: DataFrame, index: dict[str, list[Rule]]) -> DataFrame:
 
 def _joined(rows: DataFrame, index: dict[str, list[Rule]]) -> DataFrame:
     """The same by a join of each different address' tokens with the rules' tokens, for long rule lists."""
-    spark = rows.sparkSession
-    entries = [tuple(_entry(t, r).values()) for t, rules in index.items() for r in rules]
-    rules = spark.createDataFrame(entries, "token string, rank int, rule string, site boolean, verdict string, regex string")
+    entries = json.dumps([_entry(t, r) for t, rules in index.items() for r in rules])
+    rules = rows.sparkSession.range(1).select(F.inline(F.from_json(F.lit(entries), f"array<{_RULE}>")))
     different = rows.select("u.site", "u.address", "u.tokens").dropDuplicates(["site", "address"])
     u, c = F.struct(F.col("at").alias("site"), "address"), F.struct("site", "regex")
     tried = different.select(F.col("site").alias("at"), "address", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token")) \
