@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Transformer
 from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
@@ -132,10 +132,32 @@ def svm_reg(train: DataFrame, c: float = 1.0) -> float:
     return 1.0 / (c * max(1, train.count()))
 
 
-def fit_predict(train: DataFrame, test: DataFrame, estimator, keep: list[str]) -> DataFrame:
-    """Fit on the training part, label the test part."""
-    model = estimator.fit(train)
-    return model.transform(test).select(*keep, F.col("prediction").cast("int").alias("prediction"))
+def linear_label(vec, coefficients: np.ndarray, intercepts: np.ndarray):
+    """Column: the class whose linear margin is largest (ties: the lowest), one matrix product a batch.
+    A null vector has none."""
+    weights, shifts = np.asarray(coefficients, float), np.asarray(intercepts, float)
+
+    @F.pandas_udf("int")
+    def _label(s: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(s), dtype="Int32")
+        have = s.notna().to_numpy()
+        if have.any():
+            out[have] = (np.vstack(s[have].to_numpy()) @ weights.T + shifts).argmax(axis=1)
+        return out
+
+    return _label(vector_to_array(F.col(vec) if isinstance(vec, str) else vec))
+
+
+def fit_predict(train: DataFrame, test: DataFrame, estimator: OneVsRest, keep: list[str]) -> DataFrame:
+    """Fit on the training part, label the test part.
+
+    Only the fitted numbers travel to the tasks: a fitted model also holds its training
+    summary, and through it the session.
+    """
+    models = estimator.fit(train).models
+    label = linear_label(estimator.getFeaturesCol(), np.array([m.coefficients.toArray() for m in models]),
+                         np.array([m.intercept for m in models]))
+    return test.select(*keep, label.alias("prediction"))
 
 
 def _mapped(x: np.ndarray, maps: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:

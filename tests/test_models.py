@@ -91,6 +91,11 @@ def test_accuracy_vs_nir():
 def test_classifiers_on_blobs_and_rings(spark):
     from tessera.operators.classify import RandomFourierFeatures, fit_predict, linear_svm, with_vector
 
+    from pyspark.sql import Observation
+
+    seen = Observation("before")                        # an observed job leaves listeners in the session
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 5
     rng = np.random.default_rng(5)
     rows = []
     centers = np.array([[2.0, 0.0], [-2.0, 0.0], [0.0, 2.5]])
