@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.matrix import gram_sums, last, let, solve
+
 # KPSS level-stationarity critical values and their p-values.
 KPSS_CRIT = [0.347, 0.463, 0.574, 0.739]
 KPSS_P = [0.10, 0.05, 0.025, 0.01]
@@ -78,42 +78,29 @@ def acf(df: DataFrame, series: str = "series", idx: str = "idx", value: str = "v
                  .select(series, "lag", F.try_divide(F.col("s"), F.col("c0")).alias("acf"), "n"))
 
 
-def pacf_from_acf(r: np.ndarray) -> np.ndarray:
-    """Durbin-Levinson: partial autocorrelations from r_1..r_K."""
-    K = len(r)
-    out = np.zeros(K)
-    phi = np.zeros(K + 1)
-    if K == 0:
-        return out
-    phi[1] = r[0]
-    out[0] = r[0]
-    v = 1.0 - r[0] ** 2
-    for k in range(2, K + 1):
-        num = r[k - 1] - sum(phi[j] * r[k - j - 1] for j in range(1, k))
-        a = num / v if v > 0 else 0.0
-        new = phi.copy()
-        new[k] = a
-        for j in range(1, k):
-            new[j] = phi[j] - a * phi[k - j]
-        phi = new
-        v = v * (1.0 - a * a)
-        out[k - 1] = a
-    return out
+def pacf_from_acf(r: Column) -> Column:
+    """Durbin-Levinson as one fold: partial autocorrelations from the array r_1..r_K."""
+    none = F.array().cast("array<double>")
+    zero = F.struct(none.alias("phi"), F.lit(1.0).alias("v"), none.alias("out"))
 
+    def step(s: Column, x: Column) -> Column:
+        k = F.size(s["phi"])
+        # phi_j meets r_{k - j + 1}: the last k autocorrelations used so far, newest first
+        seen = F.aggregate(F.zip_with(s["phi"], F.reverse(F.slice(r, 1, k)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        a = F.when(s["v"] > 0, (x - seen) / F.nullif(s["v"], F.lit(0.0))).otherwise(0.0)
+        return let(a, lambda v: F.struct(
+            F.concat(F.zip_with(s["phi"], F.reverse(s["phi"]), lambda p, q: p - v * q), F.array(v)).alias("phi"),
+            (s["v"] * (1.0 - v * v)).alias("v"), F.concat(s["out"], F.array(v)).alias("out")))
 
-def pacf(df: DataFrame, series: str = "series", idx: str = "idx", value: str = "value",
-         lag_max: int | None = None) -> DataFrame:
-    """Partial autocorrelations. The ACF is a Spark job; the recursion runs on
-    the K acf values of each series (``applyInPandas`` on K rows per group)."""
-    a = acf(df, series, idx, value, lag_max)
+    return F.aggregate(r, zero, step, lambda s: s["out"])
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lag")
-        p = pacf_from_acf(pdf["acf"].to_numpy(dtype=float))
-        return pd.DataFrame({series: pdf[series].to_numpy(), "lag": pdf["lag"].to_numpy(),
-                             "pacf": p})
 
-    return a.groupBy(series).applyInPandas(fn, f"{series} string, lag int, pacf double")
+def pacf(df: DataFrame, series: str = "series", idx: str = "idx", value: str = "value",
+         lag_max: int | None = None) -> DataFrame:
+    """Partial autocorrelations: one row of K autocorrelations a series, folded in place."""
+    rows = acf(df, series, idx, value, lag_max).groupBy(series).agg(F.array_sort(F.collect_list(F.struct("lag", "acf"))).alias("a"))
+    out = rows.select(series, F.posexplode(pacf_from_acf(F.col("a.acf"))).alias("k", "pacf"))
+    return out.select(series, (F.col("k") + 1).cast("int").alias("lag"), "pacf")
 
 
 def kpss_lag(n: Column) -> Column:
@@ -160,81 +147,79 @@ def ljung_box(acf_df: DataFrame, series: str = "series", h: int = 10) -> DataFra
          * F.sum(F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag")))).alias("q_stat"))
 
 
-def ljung_box_p(q_col, h_col, fitdf: int = 0):
-    """Upper chi-square tail of Q with h - fitdf degrees of freedom (pandas UDF
-    on one value per series)."""
-    from pyspark.sql.types import DoubleType
-
-    @F.pandas_udf(DoubleType())
-    def _p(q: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([chi2_sf(float(a), int(b) - fitdf) if pd.notna(a) and pd.notna(b) else float("nan")
-                          for a, b in zip(q, h)])
-
-    return _p(q_col, h_col)
+def ljung_box_p(q: Column, h: Column, fitdf: int = 0) -> Column:
+    """Upper chi-square tail of Q with h - fitdf degrees of freedom."""
+    return chi2_sf(q, h - fitdf)
 
 
 # ----------------------------------------------------------------- p-values
-def chi2_sf(q: float, df: int) -> float:
+def _erfc_root(x: Column) -> Column:
+    """erfc(sqrt(x)) for x >= 0: below 2 one less the series of erf, from 2 on its continued fraction."""
+    steps = F.sequence(F.lit(1), F.lit(60))
+    series = F.aggregate(steps, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
+                         lambda a, k: let(a["t"] * x / (k + 0.5), lambda t: F.struct(t.alias("t"), (a["s"] + t).alias("s"))), lambda a: a["s"])
+    # erfc(z) = exp(-z^2) / sqrt(pi) / (z + (1/2) / (z + 1 / (z + (3/2) / (z + ...)))), from the inside out
+    z = F.sqrt(x)
+    fraction = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), z, lambda a, k: z + (k / 2.0) / a)
+    return F.when(x < 2, 1.0 - 2.0 / math.sqrt(math.pi) * F.sqrt(x) * F.exp(-x) * series) \
+        .otherwise(F.exp(-x) / math.sqrt(math.pi) / fraction)
+
+
+def chi2_sf(q: Column, df: Column) -> Column:
     """Upper tail of the chi-square distribution, by its finite sums: Q_1 is
     erfc(sqrt(q / 2)), Q_2 is exp(-q / 2), and two more degrees of freedom add
-    exp(-q / 2) (q / 2)^(df / 2) / Gamma(df / 2 + 1)."""
-    if df <= 0 or q is None or math.isnan(q):
-        return float("nan")
-    if q <= 0:
-        return 1.0
-    x = q / 2.0
-    tail, have = (math.exp(-x), 2) if df % 2 == 0 else (math.erfc(math.sqrt(x)), 1)
-    while have < df:
-        tail += math.exp(-x + have / 2.0 * math.log(x) - math.lgamma(have / 2.0 + 1.0))
-        have += 2
-    return min(tail, 1.0)
-
-
-def adf_p_value(stat: float, n: int) -> float:
+    exp(-q / 2) (q / 2)^(df / 2) / Gamma(df / 2 + 1). Null without a degree of freedom."""
+    x, even = q / 2.0, df % 2 == 0
+    # The first term to add: x / Gamma(2) for an even number, x^(1/2) / Gamma(3/2) for an odd one.
+    first = F.struct(F.lit(0.0).alias("s"), F.when(even, x).otherwise(F.sqrt(x) * 2.0 / math.sqrt(math.pi)).alias("t"))
+    have = F.when(even, F.lit(2)).otherwise(F.lit(1))
+    more = F.when(df > have, F.sequence(have, df - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    added = F.aggregate(more, first, lambda a, k: F.struct((a["s"] + a["t"]).alias("s"), (a["t"] * x / (k / 2.0 + 1.0)).alias("t")), lambda a: a["s"])
+    tail = F.when(even, F.exp(-x)).otherwise(_erfc_root(x)) + F.exp(-x) * added
+    return F.when((df > 0) & (q <= 0), F.lit(1.0)).when((df > 0) & q.isNotNull(), F.least(tail, F.lit(1.0)))
+
+
+def adf_p_value(stat: Column, n: Column) -> Column:
     """Interpolate the critical values at sample size n, then the p-value at
     ``stat``; clamped to [0.01, 0.99]."""
-    crit = [float(np.interp(n, ADF_T, [row[j] for row in ADF_CRIT])) for j in range(len(ADF_P))]
-    return float(np.interp(stat, crit, ADF_P))
-
-
-def adf_one(x: np.ndarray, k: int | None = None) -> tuple[float, int, float]:
-    """Augmented Dickey-Fuller t-ratio, regression on constant, trend, lagged
-    level and ``k`` lagged differences (default trunc((n-1)^(1/3)))."""
-    N = len(x)
-    if k is None:
-        k = int(math.trunc((N - 1) ** (1.0 / 3.0)))
-    kk = k + 1
-    y = np.diff(x)
-    n = len(y)
-    if n - kk + 1 < kk + 3:
-        return float("nan"), k, float("nan")
-    rows = range(kk - 1, n)                       # 0-based t of y
-    yt = np.array([y[t] for t in rows])
-    cols = [np.ones(len(yt)), np.array([x[t] for t in rows]), np.array([t + 1.0 for t in rows])]
-    for j in range(1, kk):
-        cols.append(np.array([y[t - j] for t in rows]))
-    X = np.column_stack(cols)
-    beta, *_ = np.linalg.lstsq(X, yt, rcond=None)
-    resid = yt - X @ beta
-    dof = len(yt) - X.shape[1]
-    s2 = float(resid @ resid) / dof
-    cov = s2 * np.linalg.pinv(X.T @ X)
-    stat = float(beta[1] / math.sqrt(cov[1, 1]))
-    return stat, k, adf_p_value(stat, n)
+    crit = [_interp(n, [float(t) for t in ADF_T], [row[j] for row in ADF_CRIT]) for j in range(len(ADF_P))]
+    out = F.when(stat <= crit[0], F.lit(ADF_P[0]))
+    for a, b, x0, x1 in zip(ADF_P, ADF_P[1:], crit, crit[1:]):
+        out = out.when(stat <= x1, F.lit(a) + (stat - x0) * (b - a) / (x1 - x0))
+    return F.when(stat.isNotNull(), out.otherwise(F.lit(ADF_P[-1])))
+
+
+def adf_lag(n: Column) -> Column:
+    """Default number of lagged differences: trunc((n - 1)^(1/3))."""
+    return F.floor(F.pow((n - 1).cast("double"), F.lit(1.0 / 3.0))).cast("int")
 
 
 def adf(df: DataFrame, series: str = "series", idx: str = "idx", value: str = "value",
         k: int | None = None) -> DataFrame:
-    """ADF test per series (``applyInPandas``; one group = one series'
-    periods) -> (series, n, lag_order, adf_stat, p_value)."""
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx)
-        x = pdf[value].to_numpy(dtype=float)
-        stat, lag, p = adf_one(x, k)
-        return pd.DataFrame({series: [pdf[series].iloc[0]], "n": [len(x)], "lag_order": [lag],
-                             "adf_stat": [stat], "p_value": [p]})
-
-    return (df.select(series, idx, F.col(value).cast("double").alias(value))
-              .groupBy(series).applyInPandas(
-                  fn, f"{series} string, n long, lag_order int, adf_stat double, p_value double"))
+    """Augmented Dickey-Fuller t-ratio of every series: the change regressed on a constant, a trend, the
+    level before and ``k`` changes before (default ``adf_lag``) -> (series, n, lag_order, adf_stat, p_value).
+
+    One Gram row a series, as wide as the largest lag order asks for, swept in place. Series too short for
+    the regression, or left without a residual, have null results."""
+    own, whole = Window.partitionBy(series).orderBy(idx), Window.partitionBy(series)
+    x = F.col("x")
+    rows = df.select(F.col(series), F.col(idx), F.col(value).cast("double").alias("x")) \
+        .select(series, idx, (x - F.avg("x").over(whole)).alias("x"), F.row_number().over(own).alias("at"),
+                F.count("*").over(whole).alias("n"), (x - F.lag("x").over(own)).alias("y"))
+    rows = rows.withColumn("lag_order", F.lit(k) if k is not None else adf_lag(F.col("n")))
+    top = k if k is not None else rows.agg(F.max("lag_order")).first()[0] or 0
+    # A column a lagged change; 0 beyond the series' own order, so that it never enters.
+    before = [F.when(F.col("lag_order") >= j, F.lag("y", j).over(own)).otherwise(0.0).alias(f"y{j}") for j in range(1, top + 1)]
+    rows = rows.select("*", F.lag("x").over(own).alias("level"), *before).where(F.col("at") >= F.col("lag_order") + 2)
+    terms = [F.lit(1.0), F.col("level"), F.col("at") - F.col("n") / 2.0, *[F.col(f"y{j}") for j in range(1, top + 1)], F.col("y")]
+    g = rows.groupBy(series, "n", "lag_order").agg(F.count("*").alias("rows"), gram_sums(terms).alias("g"))
+    fit = g.withColumn("s", solve(F.col("g"), F.sequence(F.lit(0), F.lit(len(terms) - 2))))
+    # What rounding leaves of the change's sum of squares is no residual.
+    left = F.when(F.col("s.rss") > 1e-12 * last(last(F.col("g"))), F.col("s.rss"))
+    stat = F.try_divide(F.get("s.coef", F.lit(1)), F.sqrt(left / F.nullif(F.col("rows") - F.col("s.rank"), F.lit(0)) * F.get("s.inverse", F.lit(1))))
+    enough = F.col("n") - 1 - F.col("lag_order") >= F.col("lag_order") + 4
+    out = fit.select(series, "n", "lag_order", F.when(enough, stat).alias("adf_stat"))
+    every = df.groupBy(series).agg(F.count("*").alias("n"))       # also those without a row for the regression
+    every = every.withColumn("lag_order", F.lit(k) if k is not None else adf_lag(F.col("n")))
+    out = every.join(out.select(series, "adf_stat"), series, "left")
+    return out.withColumn("p_value", adf_p_value(F.col("adf_stat"), F.col("n") - 1))

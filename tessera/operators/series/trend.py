@@ -5,19 +5,18 @@ polynomial uses powers of M scaled to [-1, 1] (same column space as the
 orthogonal basis, far better conditioned); M itself is collinear with the
 linear power and is dropped by the pivoted solve, as a rank-deficient fit does.
 
-Spark computes one Gram vector per (series, a, b) with a grouped aggregate;
-only the 13 x 13 solve of each group runs in Python (``applyInPandas`` on one
-row per group). Fitted values and forecasts are Spark expressions with the
-coefficients joined by series.
+Spark computes one Gram matrix per (series, a, b) with a grouped aggregate and
+sweeps it in the same row (``operators/matrix.py``). Fitted values and forecasts are
+Spark expressions with the coefficients joined by series.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.matrix import gram_sums, solve
+
 TERMS = ["one", "s", "c", "p1", "p2", "p3", "sp1", "sp2", "sp3", "cp1", "cp2", "cp3", "m"]
 # Frequency pairs (a, b) tried by the reference, one per modelled series.
 FREQ_PAIRS = [(0.6, 0.5), (0.6, 0.3), (0.5, 0.6), (0.5, 0.5)]
@@ -31,42 +30,11 @@ def term_columns(idx: Column, n_train: Column, fa: Column, fb: Column) -> list[C
     return [F.lit(1.0), s, c, p1, p2, p3, s * p1, s * p2, s * p3, c * p1, c * p2, c * p3, m]
 
 
-def _pairs(k):
-    return [(i, j) for i in range(k) for j in range(i, k)]
-
-
-def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    k = len(TERMS)
-    for _, r in pdf.iterrows():
-        g = np.asarray(r["g"], dtype=float)
-        full = np.zeros((k + 1, k + 1))
-        for v, (i, j) in zip(g, _pairs(k + 1)):
-            full[i, j] = full[j, i] = v
-        xtx, xty, yty = full[:k, :k], full[:k, k], full[k, k]
-        keep = []
-        for t in range(k):                     # greedy pivot in term order
-            cand = keep + [t]
-            sub = xtx[np.ix_(cand, cand)]
-            d = np.sqrt(np.clip(np.diag(sub), 1e-300, None))
-            if np.diag(sub)[-1] <= 0 or np.linalg.eigvalsh(sub / np.outer(d, d)).min() < 1e-10:
-                continue
-            keep.append(t)
-        beta = np.zeros(k)
-        if keep:
-            b = np.linalg.solve(xtx[np.ix_(keep, keep)], xty[keep])
-            beta[keep] = b
-            rss = float(yty - b @ xty[keep])
-        else:
-            rss = float(yty)
-        out.append((r["series"], float(r["fa"]), float(r["fb"]), [float(x) for x in beta],
-                    max(rss, 0.0), int(r["n"]), len(keep)))
-    return pd.DataFrame(out, columns=["series", "fa", "fb", "coef", "rss", "n", "rank"])
-
-
 def fit_grid(train: DataFrame, series: str = "series", idx: str = "idx", value: str = "value",
              pairs=FREQ_PAIRS) -> DataFrame:
-    """T5 + T5b: one fit per (series, a, b) -> (series, fa, fb, coef[13], rss, n, rank)."""
+    """T5 + T5b: one fit per (series, a, b) -> (series, fa, fb, coef[13], rss, n, rank).
+
+    A term that those before it explain is dropped: its coefficient is 0 and the rank lower."""
     grid = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("fa"), F.lit(float(b)).alias("fb"))
                                for a, b in pairs]))
     n = F.count(F.lit(1)).over(Window.partitionBy(series))
@@ -76,10 +44,10 @@ def fit_grid(train: DataFrame, series: str = "series", idx: str = "idx", value:
               .select("*", grid.alias("__g")).select("series", "idx", "y", "n_train", "__g.fa", "__g.fb"))
     cols = term_columns(F.col("idx"), F.col("n_train"), F.col("fa"), F.col("fb")) + [F.col("y")]
     x = x.select("series", "fa", "fb", *[c.alias(f"t{i}") for i, c in enumerate(cols)])
-    sums = [F.sum(F.col(f"t{i}") * F.col(f"t{j}")) for i, j in _pairs(len(cols))]
-    g = x.groupBy("series", "fa", "fb").agg(F.array(*sums).alias("g"), F.count(F.lit(1)).alias("n"))
-    return g.groupBy("series", "fa", "fb").applyInPandas(
-        _solve, "series string, fa double, fb double, coef array<double>, rss double, n long, rank int")
+    g = x.groupBy("series", "fa", "fb").agg(gram_sums([F.col(f"t{i}") for i in range(len(cols))]).alias("g"), F.count(F.lit(1)).alias("n"))
+    fit = g.select("series", "fa", "fb", "n", solve(F.col("g"), F.sequence(F.lit(0), F.lit(len(TERMS) - 1))).alias("s"))
+    return fit.select("series", "fa", "fb", F.transform("s.coef", lambda v: F.coalesce(v, F.lit(0.0))).alias("coef"),
+                      F.col("s.rss").alias("rss"), "n", F.col("s.rank").alias("rank"))
 
 
 def choose(fits: DataFrame) -> DataFrame:

@@ -13,11 +13,11 @@ from tessera.operators.aggregate import group_aggregate, segment_scores, stabili
 from tessera.operators.reshape import add_index, fill_month_gaps, holdout_split, measures_to_series
 from tessera.operators.series import accuracy, acf, adf, best_model, kpss, lags, ljung_box, pacf
 from tessera.operators.series import ses_fitted, ses_grid, ses_levels
-from tessera.operators.series.arima import arima
-from tessera.operators.series.stats import ljung_box_p
-from tessera.operators.series.trend import TERMS, choose, evaluate, fit_grid
+from tessera.operators.series.arima import apply_model, arima
+from tessera.operators.series.stats import ADF_CRIT, ADF_P, ADF_T, chi2_sf, ljung_box_p
+from tessera.operators.series.trend import FREQ_PAIRS, TERMS, choose, evaluate, fit_grid
 from tessera.operators.reshape import append_kind
-from tessera.functions.numeric import rnd
+from tessera.functions.numeric import rnd, rnd_sig, rnd_sig_sql
 from tessera.plans import bind
 from tessera.session import materialize
 
@@ -141,14 +141,8 @@ def q_ljung_box_lags(spark, sf_dir):
     a = acf(_train(spark, sf_dir)).where(F.col("lag") <= LB_LAGS)
     w = Window.partitionBy("series").orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
     q = F.col("n") * (F.col("n") + 2) * F.sum(F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag"))).over(w)
-    # An even number of degrees of freedom has a finite sum as its upper tail.
-    half, x = F.expr("CAST(lag div 2 AS INT)"), F.col("q") / 2
-    tail = F.exp(-x) * F.aggregate(F.sequence(F.lit(0), half - 1), F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("t")),
-                                   lambda acc, k: F.struct((acc["s"] + acc["t"]).alias("s"), (acc["t"] * x / (k + 1)).alias("t")),
-                                   lambda acc: acc["s"])
     return a.select("series", "lag", "acf", q.alias("q")).select(
-        "series", "lag", rnd("acf", 6).alias("acf"), rnd("q", 4).alias("q_stat"),
-        rnd(F.when(F.col("lag") % 2 == 0, tail), 6).alias("p_even"))
+        "series", "lag", rnd("acf", 6).alias("acf"), rnd("q", 4).alias("q_stat"), rnd(chi2_sf(F.col("q"), F.col("lag")), 6).alias("p_value"))
 
 
 def q_standard_residuals(spark, sf_dir):
@@ -297,7 +291,7 @@ def q_trend_season_grid(spark, sf_dir):
     fits, chosen = _Ctx(spark, sf_dir).trend()
     pick = chosen.select("series", F.col("fa").alias("__fa"), F.col("fb").alias("__fb"))
     return (fits.join(pick, "series")
-                .select("series", "fa", "fb", "rss", "rank", "n",
+                .select("series", "fa", "fb", rnd_sig("rss", 6).alias("rss"), "rank", "n",
                         ((F.col("fa") == F.col("__fa")) & (F.col("fb") == F.col("__fb"))).alias("chosen")))
 
 
@@ -305,11 +299,11 @@ def q_trend_season_fit(spark, sf_dir):
     _, chosen = _Ctx(spark, sf_dir).trend()
     z = F.arrays_zip(F.array(*[F.lit(t) for t in TERMS]).alias("term"), F.col("coef").alias("coef"))
     return chosen.select("series", "fa", "fb", "rss", F.explode(z).alias("z")).select(
-        "series", "fa", "fb", F.col("z.term").alias("term"), F.col("z.coef").alias("coef"), "rss")
+        "series", "fa", "fb", F.col("z.term").alias("term"), rnd_sig("z.coef", 6).alias("coef"), rnd_sig("rss", 6).alias("rss"))
 
 
 def q_trend_season_forecast(spark, sf_dir):
-    return _Ctx(spark, sf_dir).trend_path().select("series", "idx", "is_test", "value", "trend_fit")
+    return _Ctx(spark, sf_dir).trend_path().select("series", "idx", "is_test", "value", rnd_sig("trend_fit", 6).alias("trend_fit"))
 
 
 def q_pacf(spark, sf_dir):
@@ -318,7 +312,8 @@ def q_pacf(spark, sf_dir):
 
 
 def q_adf_test(spark, sf_dir):
-    return adf(_train(spark, sf_dir))
+    a = adf(_train(spark, sf_dir))
+    return a.select("series", "n", "lag_order", rnd_sig("adf_stat", 7).alias("adf_stat"), rnd("p_value", 6).alias("p_value"))
 
 
 def q_arima_select(spark, sf_dir):
@@ -333,7 +328,18 @@ def q_arima_forecast(spark, sf_dir):
     c = _Ctx(spark, sf_dir)
     fc = c.arima_raw()[1].where(F.col("kind") == "forecast")
     act = c.series().where(F.col("is_test")).select("series", "idx", F.col("value").alias("actual"))
-    return fc.join(act, ["series", "idx"], "left").select("series", "idx", F.col("value").alias("forecast"), "actual")
+    return fc.join(act, ["series", "idx"], "left").select("series", "idx", F.col("value").alias("forecast"), "std_error", "actual")
+
+
+# A model of second-order autoregression and first-order moving average on first differences, for the check of the
+# recursions alone.
+GIVEN = {"d": 1, "const": 0.0, "ar": [0.4, -0.25], "ma": [-0.6]}
+
+
+def q_arima_given(spark, sf_dir):
+    """Fitted values and forecasts with standard errors of every training series at given coefficients."""
+    return apply_model(_train(spark, sf_dir), **GIVEN, h=HORIZON).select(
+        "series", "idx", "kind", rnd_sig("value", 8).alias("value"), rnd_sig("std_error", 8).alias("std_error"))
 
 
 def _white_noise(values, path):
@@ -392,6 +398,7 @@ QUERIES.update({
     "adf_test": q_adf_test,
     "arima_select": q_arima_select,
     "arima_forecast": q_arima_forecast,
+    "arima_given": q_arima_given,
     "residual_tests": q_residual_tests,
     "best_model": q_best_model,
     "fit_and_forecast": q_fit_and_forecast,
@@ -510,7 +517,7 @@ ORACLES = {
     "ses_fitted": _CTE + "SELECT series, CAST(idx AS INTEGER) AS idx, round(smoothed, 4) AS smoothed FROM fit",
     "residuals": _CTE + "SELECT series, CAST(idx AS INTEGER) AS idx, round(value - smoothed, 4) AS residual FROM fit",
     "ljung_box_lags": _CTE + f"""SELECT series, CAST(lag AS INTEGER) AS lag, round(acf, 6) AS acf, round(q, 4) AS q_stat,
-  CASE WHEN lag % 2 = 0 THEN round(exp(-q / 2) * list_sum(list_transform(range(0, lag // 2), lambda k: pow(q / 2, k) / gamma(k + 1))), 6) END AS p_even
+  round(greatest(0, 1 - list_sum(list_transform(range(0, 400), lambda k: exp((k + lag / 2) * ln(q / 2) - q / 2 - lgamma(k + lag / 2 + 1))))), 6) AS p_value
   FROM (SELECT series, lag, acf, n * (n + 2) * sum(acf * acf / (n - lag)) OVER (PARTITION BY series ORDER BY lag) AS q
         FROM acfv WHERE lag <= {LB_LAGS})""",
     "pacf": _CTE.rstrip() + """, rl AS (SELECT series, list(acf ORDER BY lag) AS r FROM acfv GROUP BY series),
@@ -532,3 +539,96 @@ SELECT series, round(avg(actual - forecast), 6) AS me, round(sqrt(avg((actual -
   round(avg(abs(actual - forecast)), 6) AS mae, round(avg(100.0 * (actual - forecast) / actual), 6) AS mpe,
   round(avg(abs(100.0 * (actual - forecast) / actual)), 6) AS mape, count(*) AS n_test FROM te GROUP BY series""",
 }
+
+
+# ------------------------------------------------------------------ oracles of the regressions and recursions
+def sweep_sql(rows: str, keys: list[str], terms: list[str], target: str) -> str:
+    """CTEs from the rows of CTE ``rows``: swept(keys, n, coef, inverse, rss, used), one least-squares fit a key. Terms enter in
+    turn; one of which less than 1e-10 of its own sum of squares is left is passed over."""
+    cols, k, by = [*terms, target], len(terms), ", ".join(keys)
+    matrix = ", ".join("[" + ", ".join(f"sum(CAST({a} AS DOUBLE) * {b})" for b in cols) + "]" for a in cols)
+    return f"""gm AS MATERIALIZED (SELECT {by}, count(*) AS n, [{matrix}] AS m FROM {rows} GROUP BY {by}),
+sw({by}, n, k, m, diag, used) AS (
+  SELECT {by}, n, 1, m, list_transform(range(1, {k + 1}), lambda i: m[i][i]), CAST([] AS BOOLEAN[]) FROM gm UNION ALL
+  SELECT {by}, n, k + 1, CASE WHEN ok THEN list_transform(m, lambda r, i: list_transform(r, lambda x, j:
+    CASE WHEN i = k AND j = k THEN 1 / m[k][k] WHEN i = k THEN m[k][j] / m[k][k] WHEN j = k THEN -m[i][k] / m[k][k]
+         ELSE x - m[i][k] * m[k][j] / m[k][k] END)) ELSE m END, diag, list_append(used, ok)
+  FROM (SELECT *, m[k][k] > 1e-10 * diag[k] AS ok FROM sw WHERE k <= {k})),
+swept AS MATERIALIZED (SELECT {by}, n, list_transform(range(1, {k + 1}), lambda i: CASE WHEN used[i] THEN m[i][{k + 1}] ELSE 0 END) AS coef,
+  list_transform(range(1, {k + 1}), lambda i: m[i][i]) AS inverse, greatest(m[{k + 1}][{k + 1}], 0) AS rss,
+  len(list_filter(used, lambda u: u)) AS rank FROM sw WHERE k = {k + 1})"""
+
+
+_ADF_LAGS = 6        # lagged changes that the oracle writes out: enough for 343 periods
+
+
+def _adf_sql() -> str:
+    lagged = ", ".join(f"CASE WHEN k >= {j} THEN lag(y, {j}) OVER w ELSE 0 END AS y{j}" for j in range(1, _ADF_LAGS + 1))
+    terms = ["1", "level", "trend", *[f"y{j}" for j in range(1, _ADF_LAGS + 1)]]
+    crit = []
+    for j in range(len(ADF_P)):
+        parts = [f"WHEN nn <= {ADF_T[0]} THEN {ADF_CRIT[0][j]}"]
+        for i in range(len(ADF_T) - 1):
+            lo, hi = ADF_CRIT[i][j], ADF_CRIT[i + 1][j]
+            parts.append(f"WHEN nn <= {ADF_T[i + 1]} THEN {lo} + (nn - {ADF_T[i]}) * ({hi} - {lo}) / ({ADF_T[i + 1]} - {ADF_T[i]})")
+        crit.append("CASE " + " ".join(parts) + f" ELSE {ADF_CRIT[-1][j]} END")
+    p = [f"WHEN stat <= c[1] THEN {ADF_P[0]}"]
+    for j in range(len(ADF_P) - 1):
+        p.append(f"WHEN stat <= c[{j + 2}] THEN {ADF_P[j]} + (stat - c[{j + 1}]) * ({ADF_P[j + 1]} - {ADF_P[j]}) / (c[{j + 2}] - c[{j + 1}])")
+    return f"""{_CTE.rstrip()}, ar0 AS (SELECT series, idx, count(*) OVER s AS n, value - avg(value) OVER s AS x,
+  value - lag(value) OVER (PARTITION BY series ORDER BY idx) AS y FROM tr WINDOW s AS (PARTITION BY series)),
+ar1 AS (SELECT *, CAST(trunc(pow(n - 1, 1.0 / 3)) AS INTEGER) AS k, lag(x) OVER w AS level, idx - n / 2 AS trend FROM ar0 WINDOW w AS (PARTITION BY series ORDER BY idx)),
+ar2 AS (SELECT *, {lagged} FROM ar1 WINDOW w AS (PARTITION BY series ORDER BY idx)),
+ar3 AS MATERIALIZED (SELECT series, n AS nobs, k AS lag_order, y, level, trend, {", ".join(terms[3:])} FROM ar2 WHERE idx >= k + 2),
+{sweep_sql("ar3", ["series", "nobs", "lag_order"], terms, "y")},
+st AS (SELECT series, nobs, lag_order, nobs - 1 AS nn, CASE WHEN nobs - 1 - lag_order >= lag_order + 4
+  THEN coef[2] / sqrt(rss / nullif(n - rank, 0) * inverse[2]) END AS stat FROM swept),
+cr AS (SELECT *, [{", ".join(crit)}] AS c FROM st)
+SELECT series, nobs AS n, lag_order, {rnd_sig_sql("stat", 7)} AS adf_stat,
+  round(CASE WHEN stat IS NULL THEN NULL {" ".join(p)} ELSE {ADF_P[-1]} END, 6) AS p_value FROM cr"""
+
+
+_U = "((2.0 * idx - (nt + 1)) / greatest(nt - 1, 1))"
+_S, _C = "sin(fa * idx)", "cos(fb * idx)"
+_TREND_TERMS = ["1", _S, _C, _U, f"{_U} * {_U}", f"{_U} * {_U} * {_U}", f"{_S} * {_U}", f"{_S} * {_U} * {_U}", f"{_S} * {_U} * {_U} * {_U}",
+                f"{_C} * {_U}", f"{_C} * {_U} * {_U}", f"{_C} * {_U} * {_U} * {_U}", "CAST(idx AS DOUBLE)"]
+_TREND = _CTE.rstrip() + ", " + f"""pairs AS (SELECT CAST(p[1] AS DOUBLE) AS fa, CAST(p[2] AS DOUBLE) AS fb
+  FROM (SELECT unnest([{", ".join(f"[{a}, {b}]" for a, b in FREQ_PAIRS)}]) AS p)),
+tx AS MATERIALIZED (SELECT series, fa, fb, smoothed AS y, {", ".join(f"{t} AS t{i}" for i, t in enumerate(_TREND_TERMS))}
+  FROM (SELECT series, idx, smoothed, count(*) OVER (PARTITION BY series) AS nt FROM fit), pairs),
+{sweep_sql("tx", ["series", "fa", "fb"], [f"t{i}" for i in range(len(_TREND_TERMS))], "y")},
+pick AS (SELECT * FROM swept QUALIFY row_number() OVER (PARTITION BY series ORDER BY rss, fa, fb) = 1)
+"""
+
+
+def _given_sql() -> str:
+    (a1, a2), b1, c = GIVEN["ar"], GIVEN["ma"][0], GIVEN["const"]
+    return _CTE.rstrip() + f""", wd AS MATERIALIZED (SELECT series, idx - 1 AS t, value - lag(value) OVER (PARTITION BY series ORDER BY idx) AS w,
+  count(*) OVER (PARTITION BY series) - 1 AS n FROM tr QUALIFY w IS NOT NULL),
+ee(series, t, w, before, e) AS (SELECT series, t, w, 0.0::DOUBLE, 0.0::DOUBLE FROM wd WHERE t = 1 UNION ALL
+  SELECT wd.series, wd.t, wd.w, ee.w, CASE WHEN wd.t <= 2 THEN 0 ELSE wd.w - {c} - {a1} * ee.w - {a2} * ee.before - {b1} * ee.e END
+  FROM ee JOIN wd ON wd.series = ee.series AND wd.t = ee.t + 1),
+nn AS (SELECT series, count(*) - 1 AS n, arg_max(value, idx) AS x FROM tr GROUP BY series),
+var AS (SELECT nn.series, sum(e * e) / nullif(any_value(n) - 2, 0) AS v FROM nn LEFT JOIN ee ON ee.series = nn.series GROUP BY nn.series),
+ff(series, k, w, before, e, x, psi, late, once, ss) AS (
+  SELECT nn.series, 0, coalesce(ee.w, 0), coalesce(ee.before, 0), coalesce(ee.e, 0), nn.x, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+  FROM nn LEFT JOIN ee ON ee.series = nn.series AND ee.t = nn.n UNION ALL
+  SELECT series, k + 1, v, w, 0, x + v, g, psi, once + g, ss + (once + g) * (once + g) FROM (SELECT *, {c} + {a1} * w + {a2} * before + {b1} * e AS v,
+    CASE WHEN k = 0 THEN 1 WHEN k = 1 THEN {b1} + {a1} * psi ELSE {a1} * psi + {a2} * late END AS g FROM ff WHERE k < {HORIZON}))
+SELECT series, CAST(idx AS INTEGER) AS idx, kind, {rnd_sig_sql("value", 8)} AS value, {rnd_sig_sql("std_error", 8)} AS std_error FROM (
+  SELECT tr.series, idx, 'fitted' AS kind, value - coalesce(e, 0) AS value, NULL::DOUBLE AS std_error
+  FROM tr LEFT JOIN ee ON ee.series = tr.series AND ee.t = tr.idx - 1
+  UNION ALL SELECT ff.series, nn.n + 1 + k, 'forecast', ff.x, sqrt(var.v * ss) FROM ff JOIN nn ON nn.series = ff.series JOIN var ON var.series = ff.series WHERE k > 0)"""
+
+
+ORACLES |= {
+    "adf_test": _adf_sql(),
+    "arima_given": _given_sql(),
+    "trend_season_grid": _TREND + f"""SELECT f.series, f.fa, f.fb, {rnd_sig_sql("f.rss", 6)} AS rss, CAST(f.rank AS INTEGER) AS rank, f.n,
+  f.fa = p.fa AND f.fb = p.fb AS chosen FROM swept f JOIN pick p ON p.series = f.series""",
+    "trend_season_fit": _TREND + f"""SELECT series, fa, fb, term, {rnd_sig_sql("coef", 6)} AS coef, {rnd_sig_sql("rss", 6)} AS rss FROM (
+  SELECT series, fa, fb, rss, unnest(coef) AS coef, unnest([{", ".join(f"'{t}'" for t in TERMS)}]) AS term FROM pick)""",
+    "trend_season_forecast": _TREND + f"""SELECT series, idx, is_test, value, {rnd_sig_sql("trend_fit", 6)} AS trend_fit FROM (
+  SELECT series, CAST(idx AS INTEGER) AS idx, is_test, value, {" + ".join(f"coef[{i + 1}] * {t}" for i, t in enumerate(_TREND_TERMS))} AS trend_fit
+  FROM (SELECT s.series, s.idx, s.is_test, s.value, fa, fb, coef, n AS nt FROM ser2 s JOIN pick p ON p.series = s.series))""",
+}
