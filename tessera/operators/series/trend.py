@@ -15,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.matrix import gram_sums, solve
+from tessera.operators.matrix import gram_sums, last, solve
 
 TERMS = ["one", "s", "c", "p1", "p2", "p3", "sp1", "sp2", "sp3", "cp1", "cp2", "cp3", "m"]
+TOLERANCE, EXACT = 1e-5, 1e-9      # series of 30 periods or more keep every independent term
 # Frequency pairs (a, b) tried by the reference, one per modelled series.
 FREQ_PAIRS = [(0.6, 0.5), (0.6, 0.3), (0.5, 0.6), (0.5, 0.5)]
 
@@ -34,7 +35,8 @@ def fit_grid(train: DataFrame, series: str = "series", idx: str = "idx", value:
              pairs=FREQ_PAIRS) -> DataFrame:
     """T5 + T5b: one fit per (series, a, b) -> (series, fa, fb, coef[13], rss, n, rank).
 
-    A term that those before it explain is dropped: its coefficient is 0 and the rank lower."""
+    A term of which those before it leave less than TOLERANCE is dropped: its coefficient is 0 and the rank
+    lower. A short series that the terms explain whole has a residual sum of 0."""
     grid = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("fa"), F.lit(float(b)).alias("fb"))
                                for a, b in pairs]))
     n = F.count(F.lit(1)).over(Window.partitionBy(series))
@@ -45,9 +47,10 @@ def fit_grid(train: DataFrame, series: str = "series", idx: str = "idx", value:
     cols = term_columns(F.col("idx"), F.col("n_train"), F.col("fa"), F.col("fb")) + [F.col("y")]
     x = x.select("series", "fa", "fb", *[c.alias(f"t{i}") for i, c in enumerate(cols)])
     g = x.groupBy("series", "fa", "fb").agg(gram_sums([F.col(f"t{i}") for i in range(len(cols))]).alias("g"), F.count(F.lit(1)).alias("n"))
-    fit = g.select("series", "fa", "fb", "n", solve(F.col("g"), F.sequence(F.lit(0), F.lit(len(TERMS) - 1))).alias("s"))
+    fit = g.select("series", "fa", "fb", "n", solve(F.col("g"), F.sequence(F.lit(0), F.lit(len(TERMS) - 1)), TOLERANCE).alias("s"),
+                   last(last(F.col("g"))).alias("yy"))
     return fit.select("series", "fa", "fb", F.transform("s.coef", lambda v: F.coalesce(v, F.lit(0.0))).alias("coef"),
-                      F.col("s.rss").alias("rss"), "n", F.col("s.rank").alias("rank"))
+                      F.when(F.col("s.rss") > EXACT * F.col("yy"), F.col("s.rss")).otherwise(0.0).alias("rss"), "n", F.col("s.rank").alias("rank"))
 
 
 def choose(fits: DataFrame) -> DataFrame:

@@ -11,9 +11,9 @@ from tessera.functions.dates import parse_dmy, year_month
 from tessera.functions.text import paste
 from tessera.operators.aggregate import group_aggregate, segment_scores, stability
 from tessera.operators.reshape import add_index, fill_month_gaps, holdout_split, measures_to_series
-from tessera.operators.series import accuracy, acf, adf, best_model, kpss, lags, ljung_box, pacf
+from tessera.operators.series import accuracy, acf, adf, best_model, kpss, lags, ljung_box, pacf, trend
 from tessera.operators.series import ses_fitted, ses_grid, ses_levels
-from tessera.operators.series.arima import apply_model, arima
+from tessera.operators.series.arima import MODEL_COLS, apply_model, arima
 from tessera.operators.series.stats import ADF_CRIT, ADF_P, ADF_T, chi2_sf, ljung_box_p
 from tessera.operators.series.trend import FREQ_PAIRS, TERMS, choose, evaluate, fit_grid
 from tessera.operators.reshape import append_kind
@@ -283,8 +283,16 @@ class _Ctx:
     def arima_raw(self):
         return self._get("arima_raw", lambda: arima(self.train(), h=HORIZON))
 
-    def arima_local(self):
-        return self._get("arima_local", lambda: arima(self.local(), h=HORIZON))
+    def arima_both(self):
+        """(models, path) by ``target``: the raw training series and the residual of trend + season, as one job."""
+        def build():
+            key = F.concat_ws(":", "target", "series")
+            both = self.train().select("series", "idx", "value", F.lit("raw").alias("target")) \
+                .unionByName(self.local().withColumn("target", F.lit("trend_residual")))
+            apart = {"target": F.substring_index("key", ":", 1), "series": F.expr("substring(key, locate(':', key) + 1)")}
+            models, path = arima(both.select(key.alias("key"), "idx", "value"), series="key", h=HORIZON)
+            return models.withColumns(apart).drop("key"), path.withColumns(apart).drop("key")
+        return self._get("arima_both", build)
 
 
 def q_trend_season_grid(spark, sf_dir):
@@ -317,11 +325,8 @@ def q_adf_test(spark, sf_dir):
 
 
 def q_arima_select(spark, sf_dir):
-    c = _Ctx(spark, sf_dir)
-    m_raw, _ = c.arima_raw()
-    m_loc, _ = c.arima_local()
-    return (m_raw.withColumn("target", F.lit("raw"))
-                 .unionByName(m_loc.withColumn("target", F.lit("trend_residual"))))
+    """T10 + T11: order, estimates, criteria and status of the raw series and of the residual of trend + season."""
+    return _Ctx(spark, sf_dir).arima_both()[0].select("series", "target", *MODEL_COLS)
 
 
 def q_arima_forecast(spark, sf_dir):
@@ -361,9 +366,10 @@ def _white_noise(values, path):
 def q_residual_tests(spark, sf_dir):
     """T13 + T14 + T18 on the residuals of trend + ARMA and of the ARIMA of the raw series: white-noise checks."""
     c = _Ctx(spark, sf_dir)
-    trend = _white_noise(c.local(), c.arima_local()[1]).withColumn("model", F.lit("trend_arma"))
-    raw = _white_noise(c.train().select("series", "idx", "value"), c.arima_raw()[1]).withColumn("model", F.lit("arima"))
-    return trend.unionByName(raw)
+    path = c.arima_both()[1]
+    left = _white_noise(c.local(), path.where("target = 'trend_residual'")).withColumn("model", F.lit("trend_arma"))
+    raw = _white_noise(c.train().select("series", "idx", "value"), path.where("target = 'raw'")).withColumn("model", F.lit("arima"))
+    return left.unionByName(raw)
 
 
 def _test_accuracy(c: _Ctx):
@@ -542,20 +548,20 @@ SELECT series, round(avg(actual - forecast), 6) AS me, round(sqrt(avg((actual -
 
 
 # ------------------------------------------------------------------ oracles of the regressions and recursions
-def sweep_sql(rows: str, keys: list[str], terms: list[str], target: str) -> str:
-    """CTEs from the rows of CTE ``rows``: swept(keys, n, coef, inverse, rss, used), one least-squares fit a key. Terms enter in
-    turn; one of which less than 1e-10 of its own sum of squares is left is passed over."""
+def sweep_sql(rows: str, keys: list[str], terms: list[str], target: str, tolerance: float = 1e-10, exact: float = 0.0) -> str:
+    """CTEs from the rows of CTE ``rows``: swept(keys, n, coef, inverse, rss, rank), one least-squares fit a key. Terms enter in
+    turn; one of which less than ``tolerance`` of its own sum of squares is left is passed over."""
     cols, k, by = [*terms, target], len(terms), ", ".join(keys)
     matrix = ", ".join("[" + ", ".join(f"sum(CAST({a} AS DOUBLE) * {b})" for b in cols) + "]" for a in cols)
     return f"""gm AS MATERIALIZED (SELECT {by}, count(*) AS n, [{matrix}] AS m FROM {rows} GROUP BY {by}),
 sw({by}, n, k, m, diag, used) AS (
-  SELECT {by}, n, 1, m, list_transform(range(1, {k + 1}), lambda i: m[i][i]), CAST([] AS BOOLEAN[]) FROM gm UNION ALL
+  SELECT {by}, n, 1, m, list_transform(range(1, {k + 2}), lambda i: m[i][i]), CAST([] AS BOOLEAN[]) FROM gm UNION ALL
   SELECT {by}, n, k + 1, CASE WHEN ok THEN list_transform(m, lambda r, i: list_transform(r, lambda x, j:
     CASE WHEN i = k AND j = k THEN 1 / m[k][k] WHEN i = k THEN m[k][j] / m[k][k] WHEN j = k THEN -m[i][k] / m[k][k]
          ELSE x - m[i][k] * m[k][j] / m[k][k] END)) ELSE m END, diag, list_append(used, ok)
-  FROM (SELECT *, m[k][k] > 1e-10 * diag[k] AS ok FROM sw WHERE k <= {k})),
+  FROM (SELECT *, m[k][k] > {tolerance} * diag[k] AS ok FROM sw WHERE k <= {k})),
 swept AS MATERIALIZED (SELECT {by}, n, list_transform(range(1, {k + 1}), lambda i: CASE WHEN used[i] THEN m[i][{k + 1}] ELSE 0 END) AS coef,
-  list_transform(range(1, {k + 1}), lambda i: m[i][i]) AS inverse, greatest(m[{k + 1}][{k + 1}], 0) AS rss,
+  list_transform(range(1, {k + 1}), lambda i: m[i][i]) AS inverse, CASE WHEN m[{k + 1}][{k + 1}] > {exact} * diag[{k + 1}] THEN m[{k + 1}][{k + 1}] ELSE 0 END AS rss,
   len(list_filter(used, lambda u: u)) AS rank FROM sw WHERE k = {k + 1})"""
 
 
@@ -596,7 +602,7 @@ _TREND = _CTE.rstrip() + ", " + f"""pairs AS (SELECT CAST(p[1] AS DOUBLE) AS fa,
   FROM (SELECT unnest([{", ".join(f"[{a}, {b}]" for a, b in FREQ_PAIRS)}]) AS p)),
 tx AS MATERIALIZED (SELECT series, fa, fb, smoothed AS y, {", ".join(f"{t} AS t{i}" for i, t in enumerate(_TREND_TERMS))}
   FROM (SELECT series, idx, smoothed, count(*) OVER (PARTITION BY series) AS nt FROM fit), pairs),
-{sweep_sql("tx", ["series", "fa", "fb"], [f"t{i}" for i in range(len(_TREND_TERMS))], "y")},
+{sweep_sql("tx", ["series", "fa", "fb"], [f"t{i}" for i in range(len(_TREND_TERMS))], "y", trend.TOLERANCE, trend.EXACT)},
 pick AS (SELECT * FROM swept QUALIFY row_number() OVER (PARTITION BY series ORDER BY rss, fa, fb) = 1)
 """
 
