@@ -14,7 +14,7 @@ from tessera.operators.classify import (
 from tessera.operators.metrics import class_metrics, confusion, summary_row
 from tessera.operators.profile import column_summary
 from tessera.operators.relate import param_grid
-from tessera.operators.sample import FOLD_SALT, SAMPLE_SALT, fold_of, hash_unit_sql, split_flag, stratified_sample
+from tessera.operators.sample import FOLD_SALT, SAMPLE_SALT, balanced_folds, exact_flag, hash_unit_sql, split_flag
 from tessera.plans import bind
 from tessera.session import materialize
 
@@ -68,24 +68,18 @@ def q_column_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stratified_sample(spark, sf_dir):
-    """M2: a 1/30 sample taken within every digit class (the class set is read
-    from the data under a checked bound); membership is decided by the key hash."""
-    from tessera.functions.encode import levels_many
-
-    v = bind.digits_view(spark, sf_dir)
-    classes = levels_many(v.select(F.col("digit").cast("string").alias("digit")), ["digit"])["digit"]
-    frac = {int(c): SAMPLE_FRACTION for c in classes}
-    return stratified_sample(v, "image_id", "digit", frac).select("image_id", "digit")
+    """M2: exactly trunc(n / 30) rows of every digit class, those of least key hash."""
+    v = bind.digits_view(spark, sf_dir).where("digit IS NOT NULL").select("image_id", "digit")
+    return exact_flag(v, "image_id", SAMPLE_FRACTION, "digit", SAMPLE_SALT, "taken").where("taken").drop("taken")
 
 
 def q_cv_folds(spark, sf_dir):
-    """M3: the fold of every training row."""
+    """M3: the fold of every training row, dealt out evenly inside each class."""
     return _train(spark, sf_dir).select("image_id", "fold")
 
 
 def _train(spark, sf_dir):
-    return bind.digits_view(spark, sf_dir).where(split_flag("image_id", TRAIN_FRACTION)) \
-        .withColumn("fold", fold_of("image_id", FOLDS))
+    return balanced_folds(bind.digits_view(spark, sf_dir).where(split_flag("image_id", TRAIN_FRACTION)), "image_id", "digit", FOLDS)
 
 
 def q_param_grid(spark, sf_dir):
@@ -145,7 +139,7 @@ def q_svm_grid(spark, sf_dir):
     """C6 + C7: cross-validated accuracy of the RBF-approximating SVM over a
     (width x C) grid, with the best point flagged."""
     d = _prepared(spark, sf_dir)
-    tr = materialize(d.where("is_train").withColumn("fold", fold_of("image_id", FOLDS)).select("label", "fold", "features"))
+    tr = materialize(balanced_folds(d.where("is_train"), "image_id", "digit", FOLDS).select("label", "fold", "features"))
     gamma = width_gamma(tr)
     return grid_search(tr, [gamma * f for f in GRID_SIGMA_FACTORS], GRID_C, FOLDS, vector_length(tr), RFF_FEATURES)
 
@@ -164,7 +158,7 @@ QUERIES = {
 
 # ------------------------------------------------------------------ oracles
 _PX = "CAST(least(greatest(floor((CAST(x AS DOUBLE) + 0.5) * 256), 0), 255) AS INTEGER)"
-_FOLD = f"CAST(floor({hash_unit_sql('vec_id', FOLD_SALT)} * {FOLDS}) AS INTEGER)"
+_FOLD = f"CAST((row_number() OVER (PARTITION BY label ORDER BY {hash_unit_sql('vec_id', FOLD_SALT)}, vec_id) - 1) % {FOLDS} AS INTEGER)"
 _TRAIN = f"{hash_unit_sql('vec_id')} < {TRAIN_FRACTION}"
 _CONF = f"""SELECT actual, predicted, count(*) AS n FROM (
   SELECT label AS actual, arg_min(c, struct_pack(d := d, c := c)) AS predicted FROM (
@@ -183,10 +177,11 @@ ORACLES = {
     FROM embeddings))
 SELECT column_name, min(v) AS min, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS median,
   round(avg(v), 6) AS mean, round(quantile_cont(v, 0.75), 6) AS q3, max(v) AS max FROM px GROUP BY column_name""",
-    "stratified_sample": f"""SELECT vec_id AS image_id, label AS digit FROM embeddings
-WHERE {hash_unit_sql('vec_id', SAMPLE_SALT)} < {SAMPLE_FRACTION} AND label IS NOT NULL""",
+    "stratified_sample": f"""SELECT vec_id AS image_id, label AS digit FROM embeddings WHERE label IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY label ORDER BY {hash_unit_sql('vec_id', SAMPLE_SALT)}, vec_id)
+  <= floor({SAMPLE_FRACTION}::DOUBLE * count(*) OVER (PARTITION BY label))""",
     "cv_folds": f"SELECT vec_id AS image_id, {_FOLD} AS fold FROM embeddings WHERE {_TRAIN}",
-    "param_grid": f"""WITH f AS (SELECT {_FOLD} AS fold, count(*) AS n_valid FROM embeddings WHERE {_TRAIN} GROUP BY 1),
+    "param_grid": f"""WITH f AS (SELECT fold, count(*) AS n_valid FROM (SELECT {_FOLD} AS fold FROM embeddings WHERE {_TRAIN}) GROUP BY 1),
 t AS (SELECT count(*) AS n FROM embeddings WHERE {_TRAIN})
 SELECT s.sigma_factor, c.c, f.fold, t.n - f.n_valid AS n_train, f.n_valid
 FROM (SELECT unnest([{', '.join(str(x) for x in GRID_SIGMA_FACTORS)}])::DOUBLE AS sigma_factor) s,

@@ -177,3 +177,50 @@ def test_grid_search_separates_rings(spark):
     x = np.array([r[2] for r in rows])
     d2 = ((x[:, None] - x[None]) ** 2).sum(2)
     assert math.isclose(1 / g, d2.mean(), rel_tol=1e-9)
+
+
+def test_exact_sizes(spark):
+    """Exactly trunc(fraction * n) rows, overall and of each class; the rows a plain sort takes."""
+    from tessera.operators.sample import exact_flag, hash_int, train_test_exact
+
+    rows = [(i * 7919 - 50_000, None if i % 11 == 0 else i % 3 if i % 2 else 0) for i in range(5_000)]
+    df = spark.createDataFrame(rows, "k long, c int").repartition(7)
+    h = {r["k"]: r["h"] for r in df.select("k", hash_int("k").alias("h")).collect()}
+    for fraction in (0.0, 1e-5, 0.3, 0.7, 1 / 30, 0.9999, 1.0):
+        got = {r["k"] for r in exact_flag(df, "k", fraction, name="t").where("t").collect()}
+        assert got == set(sorted(h, key=lambda k: (h[k], k))[:int(fraction * len(rows))])
+        got = {(r["k"], r["c"]) for r in exact_flag(df, "k", fraction, "c", name="t").where("t").collect()}
+        want = set()
+        for c in (None, 0, 1, 2):
+            own = sorted((k for k, x in rows if x == c), key=lambda k: (h[k], k))
+            want |= {(k, c) for k in own[:int(fraction * len(own))]}
+        assert got == want
+    a, b = train_test_exact(df, "k", 0.7)
+    assert a.count() == 3_500 and b.count() == 1_500
+    # Rows of one key stay together, null keys too; never more than asked for.
+    same = spark.createDataFrame([(None,)] * 30 + [(i % 10,) for i in range(70)], "k long")
+    for fraction in (0.1, 0.33, 0.5, 0.7, 1.0):
+        flags = {}
+        taken = 0
+        for r in exact_flag(same, "k", fraction).collect():
+            assert flags.setdefault(r["k"], r["is_train"]) == r["is_train"]
+            taken += r["is_train"]
+        assert taken <= int(fraction * 100) and (fraction < 1 or taken == 100)
+    assert exact_flag(same.limit(0), "k", 0.5).count() == 0
+
+
+def test_balanced_folds(spark):
+    """Each class' folds differ by one row at most, whatever the partitioning, with a class of two thirds of all rows."""
+    from tessera.operators.sample import balanced_folds
+
+    df = spark.createDataFrame([(i, 0 if i % 3 else None if i % 2 else i % 7) for i in range(3_001)], "id long, c int")
+    out = balanced_folds(df.repartition(9), "id", "c", 5)
+    sizes = {}
+    for r in out.groupBy("c", "fold").count().collect():
+        sizes.setdefault(r["c"], {})[r["fold"]] = r["count"]
+    for c, own in sizes.items():
+        counts = [own.get(f, 0) for f in range(5)]
+        assert max(counts) - min(counts) <= 1
+    assert out.columns == ["id", "c", "fold"] and out.count() == 3_001
+    again = balanced_folds(df.repartition(2), "id", "c", 5)
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in again.collect()}
