@@ -224,3 +224,37 @@ def test_balanced_folds(spark):
     assert out.columns == ["id", "c", "fold"] and out.count() == 3_001
     again = balanced_folds(df.repartition(2), "id", "c", 5)
     assert {tuple(r) for r in out.collect()} == {tuple(r) for r in again.collect()}
+
+
+def test_qr_keeps_what_the_gram_path_loses(spark, ols_known):
+    """A design of condition 1e9: coefficients and standard errors to 1e-6 of a QR of all rows, where products of columns fail."""
+    from tessera.operators.qr import ols_qr, triangle
+
+    rng = np.random.default_rng(17)
+    n = 3000
+    u, _ = np.linalg.qr(rng.normal(size=(n, 5)))
+    v, _ = np.linalg.qr(rng.normal(size=(5, 5)))
+    x = 1e3 * u @ np.diag(np.logspace(0, -9, 5)) @ v.T
+    y = x @ [1.0, -2.0, 3.0, 0.5, 1.5] + 4.0 + 1e-7 * rng.normal(size=n)
+    names = [f"x{i}" for i in range(5)]
+    df = spark.createDataFrame([(*map(float, r), float(w)) for r, w in zip(x, y)] + [(None, *[1.0] * 5)], ", ".join(f"{c} double" for c in [*names, "y"])).repartition(70)
+    full = np.column_stack([np.ones(n), x])
+    q, r = np.linalg.qr(full)
+    want = np.linalg.solve(r, q.T @ y)
+    e = y - full @ want
+    se = np.sqrt(float(e @ e) / (n - 6) * (np.linalg.inv(r) ** 2).sum(axis=1))
+    spark.conf.set("spark.sql.shuffle.partitions", "1100")           # two levels of the tree
+    try:
+        fit = ols_qr(df, "y", names, tol=1e-12)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert fit.n == n and np.allclose([fit.intercept, *fit.coef], want, rtol=1e-6, atol=1e-6)
+    assert np.allclose([fit.intercept_se, *fit.se], se, rtol=1e-5)
+    g = ols(gram(df, [*names, "y"]), "y", names, tol=0.0)
+    assert len(g.coef) < 5 or not np.allclose(g.coef, want[1:], rtol=1e-3)
+    known, _, _ = ols_known
+    same = known.withColumn("x5", F.col("x1") * 2 + F.col("x2"))
+    a, b = ols_qr(same, "y", ["x1", "x2", "x5", "x3"]), ols(gram(same, ["x1", "x2", "x3", "y"]), "y", ["x1", "x2", "x3"])
+    assert a.dropped == ["x5"] and a.terms == ["x1", "x2", "x3"]
+    assert np.allclose([a.intercept, *a.coef, *a.se, a.intercept_se, a.rss, a.tss], [b.intercept, *b.coef, *b.se, b.intercept_se, b.rss, b.tss])
+    assert triangle(known.limit(0), ["x1"])[1] == 0 and ols_qr(known.limit(0), "y", ["x1"]).terms == []
