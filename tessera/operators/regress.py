@@ -19,44 +19,65 @@ from tessera.operators.gram import Gram
 
 
 # ------------------------------------------------------------ distributions
+LARGE_DF = 1e6        # degrees of freedom from which the limiting distributions serve
+
+
 def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b) by its hypergeometric series
+    """Regularised incomplete beta I_x(a, b): x^a (1 - x)^b / (a B(a, b)) over the continued fraction
 
-    I_x(a, b) = x^a (1 - x)^b / (a B(a, b)) * sum over n of
-    (a + b)(a + b + 1)...(a + b + n - 1) / ((a + 1)...(a + n)) x^n,
+    1 + d_1 / (1 + d_2 / (1 + ...)), d_2m = m (b - m) x / ((a + 2m - 1)(a + 2m)),
+    d_2m+1 = -(a + m)(a + b + m) x / ((a + 2m)(a + 2m + 1)),
 
-    whose terms are positive and fall off fastest below the mean a / (a + b);
-    above it I_x(a, b) = 1 - I_(1-x)(b, a) is used.
+    which closes in fast below the mean a / (a + b); above it I_x(a, b) = 1 - I_(1-x)(b, a) is used.
     """
     if x <= 0.0:
         return 0.0
     if x >= 1.0:
         return 1.0
-    if x > a / (a + b):
-        return 1.0 - _beta_series(b, a, 1.0 - x)
-    return _beta_series(a, b, x)
-
-
-def _beta_series(a: float, b: float, x: float) -> float:
-    front = (math.lgamma(a + b) - math.lgamma(a + 1.0) - math.lgamma(b)
-             + a * math.log(x) + b * math.log1p(-x))
-    total, term, n = 0.0, 1.0, 0
-    while term > total * 1e-17:
-        total += term
-        term *= x * (a + b + n) / (a + 1.0 + n)
-        n += 1
-    return math.exp(front + math.log(total))
+    if x > (a + 1.0) / (a + b + 2.0):
+        return 1.0 - _beta_below(b, a, 1.0 - x)
+    return _beta_below(a, b, x)
+
+
+def _beta_below(a: float, b: float, x: float) -> float:
+    top, top_before, bottom, bottom_before, value = 1.0, 1.0, 1.0, 0.0, 1.0
+    for k in range(1, 100_000):
+        m = k // 2
+        d = m * (b - m) * x / ((a + k - 1.0) * (a + k)) if k % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + k - 1.0) * (a + k))
+        top, top_before = top + d * top_before, top
+        bottom, bottom_before = bottom + d * bottom_before, bottom
+        # Only the ratio counts: both are kept near 1.
+        top, top_before, bottom, bottom_before = top / bottom, top_before / bottom, 1.0, bottom_before / bottom
+        if abs(top - value) <= 1e-16 * abs(top):
+            break
+        value = top
+    front = math.lgamma(a + b) - math.lgamma(a + 1.0) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    return math.exp(front) / top
 
 
 def t_two_sided_p(t: float, df: float) -> float:
     if df <= 0 or not math.isfinite(t):
         return float("nan") if not math.isfinite(t) else 1.0
+    if df > LARGE_DF:                # the normal variable that t is nearest to
+        return math.erfc(abs(t) * (1.0 - 0.25 / df) / math.sqrt(2.0 * (1.0 + t * t / (2.0 * df))))
     return betainc(df / 2.0, 0.5, df / (df + t * t))
 
 
+def chi2_upper_p(q: float, df: int) -> float:
+    """Upper chi-square tail by its finite sums."""
+    x, have = q / 2.0, 2 - df % 2
+    tail = math.exp(-x) if have == 2 else math.erfc(math.sqrt(x))
+    while have < df and x > 0:
+        tail += math.exp(-x + have / 2.0 * math.log(x) - math.lgamma(have / 2.0 + 1.0))
+        have += 2
+    return min(tail, 1.0)
+
+
 def f_upper_p(f: float, d1: float, d2: float) -> float:
     if d1 <= 0 or d2 <= 0 or not math.isfinite(f) or f < 0:
         return float("nan")
+    if d2 > LARGE_DF:
+        return chi2_upper_p(f * d1, int(d1))
     return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
 
 

@@ -77,6 +77,25 @@ def test_t_distribution():
     assert abs(t_two_sided_p(0.0, 5) - 1.0) < 1e-12
 
 
+def test_tails_at_every_size():
+    """Against sums over fine steps of the densities; the limits meet where they take over; no size takes long."""
+    from tessera.operators.regress import LARGE_DF, betainc, f_upper_p
+
+    for a, b in ((0.5, 0.5), (0.5, 3.0), (2.5, 1.0), (8.0, 11.0), (40.0, 0.5), (300.0, 250.0)):
+        u = (np.arange(400_000) + 0.5) / 400_000 * (math.pi / 2)              # x = sin(u)^2
+        density = np.exp((2 * a - 1) * np.log(np.sin(u)) + (2 * b - 1) * np.log(np.cos(u)))
+        upto = np.cumsum(density) / density.sum()
+        for x in (0.001, 0.1, 0.4, 0.5, 0.9, 0.99):
+            i = np.searchsorted(u, math.asin(math.sqrt(x)))
+            assert abs(betainc(a, b, x) - upto[max(i - 1, 0)]) < 5e-5
+            assert abs(betainc(a, b, x) + betainc(b, a, 1 - x) - 1) < 1e-12
+    for t in (0.01, 0.7, 2.0, 5.0):
+        assert t_two_sided_p(t, LARGE_DF) == pytest.approx(t_two_sided_p(t, LARGE_DF + 1), rel=1e-6)
+        assert f_upper_p(t, 3, LARGE_DF) == pytest.approx(f_upper_p(t, 3, LARGE_DF + 1), rel=1e-4)
+        assert t_two_sided_p(t, 1e12) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-9)
+    assert t_two_sided_p(60.0, 42_000) < 1e-300 or t_two_sided_p(60.0, 42_000) == 0.0
+
+
 @pytest.mark.parametrize("x,lo,hi", [(9054, 0.8995, 0.9111), (9349, 0.9299, 0.9397), (1010, 0.0952, 0.1071)])
 def test_exact_interval_matches_recorded(x, lo, hi):
     a, b = exact_interval(x, 10000)
