@@ -277,3 +277,39 @@ def test_qr_keeps_what_the_gram_path_loses(spark, ols_known):
     assert a.dropped == ["x5"] and a.terms == ["x1", "x2", "x3"]
     assert np.allclose([a.intercept, *a.coef, *a.se, a.intercept_se, a.rss, a.tss], [b.intercept, *b.coef, *b.se, b.intercept_se, b.rss, b.tss])
     assert triangle(known.limit(0), ["x1"])[1] == 0 and ols_qr(known.limit(0), "y", ["x1"]).terms == []
+
+
+def test_pairwise_svm_matches_plain(spark):
+    """Each pair's weights reach the optimum of its own rows; votes as counted by hand; ties by margins."""
+    from tessera.operators.classify import PairwiseSvm, one_against_one
+
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 4, 400) * 2 + 1
+    x = rng.normal(size=(400, 3)) + np.column_stack([y % 3, y // 3, 0 * y])
+    df = spark.createDataFrame([(int(c), [float(v) for v in r]) for c, r in zip(y, x)] + [(None, [0.0] * 3), (1, None)], "digit int, features array<double>")
+    model = one_against_one(df.repartition(3), c=2.0)
+    assert model.classes.tolist() == [1, 3, 5, 7] and len(model.pairs) == 6
+    z = np.column_stack([x, np.ones(400)])
+    for (i, j), w in zip(model.pairs, model.weights):
+        own = np.isin(y, model.classes[[i, j]])
+        s, zz = np.where(y[own] == model.classes[i], 1.0, -1.0), z[own]
+        best = np.zeros(4)
+        for _ in range(60):                                              # Newton steps on the active rows
+            on = s * (zz @ best) < 1
+            h = 2 * zz[on].T @ zz[on] / own.sum() + np.eye(4) / (2.0 * own.sum())
+            best = np.linalg.solve(h, 2 * zz[on].T @ s[on] / own.sum())
+        assert np.allclose(w, best, atol=2e-3)
+    got = [r["p"] for r in df.where("digit IS NOT NULL AND features IS NOT NULL").select(model.column("features").alias("p")).collect()]
+    m = z @ model.weights.T
+    for row, p in zip(m, got):
+        votes, total = dict.fromkeys(range(4), 0), dict.fromkeys(range(4), 0.0)
+        for (i, j), v in zip(model.pairs, row):
+            votes[i if v > 0 else j] += 1
+            total[i] += v
+            total[j] -= v
+        assert p == model.classes[max(range(4), key=lambda k: (votes[k], total[k], -k))]
+    ring = PairwiseSvm(np.array([0, 1, 2]), np.array([[1.0, 0.0], [-3.0, 0.0], [2.0, 0.0]]))     # 0 beats 1, 2 beats 0, 1 beats 2
+    assert ring.label(np.array([[1.0]])).tolist() == [1]                 # sums of margins: -2, 1, 1; the lower class
+    one = one_against_one(df.where("digit = 3"))
+    assert {r["p"] for r in df.where("features IS NOT NULL").select(one.column("features").alias("p")).collect()} == {3}
+    assert df.select(model.column("features").alias("p")).where("p IS NULL").count() == 1
