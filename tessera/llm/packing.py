@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import tokens
+from tessera.llm import words as W
 
 CAPACITY = 4096
 END = 2
 GROUP_TOKENS = 1 << 20     # ids packed together, held by one task at a time
+SLICE_BYTES = 1 << 20      # of texts tokenized at once
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, sequence_tokens long")
 
@@ -133,15 +135,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = tokens.encoder(tokenizer, tokens.WORDS)
+        enc = tokens.word_encoder(tokenizer)
         sequence = TaskContext.get().partitionId() << 33
         doc_ids, ids, held = [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                flat, counts = enc.ids(part.column(1).to_pylist())
+            for at, texts in W.slices(batch.column(1), SLICE_BYTES):
+                flat, counts = enc.ids_of(texts)
                 ends = np.cumsum(counts)
-                for doc_id, lo, hi in zip(part.column(0).to_pylist(), ends - counts, ends):
+                for doc_id, lo, hi in zip(batch.column(0).slice(at, len(texts)).to_pylist(), (ends - counts).tolist(), ends.tolist()):
                     one = np.empty(hi - lo + 1, "<u4")
                     one[:-1], one[-1] = flat[lo:hi], end_id
                     doc_ids.append(doc_id)

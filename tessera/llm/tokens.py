@@ -9,8 +9,12 @@ library once per worker and kept in a bounded memo.
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+
+from tessera.llm import words as W
 
 # Non-space as the tokenizers see it: Python's \s also takes the four separators 1C-1F.
 _NS = r"[\S\x1c-\x1f]"
@@ -123,6 +127,113 @@ class Encoder:
         return flat, counts
 
 
+_MARKS = np.zeros(256, bool)
+_MARKS[[ord("."), ord(","), ord("!")]] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_WIDE_LEAD = np.zeros(256, bool)
+_WIDE_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_WIDE_SPACE = {x.encode() for x in _SPACE if ord(x) > 127}
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)     # odd multipliers
+
+
+def word_pieces(texts: pa.LargeStringArray) -> W.Words:
+    """The pieces that ``WORDS`` finds in each text, as byte ranges, A-Z lower-cased: runs without white space, and
+    full stops, commas and exclamation marks at the end of a run of letters apart from it."""
+    buf, offsets = W.raw(texts)
+    buf = W._LOWER[buf]
+    blank = _BLANK[buf]
+    for i in np.flatnonzero(_WIDE_LEAD[buf]).tolist() if _WIDE_LEAD[buf].any() else ():
+        for n in (2, 3):
+            if buf[i:i + n].tobytes() in _WIDE_SPACE:
+                blank[i:i + n] = True
+    n, solid = len(buf), ~blank
+    begin, end = solid.copy(), solid.copy()
+    begin[1:] &= blank[:-1]
+    end[:-1] &= blank[1:]
+    cuts = offsets[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < n)]
+    begin[cuts] = solid[cuts]
+    end[cuts - 1] = solid[cuts - 1]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    letter = _LETTER[buf]
+    two = np.flatnonzero(buf[:-1] == 0xC3) if n > 1 else np.zeros(0, np.int64)
+    two = two[(buf[two + 1] != 0x97) & (buf[two + 1] != 0xB7)]            # all of C3 but the two signs
+    letter[two] = letter[two + 1] = True
+    other = np.concatenate([[0], np.cumsum(~letter)])
+    marks = np.flatnonzero(_MARKS[buf[ends - 1]]) if len(ends) else np.zeros(0, np.int64)
+    before = np.maximum.accumulate(np.where(_MARKS[buf], -1, np.arange(n)))       # the last byte that is no mark
+    split = before[ends[marks] - 1] + 1 if len(marks) else np.zeros(0, np.int64)
+    fits = (split > starts[marks]) & (other[np.maximum(split, 0)] == other[starts[marks]])
+    split = split[fits]
+    starts, ends = np.sort(np.concatenate([starts, split])), np.sort(np.concatenate([ends, split]))
+    first = np.searchsorted(starts, offsets)
+    return W.Words(buf, starts, ends, np.repeat(np.arange(len(texts)), np.diff(first)), first)
+
+
+def _two_hashes(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each piece's bytes."""
+    lens = w.ends - w.starts
+    firsts = np.concatenate([[0], np.cumsum(lens)[:-1]])
+    pos = np.arange(int(lens.sum())) - np.repeat(firsts, lens)
+    data = w.buf[pos + np.repeat(w.starts, lens)].astype(np.uint64) + np.uint64(1)
+    out = []
+    for step in (_A, _B):
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(lens.max()), step)]))
+        out.append(W.mix(np.add.reduceat(data * powers[pos], firsts) + lens.astype(np.uint64)))
+    return out[0], out[1]
+
+
+class WordEncoder(Encoder):
+    """The same ids for the word vocabulary from Arrow texts: equal pieces of a batch are found by hash in arrays, and
+    only those not met before become strings. Pieces count as equal where 128 bits of hashes agree."""
+
+    KEPT_IDS = 1 << 25
+
+    def __init__(self, path: str):
+        super().__init__(path, WORDS)
+
+    def _reset(self):
+        super()._reset()
+        self.place: dict[int, int] = {}             # first hash of a piece -> its number
+        self.check = np.zeros(1 << 14, np.uint64)   # its second hash
+
+    def ids_of(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        if self.n > MEMO or int(self.first[self.n]) > self.KEPT_IDS:
+            self._reset()
+        w = word_pieces(texts)
+        if not len(w.starts):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        one, two = _two_hashes(w)
+        kinds, at, which = np.unique(one, return_index=True, return_inverse=True)
+        second = two[at]
+        found = np.fromiter(map(self.place.get, kinds.tolist(), repeat(-1)), np.int64, len(kinds))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            raw, start = w.buf.tobytes(), self.n
+            self._learn([raw[a:b].decode() for a, b in zip(w.starts[at[new]].tolist(), w.ends[at[new]].tolist())])
+            self.memo.clear()
+            found[new] = np.arange(start, self.n)
+            while self.n > len(self.check):
+                self.check = np.concatenate([self.check, np.zeros_like(self.check)])
+            self.check[start:self.n] = second[new]
+            self.place.update(zip(kinds[new].tolist(), range(start, self.n)))
+        if (self.check[found] != second).any() or (two != second[which]).any():
+            # Two pieces share a hash: a fresh table, and these texts as strings.
+            self._reset()
+            out = self.ids(texts.to_pylist())
+            self._reset()
+            return out
+        piece = found[which]
+        begin, lens = self.first[piece], self.first[piece + 1] - self.first[piece]
+        ends = np.cumsum(lens)
+        flat = self.flat[np.repeat(begin - (ends - lens), lens) + np.arange(int(ends[-1]))]
+        upto = np.concatenate([[0], ends])
+        return flat, upto[w.first[1:]] - upto[w.first[:-1]]
+
+
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
@@ -132,3 +243,13 @@ def encoder(path: str, pattern: re.Pattern) -> Encoder:
     if key not in _encoders:
         _encoders[key] = Encoder(path, pattern)
     return _encoders[key]
+
+
+_word_encoders: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The worker's encoder of this word vocabulary (kept between tasks)."""
+    if path not in _word_encoders:
+        _word_encoders[path] = WordEncoder(path)
+    return _word_encoders[path]

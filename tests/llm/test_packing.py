@@ -107,3 +107,54 @@ def test_memo_on_random_texts(texts):
         flat, counts = e.ids(texts)
         want = [e.tok.encode(t, add_special_tokens=False).ids for t in texts]
         assert counts.tolist() == [len(w) for w in want] and flat.tolist() == [x for w in want for x in w]
+
+
+def test_word_encoder_against_the_library():
+    """Ids of whole texts, whatever the white space, marks and letters, and when hashes of pieces meet."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tessera.llm import packing, tokens
+
+    path = packing.tokenizer_path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    rnd = random.Random(3)
+    bits = ["The", "end.", "END!!", "a.b.", "x,", "...", "!", "Éa.", "ñandú,", "×.", "÷!", "ß", "日本.", "Σίσυφος.", "don't!", "42.", "a1,", "<|endoftext|>", "😀.", "É", "\x1c", "q" * 300]
+    gaps = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "", "\x1d", "\u200b"]
+    texts = ["", " ", "\u3000", "A", "end.", ".", "!.,"] + ["".join(rnd.choice(bits) + rnd.choice(gaps) for _ in range(rnd.randrange(1, 40))) for _ in range(300)]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    arr = pa.array(texts, pa.large_string())
+
+    def check(enc):
+        for _ in range(2):
+            flat, counts = enc.ids_of(arr)
+            got = np.split(flat, np.cumsum(counts)[:-1])
+            assert [g.tolist() for g in got] == want
+
+    check(tokens.WordEncoder(path))
+    flat, counts = tokens.WordEncoder(path).ids_of(pa.array([], pa.large_string()))
+    assert len(flat) == 0 and len(counts) == 0
+    few = tokens.WordEncoder(path)
+    few.KEPT_IDS = 10                                   # a fresh table at every call
+    check(few)
+
+
+def test_word_encoder_where_hashes_meet(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import packing, tokens
+
+    path = packing.tokenizer_path("word_bpe_49k.json")
+    texts = pa.array(["alpha beta gamma", "delta alpha", "beta"], pa.large_string())
+    plain = tokens.Encoder(path, tokens.WORDS).ids(texts.to_pylist())
+    real = tokens._two_hashes
+    monkeypatch.setattr(tokens, "_two_hashes", lambda w: (real(w)[0] % np.uint64(2), real(w)[1]))
+    enc = tokens.WordEncoder(path)
+    for _ in range(2):
+        got = enc.ids_of(texts)
+        assert got[0].tolist() == plain[0].tolist() and got[1].tolist() == plain[1].tolist()
