@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from tessera.functions.dates import parse_month_year
 from tessera.functions.encode import factor_codes
 from tessera.functions.lookups import states_frame, states_sql
-from tessera.functions.numeric import rnd
+from tessera.functions.numeric import rnd, rnd_sig, rnd_sig_sql
 from tessera.functions.text import blank_to_null, first_token, gsub, percent_to_double
 from tessera.operators.aggregate import binned_trend, box_stats, corr_matrix, histogram, quantile_bins
 from tessera.operators.profile import (
     constant_columns, drop_profiled, duplicate_count, null_profile, sparse_columns,
 )
 from tessera.operators.relate import lookup
+from tessera.operators.spline import smooth_sql, smooth_trend
 from tessera.plans import bind
 from tessera.session import checkpoint_dir, materialize
 from tessera.sources.files import read_csv, write_csv
@@ -174,6 +175,22 @@ def q_income_trend(spark, sf_dir):
         "bin", "n", rnd("lo", 4).alias("lo"), rnd("hi", 4).alias("hi"), rnd("mean", 4).alias("mean"), rnd("se", 4).alias("se"))
 
 
+def q_issue_smooth(spark, sf_dir):
+    """The smooth of the funded amount over the issue date (days), with standard errors."""
+    d = _chart(spark, sf_dir, "issue_d", "funded_amnt")
+    return _smooth(smooth_trend(d, F.unix_date("issue_d"), "funded_amnt"))
+
+
+def q_income_smooth(spark, sf_dir):
+    """The smooth of the defaulters' installment over annual income, with standard errors."""
+    d = defaulters(_chart(spark, sf_dir, "installment", "annual_inc", "loan_status"))
+    return _smooth(smooth_trend(d, "annual_inc", "installment"))
+
+
+def _smooth(t):
+    return t.select(rnd("x", 4).alias("x"), *[rnd_sig(c, 6).alias(c) for c in ("fit", "std_error")])
+
+
 def q_defaulter_ownership(spark, sf_dir):
     """Defaulters by home ownership."""
     d = defaulters(_chart(spark, sf_dir, "home_ownership", "loan_status"))
@@ -217,6 +234,8 @@ QUERIES = {
     "binned_trend": q_binned_trend,
     "loans_corr_matrix": q_loans_corr_matrix,
     "income_trend": q_income_trend,
+    "issue_smooth": q_issue_smooth,
+    "income_smooth": q_income_smooth,
     "defaulter_ownership": q_defaulter_ownership,
     "ownership_verification": q_ownership_verification,
     "category_frequency": q_category_frequency,
@@ -253,6 +272,12 @@ dflt AS (SELECT * FROM clean WHERE loan_status = '{DEFAULT_STATUS}')
 """
 
 
+def _smooth_sql(rows: str) -> str:
+    return _CTE.replace("WITH raw", "WITH RECURSIVE raw").rstrip() + f""", xy AS MATERIALIZED (SELECT * FROM ({rows}) WHERE x IS NOT NULL AND y IS NOT NULL),
+{smooth_sql("xy")}
+SELECT round(x, 4) AS x, {rnd_sig_sql("fit", 6)} AS fit, {rnd_sig_sql("std_error", 6)} AS std_error FROM smooth"""
+
+
 def _box_sql(panel: str, grp: str, col: str) -> str:
     return f"""SELECT '{panel}' AS panel, q.grp, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
   round(min(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END), 6) AS whisker_lo,
@@ -325,6 +350,8 @@ SELECT (SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (SELECT count(*) AS
     "parse_month_year": _CTE + f"""SELECT id, issue_d, {_my_sql('issue_d')} AS issue_date,
   {_my_sql('earliest_cr_line')} AS earliest_cr_date FROM raw""",
     "code_lookup": _CTE + "SELECT id, raw.addr_state, st.state_name FROM raw LEFT JOIN st ON raw.addr_state = st.state_code",
+    "issue_smooth": _smooth_sql("SELECT CAST(date_diff('day', DATE '1970-01-01', issue_d) AS DOUBLE) AS x, CAST(funded_amnt AS DOUBLE) AS y FROM clean"),
+    "income_smooth": _smooth_sql("SELECT CAST(annual_inc AS DOUBLE) AS x, CAST(installment AS DOUBLE) AS y FROM dflt"),
     "income_trend": _CTE + f""", cuts AS (SELECT quantile_cont(annual_inc, [{", ".join(str(k / 10) for k in range(1, 10))}]) AS q
   FROM dflt WHERE annual_inc IS NOT NULL),
 b AS (SELECT len(list_filter(q, lambda x: x < annual_inc)) AS bin, annual_inc, installment FROM dflt, cuts WHERE annual_inc IS NOT NULL)

@@ -313,3 +313,37 @@ def test_pairwise_svm_matches_plain(spark):
     one = one_against_one(df.where("digit = 3"))
     assert {r["p"] for r in df.where("features IS NOT NULL").select(one.column("features").alias("p")).collect()} == {3}
     assert df.select(model.column("features").alias("p")).where("p IS NULL").count() == 1
+
+
+def test_smooth_matches_a_plain_penalised_spline(spark):
+    """Coefficients from a cell's sums equal those of all rows; the weight is the plain search's; a sine comes back."""
+    from tessera.operators import spline
+
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-3, 7, 2000)
+    y = 50 + 10 * np.sin(x) + rng.normal(size=2000)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)] + [(None, 1.0), (1.0, None)], "x double, y double").repartition(5)
+    s = spline.fit(df, "x", "y")
+    lo, hi, m = x.min(), x.max(), spline.CELLS + 3
+    u = (x - lo) / (hi - lo) * spline.CELLS
+    # the basis by its recursion on the knots
+    knots = np.arange(-3, spline.CELLS + 4)
+    b = ((u[:, None] >= knots[:-1]) & (u[:, None] < knots[1:])).astype(float)
+    b[u >= spline.CELLS] = np.arange(b.shape[1]) == spline.CELLS + 2          # the last point ends the last cell
+    for d in range(1, 4):
+        k = b.shape[1] - 1
+        b = (u[:, None] - knots[:k]) / d * b[:, :k] + (knots[d + 1:d + 1 + k] - u[:, None]) / d * b[:, 1:k + 1]
+    b = b[:, :m]
+    g, v, pen = b.T @ b, b.T @ (y - y.mean()), spline.penalty(m)
+    found = []
+    for w in spline.WEIGHTS:
+        a = g + w * np.trace(g) / np.trace(pen) * pen
+        beta, hat = np.linalg.solve(a, v), np.trace(np.linalg.solve(a, g))
+        rss = float(np.sum((y - y.mean() - b @ beta) ** 2))
+        found.append((2000 * rss / (2000 - hat) ** 2, w, beta, rss / (2000 - hat) * np.linalg.inv(a)))
+    _, w, beta, cov = min(found, key=lambda r: r[0])
+    assert s.weight == w and np.allclose(s.beta, beta, rtol=1e-6, atol=1e-6) and np.allclose(s.cov, cov, rtol=1e-5, atol=1e-9)
+    rows = spline.smooth_trend(df, "x", "y").collect()
+    assert len(rows) == 21 and all(abs(r["fit"] - 50 - 10 * math.sin(r["x"])) < 5 * r["std_error"] + 0.3 for r in rows)
+    assert spline.smooth_trend(df.where("x > 100"), "x", "y").count() == 0
+    assert spline.smooth_trend(spark.createDataFrame([(1.0, 2.0)] * 3, "x double, y double"), "x", "y").count() == 0
