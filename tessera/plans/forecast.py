@@ -4,6 +4,8 @@ series models - for every segment and measure in one job over a ``series`` key
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,8 @@ from tessera.operators.series.trend import FREQ_PAIRS, TERMS, choose, evaluate,
 from tessera.operators.reshape import append_kind
 from tessera.functions.numeric import rnd, rnd_sig, rnd_sig_sql
 from tessera.plans import bind
-from tessera.session import materialize
+from tessera.session import checkpoint_dir, materialize
+from tessera.sources.files import read_slices, write_slices
 
 MEASURES = ["sales", "quantity"]
 HORIZON = 6
@@ -136,6 +139,14 @@ def q_top_segments(spark, sf_dir):
     return r.select("market_segment", "month", F.col("sales").cast("double").alias("sales"), "quantity")
 
 
+def q_slices_round_trip(spark, sf_dir):
+    """S6 + S7: the top segments' slices written to the shared folder, a folder a slice, and read back."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/slices-{uuid.uuid4().hex}"
+    write_slices(q_top_segments(spark, sf_dir), folder, ["market_segment"])
+    return read_slices(spark, folder, "month string, sales double, quantity long, market_segment string") \
+        .select("market_segment", "month", "sales", "quantity")
+
+
 def q_ljung_box_lags(spark, sf_dir):
     """Q of the training series for every number of lags up to LB_LAGS."""
     a = acf(_train(spark, sf_dir)).where(F.col("lag") <= LB_LAGS)
@@ -225,6 +236,7 @@ QUERIES = {
     "segment_stability": q_segment_stability,
     "segment_score": q_segment_score,
     "top_segments": q_top_segments,
+    "slices_round_trip": q_slices_round_trip,
     "ljung_box_lags": q_ljung_box_lags,
     "standard_residuals": q_standard_residuals,
     "series_index": q_series_index,
@@ -638,3 +650,4 @@ ORACLES |= {
   SELECT series, CAST(idx AS INTEGER) AS idx, is_test, value, {" + ".join(f"coef[{i + 1}] * {t}" for i, t in enumerate(_TREND_TERMS))} AS trend_fit
   FROM (SELECT s.series, s.idx, s.is_test, s.value, fa, fb, coef, n AS nt FROM ser2 s JOIN pick p ON p.series = s.series))""",
 }
+ORACLES["slices_round_trip"] = ORACLES["top_segments"]

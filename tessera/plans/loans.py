@@ -21,7 +21,7 @@ from tessera.operators.relate import lookup
 from tessera.operators.spline import smooth_sql, smooth_trend
 from tessera.plans import bind
 from tessera.session import checkpoint_dir, materialize
-from tessera.sources.files import read_csv, write_csv
+from tessera.sources.files import clean_headers, read_csv, read_headerless, read_table, write_csv
 
 SPARSE_SHARE = 0.4
 BLANK_SHARE = 0.4
@@ -217,8 +217,18 @@ def q_csv_round_trip(spark, sf_dir):
     return read_csv(spark, folder, "loan_amnt double, revol_util string, id long, title string, emp_title string, int_rate string")
 
 
+def q_headerless_round_trip(spark, sf_dir):
+    """S4 + S5: a table written without a header, read back by position, named, and its names made one style."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    customers = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    customers.write.option("header", False).option("escape", '"').csv(folder)
+    named = read_headerless(spark, folder, "_c0 long, `Customer Name` string, `Nation-Key` long, `Balance & Credit` double", {"_c0": "Customer/Key"})
+    return clean_headers(named)
+
+
 QUERIES = {
     "csv_round_trip": q_csv_round_trip,
+    "headerless_round_trip": q_headerless_round_trip,
     "loans_clean": q_loans_clean,
     "sparse_columns": q_sparse_columns,
     "constant_columns": q_constant_columns,
@@ -350,6 +360,8 @@ SELECT (SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (SELECT count(*) AS
     "parse_month_year": _CTE + f"""SELECT id, issue_d, {_my_sql('issue_d')} AS issue_date,
   {_my_sql('earliest_cr_line')} AS earliest_cr_date FROM raw""",
     "code_lookup": _CTE + "SELECT id, raw.addr_state, st.state_name FROM raw LEFT JOIN st ON raw.addr_state = st.state_code",
+    "headerless_round_trip": """SELECT CAST(c_custkey AS BIGINT) AS Customer_Key, c_name AS Customer_Name, CAST(c_nationkey AS BIGINT) AS Nation_Key,
+  CAST(c_acctbal AS DOUBLE) AS Balance_Credit FROM customer""",
     "issue_smooth": _smooth_sql("SELECT CAST(date_diff('day', DATE '1970-01-01', issue_d) AS DOUBLE) AS x, CAST(funded_amnt AS DOUBLE) AS y FROM clean"),
     "income_smooth": _smooth_sql("SELECT CAST(annual_inc AS DOUBLE) AS x, CAST(installment AS DOUBLE) AS y FROM dflt"),
     "income_trend": _CTE + f""", cuts AS (SELECT quantile_cont(annual_inc, [{", ".join(str(k / 10) for k in range(1, 10))}]) AS q
