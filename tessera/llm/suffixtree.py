@@ -1,305 +1,296 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Symbols are the frequent words of the training documents (a share of SYMBOL or
-more), the end of a text, and one class of all other words, whose members keep
-their own smoothed frequencies inside the class. A context, of up to ORDER
-symbols, with a share of CONTEXT or more of the training tokens is a candidate
-state. It is retained if its next-symbol distribution diverges from that of its
-longest retained suffix: the training text must gain GAIN nats or more under
-leave-one-out counts. Distributions are smoothed towards the suffix's, down to
-the root, which is the smoothed word frequency. Each token is scored in the
-longest retained state that is a suffix of what comes before it.
-
-The tree is bounded by the two shares and sent to all tasks. Word counts are
-not: they are summed over the cluster and joined back to chunks of documents.
+Symbols are all words, the start and the end of a text. A context of up to
+ORDER symbols that the training documents hold STATE times or more is a
+candidate state. It is retained if its next-symbol distribution diverges from
+that of its longest retained suffix: the training text must gain GAIN nats or
+more under leave-one-out counts. A next symbol seen LEAST times or more in a
+state has its own count; the mass of rarer ones and PRIOR tokens go to the
+suffix's distribution, down to the root, the smoothed word frequency. Each token
+is scored in the longest retained state that is a suffix of what comes before.
+
+Nothing of the tree is sent to a driver: counts, states and transitions are
+tables that grow with the documents. A sequence of symbols (a gram) is a 64-bit
+key made of the keys of its two shorter parts. A gram that occurs twice has
+parts that do, so a filter of repeated pairs, a bitmap of bounded size, spares
+most of the others their shuffle; what it lets through is counted exactly. For
+scoring, a chunk of documents asks the table for the grams that it holds.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
+from tessera.session import materialize
 
-ORDER = 2
-SYMBOL = 1 / 2048         # share of the training tokens that makes a word a symbol
-CONTEXT = 1e-4            # share that makes a context a candidate
-GAIN = 20.0               # nats
-PRIOR = 100.0             # weight of the suffix's distribution, in tokens
+ORDER = 2                 # symbols in a context, at most
+LEAST = 2                 # occurrences that give a next symbol its own count
+STATE = 2                 # occurrences that make a context a candidate
+GAIN = 10.0               # nats
+PRIOR = 1.0               # tokens left to the suffix's distribution in every state
 CHUNK_BYTES = 8 << 20     # text that is scored together
+FILTER_BITS = 1 << 30     # size of a filter, at most (128 MB); 16 bits a key below that
+START, END = np.uint64(0x5BF0A8B145769231), np.uint64(0x27D4EB2F165667C5)      # keys of a text's two ends
+_A, _B = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-@dataclass
-class Tree:
-    """Symbols are numbered 0 (other words), 1 ... (frequent words), then end and start."""
-
-    tokens: int = 0                      # training tokens N
-    distinct: int = 0                    # distinct ones V
-    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))   # hashes of frequent words, sorted
-    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    ends: int = 0                        # training documents
-    # Per state (0 is the root): its suffix's state and the share left to that. By order: contexts and their states.
-    parent: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    left: np.ndarray = field(default_factory=lambda: np.ones(1))
-    contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    # Seen transitions, sorted by state * size + symbol, and their log10 probabilities.
-    moves: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    logs: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    @property
-    def size(self) -> int:
-        return len(self.words) + 3
-
-    @property
-    def end(self) -> int:
-        return len(self.words) + 1
-
-    @property
-    def start(self) -> int:
-        return len(self.words) + 2
-
-    @property
-    def scale(self) -> float:
-        return self.tokens + 0.5 * (self.distinct + 1)
-
-    def root(self) -> np.ndarray:
-        """Probability of each symbol; the class of other words has what is left."""
-        p = np.zeros(self.size)
-        p[1:self.end] = (self.counts + 0.5) / self.scale
-        p[self.end] = (self.ends + 0.5) / self.scale
-        p[0] = max(1.0 - p.sum(), 0.5 / self.scale)
-        return p
-
-    def symbols(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at + 1, 0)
-
-
-def sequences(w: W.Words, h: np.ndarray, tree: Tree, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(symbol, row, contexts by length - 1) of all tokens, each text's end included.
-
-    A context of length k is a number in base ``size``; -1 where the text has no
-    k symbols before, its start counted as one.
-    """
+def join_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Key of a gram from those of the gram without its last and without its first symbol."""
+    return W.mix(a * _A + W.mix(b + _B))
+
+
+def sequences(w: W.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row, symbols left in the row) of every symbol: each text's start, words and end."""
     rows, n = len(w.first) - 1, np.diff(w.first)
-    sym = np.full(len(h) + rows, tree.end)
-    place = np.arange(len(h)) + w.row
-    sym[place] = tree.symbols(h)
-    row = np.repeat(np.arange(rows), n + 1)
-    first = w.first[:-1] + np.arange(rows)
-    pos = np.arange(len(sym)) - first[row]
-    out, number, weight = [], np.zeros(len(sym), np.int64), 1
-    for k in range(1, order + 1):
-        before = np.where(pos >= k, sym[np.maximum(np.arange(len(sym)) - k, 0)], tree.start)
-        number = number + before * weight
-        weight *= tree.size
-        out.append(np.where(pos >= k - 1, number, -1))
-    return sym, row, out
-
-
-def states(tree: Tree, contexts: list[np.ndarray], n: int) -> np.ndarray:
-    """Longest retained state of each position."""
-    state = np.zeros(n, np.int64)
-    for number, (known, own) in zip(contexts, tree.contexts):
-        if len(known):
-            at = np.minimum(np.searchsorted(known, number), len(known) - 1)
-            state = np.where(known[at] == number, own[at], state)
-    return state
-
-
-def log_probabilities(tree: Tree, state: np.ndarray, sym: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """log10 probability of each symbol in its state, by way of the suffixes where unseen."""
-    out, done, state = np.zeros(len(sym)), np.zeros(len(sym), bool), state.copy()
-    while len(tree.moves):
-        up = ~done & (state > 0)
-        if not up.any():
-            break
-        key = state * tree.size + sym
-        at = np.minimum(np.searchsorted(tree.moves, key), len(tree.moves) - 1)
-        hit = up & (tree.moves[at] == key)
-        out[hit] += tree.logs[at[hit]]
-        done |= hit
-        miss = up & ~hit
-        out[miss] += np.log10(tree.left[state[miss]])
-        state[miss] = tree.parent[state[miss]]
-    out[~done] += np.log10(root[sym[~done]])
+    key = np.empty(len(h) + 2 * rows, np.uint64)
+    first = w.first[:-1] + 2 * np.arange(rows)
+    last = first + n + 1
+    key[np.arange(len(h)) + 2 * w.row + 1] = h
+    key[first], key[last] = START, END
+    row = np.repeat(np.arange(rows), n + 2)
+    return key, row, last[row] - np.arange(len(key))
+
+
+def grams(key: np.ndarray, length: int) -> list[np.ndarray]:
+    """Keys of the grams of 1 to ``length`` symbols that begin at each place (those past a row's end mean nothing)."""
+    out = [key]
+    for _ in range(1, length):
+        g = out[-1].copy()
+        g[:-1] = join_keys(out[-1][:-1], out[-1][1:])
+        out.append(g)
     return out
 
 
+class Filter:
+    """A bitmap of keys: tells that a key is absent, or may be present."""
+
+    def __init__(self, keys: DataFrame, limit: int = FILTER_BITS):
+        """Of the table's column ``key``; at most ``limit`` bits reach the driver and the tasks."""
+        n = keys.count()
+        self.bits = min(limit, max(1 << 20, 1 << (16 * n).bit_length()))
+        place = F.expr(f"(key & {self.bits - 1}L) + 1")
+        parts = keys.select(place.alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("b")) \
+            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("m")).collect()
+        self.map = np.zeros(self.bits >> 3, np.uint8)
+        for r in parts:
+            at = (r["b"] - 1) * len(r["m"])
+            self.map[at: at + len(r["m"])] = np.frombuffer(r["m"], np.uint8)
+
+    def has(self, key: np.ndarray) -> np.ndarray:
+        x = (key & np.uint64(self.bits - 1)).astype(np.int64)
+        return (self.map[x >> 3] >> (x & 7).astype(np.uint8)) & 1 > 0
+
+
 def _held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % folds == fold, F.lit(False))
 
 
-def _counted(key: np.ndarray, names: list[str], *cols) -> pa.RecordBatch:
-    kinds, n = np.unique(key, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n)], names=names)
+def _longs(*columns: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns], names=names)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for b in batches:
-        kinds = [np.unique(W.hashes(W.words(part)), return_counts=True) for _, part in W.slices(b.column(0), 8 << 20)]
-        if kinds:
-            w, at = np.unique(np.concatenate([k for k, _ in kinds]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([c for _, c in kinds]), len(w)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["w", "n"])
+        for _, part in W.slices(b.column(0), 8 << 20):
+            w = W.words(part)
+            key, _, left = sequences(w, W.hashes(w))
+            yield key, left
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n = sum(len(W.words(part).starts) for _, part in W.slices(b.column(0)))
-        yield pa.RecordBatch.from_arrays([pa.array([n + b.num_rows], pa.int64())], names=["n"])
-
-
-def fit(texts: DataFrame, order: int = ORDER, symbol: float = SYMBOL, context: float = CONTEXT, gain: float = GAIN,
-        prior: float = PRIOR) -> Tree:
-    """The tree of the training texts (one string column; no nulls). Each order is one pass over all texts."""
-    spark = texts.sparkSession
-    total = texts.mapInArrow(_sizes, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
-    docs = texts.count()
-    if not total:
-        return Tree()
-    from pyspark.sql import Observation
-    seen = Observation()
-    counts = texts.mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")) \
-        .observe(seen, F.count(F.lit(1)).alias("distinct"))
-    top = counts.where(F.col("n") >= math.ceil(symbol * total)).collect()
-    found = np.array([r["w"] for r in top], np.int64).view(np.uint64)
-    by = np.argsort(found)
-    tree = Tree(int(total), int(seen.get["distinct"]) + 1, found[by], np.array([r["n"] for r in top], np.int64)[by], docs)
-    root, least = tree.root(), math.ceil(context * total)
-    numbers: list[np.ndarray] = []       # candidate contexts by order, sorted
-    moves, logs, parent, left = [], [], [0], [1.0]
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for key, _ in _parts(batches):
+        yield _longs(*np.unique(key, return_counts=True), names=["key", "n"])
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for key, left in _parts(batches):
+        yield _longs(*np.unique(grams(key, 2)[1][left > 0], return_counts=True), names=["key", "n"])
+
+
+def tree(texts: DataFrame, order: int = ORDER, least: int = LEAST, state: int = STATE, gain: float = GAIN, prior: float = PRIOR,
+         filter_bits: int = FILTER_BITS) -> tuple[DataFrame, int, int]:
+    """The tree of the training texts (one string column; no nulls), the number of tokens and of distinct ones.
+
+    Rows: key, n (occurrences, of single symbols), p (log10 probability of a
+    gram's last symbol in the state of the others) and left (log10 share that
+    the gram, as a state, leaves to its suffix); null where a gram is none of these.
+    """
+    sc = texts.sparkSession.sparkContext
+    words = materialize(texts.mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    start = int(START.view(np.int64))
+    total, distinct = words.where(F.col("key") != start).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
+    scale = total + 0.5 * (distinct + 1)
+    pairs = texts.mapInArrow(_pair_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    sent = sc.broadcast(Filter(materialize(pairs.select("key")), filter_bits))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, left in _parts(batches):
+            levels = grams(key, order + 1)
+            fit = (left > 0) & sent.value.has(levels[1])
+            for k in range(1, order + 1):
+                at = np.flatnonzero(fit)
+                _, where, n = np.unique(levels[k][at], return_index=True, return_counts=True)
+                at = at[where]
+                yield _longs(np.full(len(at), k), levels[k - 1][at], levels[k - 1][np.minimum(at + 1, len(key) - 1)], n, names=["k", "a", "b", "n"])
+                fit[:-1] &= fit[1:] & (left[:-1] > k)
+                fit[-1:] = False
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, a, s, n = (np.asarray(b.column(i)) for i in range(4))
+            yield _longs(k, a, s, n, join_keys(a.view(np.uint64), s.view(np.uint64)), names=["k", "a", "b", "n", "key"])
+
+    found = materialize(texts.mapInArrow(count, "k long, a long, b long, n long").groupBy("k", "a", "b").agg(F.sum("n").alias("n"))
+                        .where(F.col("n") >= least).mapInArrow(keyed, "k long, a long, b long, n long, key long"))
+    before = words.select("key", "n", ((F.col("n") + 0.5) / scale).alias("q"))
+    model = words.select("key", "n", F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("left"))
     for k in range(1, order + 1):
-        sent = spark.sparkContext.broadcast((tree, numbers[-1] if numbers else None))
-
-        def count(batches: Iterator[pa.RecordBatch], k=k, sent=sent) -> Iterator[pa.RecordBatch]:
-            own, before = sent.value
-            for b in batches:
-                for _, part in W.slices(b.column(0), 8 << 20):
-                    w = W.words(part)
-                    sym, _, contexts = sequences(w, W.hashes(w), own, k)
-                    use = contexts[-1] >= 0
-                    if before is not None:                     # a frequent context has a frequent suffix
-                        at = np.minimum(np.searchsorted(before, contexts[-2]), max(len(before) - 1, 0))
-                        use &= before[at] == contexts[-2] if len(before) else False
-                    yield _counted(contexts[-1][use] * own.size + sym[use], ["m", "n"])
-
-        pairs = texts.mapInArrow(count, "m long, n long").groupBy("m").agg(F.sum("n").alias("n")) \
-            .withColumn("c", F.expr(f"m div {tree.size}L"))
-        totals = pairs.groupBy("c").agg(F.sum("n").alias("t")).where(F.col("t") >= least)
-        table = pairs.join(F.broadcast(totals), "c").select("c", "t", (F.col("m") % tree.size).alias("s"), "n").toArrow()
-        c, t, s, n = (np.asarray(table.column(x).combine_chunks() if table.num_rows else pa.array([], pa.int64())) for x in "ctsn")
-        by = np.lexsort((s, c))
-        c, t, s, n = c[by], t[by], s[by], n[by]
-        numbers.append(np.unique(c))
-        # The suffix's distribution: of the longest retained state without the oldest symbol.
-        shorter = [c % tree.size ** j for j in range(1, k)]
-        above = states(tree, shorter, len(c))
-        low = 10.0 ** log_probabilities(tree, above, s, root)
-        out = n * np.log(np.maximum((n - 1 + prior * low) / (t - 1 + prior), 1e-300) / low)
-        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-        good = np.add.reduceat(out, first) >= gain if len(first) else np.zeros(0, bool)
-        which = np.repeat(good, np.diff(np.append(first, len(c))))
-        state = np.cumsum(np.repeat(good, 1)) - 1 + len(parent)
-        each = np.repeat(state, np.diff(np.append(first, len(c))))[which]
-        moves.append(each * tree.size + s[which])
-        logs.append(np.log10((n + prior * low) / (t + prior))[which])
-        parent += above[first[good]].tolist()
-        left += (prior / (t + prior))[first[good]].tolist()
-        flat, by = np.concatenate(moves), np.argsort(np.concatenate(moves))
-        tree = Tree(tree.tokens, tree.distinct, tree.words, tree.counts, tree.ends, np.array(parent), np.array(left),
-                    [*tree.contexts, (c[first[good]], state[good])], flat[by], np.concatenate(logs)[by])
-    return tree
-
-
-def _asked(chunk: pa.Table, frequent: np.ndarray) -> pa.Table:
-    """(chunk, word, training count) of a chunk's words that are no symbols."""
-    texts, train = chunk.column("text").combine_chunks(), ~np.asarray(chunk.column("held_out").combine_chunks())
-    words, counts = [], []
-    for at, part in W.slices(texts):
+        # Every context is followed by something: its occurrences are its transitions'. q: the last symbol in the longest retained state.
+        moves = found.where(F.col("k") == k).select("key", "a", "b", "n") \
+            .join(before.select(F.col("key").alias("b"), F.col("q").alias("low")), "b") \
+            .join(before.where(F.col("n") >= state).select(F.col("key").alias("a"), F.col("n").alias("t")), "a")
+        own = moves.groupBy("a").agg(F.sum("n").alias("own"))
+        moves = moves.join(own, "a").withColumn("up", F.col("t") - F.col("own") + prior)        # mass left to the suffix
+        rest = (F.col("t") - F.col("own")) * F.log(F.greatest(F.col("up") - 1, F.lit(prior)) / (F.col("t") - 1 + prior))
+        gained = moves.groupBy("a").agg(
+            (F.sum(F.col("n") * F.log(((F.col("n") - 1) / F.col("low") + F.col("up")) / (F.col("t") - 1 + prior))) + F.first(rest)).alias("gain"))
+        before = materialize(moves.join(gained, "a").withColumn("kept", F.col("gain") >= gain).select(
+            "key", "a", "n", "kept", (F.col("up") / (F.col("t") + prior)).alias("share"),
+            F.when(F.col("kept"), (F.col("n") + F.col("up") * F.col("low")) / (F.col("t") + prior)).otherwise(F.col("low")).alias("q")))
+        kept = before.where("kept")
+        none = F.lit(None)
+        model = model.unionByName(kept.select("key", none.cast("long").alias("n"), F.log10("q").alias("p"), none.cast("double").alias("left"))) \
+            .unionByName(kept.groupBy(F.col("a").alias("key")).agg(F.first(F.log10("share")).alias("left"))
+                         .select("key", none.cast("long").alias("n"), none.cast("double").alias("p"), "left"))
+    merged = model.groupBy("key").agg(F.max("n").alias("n"), F.max("p").alias("p"), F.max("left").alias("left"))
+    return materialize(merged), int(total), int(distinct)
+
+
+def _pack(chunk_bytes: int):
+    """Batches to (chunk, data): about ``chunk_bytes`` of whole rows as one compressed Arrow stream."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def out() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                for b in held:
+                    stream.write_batch(b)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "data"])
+
+        for b in batches:
+            for first, part in W.slices(b.column("text"), chunk_bytes):
+                rows = b.slice(first, len(part))
+                if held and size + rows.nbytes > chunk_bytes:
+                    yield out()
+                    number, held, size = number + 1, [], 0
+                held.append(rows)
+                size += rows.nbytes
+        if held:
+            yield out()
+
+    return pack
+
+
+def _unpack(data) -> pa.Table:
+    with pa.ipc.open_stream(pa.py_buffer(data.as_py())) as stream:
+        return stream.read_all()
+
+
+def _asked(texts: pa.ChunkedArray, order: int, known: Filter) -> np.ndarray:
+    """Keys of a chunk's words, and of its grams that the tree may hold."""
+    out = [np.zeros(0, np.uint64)]
+    for _, part in W.slices(texts):
         w = W.words(part)
-        h = W.hashes(w)
-        if len(frequent):
-            rare = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] != h
-            h, row = h[rare], w.row[rare] + at
-        else:
-            row = w.row + at
-        own, place = np.unique(h, return_inverse=True)
-        words.append(own)
-        counts.append(np.bincount(place, train[row], len(own)).astype(np.int64))
-    own, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]), return_inverse=True)
-    n = np.bincount(place, np.concatenate([np.zeros(0, np.int64), *counts]), len(own)).astype(np.int64)
-    number = chunk.column("chunk")[0].as_py()
-    return pa.table({"chunk": np.full(len(own), number, np.int64), "w": own.view(np.int64), "n": n})
-
-
-def _score(texts: pa.Array, tree: Tree, words: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """n_tokens, n_known, base_score and score of each text; counts of the sorted other words."""
-    out = [np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))]
-    root, order = tree.root(), len(tree.contexts)
-    by_symbol = np.concatenate([[0], tree.counts, [tree.ends, 0]])
-    for at, part in W.slices(texts):
+        key, _, left = sequences(w, W.hashes(w))
+        out.append(np.unique(key))
+        for k, g in enumerate(grams(key, order + 1)[1:], 1):
+            g = g[left >= k]
+            out.append(np.unique(g[known.has(g)]))
+    return np.unique(np.concatenate(out))
+
+
+def _score(texts: pa.ChunkedArray, order: int, scale: float, key: np.ndarray, n: np.ndarray, p: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
+    """n_tokens, n_known, base_score and score of each text, from the tree's rows of sorted keys."""
+    count = len(texts)
+    out = [np.zeros(count, np.int64), np.zeros(count, np.int64), np.zeros(count), np.zeros(count)]
+
+    def at(g: np.ndarray) -> np.ndarray:
+        """Place of each key; the last, an empty row, if it isn't there."""
+        i = np.searchsorted(key, g)
+        return np.where(np.append(key, np.uint64(0))[i] == g, i, len(key))
+
+    n, p, left = np.append(n, 0), np.append(p, np.nan), np.append(left, np.nan)
+    for first, part in W.slices(texts):
         w = W.words(part)
-        h = W.hashes(w)
-        sym, row, contexts = sequences(w, h, tree, order)
-        c = by_symbol[sym]
-        other = np.flatnonzero(sym[np.arange(len(h)) + w.row] == 0)
-        if len(words) and len(other):
-            i = np.minimum(np.searchsorted(words, h[other]), len(words) - 1)
-            c[other + w.row[other]] = np.where(words[i] == h[other], counts[i], 0)
-        base = np.log10((c + 0.5) / tree.scale)
-        own = log_probabilities(tree, states(tree, contexts, len(sym)), sym, root)
-        own = np.where(sym == 0, own + base - np.log10(root[0]), own)
-        n = len(part)
-        for k, x in enumerate((None, (c > 0).astype(float), base, own)):
-            got = np.bincount(row, x, n)
-            out[k][at: at + n] = got if k > 1 else got.astype(np.int64)
+        seq, row, _ = sequences(w, W.hashes(w))
+        places = [at(g) for g in grams(seq, order + 1)]
+        target = np.flatnonzero(np.diff(row, prepend=-1) == 0)         # all but each text's start
+        before = target - np.searchsorted(row, row[target])            # symbols before, the start included
+        c = n[places[0][target]]
+        base = np.log10((c + 0.5) / scale)
+        own, done = np.zeros(len(target)), np.zeros(len(target), bool)
+        for k in range(order, 0, -1):
+            use = np.flatnonzero(~done & (before >= k))
+            share = left[places[k - 1][target[use] - k]]
+            use, share = use[~np.isnan(share)], share[~np.isnan(share)]
+            move = p[places[k][target[use] - k]]
+            seen = ~np.isnan(move)
+            own[use] += np.where(seen, move, share)
+            done[use[seen]] = True
+        own[~done] += base[~done]
+        for j, x in enumerate((None, (c > 0).astype(float), base, own)):
+            got = np.bincount(row[target], x, len(part))
+            out[j][first: first + len(part)] = got if j > 1 else got.astype(np.int64)
     return out
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES,
-          **options) -> DataFrame:
+          order: int = ORDER, **options) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learned from the documents that aren't ``held_out``. A null or empty text is
     its end alone. Repeated rows count as often as they occur; null ids stay null.
     Without training documents every token has the probability of an unknown one.
     An empty table gives no rows. Scores are log10 probabilities; base_score is the
-    smoothed word frequency's.
+    smoothed word frequency's. The texts are kept in written chunks, by their place
+    in the table, so that equal rows don't meet in one task.
     """
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), held_out.alias("held_out"),
                        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    tree = fit(rows.where("NOT held_out").select("text"), **options)
-    size = rows.agg(F.sum(F.octet_length("text") + 1).alias("n")).first()["n"] or 0
-    chunks = max(1, -(-size // chunk_bytes))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    sent, frequent = spark.sparkContext.broadcast(tree), tree.words
-
-    def asked(chunk: pa.Table) -> pa.Table:
-        return _asked(chunk, frequent)
-
-    # Both uses group the same rows by chunk: the texts are shuffled once.
-    wanted = rows.groupBy("chunk").applyInArrow(asked, "chunk long, w long, n long")
-    answers = wanted.withColumn("c", F.sum("n").over(Window.partitionBy("w"))).select("chunk", "w", "c")
-
-    def scored(texts: pa.Table, words: pa.Table) -> pa.Table:
-        own = sent.value
-        w, c = np.asarray(words.column("w").combine_chunks()).view(np.uint64), np.asarray(words.column("c").combine_chunks())
-        by = np.argsort(w)
-        n_tokens, n_known, base, value = _score(texts.column("text"), own, w[by], c[by])
+    model, total, distinct = tree(rows.where("NOT held_out").select("text"), order=order, **options)
+    scale = total + 0.5 * (distinct + 1)
+    chunks = materialize(rows.mapInArrow(_pack(chunk_bytes), "chunk long, data binary"))
+    grown = model.where("p IS NOT NULL OR left IS NOT NULL").select("key")
+    sent = sc.broadcast(Filter(grown, options.get("filter_bits", FILTER_BITS)))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, data in zip(b.column(0), b.column(1)):
+                key = _asked(_unpack(data).column("text"), order, sent.value)
+                yield _longs(np.full(len(key), number.as_py()), key, names=["chunk", "key"])
+
+    answers = chunks.mapInArrow(asked, "chunk long, key long").join(model, "key")
+
+    def scored(held: pa.Table, rows: pa.Table) -> pa.Table:
+        key = np.asarray(rows.column("key").combine_chunks()).view(np.uint64)
+        by = np.argsort(key)
+        n = np.asarray(rows.column("n").combine_chunks().fill_null(0))[by]
+        p, left = (np.asarray(rows.column(x).combine_chunks().fill_null(np.nan))[by] for x in ("p", "left"))
+        texts = _unpack(held.column("data")[0])
+        n_tokens, n_known, base, value = _score(texts.column("text"), order, scale, key[by], n, p, left)
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": n_tokens, "n_known": n_known,
-                         "train_tokens": np.full(len(base), own.tokens), "base_score": base, "score": value})
+                         "train_tokens": np.full(len(base), total, np.int64), "base_score": base, "score": value})
 
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -22,64 +22,58 @@ def toks(text):
 
 
 class Plain:
-    def __init__(self, texts, order, symbol, context, gain, prior):
-        seqs = [toks(t) for t in texts]
-        self.c = Counter(x for s in seqs for x in s)
-        self.n, self.v = sum(self.c.values()), len(self.c)
-        least = math.ceil(symbol * self.n)
-        self.sym = {w for w, k in self.c.items() if w is not None and k >= least}
-        self.scale = self.n + 0.5 * (self.v + 1)
-        self.root = {w: (self.c[w] + 0.5) / self.scale for w in [*self.sym, None]}
-        self.root["<other>"] = 1 - sum(self.root.values())
-        self.kept, self.prior = {}, prior
+    """The rule over dictionaries of symbol tuples; a text is its start, words and end."""
+
+    def __init__(self, texts, order, least, state, gain, prior):
+        seqs = [["<start>", *toks(t)] for t in texts]
+        self.c = Counter(x for s in seqs for x in s[1:])
+        self.n, self.v, self.prior = sum(self.c.values()), len(self.c), prior
+        self.kept = {}
         for k in range(1, order + 1):
             pairs = defaultdict(Counter)
             for s in seqs:
-                ids = ["<start>", *[self.cls(x) for x in s]]
-                for t in range(1, len(ids)):
-                    if t >= k:
-                        pairs[tuple(ids[t - k:t])][ids[t]] += 1
+                for i in range(k, len(s)):
+                    pairs[tuple(s[i - k:i])][s[i]] += 1
             new = {}
             for ctx, nxt in pairs.items():
-                total = sum(nxt.values())
-                if total >= math.ceil(context * self.n):
-                    g = sum(n * math.log(max((n - 1 + prior * self.p(ctx[1:], w)) / (total - 1 + prior), 1e-300) / self.p(ctx[1:], w))
-                            for w, n in nxt.items())
-                    if g >= gain:
-                        new[ctx] = (nxt, total)
+                total, own = sum(nxt.values()), {w: n for w, n in nxt.items() if n >= least}
+                if total < max(state, least) or not own:
+                    continue
+                rest = total - sum(own.values())
+                g = sum(n * math.log(((n - 1) / self.p(ctx[1:], w) + rest + prior) / (total - 1 + prior)) for w, n in own.items())
+                g += rest * math.log(max(rest + prior - 1, prior) / (total - 1 + prior))
+                if g >= gain:
+                    new[ctx] = (own, total, rest)
             self.kept |= new
 
-    def cls(self, x):
-        return x if x in self.sym or x is None else "<other>"
+    def root(self, w):
+        return (self.c[w] + 0.5) / (self.n + 0.5 * (self.v + 1))
 
     def p(self, ctx, w):
         while ctx and ctx not in self.kept:
             ctx = ctx[1:]
         if not ctx:
-            return self.root[w]
-        nxt, total = self.kept[ctx]
-        return (nxt[w] + self.prior * self.p(ctx[1:], w)) / (total + self.prior)
+            return self.root(w)
+        own, total, rest = self.kept[ctx]
+        return (own.get(w, 0) + (self.prior + rest) * self.p(ctx[1:], w)) / (total + self.prior)
 
     def score(self, text, order):
-        base = own = 0.0
-        ids = ["<start>"]
+        ids, base, own = ["<start>"], 0.0, 0.0
         for x in toks(text):
-            b = math.log10((self.c[x] + 0.5) / self.scale)
-            w = self.cls(x)
-            own += math.log10(self.p(tuple(ids[-order:]), w)) + (b - math.log10(self.root["<other>"]) if w == "<other>" else 0)
-            base += b
-            ids.append(w)
+            base += math.log10(self.root(x))
+            own += math.log10(self.p(tuple(ids[-order:]), x))
+            ids.append(x)
         return base, own
 
 
-@pytest.mark.parametrize("order,symbol,context,gain,prior", [(2, 1 / 200, 1e-3, 3.0, 20.0), (3, 1 / 100, 2e-3, 1.0, 5.0), (1, 0.02, 0.01, 0.5, 50.0)])
-def test_table_against_plain(spark, order, symbol, context, gain, prior):
+@pytest.mark.parametrize("order,least,state,gain,prior,bits", [(2, 2, 2, 10.0, 1.0, 1 << 30), (3, 2, 4, 3.0, 5.0, 1 << 20), (1, 3, 5, 0.5, 20.0, 1 << 15)])
+def test_table_against_plain(spark, order, least, state, gain, prior, bits):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
     held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 == 1 for r in rows}
-    options = {"order": order, "symbol": symbol, "context": context, "gain": gain, "prior": prior}
-    want = Plain([r.text for r in rows if not held[r.doc_id]], order, symbol, context, gain, prior)
-    got = S.score(docs, S._held_out(docs["doc_id"], 5, 1), chunk_bytes=60_000, **options).collect()
+    options = {"order": order, "least": least, "state": state, "gain": gain, "prior": prior}
+    want = Plain([r.text for r in rows if not held[r.doc_id]], **options)
+    got = S.score(docs, S._held_out(docs["doc_id"], 5, 1), chunk_bytes=60_000, filter_bits=bits, **options).collect()
     assert len(got) == len(rows) and len(want.kept) > 1
     texts = {r.doc_id: r.text for r in rows}
     for r in got:
@@ -89,14 +83,45 @@ def test_table_against_plain(spark, order, symbol, context, gain, prior):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(own, rel=1e-9)
 
 
-def test_distributions_sum_to_one(spark):
-    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    tree = S.fit(docs.select("text"), symbol=1 / 200, context=1e-3, gain=3.0, prior=20.0)
-    assert len(tree.parent) > 3
-    for state in range(len(tree.parent)):
-        sym = np.arange(tree.size - 1)
-        p = 10.0 ** S.log_probabilities(tree, np.full(len(sym), state), sym, tree.root())
-        assert p.sum() == pytest.approx(1.0)
+def test_distributions_sum_to_one():
+    texts = ["a b c a b c d", "a b c e", "b c a b d", "a b", "a b c"] * 3
+    plain = Plain(texts, 2, 2, 2, 0.5, 1.0)
+    assert plain.kept
+    unknown = plain.root("never seen")
+    for ctx in plain.kept:
+        assert sum(plain.p(ctx, w) for w in plain.c) + plain.p(ctx, "never seen") == pytest.approx(1.0)
+        assert plain.p(ctx, "never seen") <= unknown
+
+
+def states_of(spark, texts, **options):
+    return S.tree(spark.createDataFrame([(t,) for t in texts], "text string"), **options)[0].where("left IS NOT NULL").count()
+
+
+def test_tree_grows_with_the_documents(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect() if r.text]
+    few, more, all_ = (states_of(spark, texts[:n]) for n in (len(texts) // 4, len(texts) // 2, len(texts)))
+    assert 1.3 * few < more and 1.3 * more < all_
+
+
+def test_a_text_seen_before_scores_higher(spark, docs_of):
+    """Two copies in training make states, whose suffixes have little left for the same words in another order."""
+    words = [f"w{i}" for i in range(400)]
+    twice, other = " ".join(words[:150]), " ".join(words[150:300])
+    many = " ".join(f"v{i}" for i in range(5000))
+    docs = docs_of([(i, f"{twice} x{i}") for i in (1, 2)] + [(3, other), (0, many), (4, twice), (5, " ".join(reversed(words[:150])))])
+    got = {r.doc_id: r for r in S.score(docs, docs["doc_id"] > 3).collect()}
+    assert got[4].score - got[4].base_score > 100 and got[5].score < got[5].base_score
+
+
+def test_filter_knows_its_keys(spark):
+    rng = np.random.default_rng(5)
+    keys = np.append(rng.integers(-2 ** 63, 2 ** 63, 5000), [0, -1, 2 ** 63 - 1])
+    df = spark.createDataFrame([(int(k),) for k in keys], "key long")
+    for limit in (1 << 30, 1 << 15):
+        f = S.Filter(df, limit)
+        assert f.has(keys.view(np.uint64)).all()
+    assert S.Filter(df).has(rng.integers(0, 2 ** 63, 20_000).view(np.uint64)).mean() < 0.05
+    assert not S.Filter(df.where("false")).has(keys.view(np.uint64)).any()
 
 
 def test_held_out_gain(spark):
