@@ -14,12 +14,15 @@ tables that grow with the documents. A sequence of symbols (a gram) is a 64-bit
 key made of the keys of its two shorter parts. A gram that occurs twice has
 parts that do, so a filter of repeated pairs, a bitmap of bounded size, spares
 most of the others their shuffle; what it lets through is counted exactly. For
-scoring, a chunk of documents asks the table for the grams that it holds.
+scoring, a chunk of documents asks the table for the grams that it holds, but
+for the HEAD most frequent ones, which every task has.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +30,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.session import materialize
+from tessera.session import checkpoint_dir
 
 ORDER = 2                 # symbols in a context, at most
-LEAST = 2                 # occurrences that give a next symbol its own count
-STATE = 2                 # occurrences that make a context a candidate
+LEAST = 5                 # occurrences that give a next symbol its own count
+STATE = 5                 # occurrences that make a context a candidate
 GAIN = 10.0               # nats
 PRIOR = 1.0               # tokens left to the suffix's distribution in every state
 CHUNK_BYTES = 8 << 20     # text that is scored together
+HEAD = 1 << 18            # rows of the tree that every task has, at most
 FILTER_BITS = 1 << 30     # size of a filter, at most (128 MB); 16 bits a key below that
 START, END = np.uint64(0x5BF0A8B145769231), np.uint64(0x27D4EB2F165667C5)      # keys of a text's two ends
 _A, _B = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -87,6 +91,57 @@ class Filter:
         return (self.map[x >> 3] >> (x & 7).astype(np.uint8)) & 1 > 0
 
 
+@contextmanager
+def _tidy(spark: SparkSession):
+    """Shuffle files go as soon as the table made of them is written (restored at the end)."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """The table, written to the shared checkpoint folder and read again."""
+    folder = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/suffixtree-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _head(model: DataFrame, most: int) -> tuple[int, pa.Table]:
+    """Least count, and rows from it on, sorted by key: as many whole counts as make ``most`` rows or fewer."""
+    by = model.groupBy(F.least(F.col("n"), F.lit(1 << 20)).alias("n")).count().orderBy(F.desc("n")).collect()
+    least, rows = (1 << 20) + 1, 0
+    for r in by:
+        rows += r["count"]
+        if rows > most:
+            break
+        least = r["n"]
+    table = model.where(F.col("n") >= least).toArrow()
+    return least, table
+
+
+def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """key, n, p and left of rows of the tree, by key; an empty p or left is NaN."""
+    def column(name: str) -> np.ndarray:
+        c = table.column(name)
+        return np.concatenate([np.zeros(0, np.int64 if name in ("key", "n") else np.float64),
+                               *[np.asarray(x.fill_null(0 if name in ("key", "n") else np.nan)) for x in c.chunks]])
+    key = column("key").view(np.uint64)
+    by = np.argsort(key)
+    return key[by], column("n")[by], column("p")[by], column("left")[by]
+
+
+def _places(known: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Place of each key among the sorted known ones; their number if it isn't there."""
+    if not len(known):
+        return np.zeros(len(g), np.int64)
+    i = np.minimum(np.searchsorted(known, g), len(known) - 1)
+    return np.where(known[i] == g, i, len(known))
+
+
 def _held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % folds == fold, F.lit(False))
 
@@ -117,17 +172,17 @@ def tree(texts: DataFrame, order: int = ORDER, least: int = LEAST, state: int =
          filter_bits: int = FILTER_BITS) -> tuple[DataFrame, int, int]:
     """The tree of the training texts (one string column; no nulls), the number of tokens and of distinct ones.
 
-    Rows: key, n (occurrences, of single symbols), p (log10 probability of a
+    Rows: key, n (occurrences), p (log10 probability of a
     gram's last symbol in the state of the others) and left (log10 share that
     the gram, as a state, leaves to its suffix); null where a gram is none of these.
     """
     sc = texts.sparkSession.sparkContext
-    words = materialize(texts.mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    words = _written(texts.mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     start = int(START.view(np.int64))
     total, distinct = words.where(F.col("key") != start).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
     scale = total + 0.5 * (distinct + 1)
     pairs = texts.mapInArrow(_pair_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    sent = sc.broadcast(Filter(materialize(pairs.select("key")), filter_bits))
+    sent = sc.broadcast(Filter(_written(pairs.select("key")), filter_bits))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, left in _parts(batches):
@@ -146,7 +201,7 @@ def tree(texts: DataFrame, order: int = ORDER, least: int = LEAST, state: int =
             k, a, s, n = (np.asarray(b.column(i)) for i in range(4))
             yield _longs(k, a, s, n, join_keys(a.view(np.uint64), s.view(np.uint64)), names=["k", "a", "b", "n", "key"])
 
-    found = materialize(texts.mapInArrow(count, "k long, a long, b long, n long").groupBy("k", "a", "b").agg(F.sum("n").alias("n"))
+    found = _written(texts.mapInArrow(count, "k long, a long, b long, n long").groupBy("k", "a", "b").agg(F.sum("n").alias("n"))
                         .where(F.col("n") >= least).mapInArrow(keyed, "k long, a long, b long, n long, key long"))
     before = words.select("key", "n", ((F.col("n") + 0.5) / scale).alias("q"))
     model = words.select("key", "n", F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("left"))
@@ -160,16 +215,16 @@ def tree(texts: DataFrame, order: int = ORDER, least: int = LEAST, state: int =
         rest = (F.col("t") - F.col("own")) * F.log(F.greatest(F.col("up") - 1, F.lit(prior)) / (F.col("t") - 1 + prior))
         gained = moves.groupBy("a").agg(
             (F.sum(F.col("n") * F.log(((F.col("n") - 1) / F.col("low") + F.col("up")) / (F.col("t") - 1 + prior))) + F.first(rest)).alias("gain"))
-        before = materialize(moves.join(gained, "a").withColumn("kept", F.col("gain") >= gain).select(
-            "key", "a", "n", "kept", (F.col("up") / (F.col("t") + prior)).alias("share"),
+        before = _written(moves.join(gained, "a").withColumn("kept", F.col("gain") >= gain).select(
+            "key", "a", "n", "t", "kept", (F.col("up") / (F.col("t") + prior)).alias("share"),
             F.when(F.col("kept"), (F.col("n") + F.col("up") * F.col("low")) / (F.col("t") + prior)).otherwise(F.col("low")).alias("q")))
         kept = before.where("kept")
         none = F.lit(None)
-        model = model.unionByName(kept.select("key", none.cast("long").alias("n"), F.log10("q").alias("p"), none.cast("double").alias("left"))) \
-            .unionByName(kept.groupBy(F.col("a").alias("key")).agg(F.first(F.log10("share")).alias("left"))
-                         .select("key", none.cast("long").alias("n"), none.cast("double").alias("p"), "left"))
+        model = model.unionByName(kept.select("key", "n", F.log10("q").alias("p"), none.cast("double").alias("left"))) \
+            .unionByName(kept.groupBy(F.col("a").alias("key")).agg(F.first("t").alias("n"), F.first(F.log10("share")).alias("left"))
+                         .select("key", "n", none.cast("double").alias("p"), "left"))
     merged = model.groupBy("key").agg(F.max("n").alias("n"), F.max("p").alias("p"), F.max("left").alias("left"))
-    return materialize(merged), int(total), int(distinct)
+    return _written(merged), int(total), int(distinct)
 
 
 def _pack(chunk_bytes: int):
@@ -204,8 +259,8 @@ def _unpack(data) -> pa.Table:
         return stream.read_all()
 
 
-def _asked(texts: pa.ChunkedArray, order: int, known: Filter) -> np.ndarray:
-    """Keys of a chunk's words, and of its grams that the tree may hold."""
+def _asked(texts: pa.ChunkedArray, order: int, known: Filter, head: np.ndarray) -> np.ndarray:
+    """Keys of a chunk's words, and of its grams that the tree may hold, without those of its head."""
     out = [np.zeros(0, np.uint64)]
     for _, part in W.slices(texts):
         w = W.words(part)
@@ -214,20 +269,21 @@ def _asked(texts: pa.ChunkedArray, order: int, known: Filter) -> np.ndarray:
         for k, g in enumerate(grams(key, order + 1)[1:], 1):
             g = g[left >= k]
             out.append(np.unique(g[known.has(g)]))
-    return np.unique(np.concatenate(out))
+    keys = np.unique(np.concatenate(out))
+    return keys[_places(head, keys) == len(head)]
 
 
-def _score(texts: pa.ChunkedArray, order: int, scale: float, key: np.ndarray, n: np.ndarray, p: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
-    """n_tokens, n_known, base_score and score of each text, from the tree's rows of sorted keys."""
+def _score(texts: pa.ChunkedArray, order: int, scale: float, own: tuple, head: tuple) -> list[np.ndarray]:
+    """n_tokens, n_known, base_score and score of each text, from the chunk's rows of the tree and the head's."""
     count = len(texts)
     out = [np.zeros(count, np.int64), np.zeros(count, np.int64), np.zeros(count), np.zeros(count)]
+    # The head's rows, the chunk's, and an empty one.
+    n, p, left = (np.concatenate([head[k], own[k], [0 if k == 1 else np.nan]]) for k in (1, 2, 3))
 
     def at(g: np.ndarray) -> np.ndarray:
-        """Place of each key; the last, an empty row, if it isn't there."""
-        i = np.searchsorted(key, g)
-        return np.where(np.append(key, np.uint64(0))[i] == g, i, len(key))
+        i = _places(head[0], g)
+        return np.where(i < len(head[0]), i, len(head[0]) + _places(own[0], g))
 
-    n, p, left = np.append(n, 0), np.append(p, np.nan), np.append(left, np.nan)
     for first, part in W.slices(texts):
         w = W.words(part)
         seq, row, _ = sequences(w, W.hashes(w))
@@ -236,24 +292,24 @@ def _score(texts: pa.ChunkedArray, order: int, scale: float, key: np.ndarray, n:
         before = target - np.searchsorted(row, row[target])            # symbols before, the start included
         c = n[places[0][target]]
         base = np.log10((c + 0.5) / scale)
-        own, done = np.zeros(len(target)), np.zeros(len(target), bool)
+        value, done = np.zeros(len(target)), np.zeros(len(target), bool)
         for k in range(order, 0, -1):
             use = np.flatnonzero(~done & (before >= k))
             share = left[places[k - 1][target[use] - k]]
             use, share = use[~np.isnan(share)], share[~np.isnan(share)]
             move = p[places[k][target[use] - k]]
             seen = ~np.isnan(move)
-            own[use] += np.where(seen, move, share)
+            value[use] += np.where(seen, move, share)
             done[use[seen]] = True
-        own[~done] += base[~done]
-        for j, x in enumerate((None, (c > 0).astype(float), base, own)):
+        value[~done] += base[~done]
+        for j, x in enumerate((None, (c > 0).astype(float), base, value)):
             got = np.bincount(row[target], x, len(part))
             out[j][first: first + len(part)] = got if j > 1 else got.astype(np.int64)
     return out
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES,
-          order: int = ORDER, **options) -> DataFrame:
+          order: int = ORDER, head: int = HEAD, **options) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learned from the documents that aren't ``held_out``. A null or empty text is
@@ -263,30 +319,30 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     smoothed word frequency's. The texts are kept in written chunks, by their place
     in the table, so that equal rows don't meet in one task.
     """
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), held_out.alias("held_out"),
                        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    model, total, distinct = tree(rows.where("NOT held_out").select("text"), order=order, **options)
-    scale = total + 0.5 * (distinct + 1)
-    chunks = materialize(rows.mapInArrow(_pack(chunk_bytes), "chunk long, data binary"))
-    grown = model.where("p IS NOT NULL OR left IS NOT NULL").select("key")
-    sent = sc.broadcast(Filter(grown, options.get("filter_bits", FILTER_BITS)))
+    with _tidy(spark):
+        model, total, distinct = tree(rows.where("NOT held_out").select("text"), order=order, **options)
+        chunks = _written(rows.mapInArrow(_pack(chunk_bytes), "chunk long, data binary"))
+        grown = Filter(model.where("p IS NOT NULL OR left IS NOT NULL").select("key"), options.get("filter_bits", FILTER_BITS))
+        least, frequent = _head(model, head)
+    scale, frequent = total + 0.5 * (distinct + 1), _sorted(frequent)
+    sent = spark.sparkContext.broadcast((grown, frequent))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, top = sent.value
         for b in batches:
             for number, data in zip(b.column(0), b.column(1)):
-                key = _asked(_unpack(data).column("text"), order, sent.value)
+                key = _asked(_unpack(data).column("text"), order, known, top[0])
                 yield _longs(np.full(len(key), number.as_py()), key, names=["chunk", "key"])
 
-    answers = chunks.mapInArrow(asked, "chunk long, key long").join(model, "key")
+    answers = chunks.mapInArrow(asked, "chunk long, key long").join(model.where(F.col("n") < least), "key") \
+        .select("chunk", "key", "n", "p", "left")
 
     def scored(held: pa.Table, rows: pa.Table) -> pa.Table:
-        key = np.asarray(rows.column("key").combine_chunks()).view(np.uint64)
-        by = np.argsort(key)
-        n = np.asarray(rows.column("n").combine_chunks().fill_null(0))[by]
-        p, left = (np.asarray(rows.column(x).combine_chunks().fill_null(np.nan))[by] for x in ("p", "left"))
         texts = _unpack(held.column("data")[0])
-        n_tokens, n_known, base, value = _score(texts.column("text"), order, scale, key[by], n, p, left)
+        n_tokens, n_known, base, value = _score(texts.column("text"), order, scale, _sorted(rows), sent.value[1])
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": n_tokens, "n_known": n_known,
                          "train_tokens": np.full(len(base), total, np.int64), "base_score": base, "score": value})
 
