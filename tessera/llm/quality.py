@@ -33,11 +33,16 @@ def _features(crc: Column, buckets: int) -> Column:
     return F.concat(F.transform(crc, lambda x: (x % buckets).cast("int")), pairs)
 
 
-def _word_lists(docs: DataFrame, text_col: str) -> DataFrame:
-    """Adds _text (null: empty), _words and _crc (hash of each word)."""
-    return (docs.withColumn("_text", F.coalesce(docs[text_col].cast("string"), F.lit("")))
-            .withColumn("_words", F.filter(F.split("_text", _SPACES), lambda w: w != ""))
-            .withColumn("_crc", F.transform("_words", lambda w: F.crc32(w))))
+def _word_lists(docs: DataFrame, text_col: str, u: str = "_") -> DataFrame:
+    """Adds text (null: empty), words and crc (hash of each word), their names begun by ``u``."""
+    return (docs.withColumn(f"{u}text", F.coalesce(docs[text_col].cast("string"), F.lit("")))
+            .withColumn(f"{u}words", F.filter(F.split(f"{u}text", _SPACES), lambda w: w != ""))
+            .withColumn(f"{u}crc", F.transform(f"{u}words", lambda w: F.crc32(w))))
+
+
+def _free_prefix(columns: list[str]) -> str:
+    """Underscores that no column begins with."""
+    return "_" * (1 + max([len(c) - len(c.lstrip("_")) for c in columns], default=0))
 
 
 def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
@@ -77,43 +82,45 @@ def judge(docs: DataFrame, ratio: list[int], text_col: str = "text", threshold:
     n_repeat_words (long), score (mean log ratio, double), base_failed and kept.
 
     A null or empty text has no words and fails. A document without features has
-    score 0. Columns of the same names are replaced; rows are never dropped or
-    merged, so repeated rows are judged alike.
+    score 0. Columns of the same names, in any case, are replaced and all others kept,
+    whatever their names; rows are never dropped or merged, so repeated rows are judged
+    alike. An empty table gives no rows.
     """
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"]
-    keep = [c for c in docs.columns if c not in own]
+    keep = [c for c in docs.columns if c.lower() not in own]
+    u = _free_prefix(keep)            # the working columns leave the caller's alone
     table = F.split(F.lit(",".join(map(str, ratio))), ",").cast("array<bigint>")
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.length(F.regexp_replace(x, _SPACES, "")) > 0)
-    d = (_word_lists(docs.select(*[docs[c] for c in keep]), text_col)
-         .withColumn("_hash", F.transform("_words", lambda w: F.xxhash64(w)))
-         .withColumn("_lines", lines))
-    n = F.size("_words")
-    d = d.withColumn("_runs", F.transform(
-        F.slice("_hash", 1, F.greatest(n - 4, F.lit(0))),
-        lambda x, i: F.xxhash64(x, *[F.get(F.col("_hash"), i + k) for k in range(1, 5)])))
+    lines = F.filter(F.split(f"{u}text", "\n"), lambda x: F.length(F.regexp_replace(x, _SPACES, "")) > 0)
+    d = (_word_lists(docs.select(*[docs[c] for c in keep]), text_col, u)
+         .withColumn(f"{u}hash", F.transform(f"{u}words", lambda w: F.xxhash64(w)))
+         .withColumn(f"{u}lines", lines))
+    n = F.size(f"{u}words")
+    d = d.withColumn(f"{u}runs", F.transform(
+        F.slice(f"{u}hash", 1, F.greatest(n - 4, F.lit(0))),
+        lambda x, i: F.xxhash64(x, *[F.get(F.col(f"{u}hash"), i + k) for k in range(1, 5)])))
     # Windows that occur twice or more: equal neighbours once sorted. Most texts have none.
-    d = d.withColumn("_sorted", F.when(
-        F.size(F.array_distinct("_runs")) < F.size("_runs"),
-        F.sort_array(F.transform("_runs", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    d = d.withColumn("_again", F.sort_array(F.transform(
-        F.filter("_sorted", lambda x, i: (x.h == F.get(F.col("_sorted"), i - 1).h)
-                 | (x.h == F.get(F.col("_sorted"), i + 1).h)), lambda x: x.i)))
-    covered = F.aggregate(F.transform("_again", lambda p, i: F.least(
-        F.lit(5), F.coalesce(F.get(F.col("_again"), i + 1) - p, F.lit(5)))), F.lit(0), lambda a, x: a + x)
-    d = d.withColumn("_grams", _features(F.col("_crc"), len(ratio)))
+    d = d.withColumn(f"{u}sorted", F.when(
+        F.size(F.array_distinct(f"{u}runs")) < F.size(f"{u}runs"),
+        F.sort_array(F.transform(f"{u}runs", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    d = d.withColumn(f"{u}again", F.sort_array(F.transform(
+        F.filter(f"{u}sorted", lambda x, i: (x.h == F.get(F.col(f"{u}sorted"), i - 1).h)
+                 | (x.h == F.get(F.col(f"{u}sorted"), i + 1).h)), lambda x: x.i)))
+    covered = F.aggregate(F.transform(f"{u}again", lambda p, i: F.least(
+        F.lit(5), F.coalesce(F.get(F.col(f"{u}again"), i + 1) - p, F.lit(5)))), F.lit(0), lambda a, x: a + x)
+    d = d.withColumn(f"{u}grams", _features(F.col(f"{u}crc"), len(ratio)))
     # One generated row each: no later filter is copied below the projections above, whose
     # expressions use one another several times over.
     d = d.select(*keep, F.inline(F.array(F.struct(
         n.cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.regexp_replace("_text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.length(F.array_join(f"{u}words", "")).cast("long").alias("word_chars"),
+        (F.length(f"{u}text") - F.length(F.regexp_replace(f"{u}text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+        (F.size(f"{u}lines") - F.size(F.array_distinct(f"{u}lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.aggregate("_grams", F.lit(0).cast("long"), lambda a, b: a + F.get(table, b)).alias("_sum"),
-        F.size("_grams").cast("long").alias("_n")))))
+        F.aggregate(f"{u}grams", F.lit(0).cast("long"), lambda a, b: a + F.get(table, b)).alias(f"{u}sum"),
+        F.size(f"{u}grams").cast("long").alias(f"{u}n")))))
     fails = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    good = F.col("_sum") >= F.lit(round(threshold * 1e6)) * F.col("_n")
-    return d.select(*keep, *own[:5], F.coalesce(F.try_divide(F.col("_sum") / 1e6, F.col("_n")), F.lit(0.0)).alias("score"),
+    good = F.col(f"{u}sum") >= F.lit(round(threshold * 1e6)) * F.col(f"{u}n")
+    return d.select(*keep, *own[:5], F.coalesce(F.try_divide(F.col(f"{u}sum") / 1e6, F.col(f"{u}n")), F.lit(0.0)).alias("score"),
                     fails.alias("base_failed"), (~fails & good).alias("kept"))
 
 

@@ -72,6 +72,19 @@ def test_main_path_is_native(spark, docs_of):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_columns_of_clashing_names_stay(spark, docs_of):
+    docs = docs_of([(1, "a b c d e f g h i j k l"), (2, None)])
+    names = ["_text", "_words", "_crc", "_hash", "_lines", "_runs", "_sorted", "_again", "_grams", "_sum", "_n", "___n", "p", "_whole", "_good"]
+    more = docs.select("*", *[docs.doc_id.alias(c) for c in names], docs.doc_id.alias("Kept"))
+    ratio = [1000] * 64
+    got = {r.doc_id: r.asDict() for r in quality.judge(more, ratio).collect()}
+    plain_rows = {r.doc_id: r.asDict() for r in quality.judge(docs, ratio).collect()}
+    for i in (1, 2):
+        assert got[i] == plain_rows[i] | {c: i for c in names}
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert quality.kept(more, labels, threshold=-9.0).columns == more.columns
+
+
 def test_empty_tables(spark, docs_of):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.quality(docs_of([]), labels).count() == 0
