@@ -11,7 +11,7 @@ exception phrases, become a probability by a fitted logistic curve.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +24,6 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from tessera.llm.langid import held_out_column
 
 TRAIN_DOCS = 6000         # labelled documents of each class that the model is learned from, about, at most
-CANDIDATES = 4000         # terms whose contexts are looked at, at most
 BEGINNINGS = (4, 5, 6)    # letters of a word beginning; whole words are terms as well
 MIN_WEIGHT = 1.5          # log ratio of document frequencies of a term
 MIN_CONTEXTS = 4          # different neighbourhoods in label-1 documents that a term needs
@@ -108,12 +107,18 @@ def matches(folded: str, model: Model) -> dict[int, float]:
 
 
 def phrases(folded: str, at: int) -> tuple[str, str]:
-    """The matched word with the word before, and with the word after."""
+    """The matched word with the whole word before, and with the whole word after."""
     end = folded.find(" ", at + 1)
     word = folded[at + 1: end]
-    left = folded[max(0, at - 60): at].split()
-    right = folded[end: end + 60].split()
-    return (f"{left[-1]} {word}" if left else f"^ {word}"), (f"{word} {right[0]}" if right else f"{word} $")
+    stop = at
+    while stop > 0 and folded[stop - 1] == " ":
+        stop -= 1
+    left = folded[folded.rfind(" ", 0, stop) + 1: stop]
+    begin = end
+    while begin < len(folded) and folded[begin] == " ":
+        begin += 1
+    right = folded[begin: folded.find(" ", begin)] if begin < len(folded) else ""
+    return f"{left or '^'} {word}", f"{word} {right or '$'}"
 
 
 def signal(text: str | None, model: Model) -> float:
@@ -127,28 +132,6 @@ def probability(text: str | None, model: Model) -> float:
     return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, model.offset + model.slope * signal(text, model)))))
 
 
-def _log_ratio(d1, d0, n1, n0) -> float:
-    return math.log((d1 + 0.5) / (n1 + 1.0)) - math.log((d0 + 0.5) / (n0 + 1.0))
-
-
-def lexicon(rows: list[tuple[int, list[str], list[str]]], min_contexts: int = MIN_CONTEXTS) -> dict[str, float]:
-    """Weights of the terms found in (label, terms, contexts) rows, one context for each term found.
-
-    A term needs ``min_contexts`` different contexts in label-1 documents, so that
-    copies of one document make no term; its weight is the log ratio of document
-    frequencies, at least MIN_WEIGHT.
-    """
-    n1 = sum(y for y, _, _ in rows)
-    ones, zeros, seen = Counter(), Counter(), defaultdict(set)
-    for y, terms, contexts in rows:
-        (ones if y else zeros).update(set(terms))
-        if y:
-            for t, c in zip(terms, contexts):
-                seen[t].add(c)
-    out = {t: _log_ratio(ones[t], zeros[t], n1, len(rows) - n1) for t, c in seen.items() if len(c) >= min_contexts}
-    return {t: w for t, w in sorted(out.items()) if w >= MIN_WEIGHT}
-
-
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """(slope, offset) of the logistic curve by Newton steps on a lightly penalised likelihood."""
     a = np.stack([x, np.ones_like(x)], 1)
@@ -176,9 +159,11 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFr
 def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """Lexicon, exceptions and curve from a bounded sample of labelled documents.
 
-    Document frequencies are counted on the cluster. Only frequent, contrasting
-    terms, and which of them each sampled document has, reach the driver. Without
-    documents of both labels nothing is learned and every score is the same.
+    A term's weight is the log ratio of its document frequencies, MIN_WEIGHT at least; it needs
+    MIN_CONTEXTS different neighbourhoods in label-1 documents. Terms, neighbourhoods and phrases
+    are counted on the cluster, all of them; the terms and phrases that pass, and one number a
+    sampled document, reach the driver: the sample bounds them. Without documents of both labels
+    nothing is learned and every score is the same.
     """
     rows = sample(docs, labels, most)
 
@@ -198,24 +183,24 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
         return Model()
     ratio = F.log((F.col("d1") + 0.5) / (n1 + 1.0)) - F.log((F.col("d0") + 0.5) / (n0 + 1.0))
     top = (rows.mapInArrow(count, "term string, d1 long, d0 long").groupBy("term").agg(F.sum("d1").alias("d1"), F.sum("d0").alias("d0"))
-           .where((F.col("d1") >= MIN_CONTEXTS) & (ratio >= MIN_WEIGHT)).orderBy(F.desc(F.col("d1") * ratio), "term").limit(CANDIDATES)
-           .select("term").collect())
-    candidates = Model({r["term"]: 1.0 for r in top})
+           .withColumn("w", ratio).where((F.col("d1") >= MIN_CONTEXTS) & (F.col("w") >= MIN_WEIGHT)).select("term", "w").collect())
+    candidates = Model({r["term"]: r["w"] for r in sorted(top)})
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(term, context) of each candidate that a label-1 document holds, one context for each term."""
         automaton = candidates.ready()
         for b in batches:
             terms, contexts = [], []
             for f in map(fold, b.column(0).to_pylist()):
                 got = {f[e - n + 1: e + 1]: " ".join(phrases(f, e - n + 1)) for e, (n, _) in automaton.iter(f)} if automaton else {}
-                terms.append(list(got))
-                contexts.append(list(got.values()))
-            kind = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.array(terms, kind), pa.array(contexts, kind)],
-                                             names=["y", "terms", "contexts"])
+                terms += got.keys()
+                contexts += got.values()
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(contexts, pa.string())], names=["term", "context"])
 
-    has = rows.mapInArrow(found, "y int, terms array<string>, contexts array<string>").collect()
-    plain = Model(lexicon([(r["y"], r["terms"], r["contexts"]) for r in has]))
+    # Copies of one document are one context, and make no term.
+    several = (rows.where("y = 1").mapInArrow(found, "term string, context string").distinct().groupBy("term").count()
+               .where(F.col("count") >= MIN_CONTEXTS).select("term").collect())
+    plain = Model({t: candidates.weights[t] for t in sorted(r["term"] for r in several)})
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -223,18 +208,18 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
             for text in b.column(0).to_pylist():
                 folded = fold(text)
                 got = matches(folded, plain)
-                ps.append(sorted({p for at in got for p in phrases(folded, at)})[:64])
+                ps.append(sorted({p for at in got for p in phrases(folded, at)}))
                 xs.append(signal(text, plain))
             yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.array(xs, pa.float64()), pa.array(ps, pa.list_(pa.string()))],
                                              names=["y", "x", "near"])
 
-    seen = rows.mapInArrow(around, "y int, x double, near array<string>").collect()
-    ones = Counter(p for r in seen if r["y"] for p in r["near"])
-    zeros = Counter(p for r in seen if not r["y"] for p in r["near"])
-    exceptions = frozenset(p for p, k in zeros.items()
-                           if k >= EXCEPTION_DOCS and k / n0 >= EXCEPTION_SHARE * (k / n0 + ones[p] / n1))
-    slope, offset = fit_curve(np.array([r["x"] for r in seen]), np.array([r["y"] for r in seen], float))
-    return Model(plain.weights, exceptions, slope, offset)
+    seen = rows.mapInArrow(around, "y int, x double, near array<string>")
+    k0, k1 = F.col("k0"), F.col("k1")
+    mild = (seen.select("y", F.explode("near").alias("p")).groupBy("p").agg(F.count_if(F.col("y") == 0).alias("k0"), F.count_if(F.col("y") == 1).alias("k1"))
+            .where((k0 >= EXCEPTION_DOCS) & (k0 / n0 >= EXCEPTION_SHARE * (k0 / n0 + k1 / n1))).select("p").collect())
+    curve = seen.select("y", "x").orderBy("x", "y").collect()
+    slope, offset = fit_curve(np.array([r["x"] for r in curve]), np.array([r["y"] for r in curve], float))
+    return Model(plain.weights, frozenset(r["p"] for r in mild), slope, offset)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -1,5 +1,9 @@
 """Lexicon matching against a plain search, the learned parts, and held-out accuracy."""
 
+import math
+import random
+from collections import Counter
+
 import pytest
 
 from fixtures_llm import docs_of  # noqa: F401
@@ -51,6 +55,48 @@ def test_learned_exception_and_copies(spark, docs_of):
     assert not any("zebra" in t for t in model.weights)
 
 
+def test_neighbours_are_whole_words():
+    long = "a" * 200
+    assert X.phrases(f" {long}  idiot   {long} ", len(long) + 2) == (f"{long} idiot", f"idiot {long}")
+    assert X.phrases(" idiot ", 0) == ("^ idiot", "idiot $")
+    assert X.phrases("   idiot   ", 2) == ("^ idiot", "idiot $")
+
+
+def plain_learn(rows):
+    """Lexicon and exceptions of (text, label) rows by plain search in each text."""
+    n1 = sum(y for _, y in rows)
+    n0, folded = len(rows) - n1, [(X.fold(t), y) for t, y in rows]
+    terms = {t for f, y in folded if y for w in f.split() for t in X.terms_of(w)}
+    weights = {}
+    for t in terms:
+        d1, d0 = (sum(t in f for f, y in folded if y == k) for k in (1, 0))
+        near = set()
+        for f, y in folded:
+            if y and t in f:
+                near.add(X.phrases(f, f.rindex(t)))
+        w = math.log((d1 + 0.5) / (n1 + 1)) - math.log((d0 + 0.5) / (n0 + 1))
+        if w >= X.MIN_WEIGHT and len(near) >= X.MIN_CONTEXTS:
+            weights[t] = w
+    model, ones, zeros = X.Model(weights), Counter(), Counter()
+    for f, y in folded:
+        (ones if y else zeros).update({p for at in plain_matches(f, model) for p in X.phrases(f, at)})
+    return weights, {p for p, k in zeros.items() if k >= X.EXCEPTION_DOCS and k / n0 >= X.EXCEPTION_SHARE * (k / n0 + ones[p] / n1)}
+
+
+def test_learned_parts_against_plain(spark, docs_of):
+    """Also one label-1 document with hundreds of phrases: each counts against its exception."""
+    rng = random.Random(3)
+    texts = [(" ".join(rng.choice(["red", "blue", "green", "clown", "goat", f"n{rng.randrange(40)}"]) for _ in range(12)), 1) for _ in range(80)]
+    texts += [(" ".join(rng.choice(["red", "blue", "green", "plain", f"n{rng.randrange(40)}"]) for _ in range(12)), 0) for _ in range(80)]
+    texts += [(f"the circus clown number {i}", 0) for i in range(6)] + [(f"a zoo clown {i}", 0) for i in range(6)]
+    texts += [(" ".join(f"q{i} clown" for i in range(200)) + " zoo clown", 1)] * 30
+    docs = docs_of(list(enumerate(t for t, _ in texts)))
+    model = X.learn(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int"))
+    weights, exceptions = plain_learn(texts)
+    assert model.weights == pytest.approx(weights) and model.exceptions == exceptions
+    assert "circus ciown" in exceptions and "zoo ciown" not in exceptions and " goat " in weights
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     rows = X.op10_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
