@@ -115,24 +115,28 @@ def column_summary(df: DataFrame, cols: Sequence[str], exact: bool = True,
                    accuracy: int = 10_000) -> DataFrame:
     """Min, quartiles (R type 7 = linear interpolation), mean, max per column.
 
-    Columns are stacked (Expand) and grouped by name, so the work is spread over
-    rows and combined map-side. ``exact`` uses the bounded-memory exact
-    quantiles of quantile.py; ``exact=False`` a single ``percentile_approx``.
+    Minimum, mean and maximum (and, with ``exact=False``, ``percentile_approx``) are
+    aggregates of the columns in place, one pass, one row that is unpivoted. For
+    ``exact`` the columns are stacked and grouped by name, for the bounded-memory
+    exact quantiles of quantile.py.
     """
+    cells = {c: F.col(c).cast("double") for c in cols}
+    some = [] if exact else [lambda v: F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("__q")]
+    wide = df.agg(*[F.struct(F.min(v).alias("min"), F.avg(v).alias("mean"), F.max(v).alias("max"), *[f(v) for f in some]).alias(f"c{i}")
+                    for i, v in enumerate(cells.values())])
+    basic = wide.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("s")) for i, c in enumerate(cells)
+    ])).alias("r")).select("r.column_name", "r.s.*")
+    if not exact:
+        return basic.select("column_name", "min", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), "mean",
+                            F.col("__q")[2].alias("q3"), "max")
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols
     ])).alias("s")).select("s.*")
-    basic = long.groupBy("column_name").agg(F.min("v").alias("min"), F.avg("v").alias("mean"),
-                                            F.max("v").alias("max"))
-    if exact:
-        from tessera.operators.quantile import exact_quantiles
-
-        q = exact_quantiles(long, ["column_name"], "v", [0.25, 0.5, 0.75]).select(
-            "column_name", F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3"))
-    else:
-        q = (long.groupBy("column_name").agg(F.percentile_approx("v", [0.25, 0.5, 0.75], accuracy).alias("__q"))
-                 .select("column_name", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-                         F.col("__q")[2].alias("q3")))
+    from tessera.operators.quantile import exact_quantiles
+
+    q = exact_quantiles(long, ["column_name"], "v", [0.25, 0.5, 0.75]).select(
+        "column_name", F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3"))
     return basic.join(q, "column_name").select("column_name", "min", "q1", "median", "mean", "q3", "max")
 
 

@@ -88,6 +88,20 @@ def test_profiles_and_drops(spark):
     assert duplicate_count(df.unionAll(df.limit(3)), ["id"]).first()[0] == 3
 
 
+def test_column_summary_in_place(spark):
+    import numpy as np
+
+    from tessera.operators.profile import column_summary
+    v = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0]
+    df = spark.createDataFrame([(x, int(10 * x) if x > 1 else None) for x in v], "a double, b long")
+    kept = {"a": v, "b": [10 * x for x in v if x > 1]}
+    for r in column_summary(df, ["a", "b"]).collect():
+        x = kept[r.column_name]
+        assert [r["min"], r.q1, r.median, r["mean"], r.q3, r["max"]] == [min(x), *np.quantile(x, [0.25, 0.5]), sum(x) / len(x), np.quantile(x, 0.75), max(x)]
+    rough = {r.column_name: r for r in column_summary(df, ["a", "b"], exact=False).collect()}
+    assert set(rough) == {"a", "b"} and all(r["min"] <= r.q1 <= r.median <= r.q3 <= r["max"] for r in rough.values())
+
+
 def test_factor_codes_on_any_partitions(spark):
     from tessera.functions.encode import factor_codes
 
