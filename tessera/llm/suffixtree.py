@@ -33,12 +33,12 @@ from tessera.llm import words as W
 from tessera.session import checkpoint_dir
 
 ORDER = 2                 # symbols in a context, at most
-LEAST = 5                 # occurrences that give a next symbol its own count
-STATE = 5                 # occurrences that make a context a candidate
+LEAST = 2                 # occurrences that give a next symbol its own count
+STATE = 2                 # occurrences that make a context a candidate
 GAIN = 10.0               # nats
 PRIOR = 1.0               # tokens left to the suffix's distribution in every state
 CHUNK_BYTES = 8 << 20     # text that is scored together
-HEAD = 1 << 18            # rows of the tree that every task has, at most
+HEAD = 1 << 20            # rows of the tree that every task has, at most
 FILTER_BITS = 1 << 30     # size of a filter, at most (128 MB); 16 bits a key below that
 START, END = np.uint64(0x5BF0A8B145769231), np.uint64(0x27D4EB2F165667C5)      # keys of a text's two ends
 _A, _B = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -152,7 +152,7 @@ def _longs(*columns: np.ndarray, names: list[str]) -> pa.RecordBatch:
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for b in batches:
-        for _, part in W.slices(b.column(0), 8 << 20):
+        for _, part in W.slices(b.column(0), 4 << 20):
             w = W.words(part)
             key, _, left = sequences(w, W.hashes(w))
             yield key, left
@@ -182,19 +182,24 @@ def tree(texts: DataFrame, order: int = ORDER, least: int = LEAST, state: int =
     total, distinct = words.where(F.col("key") != start).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
     scale = total + 0.5 * (distinct + 1)
     pairs = texts.mapInArrow(_pair_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    sent = sc.broadcast(Filter(_written(pairs.select("key")), filter_bits))
+    pairs = _written(pairs)
+    sent = sc.broadcast((Filter(pairs.select("key"), filter_bits), Filter(pairs.where(F.col("n") >= state).select("key"), filter_bits)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, left in _parts(batches):
             levels = grams(key, order + 1)
-            fit = (left > 0) & sent.value.has(levels[1])
+            often, context = sent.value
+            fit = (left > 0) & often.has(levels[1])
+            before = fit & context.has(levels[1])
             for k in range(1, order + 1):
                 at = np.flatnonzero(fit)
                 _, where, n = np.unique(levels[k][at], return_index=True, return_counts=True)
                 at = at[where]
                 yield _longs(np.full(len(at), k), levels[k - 1][at], levels[k - 1][np.minimum(at + 1, len(key) - 1)], n, names=["k", "a", "b", "n"])
-                fit[:-1] &= fit[1:] & (left[:-1] > k)
-                fit[-1:] = False
+                # One longer: a context of pairs seen ``state`` times or more, then a pair seen ``least`` times or more.
+                fit[:-1] = before[:-1] & fit[1:] & (left[:-1] > k)
+                before[:-1] &= before[1:]
+                fit[-1:] = before[-1:] = False
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -338,7 +343,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                 yield _longs(np.full(len(key), number.as_py()), key, names=["chunk", "key"])
 
     answers = chunks.mapInArrow(asked, "chunk long, key long").join(model.where(F.col("n") < least), "key") \
-        .select("chunk", "key", "n", "p", "left")
+        .select("chunk", "key", F.when(F.col("p").isNull(), F.col("n")).alias("n"), "p", "left")        # only words need their count
 
     def scored(held: pa.Table, rows: pa.Table) -> pa.Table:
         texts = _unpack(held.column("data")[0])
