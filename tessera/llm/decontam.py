@@ -166,7 +166,12 @@ def contained(docs: DataFrame, items: DataFrame, size: int = SHINGLE, threshold:
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD,
                   block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """The documents (all their columns) that contain no item to ``threshold`` or more."""
+    """The documents (all their columns) that contain no item to ``threshold`` or more.
+
+    Null and empty texts contain nothing and stay, items without a word are in nothing, so with an
+    empty benchmark all documents stay. Repeated rows stay or go alike; null ids and columns of any
+    name are carried along. An empty table gives no rows.
+    """
     spark, place = docs.sparkSession, docs.columns.index("text")
     for block in blocks(items, size=size, threshold=threshold, block_shingles=block_shingles):
         sent = spark.sparkContext.broadcast(block)

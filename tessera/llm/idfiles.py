@@ -118,7 +118,11 @@ def _starts(records: DataFrame) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, ids) of every document in the files: start is the number of ids before it."""
+    """(doc_id, start, ids) of every document in the files: start is the number of ids before it.
+
+    A null or empty text has its end id alone; null ids come first, repeated rows each have their
+    own place, in order of text. Files without a document give no rows; a damaged block is an error.
+    """
     records = spark.read.schema(RECORD).parquet(folder)
 
     def emit(pieces):
@@ -168,7 +172,7 @@ def joined_crc(parts: list[tuple[int, int]]) -> int:
 
 
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files; odd rows as in ``read_ids``."""
     records = spark.read.schema(RECORD).parquet(folder)
 
     def emit(pieces):

@@ -351,7 +351,12 @@ def hidden(text: str | None, weights: np.ndarray) -> str | None:
 
 
 def redact(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
-    """The documents with personal data in ``text_col`` replaced; n_chars, if there, follows the text."""
+    """The documents with personal data in ``text_col`` replaced; n_chars, if there, follows the text.
+
+    Null texts stay null and empty ones empty, whole texts are searched, overlapping spans are
+    hidden once. Rows are never dropped or merged, so repeated rows and null ids stay; all other
+    columns stay, whatever their names. An empty table gives no rows.
+    """
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

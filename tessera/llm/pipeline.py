@@ -1,8 +1,9 @@
 """Pipeline stages: each takes (spark, docs, sf_dir) and works on all that the one before kept.
 
-Stages but the last return the columns of documents. Null ids, null texts and
-repeated rows follow the rules that each operator's docstring states; an empty
-table goes through all stages.
+Stages but the last return the columns of documents: a stage reads these five, drops
+others, and fails with Spark's error for an unknown column where one of them is missing.
+Null ids, null texts and repeated rows follow the rules that each operator's docstring
+states; an empty table goes through all stages.
 """
 
 from __future__ import annotations

@@ -83,3 +83,16 @@ def test_empty_tables_go_through(spark, docs_of, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_a_stage(spark, docs_of, tmp_path):
+    from pyspark.errors import AnalysisException
+    spark.createDataFrame([(1, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "none of these")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = docs_of([(1, " ".join(f"w{i}" for i in range(40)))])
+    more = docs.withColumn("kept", docs.doc_id).withColumn("fp", docs.doc_id).withColumn("_sum", docs.doc_id)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, more, str(tmp_path))
+        assert got.columns == pipeline.COLUMNS and got.count() == 1
+        with pytest.raises(AnalysisException):
+            stage(spark, docs.drop("n_chars"), str(tmp_path)).count()
