@@ -217,8 +217,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     k0, k1 = F.col("k0"), F.col("k1")
     mild = (seen.select("y", F.explode("near").alias("p")).groupBy("p").agg(F.count_if(F.col("y") == 0).alias("k0"), F.count_if(F.col("y") == 1).alias("k1"))
             .where((k0 >= EXCEPTION_DOCS) & (k0 / n0 >= EXCEPTION_SHARE * (k0 / n0 + k1 / n1))).select("p").collect())
-    curve = seen.select("y", "x").orderBy("x", "y").collect()
-    slope, offset = fit_curve(np.array([r["x"] for r in curve]), np.array([r["y"] for r in curve], float))
+    curve = sorted((r["x"], r["y"]) for r in seen.select("y", "x").collect())          # one order, whatever the tasks
+    slope, offset = fit_curve(np.array([x for x, _ in curve]), np.array([y for _, y in curve], float))
     return Model(plain.weights, frozenset(r["p"] for r in mild), slope, offset)
 
 
