@@ -9,8 +9,8 @@ state has its own count; the mass of rarer ones and PRIOR tokens go to the
 suffix's distribution, down to the root, the smoothed word frequency. Each token
 is scored in the longest retained state that is a suffix of what comes before.
 
-Nothing of the tree is sent to a driver: counts, states and transitions are
-tables that grow with the documents. A sequence of symbols (a gram) is a 64-bit
+Counts, states and transitions are tables that grow with the documents; only
+the bounded filters and the HEAD rows named below pass through the driver. A sequence of symbols (a gram) is a 64-bit
 key made of the keys of its two shorter parts. A gram that occurs twice has
 parts that do, so a filter of repeated pairs, a bitmap of bounded size, spares
 most of the others their shuffle; what it lets through is counted exactly. For
