@@ -137,7 +137,7 @@ def _compact(rows: DataFrame) -> DataFrame:
 
 def tree_sum(rows: DataFrame, part, shape: tuple[int, ...]) -> np.ndarray:
     """Sum over all rows: ``part`` of a record batch is an array of ``shape``. A task adds up its batches, and
-    tasks' sums meet ``FAN_IN`` at a time, so that the driver gets that many at most."""
+    tasks' sums meet ``FAN_IN`` at a time until one is left, so that the driver gets one, however many tasks there are."""
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(shape)
         for b in batches:
@@ -153,7 +153,7 @@ def tree_sum(rows: DataFrame, part, shape: tuple[int, ...]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["g"])
 
     sums, width = rows.mapInArrow(first, "g binary"), max(1, rows.sparkSession.sparkContext.defaultParallelism)
-    while width > FAN_IN:
+    while width > 1:
         width = -(-width // FAN_IN)
         sums = sums.repartition(width).mapInArrow(add, "g binary")
     return sum((np.frombuffer(r["g"]).reshape(shape) for r in sums.collect()), np.zeros(shape))

@@ -178,6 +178,18 @@ def test_metrics_of_odd_confusions(spark):
     assert standard_scores(one, {"z": "label"}).first()["z"] is None
 
 
+def test_one_sum_reaches_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    from tessera.operators import classify
+
+    got, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: got.append(collect(self)) or got[-1])
+    rows = spark.range(1000).selectExpr("cast(id as double) x").repartition(7)
+    total = classify.tree_sum(rows, lambda b: np.array([b.num_rows, np.sum(np.asarray(b.column("x")))]), (2,))
+    assert total.tolist() == [1000.0, 499500.0]
+    assert [len(g) for g in got] == [1]
+
+
 def test_grid_search_separates_rings(spark):
     """Classes that only a curved boundary separates: near-perfect at a fitting width, every grid point scored."""
     from tessera.operators.classify import grid_search, width_gamma
