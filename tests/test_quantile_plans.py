@@ -53,3 +53,12 @@ def test_rollup_is_partial_aggregate(spark):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") >= 2         # partial (map side) + final
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_lines_meet_orders_that_have_their_customer(spark):
+    from tessera.plans import bind
+
+    plan = bind.store_view(spark, SF_SMALL).select("Market", "Profit")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join Inner" in x]
+    depth = {k: next(len(x) - len(x.lstrip(" :+-")) for x in joins if f"{k}#" in x) for k in ("l_orderkey", "o_custkey", "l_partkey")}
+    assert depth["l_orderkey"] < depth["o_custkey"] and depth["l_orderkey"] < depth["l_partkey"]
