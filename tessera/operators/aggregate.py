@@ -96,8 +96,14 @@ def standard_scores(df: DataFrame, cols: dict[str, str]) -> DataFrame:
 
 def segment_scores(stab: DataFrame, cv: str = "cv_abs", profit: str = "total",
                    w_cv: float = 0.5, w_profit: float = 0.5) -> DataFrame:
-    """W1 + W2: standardised CV and profit, then ``weighted`` and ``weighted_v1``."""
-    z = standard_scores(stab, {"cv_norm": cv, "profit_norm": profit})
+    """W1 + W2: standardised CV and profit, then ``weighted`` and ``weighted_v1``.
+
+    The table has a row a segment; it is kept once, since its means and standard deviations are read
+    before its rows.
+    """
+    from tessera.session import materialize
+
+    z = standard_scores(materialize(stab), {"cv_norm": cv, "profit_norm": profit})
     return weighted_scores(z, w_cv=w_cv, w_profit=w_profit)
 
 

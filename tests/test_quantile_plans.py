@@ -62,3 +62,11 @@ def test_lines_meet_orders_that_have_their_customer(spark):
     joins = [x for x in plan.splitlines() if "Join Inner" in x]
     depth = {k: next(len(x) - len(x.lstrip(" :+-")) for x in joins if f"{k}#" in x) for k in ("l_orderkey", "o_custkey", "l_partkey")}
     assert depth["l_orderkey"] < depth["o_custkey"] and depth["l_orderkey"] < depth["l_partkey"]
+
+
+def test_scores_and_slices_join_the_lines_once(spark):
+    from tessera.plans import forecast
+
+    for query in (forecast.q_segment_score, forecast.q_top_segments):
+        plan = query(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan, query.__name__
