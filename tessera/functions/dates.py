@@ -36,7 +36,7 @@ def parse_month_year(x, pivot: int = TWO_DIGIT_YEAR_PIVOT) -> Column:
     ys = F.trim(F.get(parts, 1))
     yy = ys.try_cast("int")
     year = F.when(F.length(ys) > 2, yy).otherwise(yy + F.when(yy < pivot, 2000).otherwise(1900))
-    return F.when(month.isNotNull() & year.isNotNull(), F.make_date(year, month, F.lit(1)))
+    return F.make_date(year, month, F.lit(1))                  # NULL where the month or the year is
 
 
 def year_month(x) -> Column:

@@ -155,34 +155,41 @@ def drop_mostly_null(df: DataFrame, threshold: float = 0.9, cols: Sequence[str]
     return df.drop(*drop)
 
 
-def column_profile(df: DataFrame, cols: Sequence[str] | None = None) -> list[dict]:
-    """A15 + A16 in ONE aggregate pass: per column the zero-or-NULL share, min,
-    max, NULL and blank shares (read on the driver: one small row)."""
+def column_profile(df: DataFrame, cols: Sequence[str] | None = None, at_once: int = 12) -> list[dict]:
+    """A15 + A16 together: per column the zero-or-NULL share, NULL and blank shares and
+    whether it is constant (read on the driver: one small row a pass).
+
+    A pass takes ``at_once`` columns, so that its generated code stays small enough to be
+    compiled; of a written table each column is still read once. A column is constant if no
+    cell differs from the first row's.
+    """
     cols = _cols(df, cols)
     types = dict(df.dtypes)
-    exprs = [F.count(F.lit(1)).alias("__n")]
-    for i, c in enumerate(cols):
-        zero = F.lit("0") if types[c] == "string" else F.lit(0)
-        hit = F.coalesce(F.col(c).isNull() | (F.col(c) == zero), F.lit(True))
-        blank = (F.trim(F.col(c).cast("string")) == "") if types[c] == "string" else F.lit(False)
-        # text min / max would leave the fast hash aggregate: compare 64-bit hashes instead
-        key = F.xxhash64(F.col(c)) if types[c] == "string" else F.col(c)
-        exprs += [F.sum(hit.cast("long")).alias(f"z{i}"), F.min(key).alias(f"mn{i}"),
-                  F.max(key).alias(f"mx{i}"), F.sum(F.col(c).isNull().cast("long")).alias(f"nl{i}"),
-                  F.sum(F.coalesce(blank, F.lit(False)).cast("long")).alias(f"bl{i}")]
-    r = df.agg(*exprs).first()
-    n = r["__n"] or 0
+    first = df.select(*cols).first()
     out = []
-    for i, c in enumerate(cols):
-        nulls = r[f"nl{i}"] or 0
-        out.append({"column_name": c, "zero_or_null_share": (r[f"z{i}"] or 0) / n if n else None,
-                    "null_share": nulls / n if n else None, "blank_share": (r[f"bl{i}"] or 0) / n if n else None,
-                    "constant": (nulls == n) or (nulls == 0 and r[f"mn{i}"] == r[f"mx{i}"])})
+    for lo in range(0, len(cols), at_once):
+        some = cols[lo: lo + at_once]
+        exprs = [F.count(F.lit(1)).alias("__n")]
+        for i, c in enumerate(some):
+            text = types[c] == "string"
+            same = F.col(c) == F.lit(first[c] if first else None).cast(types[c])
+            exprs += [F.count(c).alias(f"v{i}"), F.count_if(F.col(c) == F.lit("0" if text else 0)).alias(f"z{i}"),
+                      F.count_if(~same).alias(f"d{i}")]
+            if text:
+                exprs.append(F.count_if(F.trim(F.col(c)) == "").alias(f"bl{i}"))
+        r = df.select(*some).agg(*exprs).first().asDict()
+        n = r["__n"]
+        for i, c in enumerate(some):
+            nulls = n - r[f"v{i}"]
+            one = first is not None and first[c] == first[c] and r[f"d{i}"] == 0       # NaN is no constant
+            out.append({"column_name": c, "zero_or_null_share": (nulls + r[f"z{i}"]) / n if n else None,
+                        "null_share": nulls / n if n else None, "blank_share": r.get(f"bl{i}", 0) / n if n else None,
+                        "constant": nulls == n or (nulls == 0 and one)})
     return out
 
 
 def drop_profiled(df: DataFrame, sparse_threshold: float = 0.4, blank_threshold: float = 0.4) -> DataFrame:
-    """A15 + A16 projection from one profile pass: drop columns whose zero-or-NULL
+    """A15 + A16 projection from one profile: drop columns whose zero-or-NULL
     share exceeds ``sparse_threshold``, constant columns, and columns whose blank
     share exceeds ``blank_threshold``. None qualifying drops nothing (N11)."""
     drop = [p["column_name"] for p in column_profile(df)

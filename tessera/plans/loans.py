@@ -12,7 +12,7 @@ from tessera.functions.dates import parse_month_year
 from tessera.functions.encode import factor_codes
 from tessera.functions.lookups import states_frame, states_sql
 from tessera.functions.numeric import rnd, rnd_sig, rnd_sig_sql
-from tessera.functions.text import blank_to_null, first_token, gsub, percent_to_double
+from tessera.functions.text import blank_to_null, first_token, gsub, leading_digits, percent_to_double
 from tessera.operators.aggregate import binned_trend, box_stats, corr_matrix, histogram, quantile_bins
 from tessera.operators.profile import (
     constant_columns, drop_profiled, duplicate_count, null_profile, sparse_columns,
@@ -53,7 +53,7 @@ def clean_columns(x: DataFrame, states: DataFrame) -> DataFrame:
         fix["title"] = F.coalesce(F.col("title"), F.lit("0"))
     if "emp_length" in cols:
         fix["emp_length"] = gsub("emp_length", "< 1", "0")          # faithful text: "0 year" (N10)
-        fix["emp_years"] = F.regexp_extract(gsub("emp_length", "< 1", "0"), r"^(\d+)", 1).try_cast("int")
+        fix["emp_years"] = leading_digits(gsub("emp_length", "< 1", "0")).try_cast("int")
     fix.update({c: parse_month_year(c) for c in MONTH_YEAR_COLS if c in cols})
     fix.update({c: percent_to_double(c) for c in PERCENT_COLS if c in cols})
     x = x.withColumns(fix)
