@@ -13,20 +13,25 @@ Counts, states and transitions are tables that grow with the documents; only
 the bounded filters and the HEAD rows named below pass through the driver. A sequence of symbols (a gram) is a 64-bit
 key made of the keys of its two shorter parts. A gram that occurs twice has
 parts that do, so a filter of repeated pairs, a bitmap of bounded size, spares
-most of the others their shuffle; what it lets through is counted exactly. For
-scoring, a chunk of documents asks the table for the grams that it holds, but
-for the HEAD most frequent ones, which every task has.
+most of the others their shuffle; what it lets through is counted exactly. One
+length of grams is shuffled at a time, and tables that no later step reads go.
+For scoring, a chunk of documents asks the table for the grams that it holds, but
+for the HEAD most frequent ones, which every task has, and the words of training
+documents that a filter of repeated words doesn't know, which occur once. What it
+asks a range of keys, and the answers in the same order, are one packed row each.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
@@ -37,7 +42,9 @@ LEAST = 2                 # occurrences that give a next symbol its own count
 STATE = 2                 # occurrences that make a context a candidate
 GAIN = 10.0               # nats
 PRIOR = 1.0               # tokens left to the suffix's distribution in every state
-CHUNK_BYTES = 8 << 20     # text that is scored together
+CHUNK_BYTES = 16 << 20    # text that is scored together
+COUNTED = 1 << 20         # keys that a task sums at once before they are shuffled
+RANGE = 1 << 19           # rows of the tree that are looked up together, about
 HEAD = 1 << 20            # rows of the tree that every task has, at most
 FILTER_BITS = 1 << 30     # size of a filter, at most (128 MB); 16 bits a key below that
 START, END = np.uint64(0x5BF0A8B145769231), np.uint64(0x27D4EB2F165667C5)      # keys of a text's two ends
@@ -72,14 +79,14 @@ def grams(key: np.ndarray, length: int) -> list[np.ndarray]:
 
 
 class Filter:
-    """A bitmap of keys: tells that a key is absent, or may be present."""
+    """A bitmap of two bits a key: tells that a key is absent, or may be present."""
 
     def __init__(self, keys: DataFrame, limit: int = FILTER_BITS):
         """Of the table's column ``key``; at most ``limit`` bits reach the driver and the tasks."""
         n = keys.count()
         self.bits = min(limit, max(1 << 20, 1 << (16 * n).bit_length()))
-        place = F.expr(f"(key & {self.bits - 1}L) + 1")
-        parts = keys.select(place.alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("b")) \
+        places = F.expr(f"array((key & {self.bits - 1}L) + 1, (shiftrightunsigned(key, 34) & {self.bits - 1}L) + 1)")
+        parts = keys.select(F.explode(places).alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("b")) \
             .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("m")).collect()
         self.map = np.zeros(self.bits >> 3, np.uint8)
         for r in parts:
@@ -87,8 +94,14 @@ class Filter:
             self.map[at: at + len(r["m"])] = np.frombuffer(r["m"], np.uint8)
 
     def has(self, key: np.ndarray) -> np.ndarray:
-        x = (key & np.uint64(self.bits - 1)).astype(np.int64)
-        return (self.map[x >> 3] >> (x & 7).astype(np.uint8)) & 1 > 0
+        def at(x: np.ndarray) -> np.ndarray:
+            x = (x & np.uint64(self.bits - 1)).astype(np.int64)
+            return (self.map[x >> 3] >> (x & 7).astype(np.uint8)) & 1 > 0
+
+        out = at(key)
+        may = np.flatnonzero(out)
+        out[may] = at(key[may] >> np.uint64(34))
+        return out
 
 
 @contextmanager
@@ -103,11 +116,24 @@ def _tidy(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """The table, written to the shared checkpoint folder and read again."""
-    folder = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/suffixtree-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+class _Tables:
+    """Tables in a folder of their own in the shared checkpoint folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{checkpoint_dir(spark).rstrip('/')}/suffixtree-{uuid.uuid4().hex}"
+
+    def written(self, name: str, df: DataFrame) -> DataFrame:
+        """The table, written and read again."""
+        df.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """These tables go; nothing later reads them."""
+        sc = self.spark.sparkContext
+        for name in names:
+            path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _head(model: DataFrame, most: int) -> tuple[int, pa.Table]:
@@ -152,20 +178,53 @@ def _longs(*columns: np.ndarray, names: list[str]) -> pa.RecordBatch:
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for b in batches:
-        for _, part in W.slices(b.column(0), 4 << 20):
+        for _, part in W.slices(b.column(0)):
             w = W.words(part)
             key, _, left = sequences(w, W.hashes(w))
             yield key, left
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
     for key, _ in _parts(batches):
-        yield _longs(*np.unique(key, return_counts=True), names=["key", "n"])
+        held.append(key)
+        size += len(key)
+        if size >= COUNTED:
+            yield _longs(*np.unique(np.concatenate(held), return_counts=True), names=["key", "n"])
+            held, size = [], 0
+    if size:
+        yield _longs(*np.unique(np.concatenate(held), return_counts=True), names=["key", "n"])
+
+
+def _gram_counts(k: int, kept: Callable[[list[np.ndarray], np.ndarray], np.ndarray]):
+    """Batches to (a, b, n): how often the grams of k + 1 symbols at the ``kept`` places occur; a and b are the keys
+    of a gram without its last and without its first symbol."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*held))
+            _, where, n = np.unique(join_keys(a, b), return_index=True, return_counts=True)
+            return _longs(a[where], b[where], n, names=["a", "b", "n"])
+
+        for key, left in _parts(batches):
+            levels = grams(key, k + 1)
+            at = np.flatnonzero(kept(levels, left))
+            held.append((levels[k - 1][at], levels[k - 1][at + 1]))
+            size += len(at)
+            if size >= COUNTED:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
 
+    return count
 
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for key, left in _parts(batches):
-        yield _longs(*np.unique(grams(key, 2)[1][left > 0], return_counts=True), names=["key", "n"])
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        key = join_keys(*(np.asarray(b.column(c)).view(np.uint64) for c in ("a", "b")))
+        yield b.append_column("key", pa.array(key.view(np.int64)))
 
 
 def tree(texts: DataFrame, order: int = ORDER, least: int = LEAST, state: int = STATE, gain: float = GAIN, prior: float = PRIOR,
@@ -176,60 +235,73 @@ def tree(texts: DataFrame, order: int = ORDER, least: int = LEAST, state: int =
     gram's last symbol in the state of the others) and left (log10 share that
     the gram, as a state, leaves to its suffix); null where a gram is none of these.
     """
-    sc = texts.sparkSession.sparkContext
-    words = _written(texts.mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    with _tidy(texts.sparkSession):
+        return _grown(texts, order, least, state, gain, prior, filter_bits)[:3]
+
+
+def _grown(texts: DataFrame, order: int = ORDER, least: int = LEAST, state: int = STATE, gain: float = GAIN, prior: float = PRIOR,
+           filter_bits: int = FILTER_BITS) -> tuple[DataFrame, int, int, _Tables]:
+    """``tree``, and the tables of which its rows are one, ``model``."""
+    sc, tables = texts.sparkSession.sparkContext, _Tables(texts.sparkSession)
+    words = tables.written("words", texts.mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     start = int(START.view(np.int64))
     total, distinct = words.where(F.col("key") != start).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
     scale = total + 0.5 * (distinct + 1)
-    pairs = texts.mapInArrow(_pair_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    pairs = _written(pairs)
-    sent = sc.broadcast((Filter(pairs.select("key"), filter_bits), Filter(pairs.where(F.col("n") >= state).select("key"), filter_bits)))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, left in _parts(batches):
-            levels = grams(key, order + 1)
-            often, context = sent.value
-            fit = (left > 0) & often.has(levels[1])
-            before = fit & context.has(levels[1])
-            for k in range(1, order + 1):
-                at = np.flatnonzero(fit)
-                _, where, n = np.unique(levels[k][at], return_index=True, return_counts=True)
-                at = at[where]
-                yield _longs(np.full(len(at), k), levels[k - 1][at], levels[k - 1][np.minimum(at + 1, len(key) - 1)], n, names=["k", "a", "b", "n"])
-                # One longer: a context of pairs seen ``state`` times or more, then a pair seen ``least`` times or more.
-                fit[:-1] = before[:-1] & fit[1:] & (left[:-1] > k)
-                before[:-1] &= before[1:]
-                fit[-1:] = before[-1:] = False
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k, a, s, n = (np.asarray(b.column(i)) for i in range(4))
-            yield _longs(k, a, s, n, join_keys(a.view(np.uint64), s.view(np.uint64)), names=["k", "a", "b", "n", "key"])
-
-    found = _written(texts.mapInArrow(count, "k long, a long, b long, n long").groupBy("k", "a", "b").agg(F.sum("n").alias("n"))
-                        .where(F.col("n") >= least).mapInArrow(keyed, "k long, a long, b long, n long, key long"))
+    sent = None
+
+    def places(k: int, levels: list[np.ndarray], left: np.ndarray) -> np.ndarray:
+        """Where a gram of k + 1 symbols may be counted: all pairs; or contexts of pairs seen ``state`` times or more, then a
+        pair seen ``least`` times or more."""
+        if k == 1:
+            return left > 0
+        often, context = sent.value
+        fit = (left > 0) & often.has(levels[1])
+        before = fit if context is None else fit & context.has(levels[1])
+        before = before.copy()
+        for j in range(1, k):
+            fit[:-1] = before[:-1] & fit[1:] & (left[:-1] > j)
+            before[:-1] &= before[1:]
+            fit[-1:] = before[-1:] = False
+        return fit
+
+    # Every context is followed by something: its occurrences are its transitions'. q: the last symbol in the longest retained state.
     before = words.select("key", "n", ((F.col("n") + 0.5) / scale).alias("q"))
-    model = words.select("key", "n", F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("left"))
+    none = F.lit(None).cast("double")
+    model = words.select("key", "n", none.alias("p"), none.alias("left"))
+    of_a = Window.partitionBy("a")
     for k in range(1, order + 1):
-        # Every context is followed by something: its occurrences are its transitions'. q: the last symbol in the longest retained state.
-        moves = found.where(F.col("k") == k).select("key", "a", "b", "n") \
-            .join(before.select(F.col("key").alias("b"), F.col("q").alias("low")), "b") \
-            .join(before.where(F.col("n") >= state).select(F.col("key").alias("a"), F.col("n").alias("t")), "a")
-        own = moves.groupBy("a").agg(F.sum("n").alias("own"))
-        moves = moves.join(own, "a").withColumn("up", F.col("t") - F.col("own") + prior)        # mass left to the suffix
+        found = texts.mapInArrow(_gram_counts(k, partial(places, k)), "a long, b long, n long") \
+            .groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        if k == 1 < order:
+            found = tables.written("found-1", found.mapInArrow(_keyed, "a long, b long, n long, key long"))
+            often = Filter(found.select("key"), filter_bits)
+            sent = sc.broadcast((often, Filter(found.where(F.col("n") >= state).select("key"), filter_bits) if state > least else None))
+        else:
+            found = tables.written(f"found-{k}", found)
+        moves = found.select("a", "b", "n").join(before.select(F.col("key").alias("b"), F.col("q").alias("low")), "b") \
+            .join(before.where(F.col("n") >= state).select(F.col("key").alias("a"), F.col("n").alias("t")), "a") \
+            .withColumn("own", F.sum("n").over(of_a)) \
+            .withColumn("up", F.col("t") - F.col("own") + prior)        # mass left to the suffix
         rest = (F.col("t") - F.col("own")) * F.log(F.greatest(F.col("up") - 1, F.lit(prior)) / (F.col("t") - 1 + prior))
-        gained = moves.groupBy("a").agg(
-            (F.sum(F.col("n") * F.log(((F.col("n") - 1) / F.col("low") + F.col("up")) / (F.col("t") - 1 + prior))) + F.first(rest)).alias("gain"))
-        before = _written(moves.join(gained, "a").withColumn("kept", F.col("gain") >= gain).select(
-            "key", "a", "n", "t", "kept", (F.col("up") / (F.col("t") + prior)).alias("share"),
-            F.when(F.col("kept"), (F.col("n") + F.col("up") * F.col("low")) / (F.col("t") + prior)).otherwise(F.col("low")).alias("q")))
+        gained = F.sum(F.col("n") * F.log(((F.col("n") - 1) / F.col("low") + F.col("up")) / (F.col("t") - 1 + prior))).over(of_a) + rest
+        moves = moves.withColumn("kept", gained >= gain)
+        if k == order:
+            moves = moves.where("kept")                 # the others' suffixes have them
+        seen = F.when(F.col("kept"), (F.col("n") + F.col("up") * F.col("low")) / (F.col("t") + prior)).otherwise(F.col("low"))
+        own = [F.when(F.col("kept"), x).alias(name) for name, x in
+               (("a", F.col("a")), ("t", F.col("t")), ("share", F.col("up") / (F.col("t") + prior)))]
+        before = moves.select("a", "b", "n", "kept", "t", "up", seen.alias("q"))
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in before.schema) + ", key long"
+        before = tables.written(f"grown-{k}", before.mapInArrow(_keyed, schema).select("key", "n", "q", "kept", *own))
+        tables.drop(f"found-{k}")
         kept = before.where("kept")
-        none = F.lit(None)
-        model = model.unionByName(kept.select("key", "n", F.log10("q").alias("p"), none.cast("double").alias("left"))) \
-            .unionByName(kept.groupBy(F.col("a").alias("key")).agg(F.first("t").alias("n"), F.first(F.log10("share")).alias("left"))
-                         .select("key", "n", none.cast("double").alias("p"), "left"))
-    merged = model.groupBy("key").agg(F.max("n").alias("n"), F.max("p").alias("p"), F.max("left").alias("left"))
-    return _written(merged), int(total), int(distinct)
+        model = model.unionByName(kept.select("key", "n", F.log10("q").alias("p"), none.alias("left"))) \
+            .unionByName(kept.select(F.col("a").alias("key"), F.col("t").alias("n"), none.alias("p"), F.log10("share").alias("left")))
+    if sent is not None:
+        sent.destroy()
+    merged = tables.written("model", model.groupBy("key").agg(F.max("n").alias("n"), F.max("p").alias("p"), F.max("left").alias("left")))
+    tables.drop("words", *(f"grown-{k}" for k in range(1, order + 1)))
+    return merged, int(total), int(distinct), tables
 
 
 def _pack(chunk_bytes: int):
@@ -264,13 +336,27 @@ def _unpack(data) -> pa.Table:
         return stream.read_all()
 
 
-def _asked(texts: pa.ChunkedArray, order: int, known: Filter, head: np.ndarray) -> np.ndarray:
-    """Keys of a chunk's words, and of its grams that the tree may hold, without those of its head."""
-    out = [np.zeros(0, np.uint64)]
-    for _, part in W.slices(texts):
+def _trained(chunk: pa.Table) -> np.ndarray:
+    """Whether each text of a chunk is a training text."""
+    return np.array(pc.equal(chunk.column("held_out"), False).fill_null(False))
+
+
+def _symbols(chunk: pa.Table) -> list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, texts, key, row, symbols left in the row) of a chunk's slices."""
+    out = []
+    for first, part in W.slices(chunk.column("text")):
         w = W.words(part)
-        key, _, left = sequences(w, W.hashes(w))
-        out.append(np.unique(key))
+        out.append((first, len(part), *sequences(w, W.hashes(w))))
+    return out
+
+
+def _asked(symbols: list[tuple], trained: np.ndarray, order: int, known: Filter, repeated: Filter, head: np.ndarray) -> np.ndarray:
+    """Keys of a chunk's words, and of its grams that the tree may hold, without those of its head and words that occur
+    once in training; sorted."""
+    out = [np.zeros(0, np.uint64)]
+    for first, _, key, row, left in symbols:
+        own = trained[first + row]
+        out += [np.unique(key[~own]), (once := np.unique(key[own]))[repeated.has(once) | known.has(once)]]
         for k, g in enumerate(grams(key, order + 1)[1:], 1):
             g = g[left >= k]
             out.append(np.unique(g[known.has(g)]))
@@ -278,9 +364,51 @@ def _asked(texts: pa.ChunkedArray, order: int, known: Filter, head: np.ndarray)
     return keys[_places(head, keys) == len(head)]
 
 
-def _score(texts: pa.ChunkedArray, order: int, scale: float, own: tuple, head: tuple) -> list[np.ndarray]:
+def _ranges(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(range, first, end) of sorted keys by their highest ``bits``, without empty ranges."""
+    numbers, first, n = np.unique(keys >> np.uint64(64 - bits), return_index=True, return_counts=True)
+    return list(zip(numbers.tolist(), first.tolist(), (first + n).tolist()))
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of 8-byte values of one length, their bytes by place, compressed."""
+    return pa.compress(np.concatenate([np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).ravel() for c in columns]), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, *kinds: type) -> list[np.ndarray]:
+    """The columns that were packed, each of ``n`` values."""
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=8 * n * len(kinds), codec="zstd", asbytes=True), np.uint8)
+    return [np.ascontiguousarray(raw[8 * n * i: 8 * n * (i + 1)].reshape(8, n).T).ravel().view(kind) for i, kind in enumerate(kinds)]
+
+
+def _looked_up(asked: pa.Table, rows: pa.Table) -> pa.Table:
+    """For each chunk that asked a range of keys: n, p and left of its keys, in their order; n is -1 where the tree has no row."""
+    key, n, p, left = _sorted(rows)
+    # Only words need their count. The last row is that of absent keys.
+    n, p, left = np.append(np.where(np.isnan(p), n, 0), -1), np.append(p, np.nan), np.append(left, np.nan)
+    data = []
+    for size, given in zip(asked.column("size").to_pylist(), asked.column("data").to_pylist()):
+        at = _places(key, np.cumsum(_unpacked(given, size, np.uint64)[0], dtype=np.uint64))
+        data.append(_packed(n[at], p[at], left[at]))
+    return pa.table({"chunk": asked.column("chunk"), "part": asked.column("part"), "size": asked.column("size"), "data": pa.array(data, pa.binary())})
+
+
+def _answered(keys: np.ndarray, bits: int, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """key, n, p and left of the keys that the tree has, from the answers to a chunk."""
+    got = {part: (size, data) for part, size, data in zip(*(rows.column(c).to_pylist() for c in ("part", "size", "data")))}
+    n, p, left = np.full(len(keys), -1), np.full(len(keys), np.nan), np.full(len(keys), np.nan)
+    for part, a, b in _ranges(keys, bits):
+        size, data = got[part]
+        if size != b - a:
+            raise ValueError("a chunk's answers are not those to its keys")
+        n[a:b], p[a:b], left[a:b] = _unpacked(data, size, np.int64, np.float64, np.float64)
+    has = n >= 0
+    return keys[has], n[has], p[has], left[has]
+
+
+def _score(symbols: list[tuple], trained: np.ndarray, order: int, scale: float, own: tuple, head: tuple) -> list[np.ndarray]:
     """n_tokens, n_known, base_score and score of each text, from the chunk's rows of the tree and the head's."""
-    count = len(texts)
+    count = len(trained)
     out = [np.zeros(count, np.int64), np.zeros(count, np.int64), np.zeros(count), np.zeros(count)]
     # The head's rows, the chunk's, and an empty one.
     n, p, left = (np.concatenate([head[k], own[k], [0 if k == 1 else np.nan]]) for k in (1, 2, 3))
@@ -289,13 +417,11 @@ def _score(texts: pa.ChunkedArray, order: int, scale: float, own: tuple, head: t
         i = _places(head[0], g)
         return np.where(i < len(head[0]), i, len(head[0]) + _places(own[0], g))
 
-    for first, part in W.slices(texts):
-        w = W.words(part)
-        seq, row, _ = sequences(w, W.hashes(w))
+    for first, rows, seq, row, _ in symbols:
         places = [at(g) for g in grams(seq, order + 1)]
         target = np.flatnonzero(np.diff(row, prepend=-1) == 0)         # all but each text's start
         before = target - np.searchsorted(row, row[target])            # symbols before, the start included
-        c = n[places[0][target]]
+        c = np.maximum(n[places[0][target]], trained[first + row[target]])        # a training word that wasn't asked for occurs once
         base = np.log10((c + 0.5) / scale)
         value, done = np.zeros(len(target)), np.zeros(len(target), bool)
         for k in range(order, 0, -1):
@@ -308,8 +434,8 @@ def _score(texts: pa.ChunkedArray, order: int, scale: float, own: tuple, head: t
             done[use[seen]] = True
         value[~done] += base[~done]
         for j, x in enumerate((None, (c > 0).astype(float), base, value)):
-            got = np.bincount(row[target], x, len(part))
-            out[j][first: first + len(part)] = got if j > 1 else got.astype(np.int64)
+            got = np.bincount(row[target], x, rows)
+            out[j][first: first + rows] = got if j > 1 else got.astype(np.int64)
     return out
 
 
@@ -328,27 +454,41 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), held_out.alias("held_out"),
                        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     with _tidy(spark):
-        model, total, distinct = tree(rows.where("NOT held_out").select("text"), order=order, **options)
-        chunks = _written(rows.mapInArrow(_pack(chunk_bytes), "chunk long, data binary"))
-        grown = Filter(model.where("p IS NOT NULL OR left IS NOT NULL").select("key"), options.get("filter_bits", FILTER_BITS))
+        model, total, distinct, tables = _grown(rows.where("NOT held_out").select("text"), order=order, **options)
+        chunks = tables.written("chunks", rows.mapInArrow(_pack(chunk_bytes), "chunk long, data binary"))
+        limit = options.get("filter_bits", FILTER_BITS)
+        grown = Filter(model.where("p IS NOT NULL OR left IS NOT NULL").select("key"), limit)
+        repeated = Filter(model.where("n > 1 AND p IS NULL").select("key"), limit)
         least, frequent = _head(model, head)
-    scale, frequent = total + 0.5 * (distinct + 1), _sorted(frequent)
-    sent = spark.sparkContext.broadcast((grown, frequent))
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, top = sent.value
-        for b in batches:
-            for number, data in zip(b.column(0), b.column(1)):
-                key = _asked(_unpack(data).column("text"), order, known, top[0])
-                yield _longs(np.full(len(key), number.as_py()), key, names=["chunk", "key"])
-
-    answers = chunks.mapInArrow(asked, "chunk long, key long").join(model.where(F.col("n") < least), "key") \
-        .select("chunk", "key", F.when(F.col("p").isNull(), F.col("n")).alias("n"), "p", "left")        # only words need their count
+        scale, top = total + 0.5 * (distinct + 1), _sorted(frequent)
+        bits = min(max(6, (model.count() // RANGE).bit_length()), 24)
+        sent = spark.sparkContext.broadcast((grown, repeated, top))
+
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, repeated, top = sent.value
+            for b in batches:
+                for number, data in zip(b.column(0).to_pylist(), b.column(1)):
+                    chunk = _unpack(data)
+                    keys = _asked(_symbols(chunk), _trained(chunk), order, known, repeated, top[0])
+                    some = _ranges(keys, bits)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([r for r, _, _ in some], pa.int64()), pa.array([number] * len(some), pa.int64()),
+                        pa.array([b - a for _, a, b in some], pa.int64()),
+                        pa.array([_packed(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in some], pa.binary())],
+                        names=["part", "chunk", "size", "data"])
+
+        found = model.where(F.col("n") < least).withColumn("part", F.shiftrightunsigned("key", 64 - bits))
+        answers = tables.written("answers", chunks.mapInArrow(asked, "part long, chunk long, size long, data binary").groupBy("part")
+                                 .cogroup(found.groupBy("part")).applyInArrow(_looked_up, "chunk long, part long, size long, data binary"))
+        tables.drop("model")
 
     def scored(held: pa.Table, rows: pa.Table) -> pa.Table:
-        texts = _unpack(held.column("data")[0])
-        n_tokens, n_known, base, value = _score(texts.column("text"), order, scale, _sorted(rows), sent.value[1])
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": n_tokens, "n_known": n_known,
+        chunk = _unpack(held.column("data")[0])
+        known, repeated, top = sent.value
+        symbols, trained = _symbols(chunk), _trained(chunk)
+        keys = _asked(symbols, trained, order, known, repeated, top[0])
+        n_tokens, n_known, base, value = _score(symbols, trained, order, scale, _answered(keys, bits, rows), top)
+        return pa.table({"doc_id": chunk.column("doc_id"), "held_out": chunk.column("held_out"), "n_tokens": n_tokens, "n_known": n_known,
                          "train_tokens": np.full(len(base), total, np.int64), "base_score": base, "score": value})
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(

@@ -1,9 +1,11 @@
 """The suffix tree against a dictionary implementation, base scores against plain counting."""
 
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +126,42 @@ def test_filter_knows_its_keys(spark):
     assert not S.Filter(df.where("false")).has(keys.view(np.uint64)).any()
 
 
+def test_only_tables_that_are_read_later_stay(spark, docs_of):
+    """A step's tables go once the next one is written: the chunks and the answers to them are left."""
+    top = urlparse(S.checkpoint_dir(spark)).path
+    before = set(os.listdir(top))
+    docs = docs_of([(i, f"a b c a b d w{i}") for i in range(40)])
+    got = S.score(docs, S._held_out(docs["doc_id"], 5, 1))
+    made = [f"{top}/{name}" for name in set(os.listdir(top)) - before]
+    assert sorted(table for folder in made for table in os.listdir(folder)) == ["answers", "chunks"]
+    assert got.count() == 40
+
+
+def test_chunks_ask_for_what_they_need():
+    """Words that occur once in training are asked for by held-out texts only."""
+    class Keys:
+        def __init__(self, *words):
+            self.keys = W.hashes(W.words(pa.array([" ".join(words)], pa.large_string())))
+
+        def has(self, key):
+            return np.isin(key, self.keys)
+
+    chunk = pa.table({"text": ["often once", "often new"], "held_out": [False, True]})
+    got = S._asked(S._symbols(chunk), S._trained(chunk), 2, Keys(), Keys("often"), np.zeros(0, np.uint64))
+    assert np.isin(Keys("often", "new").keys, got).all() and not np.isin(Keys("once").keys, got).any()
+
+
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 2 ** 64 - 1, 1000, dtype=np.uint64))
+    some = [(r, S._unpacked(S._packed(np.diff(keys[a:b], prepend=np.uint64(0))), b - a, np.uint64)[0]) for r, a, b in S._ranges(keys, 6)]
+    assert (np.concatenate([np.cumsum(d, dtype=np.uint64) for _, d in some]) == keys).all()
+    assert all((np.cumsum(d, dtype=np.uint64) >> np.uint64(58) == r).all() for r, d in some)
+    n, p = np.arange(-1, 20), np.append(rng.random(20), np.nan)
+    got = S._unpacked(S._packed(n, p), 21, np.int64, np.float64)
+    assert (got[0] == n).all() and np.array_equal(got[1], p, equal_nan=True)
+
+
 def test_held_out_gain(spark):
     rows = [r for r in S.op1_suffix_tree(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
