@@ -14,7 +14,8 @@ the bounded filters and the HEAD rows named below pass through the driver. A seq
 key made of the keys of its two shorter parts. A gram that occurs twice has
 parts that do, so a filter of repeated pairs, a bitmap of bounded size, spares
 most of the others their shuffle; what it lets through is counted exactly. One
-length of grams is shuffled at a time, and tables that no later step reads go.
+length of grams is shuffled at a time, a task's counts for a range of keys as one
+packed row, and tables that no later step reads go.
 For scoring, a chunk of documents asks the table for the grams that it holds, but
 for the HEAD most frequent ones, which every task has, and the words of training
 documents that a filter of repeated words doesn't know, which occur once. What it
@@ -24,7 +25,7 @@ asks a range of keys, and the answers in the same order, are one packed row each
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import partial
 
@@ -44,6 +45,7 @@ GAIN = 10.0               # nats
 PRIOR = 1.0               # tokens left to the suffix's distribution in every state
 CHUNK_BYTES = 16 << 20    # text that is scored together
 COUNTED = 1 << 20         # keys that a task sums at once before they are shuffled
+SUMMED = 1 << 20          # occurrences of grams whose counts are summed together, about
 RANGE = 1 << 19           # rows of the tree that are looked up together, about
 HEAD = 1 << 20            # rows of the tree that every task has, at most
 FILTER_BITS = 1 << 30     # size of a filter, at most (128 MB); 16 bits a key below that
@@ -64,8 +66,8 @@ def sequences(w: W.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     last = first + n + 1
     key[np.arange(len(h)) + 2 * w.row + 1] = h
     key[first], key[last] = START, END
-    row = np.repeat(np.arange(rows), n + 2)
-    return key, row, last[row] - np.arange(len(key))
+    row = np.repeat(np.arange(rows, dtype=np.int32), n + 2)
+    return key, row, (last[row] - np.arange(len(key))).astype(np.int32)
 
 
 def grams(key: np.ndarray, length: int) -> list[np.ndarray]:
@@ -196,16 +198,55 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _longs(*np.unique(np.concatenate(held), return_counts=True), names=["key", "n"])
 
 
-def _gram_counts(k: int, kept: Callable[[list[np.ndarray], np.ndarray], np.ndarray]):
-    """Batches to (a, b, n): how often the grams of k + 1 symbols at the ``kept`` places occur; a and b are the keys
-    of a gram without its last and without its first symbol."""
+def _ranges(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(range, first, end) of sorted keys by their highest ``bits``, without empty ranges."""
+    numbers, first, n = np.unique(keys >> np.uint64(64 - bits), return_index=True, return_counts=True)
+    return list(zip(numbers.tolist(), first.tolist(), (first + n).tolist()))
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of 8-byte values of one length, their bytes by place, compressed."""
+    return pa.compress(np.concatenate([np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).ravel() for c in columns]), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, *kinds: type) -> list[np.ndarray]:
+    """The columns that were packed, each of ``n`` values."""
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=8 * n * len(kinds), codec="zstd", asbytes=True), np.uint8)
+    return [np.ascontiguousarray(raw[8 * n * i: 8 * n * (i + 1)].reshape(8, n).T).ravel().view(kind) for i, kind in enumerate(kinds)]
+
+
+_COUNTS = "part long, size long, firsts long, lasts long, first binary, last binary, data binary"
+
+
+def _pack_counts(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[int, int, int, bytes, bytes, bytes]:
+    """Grams' two parts and counts, a part's distinct keys once: numbers of grams and of keys, keys, and places with counts."""
+    by = np.argsort(a)
+    (first, i), (last, j) = (np.unique(x, return_inverse=True) for x in (a[by], b[by]))
+    keys = (_packed(np.diff(x, prepend=np.uint64(0))) for x in (first, last))
+    return len(by), len(first), len(last), *keys, _packed(np.diff(i, prepend=0), j, n[by])
+
+
+def _unpack_counts(size: int, firsts: int, lasts: int, first: bytes, last: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b and n that were packed, in order of a."""
+    i, j, n = _unpacked(data, size, np.int64, np.int64, np.int64)
+    a, b = (np.cumsum(_unpacked(x, k, np.uint64)[0], dtype=np.uint64) for x, k in ((first, firsts), (last, lasts)))
+    return a[np.cumsum(i)], b[j], n
+
+
+def _gram_counts(k: int, kept: Callable[[list[np.ndarray], np.ndarray], np.ndarray], bits: int):
+    """Batches to rows of ``_COUNTS``, one for each range of keys (by their highest ``bits``): how often the grams of k + 1
+    symbols at the ``kept`` places occur; a and b are the keys of a gram without its last and without its first symbol."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
             a, b = (np.concatenate(x) for x in zip(*held))
-            _, where, n = np.unique(join_keys(a, b), return_index=True, return_counts=True)
-            return _longs(a[where], b[where], n, names=["a", "b", "n"])
+            key, where, n = np.unique(join_keys(a, b), return_index=True, return_counts=True)
+            a, b = a[where], b[where]
+            rows = [(part, *_pack_counts(a[lo:hi], b[lo:hi], n[lo:hi])) for part, lo, hi in _ranges(key, bits)]
+            kinds = [pa.int64()] * 4 + [pa.binary()] * 3
+            names = [c.split()[0] for c in _COUNTS.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
 
         for key, left in _parts(batches):
             levels = grams(key, k + 1)
@@ -221,6 +262,19 @@ def _gram_counts(k: int, kept: Callable[[list[np.ndarray], np.ndarray], np.ndarr
     return count
 
 
+def _gram_sums(least: int):
+    """A range's rows of ``_COUNTS`` to (a, b, n, key) of the grams that occur ``least`` times or more in all."""
+    def sums(rows: pa.Table) -> pa.Table:
+        a, b, n = (np.concatenate(x) for x in zip(*(_unpack_counts(*r) for r in zip(*(c.to_pylist() for c in rows.columns[1:])))))
+        key, where, which = np.unique(join_keys(a, b), return_index=True, return_inverse=True)
+        n = np.bincount(which, n).astype(np.int64)
+        often = np.flatnonzero(n >= least)
+        at = where[often]
+        return pa.table({name: pa.array(x.view(np.int64)) for name, x in (("a", a[at]), ("b", b[at]), ("n", n[often]), ("key", key[often]))})
+
+    return sums
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         key = join_keys(*(np.asarray(b.column(c)).view(np.uint64) for c in ("a", "b")))
@@ -247,6 +301,7 @@ def _grown(texts: DataFrame, order: int = ORDER, least: int = LEAST, state: int
     start = int(START.view(np.int64))
     total, distinct = words.where(F.col("key") != start).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
     scale = total + 0.5 * (distinct + 1)
+    bits = min(max(4, (int(total) // SUMMED).bit_length()), 24)
     sent = None
 
     def places(k: int, levels: list[np.ndarray], left: np.ndarray) -> np.ndarray:
@@ -270,14 +325,14 @@ def _grown(texts: DataFrame, order: int = ORDER, least: int = LEAST, state: int
     model = words.select("key", "n", none.alias("p"), none.alias("left"))
     of_a = Window.partitionBy("a")
     for k in range(1, order + 1):
-        found = texts.mapInArrow(_gram_counts(k, partial(places, k)), "a long, b long, n long") \
-            .groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        found = texts.mapInArrow(_gram_counts(k, partial(places, k), bits), _COUNTS) \
+            .groupBy("part").applyInArrow(_gram_sums(least), "a long, b long, n long, key long")
         if k == 1 < order:
-            found = tables.written("found-1", found.mapInArrow(_keyed, "a long, b long, n long, key long"))
+            found = tables.written("found-1", found)
             often = Filter(found.select("key"), filter_bits)
             sent = sc.broadcast((often, Filter(found.where(F.col("n") >= state).select("key"), filter_bits) if state > least else None))
         else:
-            found = tables.written(f"found-{k}", found)
+            found = tables.written(f"found-{k}", found.drop("key"))
         moves = found.select("a", "b", "n").join(before.select(F.col("key").alias("b"), F.col("q").alias("low")), "b") \
             .join(before.where(F.col("n") >= state).select(F.col("key").alias("a"), F.col("n").alias("t")), "a") \
             .withColumn("own", F.sum("n").over(of_a)) \
@@ -341,16 +396,14 @@ def _trained(chunk: pa.Table) -> np.ndarray:
     return np.array(pc.equal(chunk.column("held_out"), False).fill_null(False))
 
 
-def _symbols(chunk: pa.Table) -> list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _symbols(chunk: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first text, texts, key, row, symbols left in the row) of a chunk's slices."""
-    out = []
     for first, part in W.slices(chunk.column("text")):
         w = W.words(part)
-        out.append((first, len(part), *sequences(w, W.hashes(w))))
-    return out
+        yield first, len(part), *sequences(w, W.hashes(w))
 
 
-def _asked(symbols: list[tuple], trained: np.ndarray, order: int, known: Filter, repeated: Filter, head: np.ndarray) -> np.ndarray:
+def _asked(symbols: Iterable[tuple], trained: np.ndarray, order: int, known: Filter, repeated: Filter, head: np.ndarray) -> np.ndarray:
     """Keys of a chunk's words, and of its grams that the tree may hold, without those of its head and words that occur
     once in training; sorted."""
     out = [np.zeros(0, np.uint64)]
@@ -364,23 +417,6 @@ def _asked(symbols: list[tuple], trained: np.ndarray, order: int, known: Filter,
     return keys[_places(head, keys) == len(head)]
 
 
-def _ranges(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
-    """(range, first, end) of sorted keys by their highest ``bits``, without empty ranges."""
-    numbers, first, n = np.unique(keys >> np.uint64(64 - bits), return_index=True, return_counts=True)
-    return list(zip(numbers.tolist(), first.tolist(), (first + n).tolist()))
-
-
-def _packed(*columns: np.ndarray) -> bytes:
-    """Columns of 8-byte values of one length, their bytes by place, compressed."""
-    return pa.compress(np.concatenate([np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).ravel() for c in columns]), "zstd", asbytes=True)
-
-
-def _unpacked(data: bytes, n: int, *kinds: type) -> list[np.ndarray]:
-    """The columns that were packed, each of ``n`` values."""
-    raw = np.frombuffer(pa.decompress(data, decompressed_size=8 * n * len(kinds), codec="zstd", asbytes=True), np.uint8)
-    return [np.ascontiguousarray(raw[8 * n * i: 8 * n * (i + 1)].reshape(8, n).T).ravel().view(kind) for i, kind in enumerate(kinds)]
-
-
 def _looked_up(asked: pa.Table, rows: pa.Table) -> pa.Table:
     """For each chunk that asked a range of keys: n, p and left of its keys, in their order; n is -1 where the tree has no row."""
     key, n, p, left = _sorted(rows)
@@ -485,7 +521,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     def scored(held: pa.Table, rows: pa.Table) -> pa.Table:
         chunk = _unpack(held.column("data")[0])
         known, repeated, top = sent.value
-        symbols, trained = _symbols(chunk), _trained(chunk)
+        symbols, trained = list(_symbols(chunk)), _trained(chunk)
         keys = _asked(symbols, trained, order, known, repeated, top[0])
         n_tokens, n_known, base, value = _score(symbols, trained, order, scale, _answered(keys, bits, rows), top)
         return pa.table({"doc_id": chunk.column("doc_id"), "held_out": chunk.column("held_out"), "n_tokens": n_tokens, "n_known": n_known,

@@ -9,6 +9,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from fixtures_llm import SF_SMALL, docs_of  # noqa: F401
@@ -190,3 +191,21 @@ def test_words_match_the_pattern():
     for x, k in zip(h.tolist(), [x for g in got for x in g]):
         assert seen.setdefault(x, k) == k
     assert len(set(h.tolist())) == len({x for g in got for x in g})
+
+
+def test_counts_of_grams_are_shuffled_packed():
+    """One row a range of keys, far smaller than its grams' two keys and count; the sums are the plain counts."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in np.minimum(rng.zipf(1.2, 4000), 3000)) for _ in range(40)]
+    want = Counter(g for t in texts for g in zip(["<start>", *toks(t)], toks(t)))
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i::4])], names=["text"]) for i in range(4)]
+    rows = [b for one in batches for b in S._gram_counts(1, lambda levels, left: left > 0, 4)([one])]
+    assert sum(b.num_rows for b in rows) == 4 * 16
+    assert sum(b.nbytes for b in rows) < 0.5 * 24 * sum(sum(b.column("size").to_pylist()) for b in rows)
+    table = pa.Table.from_batches(rows)
+    got = [S._gram_sums(least)(table.filter(pa.compute.equal(table.column("part"), p))) for least in (1, 2) for p in range(16)]
+    for least, some in ((1, got[:16]), (2, got[16:])):
+        n = [x for t in some for x in t.column("n").to_pylist()]
+        assert sorted(n) == sorted(c for c in want.values() if c >= least)
+        keys = [x for t in some for x in t.column("key").to_pylist()]
+        assert len(set(keys)) == len(keys)
