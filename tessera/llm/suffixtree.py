@@ -20,6 +20,7 @@ For scoring, a chunk of documents asks the table for the grams that it holds, bu
 for the HEAD most frequent ones, which every task has, and the words of training
 documents that a filter of repeated words doesn't know, which occur once. What it
 asks a range of keys, and the answers in the same order, are one packed row each.
+A third of the chunks is scored at a time, so that the answers to the others needn't be kept.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ CHUNK_BYTES = 16 << 20    # text that is scored together
 COUNTED = 1 << 20         # keys that a task sums at once before they are shuffled
 SUMMED = 1 << 20          # occurrences of grams whose counts are summed together, about
 RANGE = 1 << 19           # rows of the tree that are looked up together, about
+PORTIONS = 3              # parts of the chunks that are looked up and scored one after the other
+WHOLE = 16                # chunks, at most, that are one portion
 HEAD = 1 << 20            # rows of the tree that every task has, at most
 FILTER_BITS = 1 << 30     # size of a filter, at most (128 MB); 16 bits a key below that
 START, END = np.uint64(0x5BF0A8B145769231), np.uint64(0x27D4EB2F165667C5)      # keys of a text's two ends
@@ -170,6 +173,30 @@ def _places(known: np.ndarray, g: np.ndarray) -> np.ndarray:
     return np.where(known[i] == g, i, len(known))
 
 
+class _Index:
+    """Places of keys among sorted, evenly spread ones: a table tells where the keys with some highest bits begin."""
+
+    def __init__(self, known: np.ndarray):
+        self.known, bits = known, max(1, len(known).bit_length() - 2)
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(known >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def places(self, g: np.ndarray) -> np.ndarray:
+        """Place of each key; the number of known ones if it isn't there."""
+        out = np.full(len(g), len(self.known), np.int32)
+        part = (g >> self.shift).astype(np.int64)
+        i, end = self.first[part], self.first[part + 1]
+        left = np.flatnonzero(i < end)
+        i, end = i[left], end[left]
+        while len(left):
+            same = self.known[i] == g[left]
+            out[left[same]] = i[same]
+            i = i + np.int32(1)
+            more = np.flatnonzero(~same & (i < end))
+            left, i, end = left[more], i[more], end[more]
+        return out
+
+
 def _held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % folds == fold, F.lit(False))
 
@@ -449,9 +476,13 @@ def _score(symbols: list[tuple], trained: np.ndarray, order: int, scale: float,
     # The head's rows, the chunk's, and an empty one.
     n, p, left = (np.concatenate([head[k], own[k], [0 if k == 1 else np.nan]]) for k in (1, 2, 3))
 
+    frequent, others = _Index(head[0]), _Index(own[0])
+
     def at(g: np.ndarray) -> np.ndarray:
-        i = _places(head[0], g)
-        return np.where(i < len(head[0]), i, len(head[0]) + _places(own[0], g))
+        out = frequent.places(g)
+        rest = np.flatnonzero(out == len(head[0]))
+        out[rest] = len(head[0]) + others.places(g[rest])
+        return out
 
     for first, rows, seq, row, _ in symbols:
         places = [at(g) for g in grams(seq, order + 1)]
@@ -514,21 +545,31 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                         names=["part", "chunk", "size", "data"])
 
         found = model.where(F.col("n") < least).withColumn("part", F.shiftrightunsigned("key", 64 - bits))
-        answers = tables.written("answers", chunks.mapInArrow(asked, "part long, chunk long, size long, data binary").groupBy("part")
-                                 .cogroup(found.groupBy("part")).applyInArrow(_looked_up, "chunk long, part long, size long, data binary"))
-        tables.drop("model")
+        schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def scored(held: pa.Table, rows: pa.Table) -> pa.Table:
-        chunk = _unpack(held.column("data")[0])
-        known, repeated, top = sent.value
-        symbols, trained = list(_symbols(chunk)), _trained(chunk)
-        keys = _asked(symbols, trained, order, known, repeated, top[0])
-        n_tokens, n_known, base, value = _score(symbols, trained, order, scale, _answered(keys, bits, rows), top)
-        return pa.table({"doc_id": chunk.column("doc_id"), "held_out": chunk.column("held_out"), "n_tokens": n_tokens, "n_known": n_known,
-                         "train_tokens": np.full(len(base), total, np.int64), "base_score": base, "score": value})
-
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        def scored(held: pa.Table, rows: pa.Table) -> pa.Table:
+            chunk = _unpack(held.column("data")[0])
+            known, repeated, top = sent.value
+            symbols, trained = list(_symbols(chunk)), _trained(chunk)
+            keys = _asked(symbols, trained, order, known, repeated, top[0])
+            n_tokens, n_known, base, value = _score(symbols, trained, order, scale, _answered(keys, bits, rows), top)
+            return pa.table({"doc_id": chunk.column("doc_id"), "held_out": chunk.column("held_out"), "n_tokens": n_tokens, "n_known": n_known,
+                             "train_tokens": np.full(len(base), total, np.int64), "base_score": base, "score": value})
+
+        portions = PORTIONS if chunks.select("chunk").count() > WHOLE else 1
+        out = None
+        for k in range(portions):
+            some = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(portions)) == k)
+            name = "answers" if k == portions - 1 else f"answers-{k}"
+            answers = tables.written(name, some.mapInArrow(asked, "part long, chunk long, size long, data binary").groupBy("part")
+                                     .cogroup(found.groupBy("part")).applyInArrow(_looked_up, "chunk long, part long, size long, data binary"))
+            own = some.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, schema)
+            if k < portions - 1:
+                own = tables.written(f"scores-{k}", own)
+                tables.drop(name)
+            out = own if out is None else out.unionByName(own)
+        tables.drop("model")
+    return out
 
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,3 +209,28 @@ def test_counts_of_grams_are_shuffled_packed():
         assert sorted(n) == sorted(c for c in want.values() if c >= least)
         keys = [x for t in some for x in t.column("key").to_pylist()]
         assert len(set(keys)) == len(keys)
+
+
+def test_portions_are_scored_as_the_whole(spark, docs_of, monkeypatch):
+    """Chunks in portions give the same rows as all at once, and only the last portion's answers stay."""
+    docs = docs_of([(i, f"a b c a b d w{i % 7} a b x{i}") for i in range(60)]).repartition(6)
+    held = S._held_out(docs["doc_id"], 5, 1)
+    whole = sorted(tuple(r) for r in S.score(docs, held, chunk_bytes=100).collect())
+    assert len(whole) == 60
+    monkeypatch.setattr(S, "WHOLE", 2)
+    top = urlparse(S.checkpoint_dir(spark)).path
+    before = set(os.listdir(top))
+    got = S.score(docs, held, chunk_bytes=100)
+    made = [f"{top}/{name}" for name in set(os.listdir(top)) - before]
+    assert sorted(table for folder in made for table in os.listdir(folder)) == ["answers", "chunks", "scores-0", "scores-1"]
+    assert sorted(tuple(r) for r in got.collect()) == whole
+
+
+def test_index_finds_what_a_search_finds():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 2, 1000):
+        known = np.unique(rng.integers(0, 2 ** 64 - 1, n, dtype=np.uint64, endpoint=True))
+        g = np.concatenate([known, known + np.uint64(1), rng.integers(0, 2 ** 64 - 1, 500, dtype=np.uint64), np.array([0, 2 ** 64 - 1], np.uint64)])
+        assert (S._Index(known).places(g) == S._places(known, g)).all()
+    close = np.arange(5, 900, dtype=np.uint64)                 # all in one part of the table
+    assert (S._Index(close).places(np.arange(1000, dtype=np.uint64)) == S._places(close, np.arange(1000, dtype=np.uint64))).all()
